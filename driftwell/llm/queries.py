@@ -1,11 +1,14 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup
+from . import decontamination, exact_dedup, license_scan
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op7_license_scan": license_scan.op7_license_scan,
+    "op8_decontamination": decontamination.op8_decontamination,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op8_decontamination": decontamination.OP8_SQL,
 }
