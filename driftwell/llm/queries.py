@@ -1,11 +1,13 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, exact_dedup, license_scan
+from . import decontamination, exact_dedup, license_scan, piece_bpe, secret_scan
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_sentencepiece": piece_bpe.op6_sentencepiece,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
 ORACLE_SQL = {
