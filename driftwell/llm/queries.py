@@ -1,8 +1,10 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, exact_dedup, license_scan, piece_bpe, secret_scan
+from . import decontamination, exact_dedup, license_scan, piece_bpe, secret_scan, sharding, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_sharding": sharding.op2_sharding,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_sentencepiece": piece_bpe.op6_sentencepiece,
     "op7_license_scan": license_scan.op7_license_scan,
@@ -11,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_sharding": sharding.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
 }
