@@ -1,10 +1,11 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, exact_dedup, license_scan, piece_bpe, secret_scan, sharding, substring_dedup
+from . import decontamination, exact_dedup, license_scan, piece_bpe, quality, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_sharding": sharding.op2_sharding,
+    "op10_quality": quality.op10_quality,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_sentencepiece": piece_bpe.op6_sentencepiece,
     "op7_license_scan": license_scan.op7_license_scan,
