@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 HASH_BITS = 18
 #: The sample that the model is fitted on, at most.
-TOXIC_ROWS, CLEAN_ROWS = 4096, 8192
+TOXIC_ROWS, CLEAN_ROWS = 2048, 4096
 #: Features that the fit keeps, and the grades.
 FEATURES, GRADES = 2048, 4
 #: A word is a marker from this many standard errors of its log-odds.
@@ -71,7 +71,7 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """toxic, features (array<int>) of a bounded sample, the same on every run."""
+    """toxic, features (packed int32) of a bounded sample, the same on every run."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(
@@ -81,10 +81,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted(f for w in words(t or "") for f in features(w)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "features"])
+            rows = [
+                np.sort(np.array([f for w in words(t.as_py() or "") for f in features(w)], np.int32)).tobytes()
+                for t in batch.column(1)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.binary())], ["toxic", "features"])
 
-    return chosen.mapInArrow(hashed, "toxic int, features array<int>")
+    return chosen.mapInArrow(hashed, "toxic int, features binary")
 
 
 def grades(toxic: np.ndarray, markers: np.ndarray) -> np.ndarray:
@@ -103,9 +106,9 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray]) -> Model:
     toxic = toxic.astype(bool)
     if not toxic.any() or toxic.all():
         return empty
-    flat = np.concatenate([np.empty(0, np.int64), *rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    present = np.unique(owner << HASH_BITS | flat)
+    flat = np.concatenate([np.empty(0, np.int32), *[r.astype(np.int32) for r in rows]])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    present = np.unique(owner.astype(np.int64) << HASH_BITS | flat)
     by, what = present >> HASH_BITS, present & (size - 1)
     in_toxic = np.bincount(what[toxic[by]], minlength=size)
     in_clean = np.bincount(what[~toxic[by]], minlength=size)
@@ -120,6 +123,7 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray]) -> Model:
     place[chosen] = np.arange(len(chosen))
     used = place[flat] >= 0
     column, owner = place[flat[used]], owner[used]
+    del flat, used, present, by, what
 
     w, theta0, steps = np.zeros(len(chosen)), np.array([2.0]), np.zeros(GRADES - 2)
     parts = [w, theta0, steps]
@@ -152,7 +156,7 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray]) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled_sample(docs, labels).collect()  # TOXIC_ROWS + CLEAN_ROWS rows at most
     sample.sort(key=lambda r: (r["toxic"], r["features"]))
-    return fit(np.array([r["toxic"] for r in sample]), [np.array(r["features"], np.int64) for r in sample])
+    return fit(np.array([r["toxic"] for r in sample]), [np.frombuffer(r["features"], np.int32) for r in sample])
 
 
 class _Weights(dict):
