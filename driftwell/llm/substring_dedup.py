@@ -138,7 +138,9 @@ def find_repeats(
     found = stored(repeated_units(rows, unit, bitmap), "repeated-units")
     place = F.struct("rank", "unit_no")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    later = found.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(place > F.col("first"))
+    # Written first, so that the join shuffles both sides and a hot hash can be split.
+    first = stored(first.select("h1", "h2", "first"), "first-places")
+    later = found.join(first, ["h1", "h2"]).where(place > F.col("first"))
     island = F.col("unit_no") - F.row_number().over(Window.partitionBy("_row").orderBy("unit_no"))
     runs = (
         later.select("_row", "unit_no", "start", "end", "n_words", island.alias("island"))
