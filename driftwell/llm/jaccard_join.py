@@ -51,7 +51,7 @@ TASK_ENTRIES = 4_000_000
 #: A set is enumerated if that costs no more subsets than this many for each of its shingles.
 SUBSETS_PER_SHINGLE = 8
 #: Cross-component pairs left in lists, for each set, at which the rest is compared at once.
-REST_PAIRS = 4
+REST_PAIRS = 64
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -277,20 +277,44 @@ def _small_lists(sets: DataFrame, limit: int) -> DataFrame:
 
 
 def _scanned_lists(sets: DataFrame) -> DataFrame:
-    """token, digest, n: the inverted lists of the shingles that any partner of a set must meet.
+    """token, digest, n, own, place: the inverted lists of the shingles that any partner of a set must meet.
 
     Shingles are ordered by how many sets hold them. A partner shares at least one of the
-    first n - ceil(3n/4) + 1; those that only one set holds use up places and make no list.
+    first n - ceil(3n/4) + 1; those that only one set holds (`own`, in thousandths of the set)
+    use up places and make no list. Where the first shared shingle has place i (from 0) in a
+    set of n, at most n - i shingles are shared, so an entry stays only if that is enough for
+    the smallest partner in its list.
     """
     postings = sets.select("digest", "n", F.explode("tokens").alias("token"))
     held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = postings.join(held, "token")
     places = F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1
     ordered = shared.groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
-    left = (places - (F.col("n") - F.size("by_df"))).cast("int")
-    return ordered.where(left > 0).select(
-        "digest", "n", F.explode(F.slice("by_df", F.lit(1), left)).alias("p")
-    ).select(F.col("p.token").alias("token"), "digest", "n")
+    alone = F.col("n") - F.size("by_df")
+    left = (places - alone).cast("int")
+    entries = stored(
+        ordered.where(left > 0).select(
+            "digest", "n", alone.alias("alone"), F.posexplode(F.slice("by_df", F.lit(1), left)).alias("i", "p")
+        ).select(
+            F.col("p.token").alias("token"), "digest", "n", F.floor(F.col("alone") * 1000 / F.col("n")).alias("own"),
+            (F.col("alone") + F.col("i")).alias("place"),
+        ),
+        "entries",
+    )
+    least = entries.groupBy("token").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    partner = F.greatest("least", F.ceil(F.col("n") * SHARE / 100))
+    return entries.join(least, "token").where(_within("n", "place", "n", partner)).drop("least", "m")
+
+
+def _overlap(a, b):  # noqa: ANN001, ANN202
+    """least_overlap, of columns."""
+    return F.ceil((a + b) * SHARE / (100 + SHARE) - 1e-9)
+
+
+def _within(n: str, place: str, a, b):  # noqa: ANN001, ANN202
+    """Whether a set whose first shared shingle has this place can reach the overlap that sizes a and b ask for."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.col(place) <= F.col(n) - _overlap(a, b)
 
 
 def _sizes_fit(a: str, b: str):  # noqa: ANN202
@@ -310,7 +334,8 @@ def link_components(sets: DataFrame) -> DataFrame:
     """digest, component (a digest) for the sets that link with others."""
     limit = boundary()
     large = F.col("n") >= min(partner_sizes(limit + 1))  # and the small sets that a large one may link with
-    lists = stored(_small_lists(sets, limit).unionByName(_scanned_lists(sets.where(large))).distinct(), "lists")
+    small = _small_lists(sets, limit).distinct().select("token", "digest", "n", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("place"))
+    lists = stored(small.unionByName(_scanned_lists(sets.where(large))), "lists")
     n_sets = sets.count()
     links = sets.select(F.col("digest").alias("a"), F.col("digest").alias("b")).limit(0)
     labels = None
@@ -322,10 +347,10 @@ def link_components(sets: DataFrame) -> DataFrame:
                 "component", F.coalesce("component", "digest")
             )
         # A list with one component is done. The rest: who is first, and how many pairs are left.
-        by_part = tagged.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.min("digest").alias("first"))
+        by_part = tagged.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("own", "digest")).alias("first"))
         state = by_part.groupBy("token").agg(
             F.count(F.lit(1)).alias("parts"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"),
-            F.min("first").alias("first"),
+            F.min("first")["digest"].alias("first"),
         ).where("parts > 1")
         state = stored(state, "list-states")
         rest = state.agg(F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2)).first()[0]
@@ -334,19 +359,21 @@ def link_components(sets: DataFrame) -> DataFrame:
         open_lists = stored(tagged.join(state.select("token", "first"), "token"), "open-lists")
         last = rest <= max(REST_PAIRS * n_sets, 50_000)
         if last:
-            other = open_lists.select("token", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = open_lists.join(other, "token").where((F.col("digest") < F.col("b")) & (F.col("component") != F.col("cb")))
-            pairs = pairs.select(F.col("digest").alias("a"), "b", "n", "nb")
+            other = open_lists.select("token", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
+            fits = _sizes_fit("n", "nb") & _within("n", "place", "n", "nb") & _within("nb", "pb", "n", "nb")
+            pairs = open_lists.join(other, "token").where((F.col("digest") < F.col("b")) & (F.col("component") != F.col("cb")) & fits)
+            pairs = pairs.select(F.col("digest").alias("a"), "b")
         else:
-            lead = open_lists.where("digest = first").select("token", F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = open_lists.join(lead, "token").where((F.col("digest") != F.col("first")) & (F.col("component") != F.col("cb")))
-            pairs = pairs.select(F.col("first").alias("a"), F.col("digest").alias("b"), "n", "nb")
-        pairs = stored(pairs.where(_sizes_fit("n", "nb")).select("a", "b").distinct(), "pairs")
+            lead = open_lists.where("digest = first").select("token", F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
+            fits = _sizes_fit("n", "nb") & _within("n", "place", "n", "nb") & _within("nb", "pb", "n", "nb")
+            pairs = open_lists.join(lead, "token").where((F.col("digest") != F.col("first")) & (F.col("component") != F.col("cb")) & fits)
+            pairs = pairs.select(F.col("first").alias("a"), F.col("digest").alias("b"))
+        pairs = stored(pairs.distinct(), "pairs")
         links = stored(links.unionByName(verified(pairs, sets)), "links")
         labels = stored(components(links), "components")
         if last:
             break
-        lists = open_lists.where("digest <> first").select("token", "digest", "n")
+        lists = open_lists.where("digest <> first").select("token", "digest", "n", "own", "place")
     if labels is None:
         return sets.select("digest", F.col("digest").alias("component")).limit(0)
     return labels.select(F.col("id").alias("digest"), "component")
