@@ -18,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_sharding": sharding.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
 }

@@ -98,12 +98,13 @@ def near(spark, docs, path):
     stored = [(r["doc_id"], r["text"]) for r in table.collect()]
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(got, key=key) == sorted(brute_components(stored), key=key)
-    assert jaccard_join.keep_one(table).count() == len({c for c in [r[2] for r in got]} | set()) or True
-    return table, got
 
 
-def test_jaccard_edges(spark, tmp_path):
+def test_jaccard_edges(spark, tmp_path, edge):
     near(spark, [(r[0], r[1]) for r in EDGE], f"{tmp_path}/e")
+    kept = jaccard_join.keep_one(edge)  # rows without words all stay; of copies the smallest id's first row
+    assert kept.columns == edge.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 10, 11]
 
 
 def test_jaccard_random(spark, tmp_path):
@@ -112,10 +113,10 @@ def test_jaccard_random(spark, tmp_path):
 
     rng = random.Random(7)
     docs, n = [], 0
-    for family in range(24):
+    for family in range(18):
         size = rng.choice([2, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15, 16, 18, 25, 60, 90, 120])
         base = [f"w{family}x{rng.randrange(400)}" for _ in range(size)]
-        for _ in range(rng.randrange(2, 14)):
+        for _ in range(rng.randrange(2, 10)):
             w = list(base)
             for _ in range(rng.randrange(0, 3)):
                 at = rng.randrange(len(w))
@@ -132,7 +133,7 @@ def test_jaccard_rounds(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
     base = [f"b{i}" for i in range(80)]
     docs = []
-    for i in range(120):
+    for i in range(70):
         w = list(base)
         for _ in range(rng.randrange(0, 5)):
             w[rng.randrange(80)] = f"c{rng.randrange(30)}"
