@@ -41,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .workspace import numbered, sized, stored, without_rows
+from .workspace import numbered, sized, sliced, stored, without_rows
 
 SHINGLE, SHARE = 5, 75
 #: Share of the hash space that step 2 counts, in 1/1024; sets up to FULL_SIZE are counted whole.
 SAMPLE, FULL_SIZE = 358, 64
 #: Entries that a task holds before it packs them.
-TASK_ENTRIES = 4_000_000
+TASK_ENTRIES = 1_000_000
+#: Rows whose sets a task makes at once.
+ROWS = 128
 #: A set is enumerated if that costs no more subsets than this many for each of its shingles.
 SUBSETS_PER_SHINGLE = 8
 #: Cross-component pairs left in lists, for each set, at which the rest is compared at once.
@@ -112,7 +114,7 @@ def members(rows: DataFrame) -> DataFrame:
     """_row, id, n (set size), counted (shingles that step 2 counts), digest (null for the empty set)."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             sets = shingle_sets(_utf8(batch.column(2)))
             n = np.array([len(s) for s in sets], np.int64)
             digest = np.array([set_digest(s) for s in sets], np.int64)
@@ -163,7 +165,7 @@ def _entries(rows: DataFrame, buckets: int) -> DataFrame:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             for s in shingle_sets(_utf8(batch.column(2))):
                 digest = set_digest(s)
                 if not len(s) or digest in seen:
@@ -225,7 +227,7 @@ def candidate_sets(rows: DataFrame, member: DataFrame) -> DataFrame:
     chosen = rows.join(sized(stored(possible.select("_row", "digest"), "possible")), "_row").select("digest", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             found = [s.view(np.int64) for s in shingle_sets(_utf8(batch.column(1)))]
             offsets = np.cumsum([0, *map(len, found)])
             tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))

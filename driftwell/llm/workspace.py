@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,13 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator, rows: int) -> Iterator:
+    """Arrow batches in slices of so many rows, so that what a task makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
