@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import numbered, sized, stored
+from .workspace import numbered, sized, sliced, stored
 
 #: What ends a unit; a unit holds its end.
 ENDS = {
@@ -42,6 +42,8 @@ UNIT, MIN_RUN_WORDS = "sentence", 15
 FILTER_BITS = 1 << 26
 #: Rows of spans up to which they are broadcast to the texts.
 SPAN_ROWS = 500_000
+#: Rows whose units a task holds at once.
+ROWS = 512
 _LAST = (1 << 63) - 1
 
 
@@ -66,7 +68,7 @@ def repeated_hashes(rows: DataFrame, unit: str) -> DataFrame:
     from xxhash import xxh3_64_intdigest
 
     def first_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             ranks, again, hashes = [], [], []
             for rank, text in zip(batch.column(1).to_pylist(), batch.column(2)):
                 seen: dict[int, bool] = {}
@@ -106,7 +108,7 @@ def repeated_units(rows: DataFrame, unit: str, bitmap: np.ndarray) -> DataFrame:
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = held.value
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             first, where, norms = [], [], []
             for i, text in enumerate(batch.column(2)):
                 for no, (start, end, norm, words) in enumerate(units(text.as_py() or "", unit)):
