@@ -10,7 +10,8 @@ documents. The fit uses a bounded sample of labelled rows (TOXIC_ROWS and CLEAN_
 first by a hash of the id); every document is scored, in whole, in one pass without a
 shuffle.
 
-Defined results: null and wordless texts have no features and get the model's bias; labels
+Defined results: null and wordless texts have no features and get the model's bias; a text
+whose words do not speak for it (a score of 0 or less) is never called toxic; labels
 that contradict each other count as toxic; without labels of both kinds all weights are 0
 and nothing is toxic; repeated rows are scored apart; columns besides id and text are
 passed over.
@@ -185,7 +186,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             ladder = np.concatenate([np.ones((len(total), 1)), over, np.zeros((len(total), 1))], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(over.sum(axis=1)), pa.array((ladder[:, :-1] - ladder[:, 1:]).argmax(axis=1).astype(np.int32)),
-                 pa.array(over[:, 0] >= TOXIC_FROM)],
+                 pa.array((over[:, 0] >= TOXIC_FROM) & (total > 0))],
                 ["doc_id", "expected_severity", "severity", "toxic"],
             )
 
