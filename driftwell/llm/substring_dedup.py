@@ -1,10 +1,12 @@
-"""Substring dedup by hashing units of text: lines, paragraphs or sentences.
+"""Substring dedup by hashing units of text: whole lines and paragraphs, and sentences inside them.
 
 Units are normalised (lower case, white space collapsed) and hashed to 128 bits. The
-earliest occurrence, by document id and place, is kept; the others are removed where they
-stand in a run of removable units of at least `min_run_words` words, so that a short
-sentence that two clean documents happen to share stays. Spans are code points of the
-original text.
+earliest occurrence, by document id and place, is kept. Every later copy of a whole line or
+paragraph is removed, whatever its length. Sentences add the passages that lie inside
+lines: they are removed where they stand in a run of removable sentences of at least
+`min_run_words` words, so that a short sentence that two clean documents happen to share
+stays. With a single `unit`, its units are treated as the sentences are. Spans are code
+points of the original text.
 
 1. A pass hashes all units and counts the first 64 bits globally. Each task sends one row
    for each hash of a document, and the sums combine on the map side.
@@ -36,8 +38,8 @@ ENDS = {
     "paragraph": re.compile(r"\n[ \t\r]*\n\s*"),
     "sentence": re.compile(r"[.!?]+[ \t]+|[ \t\r]*\n\s*"),
 }
-#: Passages lie inside lines, so the query hashes sentences.
-UNIT, MIN_RUN_WORDS = "sentence", 15
+#: The unit of `units`, the query's (lines, paragraphs and sentences), and the least run of sentences.
+UNIT, ALL, MIN_RUN_WORDS = "sentence", "all", 15
 #: Bits of the filter of repeated hashes: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 #: Rows of spans up to which they are broadcast to the texts.
@@ -58,6 +60,42 @@ def units(text: str, unit: str = UNIT) -> Iterator[tuple[int, int, bytes, int]]:
         start = end
 
 
+def _pieces(text: str, start: int, end: int, unit: str) -> Iterator[tuple[int, int]]:
+    for stop in [*[m.end() for m in ENDS[unit].finditer(text, start, end)], end]:
+        if stop > start:
+            yield start, stop
+        start = stop
+
+
+def placed_units(text: str, unit: str) -> Iterator[tuple[int, int, bool, int, int, bytes, int]]:
+    """(number of its first small unit, how many it holds, whole, start, end, normalised bytes, words) of each unit.
+
+    Small units are sentences, or those of a single `unit`; lines and paragraphs are whole.
+    A paragraph of one line is that line, so lines and paragraphs are copies of each other.
+    """
+    if unit != ALL:
+        for no, (start, end, norm, n) in enumerate(units(text, unit)):
+            yield no, 1, False, start, end, norm, n
+        return
+    no = 0
+    for start, end in _pieces(text, 0, len(text), "paragraph"):
+        first, lines, n_words = no, [], 0
+        for line_start, line_end in _pieces(text, start, end, "line"):
+            line_first, norms, n_line = no, [], 0
+            for a, b in _pieces(text, line_start, line_end, "sentence"):
+                words = text[a:b].lower().encode("utf-8", "replace").split()
+                if words:
+                    norms.append(b" ".join(words))
+                    yield no, 1, False, a, b, norms[-1], len(words)
+                    no, n_line = no + 1, n_line + len(words)
+            if norms:
+                lines.append(b" ".join(norms))
+                yield line_first, no - line_first, True, line_start, line_end, lines[-1], n_line
+                n_words += n_line
+        if len(lines) > 1:
+            yield first, no - first, True, start, end, b" ".join(lines), n_words
+
+
 def _split(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     low = np.array([h & 0xFFFFFFFFFFFFFFFF for h in hashes], np.uint64).view(np.int64)
     return low, np.array([h >> 64 for h in hashes], np.uint64).view(np.int64)
@@ -72,8 +110,8 @@ def repeated_hashes(rows: DataFrame, unit: str) -> DataFrame:
             ranks, again, hashes = [], [], []
             for rank, text in zip(batch.column(1).to_pylist(), batch.column(2)):
                 seen: dict[int, bool] = {}
-                for _, _, norm, _ in units(text.as_py() or "", unit):
-                    h = xxh3_64_intdigest(norm)
+                for _, _, whole, _, _, norm, _ in placed_units(text.as_py() or "", unit):
+                    h = xxh3_64_intdigest(norm, seed=whole)
                     seen[h] = h in seen
                 hashes += seen
                 again += seen.values()
@@ -101,7 +139,7 @@ def hash_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 
 
 def repeated_units(rows: DataFrame, unit: str, bitmap: np.ndarray) -> DataFrame:
-    """Every occurrence of a unit that is in the bitmap: _row, rank, unit_no, start, end, n_words, h1, h2."""
+    """Every occurrence of a unit that is in the bitmap: _row, rank, unit_no, n_units, whole, start, end, n_words, h1, h2."""
     from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
     held, bits = rows.sparkSession.sparkContext.broadcast(bitmap), bitmap.size * 8
@@ -111,28 +149,29 @@ def repeated_units(rows: DataFrame, unit: str, bitmap: np.ndarray) -> DataFrame:
         for batch in sliced(batches, ROWS):
             first, where, norms = [], [], []
             for i, text in enumerate(batch.column(2)):
-                for no, (start, end, norm, words) in enumerate(units(text.as_py() or "", unit)):
-                    first.append(xxh3_64_intdigest(norm))
-                    where.append((i, no, start, end, words))
+                for no, n, whole, start, end, norm, words in placed_units(text.as_py() or "", unit):
+                    first.append(xxh3_64_intdigest(norm, seed=whole))
+                    where.append((i, no, n, whole, start, end, words))
                     norms.append(norm)
             h1 = np.array(first, np.uint64).view(np.int64)
             slot = h1 % bits
             kept = np.flatnonzero((marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            low, high = _split([xxh3_128_intdigest(norms[i]) for i in kept.tolist()])
-            place = np.array(where, np.int64).reshape(-1, 5)[kept]
+            low, high = _split([xxh3_128_intdigest(norms[i], seed=where[i][3]) for i in kept.tolist()])
+            place = np.array(where, np.int64).reshape(-1, 7)[kept]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(place[:, 0])), batch.column(1).take(pa.array(place[:, 0])),
-                 *[pa.array(place[:, k]) for k in range(1, 5)], pa.array(low), pa.array(high)],
-                ["_row", "rank", "unit_no", "start", "end", "n_words", "h1", "h2"],
+                 *[pa.array(place[:, k]) for k in range(1, 7)], pa.array(low), pa.array(high)],
+                ["_row", "rank", "unit_no", "n_units", "whole", "start", "end", "n_words", "h1", "h2"],
             )
 
     return rows.mapInArrow(
-        occurrences, "_row long, rank long, unit_no long, start long, end long, n_words long, h1 long, h2 long"
+        occurrences,
+        "_row long, rank long, unit_no long, n_units long, whole long, start long, end long, n_words long, h1 long, h2 long",
     )
 
 
 def find_repeats(
-    docs: DataFrame, unit: str = UNIT, min_run_words: int = MIN_RUN_WORDS, filter_bits: int = FILTER_BITS
+    docs: DataFrame, unit: str = ALL, min_run_words: int = MIN_RUN_WORDS, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
     """_row, spans (array of start, end, n_units; sorted) of the rows of docs that have units to remove."""
     rows = numbered(docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("rank"), "text")).select("_row", "rank", "text")
@@ -143,12 +182,25 @@ def find_repeats(
     # Written first, so that the join shuffles both sides and a hot hash can be split.
     first = stored(first.select("h1", "h2", "first"), "first-places")
     later = found.join(first, ["h1", "h2"]).where(place > F.col("first"))
-    island = F.col("unit_no") - F.row_number().over(Window.partitionBy("_row").orderBy("unit_no"))
+    # Small units in runs; each whole unit for itself, with whatever else begins where it does.
+    island = F.col("unit_no") - F.row_number().over(Window.partitionBy("_row", "whole").orderBy("unit_no"))
+    parts = (
+        later.select("_row", "whole", "unit_no", "n_units", "start", "end", "n_words", F.when(F.col("whole") == 1, F.col("unit_no")).otherwise(island).alias("island"))
+        .groupBy("_row", "whole", "island")
+        .agg(
+            F.min("unit_no").alias("unit_no"), F.max(F.col("unit_no") + F.col("n_units")).alias("to"),
+            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("words"),
+        )
+        .where((F.col("whole") == 1) | (F.col("words") >= min_run_words))
+    )
+    # Parts that overlap or touch are one span.
+    order = Window.partitionBy("_row").orderBy("unit_no")
+    before = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = parts.withColumn("begins", F.when(F.col("unit_no") <= before, 0).otherwise(1))
     runs = (
-        later.select("_row", "unit_no", "start", "end", "n_words", island.alias("island"))
-        .groupBy("_row", "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("words"), F.count(F.lit(1)).alias("n_units"))
-        .where(F.col("words") >= min_run_words)
+        begins.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("_row", "run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to") - F.min("unit_no")).alias("n_units"))
     )
     spans = runs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "n_units"))).alias("spans"))
     return stored(spans, "repeat-spans")

@@ -207,6 +207,22 @@ def test_substring_dedup(spark, tmp_path):
     assert cut[1] == docs[0][1] and cut[3] == docs[2][1] and "lazy dog" not in cut[2]
 
 
+def test_substring_dedup_whole_units(spark, tmp_path):
+    """Later copies of whole lines and paragraphs go whatever their length; short sentences inside lines stay."""
+    docs = [
+        (1, "Short line.\nAnother one here."), (2, "  short LINE.\nOwn words."), (3, "Own text. Short line. And more."),
+        (4, "First half\nsecond half.\n\nTail."), (5, "Head.\n\nFirst half second\nhalf.\n\nEnd of five."), (6, "Twice\nTwice\n \nTWICE\n"),
+        (7, f"Front of seven. {PASSAGE}"), (8, f"Front of eight. {PASSAGE} Back of eight."), (9, "Another one here."),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/d")
+    table = spark.read.parquet(f"{tmp_path}/d")
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(table).collect()}
+    same = {i: t for i, t in docs if i in (1, 3, 4, 7)}
+    assert cut == {**same, 2: "Own words.", 5: "Head.\n\nEnd of five.", 6: "Twice\n", 8: "Front of eight. Back of eight.", 9: ""}
+    found = {r["_row"]: r["spans"] for r in substring_dedup.find_repeats(table).collect()}
+    assert sorted(s["n_units"] for spans in found.values() for s in spans) == [1, 1, 2, 2, 4]
+
+
 def test_units_cover_the_text():
     text = "One. Two!  Three\n\nFour? five"
     parts = [text[a:b] for a, b, _, _ in substring_dedup.units(text)]
