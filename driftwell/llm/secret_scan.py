@@ -43,7 +43,7 @@ _KNOWN = re.compile(
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUIDs
     r"|[0-9/_=+-]+"  # numbers, dates
     r"|[A-Za-z]+[0-9]{1,4}"  # names with a number
-    r"|[A-Za-z]*(?:[_/=-]+[A-Za-z]*[0-9]{0,4})+)"  # words joined by marks
+    r"|[A-Za-z]*(?:[_/=-]++[A-Za-z]*[0-9]{0,4})+)"  # words joined by marks; a run of marks is never split
 )
 
 
