@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import scan, slice_text, word_array
-from .workspace import numbered, sized, stored, without_rows
+from .workspace import NUMBER, sized, stored, without_rows, written
 
 NGRAM = 10
 
@@ -70,16 +70,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, share: float = 0.0) -> DataFrame:
     """docs without the rows of whose words more than `share` are hit."""
+    written(docs)
     bad = find_contamination(docs, benchmark, n).where((F.col("n_hit") > 0) & (F.col("n_hit") > share * F.col("n_words")))
     return without_rows(docs, stored(bad.select("_row"), "contaminated"))
 
 
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """docs with the hit words, and the separators in front of them, cut out of `text`."""
+    written(docs)
     bad = stored(
-        find_contamination(docs, benchmark, n).where("n_hit > 0").select("_row", F.col("spans").alias("_spans")), "hits"
+        find_contamination(docs, benchmark, n).where("n_hit > 0").select(F.col("_row").alias(NUMBER), F.col("spans").alias("_spans")), "hits"
     )
-    rows = numbered(docs).join(sized(bad), "_row", "left")
+    rows = written(docs).join(sized(bad), NUMBER, "left")
     marks = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
     gaps, words = F.split("text", marks), F.regexp_extract_all("text", F.lit(f"({marks})"))
     inside = lambda i: F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"]))

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import fresh_path, numbered, sized, stored, without_rows
+from .workspace import fresh_path, numbered, sized, stored, without_rows, written
 
 #: Bits of the filter of repeated digests: 2 MB in all, broadcast as 512 rows at most.
 FILTER_BITS = 1 << 24
@@ -75,7 +75,7 @@ class DigestLog:
 
     def _texts(self, docs: DataFrame) -> DataFrame:
         norm = normalised(F.col(self.text_col))
-        return numbered(docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col)), "row").select(
+        return numbered(docs, F.col(self.id_col).alias("id"), F.col(self.text_col), name="row").select(
             "id", "row", F.coalesce(F.char_length(self.text_col), F.lit(0)).alias("n_chars"), norm.alias("norm")
         ).withColumn("digest", self.digest(F.col("norm")))
 
@@ -137,6 +137,7 @@ def find_copies(docs: DataFrame, **options) -> DataFrame:
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that are copies of a kept one."""
+    written(docs)
     found = stored(find_copies(docs, **options).where(~F.col("kept")).select(F.col("row").alias("_row")), "dropped")
     return without_rows(docs, found)
 

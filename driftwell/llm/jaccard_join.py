@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .workspace import numbered, sized, sliced, stored, without_rows
+from .workspace import numbered, sized, sliced, stored, without_rows, written
 
 SHINGLE, SHARE = 5, 75
 #: Share of the hash space that step 2 counts, in 1/1024; sets up to FULL_SIZE are counted whole.
@@ -383,7 +383,8 @@ def link_components(sets: DataFrame) -> DataFrame:
 
 def find_near(docs: DataFrame) -> DataFrame:
     """_row, id, n_shingles, component_id, component (of sets; null for the empty set) for each row of docs."""
-    rows = numbered(docs.select(F.col("doc_id").alias("id"), "text")).select("_row", "id", "text")
+    written(docs)
+    rows = numbered(docs, F.col("doc_id").alias("id"), "text")
     member = stored(members(rows), "members")
     linked = stored(link_components(candidate_sets(rows, member)), "linked")
     own = member.where("digest is not null")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import numbered, sized, stored, without_rows
+from .workspace import numbered, sized, stored, without_rows, written
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -198,7 +198,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return numbered(docs.select("doc_id", "lang", "text")).select("_row", "doc_id", "lang", "text").mapInArrow(
+    return numbered(docs, "doc_id", "lang", "text").mapInArrow(
         score, f"_row long, doc_id {kind}, lang string, n_symbols long, nats double"
     )
 
@@ -244,6 +244,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the rows that the classifier rejects."""
+    written(docs)
     bad = classify(docs, labels, **options).where(~F.col("kept"))
     return without_rows(docs, stored(bad.select("_row"), "rejected"))
 

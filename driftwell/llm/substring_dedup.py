@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import numbered, sized, sliced, stored
+from .workspace import NUMBER, numbered, sized, sliced, stored, written
 
 #: What ends a unit; a unit holds its end.
 ENDS = {
@@ -174,7 +174,8 @@ def find_repeats(
     docs: DataFrame, unit: str = ALL, min_run_words: int = MIN_RUN_WORDS, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
     """_row, spans (array of start, end, n_units; sorted) of the rows of docs that have units to remove."""
-    rows = numbered(docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("rank"), "text")).select("_row", "rank", "text")
+    written(docs)
+    rows = numbered(docs, F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("rank"), "text")
     bitmap = hash_filter(stored(repeated_hashes(rows, unit), "repeated-hashes"), filter_bits)
     found = stored(repeated_units(rows, unit, bitmap), "repeated-units")
     place = F.struct("rank", "unit_no")
@@ -207,8 +208,11 @@ def find_repeats(
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with `_spans` (null where nothing goes) and `_kept`, the text without them."""
-    rows = numbered(docs).join(sized(spans.select("_row", F.col("spans").alias("_spans")), SPAN_ROWS), "_row", "left")
+    """docs with `_spans` (null where nothing goes) and `_kept`, the text without them.
+
+    docs is the DataFrame object that `find_repeats` was given, so that the numbers fit.
+    """
+    rows = written(docs).join(sized(spans.select(F.col("_row").alias(NUMBER), F.col("spans").alias("_spans")), SPAN_ROWS), NUMBER, "left")
     n = F.size("_spans")
     between = F.transform(
         F.sequence(F.lit(0), n),

@@ -45,7 +45,7 @@ def scan(docs: DataFrame, anchors: DataFrame, id_col: str = "doc_id", text_col:
     marker = anchors.sparkSession.range(1).select(F.lit("").alias("anchor")).join(anchors.limit(0), "anchor", "left")
     table = anchors.unionByName(marker.select(*anchors.columns))
     table = F.broadcast(table) if is_small(anchors, ANCHOR_ROWS) else table
-    rows = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")))
+    rows = numbered(docs, F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     rows = rows.select("_row", "id", word_array(F.col("_text")).alias("words"))
     rows = rows.select(
         "_row", "id", "words", F.size("words").cast("long").alias("n_words"),

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which one side of a join by id is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 4_000_000
 
+#: The column that holds the numbers of a written table.
+NUMBER = "_driftwell_row_number"
+
 _LOCAL: dict[str, str] = {}
+#: The written table of each DataFrame object that was numbered.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, DataFrame] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,15 +60,27 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """Rows with a number of their own, so that null or repeated ids stay apart.
+def written(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row (NUMBER), written once: the same DataFrame object gives the same table.
+
+    How files are cut into partitions depends on the cores there are when a job is planned,
+    so numbers that two jobs must agree on are read from this table and never made twice.
+    """
+    if docs not in _WRITTEN:
+        _WRITTEN[docs] = stored(docs.withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
+    return _WRITTEN[docs]
+
+
+def numbered(docs: DataFrame, *columns: Column | str, name: str = "_row") -> DataFrame:
+    """Columns of docs behind a number of each row, so that null or repeated ids stay apart.
 
-    The number follows from the table's partitions, so `docs` must be a table that reads
-    the same way twice (files), as every query and pipeline stage here has it.
+    Of a DataFrame that was `written` the numbers are the written ones; of any other they
+    are good for one job.
     """
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    rows = _WRITTEN[docs] if docs in _WRITTEN else docs.withColumn(NUMBER, F.monotonically_increasing_id())
+    return rows.select(F.col(NUMBER).alias(name), *columns)
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame, name: str = "_row") -> DataFrame:
-    """The rows of docs whose number is not in `dropped`."""
-    return numbered(docs, name).join(sized(dropped.select(name)), name, "left_anti").select(*docs.columns)
+    """The rows of docs, which was `written` before its rows got into `dropped`, whose number is not there."""
+    return _WRITTEN[docs].join(sized(dropped.select(F.col(name).alias(NUMBER))), NUMBER, "left_anti").select(*docs.columns)

@@ -223,6 +223,34 @@ def test_substring_dedup_whole_units(spark, tmp_path):
     assert sorted(s["n_units"] for spans in found.values() for s in spans) == [1, 1, 2, 2, 4]
 
 
+def test_numbers_outlive_the_partitions(spark, tmp_path):
+    """A table that is cut into partitions otherwise in each later job (as when executors join) keeps its numbers."""
+    docs = [(i, f"text {i % 20} of its kind with some more words\nown {i}", "mine") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, _row string").repartition(8).write.parquet(f"{tmp_path}/d")
+    table = spark.read.parquet(f"{tmp_path}/d")
+
+    def cut(partitions):
+        spark.conf.set("spark.sql.files.openCostInBytes", "4194304" if partitions > 1 else "0")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4194304" if partitions > 1 else "134217728")
+        spark.conf.set("spark.sql.files.minPartitionNum", str(partitions))
+
+    try:
+        cut(1)
+        spans = substring_dedup.find_repeats(table).cache()
+        near_ones = jaccard_join.find_near(table).cache()
+        assert spans.count() == 20 and near_ones.count() == 40
+        cut(8)
+        assert table.rdd.getNumPartitions() > 1
+        got = {r["doc_id"]: r["_kept"] for r in substring_dedup.with_spans(table, spans).collect()}
+        assert got == {i: t if i < 20 else f"own {i}" for i, t, _ in docs}
+        twentieth = near_ones.where("id >= 20").select("_row")
+        left = jaccard_join.without_rows(table, twentieth).collect()
+        assert {r["doc_id"] for r in left} == set(range(20)) and {r["_row"] for r in left} == {"mine"}
+    finally:
+        for name in ("openCostInBytes", "maxPartitionBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+
+
 def test_units_cover_the_text():
     text = "One. Two!  Three\n\nFour? five"
     parts = [text[a:b] for a, b, _, _ in substring_dedup.units(text)]
