@@ -1,12 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts symbols (characters, with upper case and digits folded, and one symbol
-for a word that repeats the word before it) from the three symbols before. Its counts are
-of all trusted documents: tasks count n-grams, the counts are sharded by n-gram, and each
-order is joined with its contexts' totals and with the order below. The vocabulary is
-closed at 64 symbols, so a model has at most 64^4 entries whatever it is trained on; that
-bound makes it safe to broadcast. One pass gives each document's perplexity, and a document
-is rejected above a quantile of its own language's trusted perplexities (out of fold).
+The model predicts symbols (all characters, with upper case and digits folded, and one
+symbol for a word that repeats the word before it) from the three symbols before. The
+vocabulary is open: every character of trusted text is a symbol of its own, and the model
+grows with the text. Its counts are of all trusted documents: tasks count n-grams, the
+counts are sharded by n-gram, and each order is joined with its contexts' totals and with
+the order below. The model stays in tables in the shared folder. Documents are scored in
+blocks: a block's distinct n-grams are joined with the tables, and their probabilities go
+back to the block, so no table reaches the driver or a task as a whole. A document is
+rejected above a quantile of its own language's trusted perplexities (out of fold).
+
+`train` and `Model` are the same model over a closed alphabet, small enough to be held
+dense; no query uses them, and tests hold them against the definition.
 
 Trusted documents are those whose labels all say quality 1.
 
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import numbered, sized, stored, without_rows, written
+from .workspace import numbered, sized, sliced, stored, without_rows, written
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -36,6 +41,10 @@ _PAD_CHAR, _REPEAT = "\uffff", "\x01"
 QUANTILE, SLACK = 0.995, 0.1
 #: Texts are shrunk towards the threshold's middle by so many symbols, since few symbols say little.
 PRIOR_SYMBOLS = 24
+#: Bits of a character in the open model's contexts, documents of a block, and characters from which it ends.
+WIDE, BLOCK_ROWS, BLOCK_CHARS = 21, 2048, 8_000_000
+#: Rows of a block whose n-grams a task makes at once.
+ROWS = 128
 #: Log-perplexities are counted in steps of this size, so that quantiles are exact and alike at any size.
 STEP = 0.001
 
@@ -172,6 +181,176 @@ def train(texts: DataFrame) -> Model:
     return Model(table, seen, left)
 
 
+@lru_cache(maxsize=1)
+def wide_folds() -> np.ndarray:
+    """For each character the one it counts as."""
+    table = np.arange(0x110000, dtype=np.int64)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isupper():
+            table[c] = ord("A")
+        elif x.isdigit():
+            table[c] = ord("0")
+    return table
+
+
+def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts as contexts and symbols, which of them ends at each symbol, and the texts' lengths."""
+    parts = [symbols_of(t) for t in texts]
+    pads = _PAD_CHAR * (ORDER - 1)
+    chars = wide_folds()[np.frombuffer(pads.join(["", *parts]).encode("utf-32-le", "replace"), np.uint32)]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    ends = np.flatnonzero(chars != 0xFFFF)
+    present = np.zeros(0x110000, bool)
+    present[chars] = True
+    alphabet = np.flatnonzero(present)
+    if len(alphabet) > 1 << 16:
+        context = sum(chars[ends - k] << (WIDE * (k - 1)) for k in range(1, ORDER))
+        grams, inverse = np.unique(np.stack([context, chars[ends]], axis=1), axis=0, return_inverse=True)
+        return grams[:, 0], grams[:, 1], inverse.reshape(-1), lengths
+    number = np.empty(0x110000, np.uint64)
+    number[alphabet] = np.arange(len(alphabet))
+    ids = number[chars]
+    codes = np.zeros(len(ends), np.uint64)
+    for k in range(ORDER):
+        codes |= ids[ends - k] << np.uint64(16 * k)
+    codes, inverse = np.unique(codes, return_inverse=True)
+    letters = [alphabet[((codes >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)] for k in range(ORDER)]
+    context = sum((letters[k] << (WIDE * (k - 1)) for k in range(1, ORDER)), np.zeros(len(codes), np.int64))
+    return context, letters[0], inverse, lengths
+
+
+def _suffix(order: int):  # noqa: ANN202
+    """The context of an n-gram of this order, from a longer one."""
+    return F.col("context").bitwiseAND(F.lit((1 << (WIDE * (order - 1))) - 1).cast("long"))
+
+
+def train_tables(texts: DataFrame) -> tuple[float, list[DataFrame], list[DataFrame]]:
+    """An open model of all of `texts` (one string column): the probability of a symbol that is not known
+    otherwise, and for each order tables of context, symbol, p and of context, left."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, ROWS):
+            context, symbol, inverse, _ = distinct_grams([t or "" for t in batch.column(0).to_pylist()])
+            n = np.bincount(inverse, minlength=len(context)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(symbol), pa.array(n)], ["context", "symbol", "c"])
+
+    counted = texts.mapInArrow(count, "context long, symbol long, c long").groupBy("context", "symbol").agg(F.sum("c").alias("c"))
+    orders = [stored(counted, "grams")]
+    for order in range(ORDER - 1, 0, -1):
+        # Below the top, a count is of the distinct symbols in front; n-grams at a text's start keep their own.
+        starts = F.lit(False) if order == 1 else F.shiftright("context", WIDE * (order - 2)).bitwiseAND((1 << WIDE) - 1) == 0xFFFF
+        below = orders[0].groupBy(_suffix(order).alias("context"), "symbol").agg(
+            F.when(F.max(starts), F.sum("c")).otherwise(F.count(F.lit(1))).alias("c")
+        )
+        orders.insert(0, stored(below, f"grams-{order}"))
+    base = 1.0 / (orders[0].count() + 1)  # all symbols, and one for those that were never seen
+    seen, left = [], []
+    for order, counts in enumerate(orders, 1):
+        d1, d2, d3 = _discounts(counts)
+        totals = counts.groupBy("context").agg(
+            F.sum("c").alias("total"),
+            *[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2)],
+            F.count(F.when(F.col("c") > 2, 1)).alias("n3"),
+        ).select("context", "total", ((F.col("n1") * d1 + F.col("n2") * d2 + F.col("n3") * d3) / F.col("total")).alias("left"))
+        totals = stored(totals, f"contexts-{order}")
+        own = (F.col("c") - F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)) / F.col("total")
+        joined = counts.join(totals, "context").withColumn("own", own)
+        if order == 1:
+            lower = joined.withColumn("lower", F.lit(base))
+        else:
+            below = seen[-1].select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("lower"))
+            lower = joined.withColumn("suffix", _suffix(order - 1)).join(below, ["suffix", "symbol"])
+        seen.append(stored(lower.select("context", "symbol", (F.col("own") + F.col("left") * F.col("lower")).alias("p")), f"probabilities-{order}"))
+        left.append(totals.select("context", "left"))
+    return base, seen, left
+
+
+def log_probabilities(grams: DataFrame, model: tuple[float, list[DataFrame], list[DataFrame]]) -> DataFrame:
+    """context, symbol, log_p of distinct n-grams (context, symbol)."""
+    base, seen, left = model
+    rows = grams.select("context", "symbol", F.lit(base).alias("p"))
+    for order in range(1, ORDER + 1):
+        own = seen[order - 1].select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("own"))
+        rest = left[order - 1].withColumnRenamed("context", "suffix")
+        rows = rows.withColumn("suffix", _suffix(order)).join(own, ["suffix", "symbol"], "left").join(rest, "suffix", "left")
+        rows = rows.select("context", "symbol", F.coalesce("own", F.coalesce("left", F.lit(1.0)) * F.col("p")).alias("p"))
+    return rows.select("context", "symbol", F.log("p").alias("log_p"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """block (its first row's number), rows (packed): rows in blocks of bounded size."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, BLOCK_ROWS):
+            size = np.cumsum([len(t.as_py() or "") for t in batch.column(3)]) // BLOCK_CHARS
+            edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                part, sink = batch.slice(a, b - a), pa.BufferOutputStream()
+                if part.num_rows:
+                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+    return stored(rows.mapInArrow(pack, "block long, rows binary"), "blocks", {"compression": "none"})
+
+
+def _unpacked(rows: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(rows) as stream:
+        return stream.read_next_batch()
+
+
+def open_perplexities(docs: DataFrame, model: tuple[float, list[DataFrame], list[DataFrame]]) -> DataFrame:
+    """_row, doc_id, lang, n_symbols, nats (mean negative log-probability; null without words)."""
+    blocks = _blocks(numbered(docs, "doc_id", "lang", "text"))
+
+    def texts(rows: bytes) -> tuple[pa.RecordBatch, list[str]]:
+        batch = _unpacked(rows)
+        return batch, [t or "" for t in batch.column(3).to_pylist()]
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch.column(0), batch.column(1)):
+                ts = texts(rows.as_py())[1]
+                parts = [distinct_grams(ts[i : i + ROWS])[:2] for i in range(0, len(ts), ROWS)]
+                context, symbol = (np.concatenate(x) for x in zip(*parts))
+                contexts, at = np.unique(context, return_inverse=True)
+                keys = np.unique((at << WIDE) | symbol)
+                context, symbol = contexts[keys >> WIDE], keys & ((1 << WIDE) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(context), block.as_py(), np.int64)), pa.array(context), pa.array(symbol)], ["block", "context", "symbol"]
+                )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batches_of_one in sliced(batches, 1):
+            rows, context, symbol, log_p = (c[0] for c in batches_of_one.columns)
+            batch, ts = texts(rows.as_py())
+            context, symbol, log_p = (np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64) for x in (context, symbol, log_p))
+            contexts, at = np.unique(context, return_inverse=True)
+            keys = (at << WIDE) | symbol
+            order = np.argsort(keys)
+            keys, log_p = keys[order], log_p[order]
+            sums, lengths = [], np.zeros(len(ts), np.int64)
+            for i in range(0, len(ts), ROWS):
+                own_context, own_symbol, inverse, n = distinct_grams(ts[i : i + ROWS])
+                of_grams = log_p[np.searchsorted(keys, (np.searchsorted(contexts, own_context) << WIDE) | own_symbol)]
+                total, ends = np.concatenate([[0.0], np.cumsum(of_grams[inverse])]), np.cumsum(n)
+                sums.append(total[ends] - total[ends - n])
+                lengths[i : i + ROWS] = n
+            nats = -np.concatenate(sums) / np.maximum(lengths, 1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(lengths), pa.array(nats, pa.float64(), mask=lengths == 0)],
+                ["_row", "doc_id", "lang", "n_symbols", "nats"],
+            )
+
+    found = stored(blocks.mapInArrow(grams, "block long, context long, symbol long"), "block-grams")
+    known = stored(log_probabilities(found.select("context", "symbol").distinct(), model), "log-probabilities")
+    by_block = found.join(known, ["context", "symbol"]).groupBy("block").agg(F.collect_list(F.struct("context", "symbol", "log_p")).alias("g"))
+    both = blocks.join(by_block, "block", "left").select("rows", "g.context", "g.symbol", "g.log_p")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return both.mapInArrow(score, f"_row long, doc_id {kind}, lang string, n_symbols long, nats double")
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
@@ -215,7 +394,7 @@ def out_of_fold(trusted: DataFrame) -> DataFrame:
     """Perplexities of trusted documents, each half by a model of the other: what a model says of its own
     training text is too low to set a threshold by."""
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    parts = [perplexities(trusted.where(half == k), train(trusted.where(half != k).select("text"))) for k in (0, 1)]
+    parts = [open_perplexities(trusted.where(half == k), train_tables(trusted.where(half != k).select("text"))) for k in (0, 1)]
     return stored(parts[0].unionByName(parts[1]), "out-of-fold")
 
 
@@ -223,7 +402,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     """_row, doc_id, lang, n_symbols, nats, threshold, kept for each row of docs."""
     ids = sized(stored(trusted_ids(labels), "trusted"))
     trusted = docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
-    scores = stored(perplexities(docs, train(trusted.select("text"))), "perplexities")
+    scores = stored(open_perplexities(docs, train_tables(trusted.select("text"))), "perplexities")
     known = out_of_fold(trusted).where("nats is not null")
     by_lang = [
         quantiles(known, ["lang"], q).withColumnRenamed("at", name) for q, name in ((0.5, "middle"), (quantile, "high"))

@@ -86,6 +86,32 @@ def test_quality_edges(spark, tmp_path):
     assert quality.classify(table.limit(0), labels).count() == 0
 
 
+def test_open_vocabulary(spark, tmp_path):
+    """A minority script keeps its letters: its clean text scores better than junk of the same letters."""
+    import random
+
+    rng = random.Random(2)
+    common = [f"{chr(97 + i % 26)}{chr(97 + i // 2 % 26)}{chr(0xE0 + i % 24)}{chr(0x3B1 + i % 24)} plain words" for i in range(120)]
+    clean = "\u043c\u044b \u0448\u043b\u0438 \u0434\u043e\u043c\u043e\u0439 \U00020000\U00020001"
+    junk = "".join(rng.sample(clean.replace(" ", ""), 8)) + " " + "".join(rng.sample(clean.replace(" ", ""), 4))
+    texts = common * 5 + [clean] * 4
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, junk, clean, "", None])], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/d")
+    table = spark.read.parquet(f"{tmp_path}/d")
+    model = quality.train_tables(table.where(f"doc_id < {len(texts)}").select("text"))
+    nats = {r["doc_id"]: r["nats"] for r in quality.open_perplexities(table, model).collect()}
+    n = len(texts)
+    assert nats[n] > nats[n + 1] + 1 and nats[n + 2] is None and nats[n + 3] is None and len(nats) == n + 4
+    assert model[1][0].count() > quality.SYMBOLS
+    # By the definition, from the closed model where its alphabet holds everything.
+    few = table.where("doc_id in (600, 601, 602)").select("text")
+    dense, closed = quality.train(few), {}
+    for r in quality.perplexities(table.where("doc_id = 600"), dense).collect():
+        closed[r["doc_id"]] = r["nats"]
+    wide = quality.train_tables(few)
+    opened = quality.open_perplexities(table.where("doc_id = 600"), (1 / (quality.SYMBOLS - 1), *wide[1:])).first()["nats"]
+    assert math.isclose(closed[600], opened, abs_tol=0.15)
+
+
 def test_quantiles_are_exact(spark):
     rows = spark.range(1, 1001).selectExpr("'a' AS lang", "id / 1000.0D AS nats")
     assert math.isclose(quality.quantiles(rows, ["lang"], 0.9).first()["at"], 0.9, abs_tol=2 * quality.STEP)
