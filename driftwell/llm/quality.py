@@ -3,47 +3,52 @@
 The model predicts symbols (all characters, with upper case and digits folded, and one
 symbol for a word that repeats the word before it) from the three symbols before. The
 vocabulary is open: every character of trusted text is a symbol of its own, and the model
-grows with the text. Its counts are of all trusted documents: tasks count n-grams, the
-counts are sharded by n-gram, and each order is joined with its contexts' totals and with
-the order below. The model stays in tables in the shared folder. Documents are scored in
-blocks: a block's distinct n-grams are joined with the tables, and their probabilities go
-back to the block, so no table reaches the driver or a task as a whole. A document is
-rejected above a quantile of its own language's trusted perplexities (out of fold).
-
-`train` and `Model` are the same model over a closed alphabet, small enough to be held
-dense; no query uses them, and tests hold them against the definition.
+grows with the text.
+
+1. Texts fall into two folds by a hash of the text, so that equal texts share one. Trusted
+   text is counted once, by fold; each fold's documents are scored by the model of the other
+   fold, so no document, trusted or not, is scored by a model that has seen it.
+2. Counts are sharded by n-gram; each order is joined with its contexts' totals and with the
+   order below. The model stays in tables in the shared folder.
+3. Documents are packed in blocks of bounded size. A block's distinct n-grams are joined
+   with the tables, and the probabilities are grouped with the block again, so no table
+   reaches the driver or a task as a whole.
+4. A document's score is its perplexity, drawn towards its language's median while it has
+   few symbols. It is rejected if its score is above the threshold: a quantile of the
+   perplexities of trusted documents of its language, and a margin.
 
 Trusted documents are those whose labels all say quality 1.
 
 Defined results: a text without words (null, empty, white space) has no perplexity and is
 rejected; a language without trusted documents, null too, takes the threshold over all
-languages; without any trusted document nothing is rejected but wordless texts; repeated
-rows are scored apart; columns besides doc_id, text and lang may have any name.
+languages; without any trusted document nothing is rejected but wordless texts; documents
+of a fold whose other fold has no trusted text have perplexity 1; repeated rows are scored
+apart; columns besides doc_id, text and lang may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workspace import numbered, sized, sliced, stored, without_rows, written
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-PAD, UNKNOWN, REPEAT, FIRST = 0, 1, 2, 3
-_PAD_CHAR, _REPEAT = "\uffff", "\x01"
+ORDER, REPEAT = 4, "\x01"
+#: What stands in front of a text; the code point is no character, so no text holds it after `symbols_of`.
+PAD = 0xFFFF
 #: The quantile of trusted perplexities, and how far above it (in nats a symbol) a document may be.
 QUANTILE, SLACK = 0.995, 0.1
-#: Texts are shrunk towards the threshold's middle by so many symbols, since few symbols say little.
+#: Scores are drawn to the median by so many symbols, since few symbols say little.
 PRIOR_SYMBOLS = 24
-#: Bits of a character in the open model's contexts, documents of a block, and characters from which it ends.
+#: Bits of a character in a context, documents of a block, and characters from which it ends.
 WIDE, BLOCK_ROWS, BLOCK_CHARS = 21, 2048, 8_000_000
-#: Rows of a block whose n-grams a task makes at once.
+#: Rows whose n-grams a task makes at once.
 ROWS = 128
 #: Log-perplexities are counted in steps of this size, so that quantiles are exact and alike at any size.
 STEP = 0.001
@@ -51,138 +56,6 @@ STEP = 0.001
 
 @lru_cache(maxsize=1)
 def folds() -> np.ndarray:
-    """For each 16-bit character the one it counts as."""
-    table = np.arange(1 << 16, dtype=np.uint32)
-    for c in range(1 << 16):
-        x = chr(c)
-        table[c] = ord("A") if x.isupper() else ord("0") if x.isdigit() else c
-    return table
-
-
-def symbols_of(text: str) -> str:
-    words = text.replace(_PAD_CHAR, " ").split()
-    before = None
-    for i, w in enumerate(words):
-        if w == before:
-            words[i] = _REPEAT
-        before = w
-    return " ".join(words).replace(f" {_REPEAT}", _REPEAT)
-
-
-def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Folded characters of all texts, each text behind pads, and the texts' lengths."""
-    parts = [symbols_of(t) for t in texts]
-    pads = _PAD_CHAR * (ORDER - 1)
-    codes = np.frombuffer(pads.join(["", *parts]).encode("utf-32-le", "replace"), np.uint32)
-    low = folds()[np.minimum(codes, 0xFFFF)]
-    return np.where(codes > 0xFFFF, 0xFFFE, low), np.array([len(p) for p in parts], np.int64)
-
-
-def gram_codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each symbol, text after text, and the texts' lengths."""
-    chars, lengths = folded(texts)
-    ids = table[chars].astype(np.int32)
-    grams = ids.copy()
-    for k in range(1, ORDER):
-        grams[k:] |= ids[:-k] << (BITS * k)
-    return grams[chars != 0xFFFF], lengths
-
-
-def symbol_table(alphabet: list[int]) -> np.ndarray:
-    table = np.full(1 << 16, UNKNOWN, np.uint8)
-    table[np.array(alphabet, np.int64)] = np.arange(FIRST, FIRST + len(alphabet))
-    table[ord(_REPEAT)] = REPEAT
-    table[0xFFFF] = PAD
-    return table
-
-
-def _count(texts: DataFrame, codes) -> DataFrame:  # noqa: ANN001
-    """How often each code occurs; codes: a function of a list of texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, n = np.unique(codes([t or "" for t in batch.column(0).to_pylist()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), pa.array(n.astype(np.int64))], ["code", "c"])
-
-    return texts.mapInArrow(count, "code int, c long").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def _discounts(grams: DataFrame) -> list[float]:
-    n = [0.0] * 5
-    for c, k in grams.where("c <= 4").groupBy("c").count().collect():  # four rows at most
-        n[c] = float(k)
-    if min(n[1:4]) == 0:
-        return [0.5, 1.0, 1.5]
-    y = n[1] / (n[1] + 2 * n[2])
-    raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
-    return [min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)]
-
-
-class Model:
-    """Folded probabilities: of seen n-grams, and the weight that each context leaves to the order below."""
-
-    def __init__(self, table: np.ndarray, seen: list[tuple[np.ndarray, np.ndarray]], left: list[tuple[np.ndarray, np.ndarray]]):
-        self.table, self.seen, self.left = table, seen, left
-
-    def log_probability(self) -> np.ndarray:
-        """The natural logarithm of each possible n-gram's probability: 64 MB, for the time of a task."""
-        p = np.full(1, 1.0 / (SYMBOLS - 1), np.float32)
-        for order in range(1, ORDER + 1):
-            weight = np.ones(SYMBOLS ** (order - 1), np.float32)
-            context, left = self.left[order - 1]
-            weight[context] = left
-            if order == 1:
-                p = np.repeat(weight * p, SYMBOLS)
-            else:  # an n-gram's code is its first symbol, then what it shares with its suffix, then its last symbol
-                p = (weight.reshape(SYMBOLS, -1, 1) * p.reshape(1, -1, SYMBOLS)).reshape(-1)
-            gram, value = self.seen[order - 1]
-            p[gram] = value
-        return np.log(p, out=p)
-
-
-def train(texts: DataFrame) -> Model:
-    """A model of all of `texts` (one string column)."""
-    chars = _count(texts, lambda ts: (c := folded(ts)[0])[c != 0xFFFF])
-    chars = chars.where(F.col("code") != ord(_REPEAT))
-    alphabet = [r["code"] for r in chars.orderBy(F.desc("c"), "code").limit(SYMBOLS - FIRST).collect()]
-    table = symbol_table(alphabet)
-    grams = stored(_count(texts, lambda ts: gram_codes(ts, table)[0]), "grams")
-    orders = [grams]
-    for order in range(ORDER - 1, 0, -1):
-        # Below the top, a count is of the distinct symbols in front; n-grams at a text's start keep their own.
-        suffix = F.col("code").bitwiseAND((1 << (BITS * order)) - 1)
-        starts = F.shiftright("code", BITS * (order - 1)).bitwiseAND(SYMBOLS - 1) == PAD
-        below = orders[0].groupBy(suffix.alias("code")).agg(
-            F.when(F.max(starts), F.sum("c")).otherwise(F.count(F.lit(1))).alias("c")
-        )
-        orders.insert(0, stored(below, f"grams-{order}"))
-    seen, left, below = [], [], None
-    for order, counts in enumerate(orders, 1):
-        d1, d2, d3 = _discounts(counts)
-        context = F.shiftright("code", BITS).alias("context")
-        totals = counts.groupBy(context).agg(
-            F.sum("c").alias("total"),
-            *[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2)],
-            F.count(F.when(F.col("c") > 2, 1)).alias("n3"),
-        ).select("context", "total", ((F.col("n1") * d1 + F.col("n2") * d2 + F.col("n3") * d3) / F.col("total")).alias("left"))
-        own = (F.col("c") - F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)) / F.col("total")
-        joined = counts.select("code", "c", context).join(totals, "context")
-        if below is None:
-            p = joined.select("code", (own + F.col("left") / (SYMBOLS - 1)).alias("p"))
-        else:
-            suffix = F.col("code").bitwiseAND((1 << (BITS * (order - 1))) - 1)
-            lower = below.select(F.col("code").alias("suffix"), F.col("p").alias("lower"))
-            p = joined.withColumn("suffix", suffix).join(lower, "suffix").select("code", (own + F.col("left") * F.col("lower")).alias("p"))
-        below = stored(p, f"probabilities-{order}")
-        # At most 64^order rows.
-        for into, frame in ((seen, below), (left, totals.select("context", "left"))):
-            pdf = frame.toPandas()
-            into.append((pdf.iloc[:, 0].to_numpy(np.int64), pdf.iloc[:, 1].to_numpy(np.float32)))
-    return Model(table, seen, left)
-
-
-@lru_cache(maxsize=1)
-def wide_folds() -> np.ndarray:
     """For each character the one it counts as."""
     table = np.arange(0x110000, dtype=np.int64)
     for c in range(0x110000):
@@ -194,13 +67,23 @@ def wide_folds() -> np.ndarray:
     return table
 
 
+def symbols_of(text: str) -> str:
+    words = text.replace(chr(PAD), " ").split()
+    before = None
+    for i, w in enumerate(words):
+        if w == before:
+            words[i] = REPEAT
+        before = w
+    return " ".join(words).replace(f" {REPEAT}", REPEAT)
+
+
 def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct n-grams of texts as contexts and symbols, which of them ends at each symbol, and the texts' lengths."""
     parts = [symbols_of(t) for t in texts]
-    pads = _PAD_CHAR * (ORDER - 1)
-    chars = wide_folds()[np.frombuffer(pads.join(["", *parts]).encode("utf-32-le", "replace"), np.uint32)]
+    pads = chr(PAD) * (ORDER - 1)
+    chars = folds()[np.frombuffer(pads.join(["", *parts]).encode("utf-32-le", "replace"), np.uint32)]
     lengths = np.array([len(p) for p in parts], np.int64)
-    ends = np.flatnonzero(chars != 0xFFFF)
+    ends = np.flatnonzero(chars != PAD)
     present = np.zeros(0x110000, bool)
     present[chars] = True
     alphabet = np.flatnonzero(present)
@@ -220,168 +103,180 @@ def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return context, letters[0], inverse, lengths
 
 
-def _suffix(order: int):  # noqa: ANN202
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int")
+
+
+def _suffix(order: int) -> Column:
     """The context of an n-gram of this order, from a longer one."""
     return F.col("context").bitwiseAND(F.lit((1 << (WIDE * (order - 1))) - 1).cast("long"))
 
 
-def train_tables(texts: DataFrame) -> tuple[float, list[DataFrame], list[DataFrame]]:
-    """An open model of all of `texts` (one string column): the probability of a symbol that is not known
-    otherwise, and for each order tables of context, symbol, p and of context, left."""
+def _by_fold(values: dict[int, float], other: float) -> Column:
+    return F.when(F.col("fold") == 0, F.lit(values.get(0, other))).otherwise(F.lit(values.get(1, other)))
+
+
+def _discounts(grams: DataFrame) -> list[Column]:
+    """The three discounts of an order, by fold."""
+    n = {k: [0.0] * 5 for k in (0, 1)}
+    for fold, c, k in grams.where("c <= 4").groupBy("fold", "c").count().collect():  # eight rows at most
+        n[fold][c] = float(k)
+    found: list[dict[int, float]] = [{}, {}, {}]
+    for fold, (_, *m) in n.items():
+        if min(m[:3]) == 0:
+            values = [0.5, 1.0, 1.5]
+        else:
+            y = m[0] / (m[0] + 2 * m[1])
+            values = [min(max(k + 1 - (k + 2) * y * m[k + 1] / m[k], 0.05), k + 0.95) for k in range(3)]
+        for k, value in enumerate(values):
+            found[k][fold] = value
+    return [_by_fold(f, 1.0) for f in found]
+
+
+@dataclass
+class Model:
+    """Two models in tables: `fold` is the fold that a model scores, and that it has not seen."""
+
+    #: Probability of a symbol that nothing is known of.
+    base: Column
+    #: By order: fold, context, symbol, p.
+    seen: list[DataFrame]
+    #: By order: fold, context, left (the weight that a context leaves to the order below).
+    left: list[DataFrame]
+
+
+def train(texts: DataFrame) -> Model:
+    """The models of `texts`: fold (of the text), text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS):
-            context, symbol, inverse, _ = distinct_grams([t or "" for t in batch.column(0).to_pylist()])
-            n = np.bincount(inverse, minlength=len(context)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(symbol), pa.array(n)], ["context", "symbol", "c"])
+            fold, texts = np.array(batch.column(0).to_pylist(), np.int32), [t or "" for t in batch.column(1).to_pylist()]
+            for k in np.unique(fold).tolist():
+                context, symbol, inverse, _ = distinct_grams([texts[i] for i in np.flatnonzero(fold == k)])
+                n = np.bincount(inverse, minlength=len(context)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(context), 1 - k, np.int32)), pa.array(context), pa.array(symbol), pa.array(n)], ["fold", "context", "symbol", "c"]
+                )
 
-    counted = texts.mapInArrow(count, "context long, symbol long, c long").groupBy("context", "symbol").agg(F.sum("c").alias("c"))
-    orders = [stored(counted, "grams")]
+    counted = texts.select("fold", "text").mapInArrow(count, "fold int, context long, symbol long, c long")
+    orders = [stored(counted.groupBy("fold", "context", "symbol").agg(F.sum("c").alias("c")), "grams")]
     for order in range(ORDER - 1, 0, -1):
         # Below the top, a count is of the distinct symbols in front; n-grams at a text's start keep their own.
-        starts = F.lit(False) if order == 1 else F.shiftright("context", WIDE * (order - 2)).bitwiseAND((1 << WIDE) - 1) == 0xFFFF
-        below = orders[0].groupBy(_suffix(order).alias("context"), "symbol").agg(
+        starts = F.lit(False) if order == 1 else F.shiftright("context", WIDE * (order - 2)).bitwiseAND((1 << WIDE) - 1) == PAD
+        below = orders[0].groupBy("fold", _suffix(order).alias("context"), "symbol").agg(
             F.when(F.max(starts), F.sum("c")).otherwise(F.count(F.lit(1))).alias("c")
         )
         orders.insert(0, stored(below, f"grams-{order}"))
-    base = 1.0 / (orders[0].count() + 1)  # all symbols, and one for those that were never seen
+    # All symbols, and one for those that were never seen.
+    base = _by_fold({r["fold"]: 1.0 / (r["count"] + 1) for r in orders[0].groupBy("fold").count().collect()}, 1.0)  # two rows at most
     seen, left = [], []
     for order, counts in enumerate(orders, 1):
         d1, d2, d3 = _discounts(counts)
-        totals = counts.groupBy("context").agg(
+        totals = counts.groupBy("fold", "context").agg(
             F.sum("c").alias("total"),
             *[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2)],
             F.count(F.when(F.col("c") > 2, 1)).alias("n3"),
-        ).select("context", "total", ((F.col("n1") * d1 + F.col("n2") * d2 + F.col("n3") * d3) / F.col("total")).alias("left"))
+        ).select("fold", "context", "total", ((F.col("n1") * d1 + F.col("n2") * d2 + F.col("n3") * d3) / F.col("total")).alias("left"))
         totals = stored(totals, f"contexts-{order}")
         own = (F.col("c") - F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)) / F.col("total")
-        joined = counts.join(totals, "context").withColumn("own", own)
+        joined = counts.join(totals, ["fold", "context"]).withColumn("own", own)
         if order == 1:
-            lower = joined.withColumn("lower", F.lit(base))
+            lower = joined.withColumn("lower", base)
         else:
-            below = seen[-1].select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("lower"))
-            lower = joined.withColumn("suffix", _suffix(order - 1)).join(below, ["suffix", "symbol"])
-        seen.append(stored(lower.select("context", "symbol", (F.col("own") + F.col("left") * F.col("lower")).alias("p")), f"probabilities-{order}"))
-        left.append(totals.select("context", "left"))
-    return base, seen, left
+            below = seen[-1].select("fold", F.col("context").alias("suffix"), "symbol", F.col("p").alias("lower"))
+            lower = joined.withColumn("suffix", _suffix(order - 1)).join(below, ["fold", "suffix", "symbol"])
+        p = lower.select("fold", "context", "symbol", (F.col("own") + F.col("left") * F.col("lower")).alias("p"))
+        seen.append(stored(p, f"probabilities-{order}"))
+        left.append(totals.select("fold", "context", "left"))
+    return Model(base, seen, left)
 
 
-def log_probabilities(grams: DataFrame, model: tuple[float, list[DataFrame], list[DataFrame]]) -> DataFrame:
-    """context, symbol, log_p of distinct n-grams (context, symbol)."""
-    base, seen, left = model
-    rows = grams.select("context", "symbol", F.lit(base).alias("p"))
+def log_probabilities(grams: DataFrame, model: Model) -> DataFrame:
+    """fold, context, symbol, log_p of distinct n-grams (fold, context, symbol)."""
+    rows = grams.select("fold", "context", "symbol", model.base.alias("p"))
     for order in range(1, ORDER + 1):
-        own = seen[order - 1].select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("own"))
-        rest = left[order - 1].withColumnRenamed("context", "suffix")
-        rows = rows.withColumn("suffix", _suffix(order)).join(own, ["suffix", "symbol"], "left").join(rest, "suffix", "left")
-        rows = rows.select("context", "symbol", F.coalesce("own", F.coalesce("left", F.lit(1.0)) * F.col("p")).alias("p"))
-    return rows.select("context", "symbol", F.log("p").alias("log_p"))
+        own = model.seen[order - 1].select("fold", F.col("context").alias("suffix"), "symbol", F.col("p").alias("own"))
+        rest = model.left[order - 1].withColumnRenamed("context", "suffix")
+        rows = rows.withColumn("suffix", _suffix(order)).join(own, ["fold", "suffix", "symbol"], "left").join(rest, ["fold", "suffix"], "left")
+        rows = rows.select("fold", "context", "symbol", F.coalesce("own", F.coalesce("left", F.lit(1.0)) * F.col("p")).alias("p"))
+    return rows.select("fold", "context", "symbol", F.log("p").alias("log_p"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """block (its first row's number), rows (packed): rows in blocks of bounded size."""
+    """block (its first row's number), fold, rows (packed): rows of one fold in blocks of bounded size."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, BLOCK_ROWS):
-            size = np.cumsum([len(t.as_py() or "") for t in batch.column(3)]) // BLOCK_CHARS
-            edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:]):
-                part, sink = batch.slice(a, b - a), pa.BufferOutputStream()
-                if part.num_rows:
-                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                        out.write_batch(part)
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
-
-    return stored(rows.mapInArrow(pack, "block long, rows binary"), "blocks", {"compression": "none"})
-
-
-def _unpacked(rows: bytes) -> pa.RecordBatch:
+        for batch in sliced(batches, 2 * BLOCK_ROWS):
+            fold = np.array(batch.column(0).to_pylist(), np.int32)
+            for k in (0, 1):
+                own = batch.take(pa.array(np.flatnonzero(fold == k)))
+                size = np.cumsum([len(t.as_py() or "") for t in own.column(4)]) // BLOCK_CHARS
+                edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), own.num_rows]
+                for a, b in zip(edges, edges[1:]):
+                    part, sink = own.slice(a, b - a), pa.BufferOutputStream()
+                    if part.num_rows:
+                        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                            out.write_batch(part)
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column(1).slice(0, 1), pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "fold", "rows"]
+                        )
+
+    return stored(rows.mapInArrow(pack, "block long, fold int, rows binary"), "blocks", {"compression": "none"})
+
+
+def _unpacked(rows: bytes) -> tuple[pa.RecordBatch, list[str]]:
+    """A block's rows, and their texts."""
     with pa.ipc.open_stream(rows) as stream:
-        return stream.read_next_batch()
+        batch = stream.read_next_batch()
+    return batch, [t or "" for t in batch.column(4).to_pylist()]
 
 
-def open_perplexities(docs: DataFrame, model: tuple[float, list[DataFrame], list[DataFrame]]) -> DataFrame:
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """_row, doc_id, lang, n_symbols, nats (mean negative log-probability; null without words)."""
-    blocks = _blocks(numbered(docs, "doc_id", "lang", "text"))
-
-    def texts(rows: bytes) -> tuple[pa.RecordBatch, list[str]]:
-        batch = _unpacked(rows)
-        return batch, [t or "" for t in batch.column(3).to_pylist()]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"_row long, doc_id {kind}, lang string, n_symbols long, nats double"
+    blocks = _blocks(numbered(docs, "doc_id", "lang", "text").select(_fold().alias("fold"), "_row", "doc_id", F.col("lang").cast("string"), "text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, rows in zip(batch.column(0), batch.column(1)):
-                ts = texts(rows.as_py())[1]
-                parts = [distinct_grams(ts[i : i + ROWS])[:2] for i in range(0, len(ts), ROWS)]
+            for block, fold, rows in zip(*batch.columns):
+                texts = _unpacked(rows.as_py())[1]
+                parts = [distinct_grams(texts[i : i + ROWS])[:2] for i in range(0, len(texts), ROWS)]
                 context, symbol = (np.concatenate(x) for x in zip(*parts))
                 contexts, at = np.unique(context, return_inverse=True)
                 keys = np.unique((at << WIDE) | symbol)
                 context, symbol = contexts[keys >> WIDE], keys & ((1 << WIDE) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(context), block.as_py(), np.int64)), pa.array(context), pa.array(symbol)], ["block", "context", "symbol"]
+                    [pa.array(np.full(len(keys), block.as_py(), np.int64)), pa.array(np.full(len(keys), fold.as_py(), np.int32)), pa.array(context), pa.array(symbol)],
+                    ["block", "fold", "context", "symbol"],
                 )
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batches_of_one in sliced(batches, 1):
-            rows, context, symbol, log_p = (c[0] for c in batches_of_one.columns)
-            batch, ts = texts(rows.as_py())
-            context, symbol, log_p = (np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64) for x in (context, symbol, log_p))
-            contexts, at = np.unique(context, return_inverse=True)
-            keys = (at << WIDE) | symbol
-            order = np.argsort(keys)
-            keys, log_p = keys[order], log_p[order]
-            sums, lengths = [], np.zeros(len(ts), np.int64)
-            for i in range(0, len(ts), ROWS):
-                own_context, own_symbol, inverse, n = distinct_grams(ts[i : i + ROWS])
-                of_grams = log_p[np.searchsorted(keys, (np.searchsorted(contexts, own_context) << WIDE) | own_symbol)]
-                total, ends = np.concatenate([[0.0], np.cumsum(of_grams[inverse])]), np.cumsum(n)
-                sums.append(total[ends] - total[ends - n])
-                lengths[i : i + ROWS] = n
-            nats = -np.concatenate(sums) / np.maximum(lengths, 1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(lengths), pa.array(nats, pa.float64(), mask=lengths == 0)],
-                ["_row", "doc_id", "lang", "n_symbols", "nats"],
-            )
-
-    found = stored(blocks.mapInArrow(grams, "block long, context long, symbol long"), "block-grams")
-    known = stored(log_probabilities(found.select("context", "symbol").distinct(), model), "log-probabilities")
-    by_block = found.join(known, ["context", "symbol"]).groupBy("block").agg(F.collect_list(F.struct("context", "symbol", "log_p")).alias("g"))
-    both = blocks.join(by_block, "block", "left").select("rows", "g.context", "g.symbol", "g.log_p")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(score, f"_row long, doc_id {kind}, lang string, n_symbols long, nats double")
+    def score(block: pa.Table, known: pa.Table) -> pa.Table:
+        batch, texts = _unpacked(block.column("rows")[0].as_py())
+        context, symbol, log_p = (known.column(c).to_numpy() for c in ("context", "symbol", "log_p"))
+        contexts, at = np.unique(context, return_inverse=True)
+        keys = (at << WIDE) | symbol
+        order = np.argsort(keys)
+        keys, log_p = keys[order], log_p[order]
+        sums, lengths = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for i in range(0, len(texts), ROWS):
+            own_context, own_symbol, inverse, n = distinct_grams(texts[i : i + ROWS])
+            of_grams = log_p[np.searchsorted(keys, (np.searchsorted(contexts, own_context) << WIDE) | own_symbol)]
+            total, ends = np.concatenate([[0.0], np.cumsum(of_grams[inverse])]), np.cumsum(n)
+            sums[i : i + ROWS], lengths[i : i + ROWS] = total[ends] - total[ends - n], n
+        nats = pa.array(-sums / np.maximum(lengths, 1), pa.float64(), mask=lengths == 0)
+        return pa.Table.from_arrays([*batch.columns[1:4], pa.array(lengths), nats], ["_row", "doc_id", "lang", "n_symbols", "nats"])
+
+    found = stored(blocks.mapInArrow(grams, "block long, fold int, context long, symbol long"), "block-grams")
+    known = stored(log_probabilities(found.select("fold", "context", "symbol").distinct(), model), "log-probabilities")
+    told = found.join(known, ["fold", "context", "symbol"]).select("block", "context", "symbol", "log_p")
+    return blocks.select("block", "rows").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """_row, doc_id, lang, n_symbols, nats (mean negative log-probability; null without words)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = held.value.log_probability()
-        for batch in batches:
-            texts, sums = [t or "" for t in batch.column(3).to_pylist()], []
-            lengths = np.zeros(len(texts), np.int64)
-            for i in range(0, len(texts), 256):
-                grams, n = gram_codes(texts[i : i + 256], held.value.table)
-                lengths[i : i + 256] = n
-                total = np.concatenate([[0.0], np.cumsum(log_p[grams], dtype=np.float64)])
-                ends = np.cumsum(n)
-                sums.append(total[ends] - total[ends - n])
-            nats = -np.concatenate(sums or [np.zeros(0)]) / np.maximum(lengths, 1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(lengths), pa.array(nats, pa.float64(), mask=lengths == 0)],
-                ["_row", "doc_id", "lang", "n_symbols", "nats"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return numbered(docs, "doc_id", "lang", "text").mapInArrow(
-        score, f"_row long, doc_id {kind}, lang string, n_symbols long, nats double"
-    )
-
-
 def quantiles(scores: DataFrame, keys: list[str], q: float) -> DataFrame:
     """The q-quantile of `nats` for each key, exact to STEP: the first step at which the share q is reached."""
     steps = scores.groupBy(*keys, F.ceil(F.col("nats") / STEP).alias("step")).agg(F.count(F.lit(1)).alias("n"))
@@ -390,37 +285,33 @@ def quantiles(scores: DataFrame, keys: list[str], q: float) -> DataFrame:
     return reached.where(F.col("so_far") >= q * F.col("all")).groupBy(*keys).agg((F.min("step") * STEP).alias("at"))
 
 
-def out_of_fold(trusted: DataFrame) -> DataFrame:
-    """Perplexities of trusted documents, each half by a model of the other: what a model says of its own
-    training text is too low to set a threshold by."""
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    parts = [open_perplexities(trusted.where(half == k), train_tables(trusted.where(half != k).select("text"))) for k in (0, 1)]
-    return stored(parts[0].unionByName(parts[1]), "out-of-fold")
+def judged(scores: DataFrame, known: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+    """scores with `score`, `threshold` (both in nats; null without any trusted document) and `kept`.
 
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """_row, doc_id, lang, n_symbols, nats, threshold, kept for each row of docs."""
-    ids = sized(stored(trusted_ids(labels), "trusted"))
-    trusted = docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
-    scores = stored(open_perplexities(docs, train_tables(trusted.select("text"))), "perplexities")
-    known = out_of_fold(trusted).where("nats is not null")
-    by_lang = [
-        quantiles(known, ["lang"], q).withColumnRenamed("at", name) for q, name in ((0.5, "middle"), (quantile, "high"))
-    ]
-    overall = known.withColumn("k", F.lit(1))
-    overall = [next((r["at"] for r in quantiles(overall, ["k"], q).collect()), None) for q in (0.5, quantile)]  # one number each
-    limits = by_lang[0].join(by_lang[1], "lang")
-    rows = scores.join(sized(limits, 100_000), "lang", "left")
+    known: the scores of trusted documents.
+    """
+    known = known.where("nats is not null")
+    levels = ((0.5, "middle"), (quantile, "high"))
+    by_lang = [quantiles(known, ["lang"], q).withColumnRenamed("at", name) for q, name in levels]
+    overall = [next((r["at"] for r in quantiles(known.withColumn("k", F.lit(1)), ["k"], q).collect()), None) for q, _ in levels]  # one number each
+    rows = scores.join(sized(by_lang[0].join(by_lang[1], "lang"), 100_000), "lang", "left")
     middle, high = (F.coalesce(c, F.lit(x).cast("double")) for c, x in zip(("middle", "high"), overall))
-    threshold = high + slack
     n = F.col("n_symbols")
-    shrunk = (F.col("nats") * n + middle * PRIOR_SYMBOLS) / (n + PRIOR_SYMBOLS)
+    score = (F.col("nats") * n + middle * PRIOR_SYMBOLS) / (n + PRIOR_SYMBOLS)
     return rows.select(
-        "_row", "doc_id", "lang", "n_symbols", "nats", threshold.alias("threshold"),
-        F.when(F.col("nats").isNull(), False).otherwise(F.coalesce(shrunk <= threshold, F.lit(True))).alias("kept"),
+        *scores.columns, score.alias("score"), (high + slack).alias("threshold"),
+        F.when(F.col("nats").isNull(), False).otherwise(F.coalesce(score <= high + slack, F.lit(True))).alias("kept"),
     )
 
 
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+    """_row, doc_id, lang, n_symbols, nats, score, threshold, kept for each row of docs."""
+    ids = sized(stored(trusted_ids(labels), "trusted"))
+    model = train(docs.join(ids, "doc_id", "left_semi").select(_fold().alias("fold"), "text"))
+    scores = stored(perplexities(docs, model), "perplexities")
+    return judged(scores, scores.join(ids, "doc_id", "left_semi"), quantile, slack)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the rows that the classifier rejects."""
     written(docs)
@@ -432,5 +323,5 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs, labels).select(
-        "doc_id", F.exp("nats").alias("perplexity"), F.exp("threshold").alias("threshold"), "kept"
+        "doc_id", F.exp("nats").alias("perplexity"), F.exp("score").alias("score"), F.exp("threshold").alias("threshold"), "kept"
     )

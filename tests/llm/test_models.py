@@ -12,18 +12,30 @@ from driftwell.llm import quality, toxicity
 ROOT = "/root/testdata/sf0.01"
 
 
-def brute_kneser_ney(texts, table):
+def brute_symbols(text):
+    """The symbols of a text: upper case and digits folded, a repeated word as one symbol."""
+    out, before = [], None
+    for w in (text or "").replace("\uffff", " ").split():
+        if w == before:
+            out.append(quality.REPEAT)
+        else:
+            out += [*([" "] if out else []), *("A" if c.isupper() else "0" if c.isdigit() else c for c in w)]
+        before = w
+    return out
+
+
+def brute_kneser_ney(texts):
     """Probability of (context, symbol) by the definition, from dictionaries."""
-    n = quality.ORDER
+    n, pad = quality.ORDER, chr(quality.PAD)
     grams = Counter()
     for t in texts:
-        ids = [quality.PAD] * (n - 1) + [int(x) for x in table[quality.folded([t])[0]] if x != quality.PAD]
-        grams.update(tuple(ids[i : i + n]) for i in range(len(ids) - n + 1))
+        symbols = [pad] * (n - 1) + brute_symbols(t)
+        grams.update(tuple(symbols[i : i + n]) for i in range(len(symbols) - n + 1))
     counts = [grams]
     for order in range(n - 1, 0, -1):
         below = Counter()
         for g, c in counts[0].items():
-            below[g[1:]] += c if g[1] == quality.PAD else 1
+            below[g[1:]] += c if g[1] == pad else 1
         counts.insert(0, below)
     discounts = []
     for order in counts:
@@ -42,7 +54,7 @@ def brute_kneser_ney(texts, table):
         followers.append(f)
 
     def p(context, symbol):
-        value = 1 / (quality.SYMBOLS - 1)
+        value = 1 / (len(counts[0]) + 1)
         for order in range(1, n + 1):
             seen = followers[order - 1].get(context[len(context) - order + 1 :] if order > 1 else ())
             if seen is None:
@@ -56,20 +68,56 @@ def brute_kneser_ney(texts, table):
     return p
 
 
-def test_kneser_ney(spark):
-    texts = ["the cat sat on the mat", "the the dog sat", "A Cat! 12 x", "zzz", "on and on and on it goes, the cat sat"] * 3 + ["the mat", "a dog"]
-    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
-    p = brute_kneser_ney(texts, model.table)
-    log_p = model.log_probability()
-    rng = np.random.default_rng(1)
-    for t in ["the cat", "quite unseen é text", "on the dog mat"]:
-        codes, _ = quality.gram_codes([t], model.table)
-        for code in codes.tolist():
-            ids = tuple((code >> (quality.BITS * k)) & (quality.SYMBOLS - 1) for k in range(quality.ORDER - 1, -1, -1))
-            assert math.isclose(math.exp(log_p[code]), p(ids[:-1], ids[-1]), rel_tol=1e-4)
-    for context in rng.integers(0, quality.SYMBOLS**3, 5).tolist() + [0]:
-        row = np.exp(log_p[context * quality.SYMBOLS + np.arange(1, quality.SYMBOLS)].astype(np.float64))
-        assert math.isclose(row.sum(), 1.0, rel_tol=1e-3)
+def brute_nats(text, p):
+    n = quality.ORDER
+    symbols = [chr(quality.PAD)] * (n - 1) + brute_symbols(text)
+    logs = [math.log(p(tuple(symbols[i - n + 1 : i]), symbols[i])) for i in range(n - 1, len(symbols))]
+    return (len(logs), -sum(logs) / len(logs)) if logs else (0, None)
+
+
+def brute_quality(docs, folds, trusted):
+    """(n_symbols, nats, kept) of each (doc_id, text, lang), by the definition."""
+    models = [brute_kneser_ney([t for (i, t, _), f in zip(docs, folds) if f != k and i in trusted]) for k in (0, 1)]
+    nats = [brute_nats(t, models[f]) for (_, t, _), f in zip(docs, folds)]
+    known = defaultdict(list)
+    for (i, _, lang), (_, x) in zip(docs, nats):
+        if i in trusted and x is not None:
+            step = math.ceil(x / quality.STEP) * quality.STEP
+            known[None].append(step)
+            if lang is not None:
+                known[lang].append(step)
+    at = lambda lang, q: sorted(known[lang])[math.ceil(q * len(known[lang]) - 1e-9) - 1]
+    out = []
+    for (_, _, lang), (n, x) in zip(docs, nats):
+        if x is None or not known:
+            out.append((n, x, x is not None))
+            continue
+        lang = lang if lang in known else None
+        score = (x * n + at(lang, 0.5) * quality.PRIOR_SYMBOLS) / (n + quality.PRIOR_SYMBOLS)
+        out.append((n, x, score <= at(lang, quality.QUANTILE) + quality.SLACK))
+    return out
+
+
+def test_quality_by_the_definition(spark, tmp_path):
+    """Perplexities, thresholds by language and decisions against dictionaries, block by block too."""
+    rng = np.random.default_rng(4)
+    words = ["the", "Cat", "sat", "on", "a", "mat", "and", "dog", "12", "caf\u00e9", "\u043c\u044b", "\u0434\u043e\u043c", "\U00020000"]
+    docs = [(i, " ".join(rng.choice(words, int(rng.integers(1, 12)))), str(rng.choice(["en", "de"]))) for i in range(120)]
+    docs += [(200 + i, "".join(rng.choice(list("the cat\u043c\u044b\u0434qx"), 30)), "en") for i in range(20)]
+    docs += [(1, "the the the cat", None), (400, None, "en"), (401, " ", "fr"), (None, "zz zz", "fr"), (2, docs[2][1], docs[2][2])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(3).write.parquet(f"{tmp_path}/d")
+    table = spark.read.parquet(f"{tmp_path}/d").select("*", quality._fold().alias("f"))
+    rows = table.collect()
+    trusted = {i for i in range(120) if i % 3}
+    labels = spark.createDataFrame([(i, int(i in trusted)) for i in range(120)] + [(0, 1), (0, 0)], "doc_id long, quality int")
+    expected = brute_quality([(r["doc_id"], r["text"], r["lang"]) for r in rows], [r["f"] for r in rows], trusted)
+    shown = lambda i, lang, n, x, kept: str((i, lang, n, None if x is None else round(x, 6), kept))
+    got = quality.classify(table, labels).collect()
+    assert sorted(shown(r["doc_id"], r["lang"], r["n_symbols"], r["nats"], r["kept"]) for r in got) == sorted(
+        shown(r["doc_id"], r["lang"], *e) for r, e in zip(rows, expected)
+    )
+    assert all(r["kept"] == (r["score"] <= r["threshold"]) for r in got if r["nats"] is not None)
+    assert len({r["kept"] for r in got}) == 2
 
 
 def test_quality_edges(spark, tmp_path):
@@ -88,28 +136,17 @@ def test_quality_edges(spark, tmp_path):
 
 def test_open_vocabulary(spark, tmp_path):
     """A minority script keeps its letters: its clean text scores better than junk of the same letters."""
-    import random
-
-    rng = random.Random(2)
+    rng = np.random.default_rng(2)
     common = [f"{chr(97 + i % 26)}{chr(97 + i // 2 % 26)}{chr(0xE0 + i % 24)}{chr(0x3B1 + i % 24)} plain words" for i in range(120)]
     clean = "\u043c\u044b \u0448\u043b\u0438 \u0434\u043e\u043c\u043e\u0439 \U00020000\U00020001"
-    junk = "".join(rng.sample(clean.replace(" ", ""), 8)) + " " + "".join(rng.sample(clean.replace(" ", ""), 4))
-    texts = common * 5 + [clean] * 4
+    junk = "".join(rng.permutation(list(clean)))
+    texts = common * 5 + [f"{clean} {k % 4 * 'x'}" for k in range(40)]
     spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, junk, clean, "", None])], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/d")
     table = spark.read.parquet(f"{tmp_path}/d")
-    model = quality.train_tables(table.where(f"doc_id < {len(texts)}").select("text"))
-    nats = {r["doc_id"]: r["nats"] for r in quality.open_perplexities(table, model).collect()}
+    model = quality.train(table.where(f"doc_id < {len(texts)}").select(quality._fold().alias("fold"), "text"))
+    nats = {r["doc_id"]: r["nats"] for r in quality.perplexities(table, model).collect()}
     n = len(texts)
     assert nats[n] > nats[n + 1] + 1 and nats[n + 2] is None and nats[n + 3] is None and len(nats) == n + 4
-    assert model[1][0].count() > quality.SYMBOLS
-    # By the definition, from the closed model where its alphabet holds everything.
-    few = table.where("doc_id in (600, 601, 602)").select("text")
-    dense, closed = quality.train(few), {}
-    for r in quality.perplexities(table.where("doc_id = 600"), dense).collect():
-        closed[r["doc_id"]] = r["nats"]
-    wide = quality.train_tables(few)
-    opened = quality.open_perplexities(table.where("doc_id = 600"), (1 / (quality.SYMBOLS - 1), *wide[1:])).first()["nats"]
-    assert math.isclose(closed[600], opened, abs_tol=0.15)
 
 
 def test_quantiles_are_exact(spark):
