@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import numbered, sized, sliced, stored, without_rows, written
+from .workspace import NUMBER, sized, sliced, stored, without_rows, written
 
 ORDER, REPEAT = 4, "\x01"
 #: What stands in front of a text; the code point is no character, so no text holds it after `symbols_of`.
@@ -46,8 +46,8 @@ PAD = 0xFFFF
 QUANTILE, SLACK = 0.995, 0.1
 #: Scores are drawn to the median by so many symbols, since few symbols say little.
 PRIOR_SYMBOLS = 24
-#: Bits of a character in a context, documents of a block, and characters from which it ends.
-WIDE, BLOCK_ROWS, BLOCK_CHARS = 21, 2048, 8_000_000
+#: Bits of a character in a context, and the power of two of a block's rows (two folds together), at most.
+WIDE, BLOCK_BITS = 21, 12
 #: Rows whose n-grams a task makes at once.
 ROWS = 128
 #: Log-perplexities are counted in steps of this size, so that quantiles are exact and alike at any size.
@@ -202,75 +202,95 @@ def log_probabilities(grams: DataFrame, model: Model) -> DataFrame:
     return rows.select("fold", "context", "symbol", F.log("p").alias("log_p"))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """block (its first row's number), fold, rows (packed): rows of one fold in blocks of bounded size."""
+def _block(where: list[Column | str]) -> Column:
+    """Which block a row is in, of a bounded number of characters: of longer texts, fewer share one.
+
+    where: columns that say where a row stands, the same each time it is read; the last one counts rows.
+    """
+    *table, at = (F.col(c) if isinstance(c, str) else c for c in where)
+    # Texts of 4096 characters or more fall into classes by powers of two.
+    longer = F.least(F.greatest(F.floor(F.log2(F.greatest(F.char_length("text"), F.lit(1)))) - 12, F.lit(0)), F.lit(BLOCK_BITS)).cast("int")
+    group = F.when(longer > 0, F.floor(at / F.pow(F.lit(2.0), F.lit(BLOCK_BITS) - longer))).otherwise(F.shiftright(at, BLOCK_BITS)).cast("long")
+    return F.xxhash64(*table, longer, group, _fold())
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """block, rows: rows (block first) of one block, packed; a block may come in parts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2 * BLOCK_ROWS):
-            fold = np.array(batch.column(0).to_pylist(), np.int32)
-            for k in (0, 1):
-                own = batch.take(pa.array(np.flatnonzero(fold == k)))
-                size = np.cumsum([len(t.as_py() or "") for t in own.column(4)]) // BLOCK_CHARS
-                edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), own.num_rows]
-                for a, b in zip(edges, edges[1:]):
-                    part, sink = own.slice(a, b - a), pa.BufferOutputStream()
-                    if part.num_rows:
-                        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                            out.write_batch(part)
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column(1).slice(0, 1), pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "fold", "rows"]
-                        )
-
-    return stored(rows.mapInArrow(pack, "block long, fold int, rows binary"), "blocks", {"compression": "none"})
-
-
-def _unpacked(rows: bytes) -> tuple[pa.RecordBatch, list[str]]:
-    """A block's rows, and their texts."""
-    with pa.ipc.open_stream(rows) as stream:
-        batch = stream.read_next_batch()
-    return batch, [t or "" for t in batch.column(4).to_pylist()]
-
-
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """_row, doc_id, lang, n_symbols, nats (mean negative log-probability; null without words)."""
+        for batch in batches:
+            for block, own in _by_block(batch):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(own)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+    return rows.mapInArrow(pack, "block long, rows binary")
+
+
+def _by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    blocks, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[order], np.arange(len(blocks) + 1))
+    for k, block in enumerate(blocks.tolist()):
+        yield block, batch.take(pa.array(order[edges[k] : edges[k + 1]]))
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[list[str]]:
+    for part in sliced([batch], ROWS):
+        yield [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+
+
+def perplexities(docs: DataFrame, model: Model, where: list[Column | str] | None = None) -> DataFrame:
+    """_row, doc_id, lang, n_symbols, nats (mean negative log-probability; null without words).
+
+    where: see `_block`; `_row` is null then. Without it docs is `written`, and its numbers serve.
+    """
+    rows = docs.withColumn("_row", F.lit(None).cast("long")) if where else written(docs).withColumn("_row", F.col(NUMBER))
+    rows = rows.select(_block(where or [F.col(NUMBER)]).alias("block"), _fold().alias("fold"), "_row", "doc_id", F.col("lang").cast("string"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"_row long, doc_id {kind}, lang string, n_symbols long, nats double"
-    blocks = _blocks(numbered(docs, "doc_id", "lang", "text").select(_fold().alias("fold"), "_row", "doc_id", F.col("lang").cast("string"), "text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, fold, rows in zip(*batch.columns):
-                texts = _unpacked(rows.as_py())[1]
-                parts = [distinct_grams(texts[i : i + ROWS])[:2] for i in range(0, len(texts), ROWS)]
-                context, symbol = (np.concatenate(x) for x in zip(*parts))
+            for block, own in _by_block(batch):
+                context, symbol = (np.concatenate(x) for x in zip(*[distinct_grams(t)[:2] for t in _texts(own)]))
                 contexts, at = np.unique(context, return_inverse=True)
                 keys = np.unique((at << WIDE) | symbol)
                 context, symbol = contexts[keys >> WIDE], keys & ((1 << WIDE) - 1)
+                fold = np.full(len(keys), own.column(1)[0].as_py(), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), block.as_py(), np.int64)), pa.array(np.full(len(keys), fold.as_py(), np.int32)), pa.array(context), pa.array(symbol)],
+                    [pa.array(np.full(len(keys), block, np.int64)), pa.array(fold), pa.array(context), pa.array(symbol.astype(np.int32))],
                     ["block", "fold", "context", "symbol"],
                 )
 
-    def score(block: pa.Table, known: pa.Table) -> pa.Table:
-        batch, texts = _unpacked(block.column("rows")[0].as_py())
+    def score(packed: pa.Table, known: pa.Table) -> pa.Table:
         context, symbol, log_p = (known.column(c).to_numpy() for c in ("context", "symbol", "log_p"))
         contexts, at = np.unique(context, return_inverse=True)
         keys = (at << WIDE) | symbol
         order = np.argsort(keys)
-        keys, log_p = keys[order], log_p[order]
-        sums, lengths = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for i in range(0, len(texts), ROWS):
-            own_context, own_symbol, inverse, n = distinct_grams(texts[i : i + ROWS])
-            of_grams = log_p[np.searchsorted(keys, (np.searchsorted(contexts, own_context) << WIDE) | own_symbol)]
-            total, ends = np.concatenate([[0.0], np.cumsum(of_grams[inverse])]), np.cumsum(n)
-            sums[i : i + ROWS], lengths[i : i + ROWS] = total[ends] - total[ends - n], n
-        nats = pa.array(-sums / np.maximum(lengths, 1), pa.float64(), mask=lengths == 0)
-        return pa.Table.from_arrays([*batch.columns[1:4], pa.array(lengths), nats], ["_row", "doc_id", "lang", "n_symbols", "nats"])
-
-    found = stored(blocks.mapInArrow(grams, "block long, fold int, context long, symbol long"), "block-grams")
-    known = stored(log_probabilities(found.select("fold", "context", "symbol").distinct(), model), "log-probabilities")
+        keys, log_p = keys[order], log_p[order].astype(np.float64)
+        out = []
+        for data in packed.column("rows"):
+            with pa.ipc.open_stream(data.as_buffer()) as stream:
+                batch = stream.read_next_batch()
+            sums, lengths = [], []
+            for texts in _texts(batch):
+                own_context, own_symbol, inverse, n = distinct_grams(texts)
+                of_grams = log_p[np.searchsorted(keys, (np.searchsorted(contexts, own_context) << WIDE) | own_symbol)]
+                total, ends = np.concatenate([[0.0], np.cumsum(of_grams[inverse])]), np.cumsum(n)
+                sums.append(total[ends] - total[ends - n])
+                lengths.append(n)
+            n = np.concatenate(lengths)
+            nats = pa.array(-np.concatenate(sums) / np.maximum(n, 1), pa.float64(), mask=n == 0)
+            out.append(pa.RecordBatch.from_arrays([*batch.columns[2:5], pa.array(n), nats], ["_row", "doc_id", "lang", "n_symbols", "nats"]))
+        return pa.Table.from_batches(out)
+
+    found = stored(rows.select("block", "fold", "text").mapInArrow(grams, "block long, fold int, context long, symbol int"), "block-grams")
+    known = log_probabilities(found.select("fold", "context", "symbol").distinct(), model)
+    known = stored(known.withColumn("log_p", F.col("log_p").cast("float")), "log-probabilities")
     told = found.join(known, ["fold", "context", "symbol"]).select("block", "context", "symbol", "log_p")
-    return blocks.select("block", "rows").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
+    return _packed(rows).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -304,11 +324,13 @@ def judged(scores: DataFrame, known: DataFrame, quantile: float = QUANTILE, slac
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """_row, doc_id, lang, n_symbols, nats, score, threshold, kept for each row of docs."""
+def classify(
+    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, where: list[Column | str] | None = None
+) -> DataFrame:
+    """_row, doc_id, lang, n_symbols, nats, score, threshold, kept for each row of docs; where: see `perplexities`."""
     ids = sized(stored(trusted_ids(labels), "trusted"))
     model = train(docs.join(ids, "doc_id", "left_semi").select(_fold().alias("fold"), "text"))
-    scores = stored(perplexities(docs, model), "perplexities")
+    scores = stored(perplexities(docs, model, where), "perplexities")
     return judged(scores, scores.join(ids, "doc_id", "left_semi"), quantile, slack)
 
 
@@ -322,6 +344,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels).select(
+    in_files = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    return classify(docs, labels, where=in_files).select(
         "doc_id", F.exp("nats").alias("perplexity"), F.exp("score").alias("score"), F.exp("threshold").alias("threshold"), "kept"
     )

@@ -98,8 +98,9 @@ def brute_quality(docs, folds, trusted):
     return out
 
 
-def test_quality_by_the_definition(spark, tmp_path):
+def test_quality_by_the_definition(spark, tmp_path, monkeypatch):
     """Perplexities, thresholds by language and decisions against dictionaries, block by block too."""
+    monkeypatch.setattr(quality, "BLOCK_BITS", 4)
     rng = np.random.default_rng(4)
     words = ["the", "Cat", "sat", "on", "a", "mat", "and", "dog", "12", "caf\u00e9", "\u043c\u044b", "\u0434\u043e\u043c", "\U00020000"]
     docs = [(i, " ".join(rng.choice(words, int(rng.integers(1, 12)))), str(rng.choice(["en", "de"]))) for i in range(120)]
@@ -111,8 +112,13 @@ def test_quality_by_the_definition(spark, tmp_path):
     trusted = {i for i in range(120) if i % 3}
     labels = spark.createDataFrame([(i, int(i in trusted)) for i in range(120)] + [(0, 1), (0, 0)], "doc_id long, quality int")
     expected = brute_quality([(r["doc_id"], r["text"], r["lang"]) for r in rows], [r["f"] for r in rows], trusted)
-    shown = lambda i, lang, n, x, kept: str((i, lang, n, None if x is None else round(x, 6), kept))
+    shown = lambda i, lang, n, x, kept: str((i, lang, n, None if x is None else round(x, 5), kept))
     got = quality.classify(table, labels).collect()
+    in_files = quality.classify(table, labels, where=[F.col("_metadata.file_path"), F.col("_metadata.row_index")])
+    pick = ("doc_id", "lang", "n_symbols", "nats", "score", "kept")
+    assert sorted(str([r[c] if c not in ("nats", "score") or r[c] is None else round(r[c], 9) for c in pick]) for r in got) == sorted(
+        str([r[c] if c not in ("nats", "score") or r[c] is None else round(r[c], 9) for c in pick]) for r in in_files.collect()
+    )
     assert sorted(shown(r["doc_id"], r["lang"], r["n_symbols"], r["nats"], r["kept"]) for r in got) == sorted(
         shown(r["doc_id"], r["lang"], *e) for r, e in zip(rows, expected)
     )
