@@ -46,8 +46,10 @@ PAD = 0xFFFF
 QUANTILE, SLACK = 0.995, 0.1
 #: Scores are drawn to the median by so many symbols, since few symbols say little.
 PRIOR_SYMBOLS = 24
-#: Bits of a character in a context, and the power of two of a block's rows (two folds together), at most.
-WIDE, BLOCK_BITS = 21, 12
+#: Bits of a character in a context.
+WIDE = 21
+#: Characters of a block (two folds together), the power of two of its rows at most, and of a text that is a block of its own.
+BLOCK_CHARS, BLOCK_BITS, LONG = 16_000_000, 12, 1_000_000
 #: Rows whose n-grams a task makes at once.
 ROWS = 128
 #: Log-perplexities are counted in steps of this size, so that quantiles are exact and alike at any size.
@@ -202,16 +204,17 @@ def log_probabilities(grams: DataFrame, model: Model) -> DataFrame:
     return rows.select("fold", "context", "symbol", F.log("p").alias("log_p"))
 
 
-def _block(where: list[Column | str]) -> Column:
-    """Which block a row is in, of a bounded number of characters: of longer texts, fewer share one.
+def _block(docs: DataFrame, where: list[Column | str]) -> Column:
+    """Which block a row is in: so many rows that stand together as make BLOCK_CHARS characters of average texts.
 
-    where: columns that say where a row stands, the same each time it is read; the last one counts rows.
+    A text of LONG characters or more is a block of its own. where: columns that say where a
+    row stands, the same each time it is read; the last one counts rows.
     """
     *table, at = (F.col(c) if isinstance(c, str) else c for c in where)
-    # Texts of 4096 characters or more fall into classes by powers of two.
-    longer = F.least(F.greatest(F.floor(F.log2(F.greatest(F.char_length("text"), F.lit(1)))) - 12, F.lit(0)), F.lit(BLOCK_BITS)).cast("int")
-    group = F.when(longer > 0, F.floor(at / F.pow(F.lit(2.0), F.lit(BLOCK_BITS) - longer))).otherwise(F.shiftright(at, BLOCK_BITS)).cast("long")
-    return F.xxhash64(*table, longer, group, _fold())
+    average = docs.agg(F.avg(F.char_length("text"))).first()[0] or 1
+    bits = min(max(int(np.log2(BLOCK_CHARS / max(average, 1))), 0), BLOCK_BITS)
+    length = F.coalesce(F.char_length("text"), F.lit(0))
+    return F.xxhash64(*table, length >= LONG, F.when(length >= LONG, at).otherwise(F.shiftright(at, bits)), _fold())
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -247,7 +250,7 @@ def perplexities(docs: DataFrame, model: Model, where: list[Column | str] | None
     where: see `_block`; `_row` is null then. Without it docs is `written`, and its numbers serve.
     """
     rows = docs.withColumn("_row", F.lit(None).cast("long")) if where else written(docs).withColumn("_row", F.col(NUMBER))
-    rows = rows.select(_block(where or [F.col(NUMBER)]).alias("block"), _fold().alias("fold"), "_row", "doc_id", F.col("lang").cast("string"), "text")
+    rows = rows.select(_block(docs, where or [F.col(NUMBER)]).alias("block"), _fold().alias("fold"), "_row", "doc_id", F.col("lang").cast("string"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"_row long, doc_id {kind}, lang string, n_symbols long, nats double"
 

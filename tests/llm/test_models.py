@@ -101,6 +101,7 @@ def brute_quality(docs, folds, trusted):
 def test_quality_by_the_definition(spark, tmp_path, monkeypatch):
     """Perplexities, thresholds by language and decisions against dictionaries, block by block too."""
     monkeypatch.setattr(quality, "BLOCK_BITS", 4)
+    monkeypatch.setattr(quality, "LONG", 40)
     rng = np.random.default_rng(4)
     words = ["the", "Cat", "sat", "on", "a", "mat", "and", "dog", "12", "caf\u00e9", "\u043c\u044b", "\u0434\u043e\u043c", "\U00020000"]
     docs = [(i, " ".join(rng.choice(words, int(rng.integers(1, 12)))), str(rng.choice(["en", "de"]))) for i in range(120)]
@@ -228,7 +229,7 @@ def test_pipeline_stages(spark, small):
         elif name == "exact_dedup":
             assert kept == {min(m)[2] for m in copies(before).values()}
         elif name == "jaccard_join":
-            assert kept == {c for _, _, c in brute_components(before)}
+            assert kept == {c for _, _, c, _ in brute_components(before)}
         else:
             assert kept == {i for i, t in before if brute_hits(t, bench)[1] == 0}
         docs = out
