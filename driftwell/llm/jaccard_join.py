@@ -2,29 +2,36 @@
 
 Documents link when 100 * |A and B| >= 75 * |A or B| over their distinct 5-word shingles.
 
-1. One pass makes each row's set (64-bit hashes) and a digest of it. Rows with the same set
-   are one class; only classes are joined.
+1. One pass makes each row's set (64-bit hashes), a 128-bit digest of it, and packed entries
+   of its shingles for step 2. Rows with the same digest are one class; only classes are
+   joined.
 2. A global count of shingles over a sample of the hash space, the same for all sets, finds
    the sets that can have a partner at all: a partner shares 3/4 of a set, so of the
    sampled shingles all but a quarter of the set must occur in another set. What is local
    to a task is counted there; a shingle sends one entry a task at most, however common.
-3. The sets that remain are joined by size, with the boundary chosen by cost. A small set
-   is enumerated: two small sets link only if they have equal subsets of a fixed size (the
-   overlap that their sizes ask for), so equal subset hashes make the candidates. For
-   larger sets inverted lists are scanned, shortest lists first, over the part of each set
-   that any partner must meet.
-4. A list is never expanded into all pairs. In each round the first member of each list is
-   compared with those members that are not in its component yet, and leaves the list;
-   links merge components; a list ends when one component is left. Every pair that is
-   skipped is connected already, so the components are exactly those of all links.
-
-Candidates are verified on whole sets. Shingle hashes are 64-bit: two different shingles of
-one pair of documents collide with a probability under 1e-13.
+3. The sets that remain are joined by size. A small set is enumerated: two small sets link
+   only if they have equal subsets of a fixed size (the overlap that their sizes ask for),
+   so equal subset hashes make the candidates. For larger sets inverted lists are scanned,
+   over the part of each set that any partner must meet. The boundary is the size at which
+   the subsets of the sets up to it and the list entries that the others meet are fewest,
+   both counted from the data.
+4. A list is never expanded into all pairs. In each turn some members of each list lead:
+   one at first, then eight times as many each turn. Leads are compared with those members
+   that are not in their component yet, and leave the list; links merge components; a list
+   ends when one component is left. Every pair that is skipped is connected already, so the
+   components are exactly those of all links, and a list of m ends within log8(m) + 2 turns.
+5. Links are counted inside components, in pairs of blocks of bounded size: a pair of blocks
+   sends one count for each of its sets, so no pair of documents is ever a row.
+
+Candidates pass a parity bitmap (sets that differ in more bits than their sizes allow can't
+link) and are then verified on whole sets. Shingle hashes are 64-bit: two different shingles
+of one pair of documents collide with a probability under 1e-13.
 
 Defined results: a text with fewer words than a shingle is one shingle of all its words;
 null and wordless texts have an empty set, link with nothing and are their own component;
 repeated rows are copies (links by the set, as any other); rows with a null id get the
-smallest non-null id of their component; columns besides id and text may have any name.
+smallest non-null id of their component; a row's links are the other rows that it links
+with, copies too; columns besides id and text may have any name.
 """
 
 from __future__ import annotations
@@ -35,9 +42,8 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -46,14 +52,20 @@ from .workspace import numbered, sized, sliced, stored, without_rows, written
 SHINGLE, SHARE = 5, 75
 #: Share of the hash space that step 2 counts, in 1/1024; sets up to FULL_SIZE are counted whole.
 SAMPLE, FULL_SIZE = 358, 64
-#: Entries that a task holds before it packs them.
-TASK_ENTRIES = 1_000_000
+#: Entries that a task holds before it packs them, and that it sorts at once.
+TASK_ENTRIES = 500_000
 #: Rows whose sets a task makes at once.
 ROWS = 128
-#: A set is enumerated if that costs no more subsets than this many for each of its shingles.
-SUBSETS_PER_SHINGLE = 8
-#: Cross-component pairs left in lists, for each set, at which the rest is compared at once.
-REST_PAIRS = 64
+#: Sizes that step 3 may enumerate; beyond, a set has more subsets than any table has rows.
+MOST_ENUMERATED = 64
+#: Cross-component pairs left in lists, for each set and at least, at which the rest is compared at once.
+REST_PAIRS, REST_LEAST = 64, 50_000
+#: How many times more members of a list lead in each turn, and the joined rows of one list that a task makes.
+MORE_LEADS, TASK_PAIRS = 8, 1 << 20
+#: Words of the parity bitmap.
+PARITY = 16
+#: Sets and shingles of a block of a component, about; sets of small components that a task counts together.
+BLOCK_SETS, BLOCK_SHINGLES, TASK_SETS = 1024, 400_000, 512
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -98,8 +110,9 @@ def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def set_digest(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_digest(tokens: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _utf8(column: pa.Array) -> list[bytes]:
@@ -110,24 +123,6 @@ def _counted(s: np.ndarray) -> int:
     return len(s) if len(s) <= FULL_SIZE else int(np.count_nonzero((s >> np.uint64(54)) < SAMPLE))
 
 
-def members(rows: DataFrame) -> DataFrame:
-    """_row, id, n (set size), counted (shingles that step 2 counts), digest (null for the empty set)."""
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, ROWS):
-            sets = shingle_sets(_utf8(batch.column(2)))
-            n = np.array([len(s) for s in sets], np.int64)
-            digest = np.array([set_digest(s) for s in sets], np.int64)
-            counted = np.array([_counted(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n), pa.array(counted), pa.array(digest, mask=n == 0)],
-                ["_row", "id", "n", "counted", "digest"],
-            )
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(digests, f"_row long, id {kind}, n long, counted long, digest long")
-
-
 _BLOB = np.dtype([("token", "<u4"), ("digest", "<i8")])
 
 
@@ -154,20 +149,37 @@ def _packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int)
     return pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(data, pa.binary())], ["bucket", "entries"])
 
 
-def _entries(rows: DataFrame, buckets: int) -> DataFrame:
-    """Step 2, each task: blobs of (shingle, set) by bucket of the hash space.
+def shingled(rows: DataFrame, buckets: int) -> DataFrame:
+    """The pass over texts. Two kinds of rows:
 
-    A shingle that several sets of the task hold is settled here: the sets get credit
-    (bucket -1), and one entry without a set says that it is shared.
+    _row, id, n (set size), counted (shingles that step 2 counts), digest, digest2 (null for the empty set);
+    bucket, entries: blobs of (shingle, set) by bucket of the hash space. A shingle that several sets of the
+    task hold is settled here: the sets get credit (bucket -1), and one entry without a set says that it is shared.
     """
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["_row", "id", "n", "counted", "digest", "digest2", "bucket", "entries"]
+    schema = f"_row long, id {kind}, n long, counted long, digest long, digest2 long, bucket long, entries binary"
+
+    def of_rows(batch: pa.RecordBatch, sets: list[np.ndarray], digests: list[tuple[int, int]]) -> pa.RecordBatch:
+        n = np.array([len(s) for s in sets], np.int64)
+        halves = [pa.array(np.array([d[k] for d in digests], np.int64), mask=n == 0) for k in (0, 1)]
+        columns = [batch.column(0), batch.column(1), pa.array(n), pa.array(np.array([_counted(s) for s in sets], np.int64)), *halves]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names)
+
+    def of_entries(packed: pa.RecordBatch, id_type: pa.DataType) -> pa.RecordBatch:
+        kinds = [pa.int64(), id_type, *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(packed.num_rows, k) for k in kinds], *packed.columns], names)
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    def sets_and_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        size, id_type = 0, None
         for batch in sliced(batches, ROWS):
-            for s in shingle_sets(_utf8(batch.column(2))):
-                digest = set_digest(s)
+            id_type = batch.column(1).type
+            sets = shingle_sets(_utf8(batch.column(2)))
+            digests = [set_digest(s) for s in sets]
+            yield of_rows(batch, sets, digests)
+            for s, digest in zip(sets, digests):
                 if not len(s) or digest in seen:
                     continue
                 seen.add(digest)
@@ -176,21 +188,32 @@ def _entries(rows: DataFrame, buckets: int) -> DataFrame:
                     s, counted = s[sampled], None
                 else:
                     counted = sampled if len(s) > FULL_SIZE else None
-                held.append((s, np.full(len(s), digest, np.int64), np.ones(len(s), bool) if counted is None else counted))
+                held.append((s, np.full(len(s), digest[0], np.int64), np.ones(len(s), bool) if counted is None else counted))
                 size += len(s)
                 if size >= TASK_ENTRIES:
-                    yield _packed(held, buckets)
+                    yield of_entries(_packed(held, buckets), id_type)
                     held, size = [], 0
         if held:
-            yield _packed(held, buckets)
+            yield of_entries(_packed(held, buckets), id_type)
+
+    return stored(rows.mapInArrow(sets_and_entries, schema), "shingled")
 
-    return rows.mapInArrow(entries, "bucket long, entries binary")
 
+def _shared(token: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests, and how many of their shingles another set holds as well (or an entry says so)."""
+    order = np.lexsort((digest, token))
+    token, digest = token[order], digest[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])])[: len(token)]  # copies of a set once
+    token, digest = token[new], digest[new]
+    first = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
+    size = np.diff(np.append(np.flatnonzero(first), len(token)))
+    told = np.add.reduceat(digest == 0, np.flatnonzero(first)) > 0 if len(token) else np.zeros(0, bool)
+    hit = np.repeat(told | (size > 1), size) & (digest != 0)
+    return np.unique(digest[hit], return_counts=True)
 
-def credits(rows: DataFrame) -> DataFrame:
+
+def credits(blobs: DataFrame) -> DataFrame:
     """digest, credit: how many counted shingles of a set occur in another set (never too few)."""
-    buckets = max(64, 4 * rows.rdd.getNumPartitions())
-    blobs = stored(_entries(rows, buckets), "shingle-entries")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,42 +221,45 @@ def credits(rows: DataFrame) -> DataFrame:
                 e = np.frombuffer(data, _BLOB)
                 yield pa.RecordBatch.from_arrays([pa.array(e["digest"].copy()), pa.array(e["token"].astype(np.int64))], ["digest", "credit"])
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = np.unique(np.frombuffer(b"".join(pdf["entries"]), _BLOB))  # sorted; copies of a set once
-        new = np.concatenate([[True], e["token"][1:] != e["token"][:-1]])[: len(e)]
-        size = np.diff(np.append(np.flatnonzero(new), len(e)))
-        # Shared: an entry says so, or two different sets hold the shingle.
-        group = np.repeat(np.arange(len(size)), size)
-        told, differs = np.bincount(group, e["digest"] == 0, len(size)) > 0, size > 1
-        hit = (told | differs)[group] & (e["digest"] != 0)
-        digest, n = np.unique(e["digest"][hit], return_counts=True)
-        return pd.DataFrame({"digest": digest, "credit": n.astype(np.int64)})
+    def across(table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x.as_buffer(), _BLOB) for x in table.column("entries")]
+        parts = 1 + sum(map(len, blobs)) // TASK_ENTRIES
+        out = []
+        for k in range(parts):
+            own = [b[b["token"] % parts == k] for b in blobs] if parts > 1 else blobs
+            digest, n = _shared(np.concatenate([b["token"] for b in own]), np.concatenate([b["digest"] for b in own]))
+            out.append(pa.table({"digest": digest, "credit": n.astype(np.int64)}))
+        return pa.concat_tables(out)
 
     here = blobs.where("bucket < 0").select("entries").mapInArrow(local, "digest long, credit long")
-    there = blobs.where("bucket >= 0").groupBy("bucket").applyInPandas(across, "digest long, credit long")
+    there = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(across, "digest long, credit long")
     return here.unionByName(there).groupBy("digest").agg(F.sum("credit").alias("credit"))
 
 
-def candidate_sets(rows: DataFrame, member: DataFrame) -> DataFrame:
-    """digest, n, tokens of the sets that can have a partner; one row a class."""
-    credit = credits(rows)
+def candidate_sets(rows: DataFrame, classes: DataFrame, credit: DataFrame) -> DataFrame:
+    """cls, n, tokens, p0 ... (parity bitmap) of the classes that can have a partner."""
     # Of the counted shingles all but a quarter of the set, at most, are in a partner.
-    possible = (
-        member.where("digest is not null")
-        .groupBy("digest").agg(F.min("_row").alias("_row"), F.max("n").alias("n"), F.max("counted").alias("counted"))
-        .join(credit, "digest", "left")
-        .where(F.coalesce("credit", F.lit(0)) >= F.col("counted") - F.floor(F.col("n") / 4))
-    )
-    chosen = rows.join(sized(stored(possible.select("_row", "digest"), "possible")), "_row").select("digest", "text")
+    possible = classes.join(credit, "digest", "left").where(F.coalesce("credit", F.lit(0)) >= F.col("counted") - F.floor(F.col("n") / 4))
+    possible = stored(possible.select(F.col("cls").alias("_row")), "possible")
+    chosen = rows.join(sized(possible), "_row").select("_row", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS):
-            found = [s.view(np.int64) for s in shingle_sets(_utf8(batch.column(1)))]
+            found = shingle_sets(_utf8(batch.column(1)))
             offsets = np.cumsum([0, *map(len, found)])
-            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), tokens], ["digest", "n", "tokens"])
+            flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            bits = np.zeros((len(found), 64 * PARITY), np.uint8)
+            for i, s in enumerate(found):
+                bits[i] = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
+                 *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(PARITY)]],
+                ["cls", "n", "tokens", *parity],
+            )
 
-    return stored(chosen.mapInArrow(sets, "digest long, n long, tokens array<long>"), "candidate-sets")
+    parity = [f"p{k}" for k in range(PARITY)]
+    return stored(chosen.mapInArrow(sets, "cls long, n long, tokens array<long>, " + ", ".join(f"{p} long" for p in parity)), "candidate-sets")
 
 
 def least_overlap(s: int, t: int) -> int:
@@ -250,59 +276,67 @@ def subset_cost(s: int) -> int:
     return sum(comb(s, least_overlap(s, t)) for t in partner_sizes(s) if least_overlap(s, t) <= s)
 
 
-def boundary() -> int:
-    """The largest size up to which every set costs at most SUBSETS_PER_SHINGLE subsets a shingle."""
-    s = 1
-    while subset_cost(s + 1) <= SUBSETS_PER_SHINGLE * (s + 1):
-        s += 1
-    return s
+def boundary(entries: DataFrame, sets: DataFrame) -> int:
+    """The size up to which sets are enumerated: subsets made and list entries met are fewest together."""
+    few = F.col("n") <= MOST_ENUMERATED
+    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    met = entries.where(few).join(lists, "token").groupBy("n").agg(F.sum("m").alias("met"))
+    by_size = sets.where(few).groupBy("n").agg(F.count(F.lit(1)).alias("sets")).join(met, "n", "left")
+    rows = by_size.collect()  # a row for each size, MOST_ENUMERATED at most
+    cost = {0: sum(r["met"] or 0 for r in rows)}
+    for size in range(1, MOST_ENUMERATED + 1):
+        cost[size] = cost[size - 1] + sum(r["sets"] * subset_cost(size) - (r["met"] or 0) for r in rows if r["n"] == size)
+    return min(cost, key=lambda size: (cost[size], size))
 
 
 def _small_lists(sets: DataFrame, limit: int) -> DataFrame:
-    """token, digest, n: equal subsets of small sets, as lists."""
+    """token, cls, n: equal subsets of small sets, as lists."""
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for digest, n, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for cls, n, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                out = []
                 for t in partner_sizes(n):
                     size = least_overlap(n, t)
                     if t > limit or size > min(n, t):
                         continue
                     for subset in combinations(sorted(tokens), size):
                         key = np.array([min(n, t), max(n, t), *subset], np.int64).tobytes()
-                        out.append((int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True), digest, n))
-            cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["token", "digest", "n"])
+                        out.append(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *[pa.array([x] * len(out), pa.int64()) for x in (cls, n)]], ["token", "cls", "n"])
 
-    return sets.where(F.col("n") <= limit).select("digest", "n", "tokens").mapInArrow(subsets, "token long, digest long, n long")
+    return sets.where(F.col("n") <= limit).select("cls", "n", "tokens").mapInArrow(subsets, "token long, cls long, n long")
 
 
-def _scanned_lists(sets: DataFrame) -> DataFrame:
-    """token, digest, n, own, place: the inverted lists of the shingles that any partner of a set must meet.
+def _entries(sets: DataFrame) -> DataFrame:
+    """token, cls, n, own, place: the shingles of each set that any partner of it must meet.
 
     Shingles are ordered by how many sets hold them. A partner shares at least one of the
     first n - ceil(3n/4) + 1; those that only one set holds (`own`, in thousandths of the set)
-    use up places and make no list. Where the first shared shingle has place i (from 0) in a
-    set of n, at most n - i shingles are shared, so an entry stays only if that is enough for
-    the smallest partner in its list.
+    use up places and make no entry.
     """
-    postings = sets.select("digest", "n", F.explode("tokens").alias("token"))
+    postings = sets.select("cls", "n", F.explode("tokens").alias("token"))
     held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = postings.join(held, "token")
     places = F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1
-    ordered = shared.groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
+    ordered = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
     alone = F.col("n") - F.size("by_df")
     left = (places - alone).cast("int")
-    entries = stored(
-        ordered.where(left > 0).select(
-            "digest", "n", alone.alias("alone"), F.posexplode(F.slice("by_df", F.lit(1), left)).alias("i", "p")
-        ).select(
-            F.col("p.token").alias("token"), "digest", "n", F.floor(F.col("alone") * 1000 / F.col("n")).alias("own"),
-            (F.col("alone") + F.col("i")).alias("place"),
-        ),
-        "entries",
+    entries = ordered.where(left > 0).select(
+        "cls", "n", alone.alias("alone"), F.posexplode(F.slice("by_df", F.lit(1), left)).alias("i", "p")
+    ).select(
+        F.col("p.token").alias("token"), "cls", "n", F.floor(F.col("alone") * 1000 / F.col("n")).alias("own"),
+        (F.col("alone") + F.col("i")).alias("place"),
     )
+    return stored(entries, "entries")
+
+
+def _scanned_lists(entries: DataFrame) -> DataFrame:
+    """The entries that can matter in their lists.
+
+    Where the first shared shingle has place i (from 0) in a set of n, at most n - i shingles
+    are shared, so an entry stays only if that is enough for the smallest partner in its list.
+    """
     least = entries.groupBy("token").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
     partner = F.greatest("least", F.ceil(F.col("n") * SHARE / 100))
     return entries.join(least, "token").where(_within("n", "place", "n", partner)).drop("least", "m")
@@ -324,82 +358,170 @@ def _sizes_fit(a: str, b: str):  # noqa: ANN202
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of digests, those that link."""
-    left = sets.select(F.col("digest").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("digest").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(common * 100 >= SHARE * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    """Of pairs (a, b) of classes, those that link."""
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    parity = [f"p{k}" for k in range(PARITY)]
+    both = pairs.join(side("b", "n", *parity), "b").join(side("a", "n", *parity), "a")
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in parity), F.lit(0))
+    likely = stored(both.where(differ * (100 + SHARE) <= (100 - SHARE) * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "likely-pairs")
+    both = likely.join(side("b", "n", "tokens"), "b").join(side("a", "n", "tokens"), "a")
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    return both.where(common * 100 >= SHARE * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
+
+
+def _leads(turn: int, last: bool) -> Column:
+    """Whether a member leads in its list (m members; first: its first; biggest: its largest component)."""
+    if last:
+        return F.col("component") != F.col("biggest")
+    if not turn:
+        return F.col("cls") == F.col("first")
+    share = F.shiftrightunsigned(F.xxhash64("cls", F.lit(turn)), 11) / F.lit(float(1 << 53))
+    return share * F.col("m") < F.lit(float(MORE_LEADS**turn))
 
 
 def link_components(sets: DataFrame) -> DataFrame:
-    """digest, component (a digest) for the sets that link with others."""
-    limit = boundary()
-    large = F.col("n") >= min(partner_sizes(limit + 1))  # and the small sets that a large one may link with
-    small = _small_lists(sets, limit).distinct().select("token", "digest", "n", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("place"))
-    lists = stored(small.unionByName(_scanned_lists(sets.where(large))), "lists")
-    n_sets = sets.count()
-    links = sets.select(F.col("digest").alias("a"), F.col("digest").alias("b")).limit(0)
-    labels = None
-    while True:
+    """cls, component (a class) for the classes that link with others."""
+    entries = _entries(sets)
+    limit = boundary(entries, sets)
+    lists = _scanned_lists(entries.where(F.col("n") >= min(partner_sizes(limit + 1))))  # with the small sets that a large one may link with
+    if limit:
+        nothing = F.lit(0).cast("long")
+        small = _small_lists(sets, limit).distinct()
+        lists = lists.unionByName(small.select("token", "cls", "n", nothing.alias("own"), nothing.alias("place")))
+    lists = stored(lists, "lists")
+    n_sets, links, labels = sets.count(), None, None
+    for turn in range(22):  # MORE_LEADS ** 21 = 2 ** 63
         if labels is None:
-            tagged = lists.withColumn("component", F.col("digest"))
+            tagged = lists.withColumn("component", F.col("cls"))
         else:
-            tagged = lists.join(labels.withColumnRenamed("id", "digest"), "digest", "left").withColumn(
-                "component", F.coalesce("component", "digest")
-            )
+            tagged = lists.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         # A list with one component is done. The rest: who is first, and how many pairs are left.
-        by_part = tagged.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("own", "digest")).alias("first"))
+        by_part = tagged.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("own", "cls")).alias("first"))
         state = by_part.groupBy("token").agg(
             F.count(F.lit(1)).alias("parts"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"),
-            F.min("first")["digest"].alias("first"),
+            F.min("first")["cls"].alias("first"), F.max(F.struct("k", "component")).alias("most"),
         ).where("parts > 1")
-        state = stored(state, "list-states")
+        state = stored(state.select("token", "m", "squares", "first", F.col("most.k").alias("k"), F.col("most.component").alias("biggest")), "list-states")
         rest = state.agg(F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2)).first()[0]
         if rest is None:
             break
-        open_lists = stored(tagged.join(state.select("token", "first"), "token"), "open-lists")
-        last = rest <= max(REST_PAIRS * n_sets, 50_000)
-        if last:
-            other = open_lists.select("token", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-            fits = _sizes_fit("n", "nb") & _within("n", "place", "n", "nb") & _within("nb", "pb", "n", "nb")
-            pairs = open_lists.join(other, "token").where((F.col("digest") < F.col("b")) & (F.col("component") != F.col("cb")) & fits)
-            pairs = pairs.select(F.col("digest").alias("a"), "b")
-        else:
-            lead = open_lists.where("digest = first").select("token", F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-            fits = _sizes_fit("n", "nb") & _within("n", "place", "n", "nb") & _within("nb", "pb", "n", "nb")
-            pairs = open_lists.join(lead, "token").where((F.col("digest") != F.col("first")) & (F.col("component") != F.col("cb")) & fits)
-            pairs = pairs.select(F.col("first").alias("a"), F.col("digest").alias("b"))
-        pairs = stored(pairs.distinct(), "pairs")
-        links = stored(links.unionByName(verified(pairs, sets)), "links")
-        labels = stored(components(links), "components")
+        last = rest <= max(REST_PAIRS * n_sets, REST_LEAST)
+        many = F.col("m") - F.col("k") if last else F.least("m", F.lit(float(MORE_LEADS**turn)))
+        salts = F.greatest(F.ceil(F.col("m") * many / TASK_PAIRS), F.lit(1)).cast("int")
+        open_lists = stored(tagged.join(state.withColumn("salts", salts), "token").withColumn("leads", _leads(turn, last)), "open-lists")
+        lead = open_lists.where("leads").select(
+            "token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"),
+            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        )
+        fits = _sizes_fit("n", "nb") & _within("n", "place", "n", "nb") & _within("nb", "pb", "n", "nb")
+        met = open_lists.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).join(lead, ["token", "salt"])
+        pairs = met.where((F.col("component") != F.col("cb")) & fits).select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
+        new = stored(verified(stored(pairs.distinct(), "pairs"), sets), "new-links")
+        if not new.isEmpty():
+            links = new if links is None else stored(links.unionByName(new), "links")
+            labels = stored(components(links).withColumnRenamed("id", "cls"), "components")
         if last:
             break
-        lists = open_lists.where("digest <> first").select("token", "digest", "n", "own", "place")
+        lists = open_lists.where("not leads").select("token", "cls", "n", "own", "place")
     if labels is None:
-        return sets.select("digest", F.col("digest").alias("component")).limit(0)
-    return labels.select(F.col("id").alias("digest"), "component")
+        return sets.select("cls", F.col("cls").alias("component")).limit(0)
+    return labels
+
+
+def _counted_links(table: pa.Table) -> pa.Table:
+    """cls, links of one pair of blocks (i, j), for each component in it."""
+    component, cls, copies, part = (table.column(c).to_numpy() for c in ("component", "cls", "copies", "part"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    lists = table.column("tokens").combine_chunks()
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    n = np.diff(offsets)
+    links = np.zeros(len(cls))
+    order = np.argsort(component, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(component[order]) != 0, [True]]))
+    for at, to in zip(edges, edges[1:]):
+        own = order[at:to]
+        rows = [own[part[own] == i], own[part[own] == j]]
+        if not len(rows[0]) or not len(rows[1]):
+            continue
+        where = np.concatenate(rows) if i != j else rows[0]
+        token = np.concatenate([flat[offsets[r] : offsets[r + 1]] for r in where])
+        owner = np.repeat(np.arange(len(where)), n[where])
+        _, token = np.unique(token, return_inverse=True)
+        by_token = np.argsort(token, kind="stable")
+        token, owner = token[by_token], owner[by_token]
+        common = np.zeros((len(rows[0]), len(rows[1])))
+        b = slice(0 if i == j else len(rows[0]), None)
+        for low in range(0, int(token[-1]) + 1, 1024):
+            here = slice(*np.searchsorted(token, [low, low + 1024]))
+            held = np.zeros((len(where), 1024), np.float32)
+            held[owner[here], token[here] - low] = 1
+            common += held[: len(rows[0])] @ held[b].T
+        linked = common * (100 + SHARE) >= SHARE * (n[rows[0]][:, None] + n[rows[1]][None, :])
+        if i == j:
+            np.fill_diagonal(linked, False)
+        links[rows[0]] += linked @ copies[rows[1]]
+        if i != j:
+            links[rows[1]] += linked.T @ copies[rows[0]]
+    return pa.table({"cls": cls, "links": links.astype(np.int64)})
+
+
+def count_links(sets: DataFrame, linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, links: for each class of `linked` how many rows of other classes it links with."""
+    size = sets.join(linked, "cls").groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    size = stored(size.select("component", parts.alias("parts")), "component-sizes")
+    own = sets.select("cls", "tokens").join(linked, "cls").join(classes.select("cls", "copies"), "cls").join(size, "component")
+    own = own.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    buckets = max(64, size.count() // TASK_SETS)
+    # Components of one block share tasks; a pair of blocks of a larger one is a group of its own.
+    group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component"))
+    units = own.select("component", "cls", "copies", "part", "tokens", group.alias("unit"), other).select(
+        "unit", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "component", "cls", "copies", "part", "tokens"
+    )
+    counted = units.groupBy("unit", "i", "j").applyInArrow(_counted_links, "cls long, links long")
+    return counted.groupBy("cls").agg(F.sum("links").alias("links"))
+
 
+def find_near(docs: DataFrame, *, links: bool = True) -> DataFrame:
+    """_row, id, n_shingles, component_id, component (of classes; null for the empty set) and n_links for each row of docs.
 
-def find_near(docs: DataFrame) -> DataFrame:
-    """_row, id, n_shingles, component_id, component (of sets; null for the empty set) for each row of docs."""
+    Without `links` they are not counted.
+    """
     written(docs)
     rows = numbered(docs, F.col("doc_id").alias("id"), "text")
-    member = stored(members(rows), "members")
-    linked = stored(link_components(candidate_sets(rows, member)), "linked")
-    own = member.where("digest is not null")
-    classes = own.groupBy("digest").agg(F.min("id").alias("least"))
-    named = classes.join(linked, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    both = shingled(rows, max(64, 4 * rows.rdd.getNumPartitions()))
+    member = both.where("bucket is null").drop("bucket", "entries")
+    classes = stored(
+        member.where("digest is not null").groupBy("digest", "digest2").agg(
+            F.min("_row").alias("cls"), F.max("n").alias("n"), F.max("counted").alias("counted"), F.min("id").alias("least"),
+            F.count(F.lit(1)).alias("copies"),
+        ),
+        "classes",
+    )
+    sets = candidate_sets(rows, classes, credits(both.where("bucket is not null").select("bucket", "entries")))
+    linked = stored(link_components(sets), "linked")
+    named = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = own.join(named.join(least, "component").select("digest", "component", "component_id"), "digest")
-    empty = member.where("digest is null").select("*", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
+    named = named.join(least, "component").select("digest", "digest2", "cls", "copies", "component", "component_id")
     columns = ["_row", "id", F.col("n").alias("n_shingles"), "component_id", "component"]
-    return found.select(*columns).unionByName(empty.select(*columns))
+    if links:
+        named = named.join(count_links(sets, linked, classes), "cls", "left")
+        columns.append((F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = member.join(named.drop("cls"), ["digest", "digest2"]).select(*columns)
+    empty = member.where("digest is null").select(
+        "_row", "id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component"),
+        *[F.lit(0).cast("long").alias("n_links")] * links,
+    )
+    return found.unionByName(empty)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, the smallest id's first; rows without words all stay."""
-    near = stored(find_near(docs), "near").where("component is not null")
+    near = stored(find_near(docs, links=False), "near").where("component is not null")
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")
     first = near.groupBy("component").agg(F.min(key).alias("first"))
     dropped = near.join(first, "component").where(F.col("_row") != F.col("first._row"))
@@ -408,7 +530,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return find_near(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    return find_near(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 
 OP4_SQL = r"""
@@ -426,7 +548,9 @@ common AS (
 links AS (
   SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
 reach AS (SELECT x AS id, y AS r FROM links UNION SELECT reach.id, links.y FROM reach JOIN links ON reach.r = links.x),
-least_id AS (SELECT id, min(r) AS r FROM reach GROUP BY id)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(r, d.doc_id)) AS component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_id ON least_id.id = d.doc_id
+least_id AS (SELECT id, min(r) AS r FROM reach GROUP BY id),
+partners AS (SELECT x, count(*) AS k FROM links GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(r, d.doc_id)) AS component_id,
+       CAST(coalesce(k, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_id ON least_id.id = d.doc_id LEFT JOIN partners ON x = d.doc_id
 """

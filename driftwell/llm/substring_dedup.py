@@ -1,7 +1,7 @@
 """Substring dedup by hashing units of text: whole lines and paragraphs, and sentences inside them.
 
 Units are normalised (lower case, white space collapsed) and hashed to 128 bits. The
-earliest occurrence, by document id and place, is kept. Every later copy of a whole line or
+earliest occurrence, by document id, row and place, is kept. Every later copy of a whole line or
 paragraph is removed, whatever its length. Sentences add the passages that lie inside
 lines: they are removed where they stand in a run of removable sentences of at least
 `min_run_words` words, so that a short sentence that two clean documents happen to share
@@ -10,14 +10,16 @@ points of the original text.
 
 1. A pass hashes all units and counts the first 64 bits globally. Each task sends one row
    for each hash of a document, and the sums combine on the map side.
-2. The hashes seen more than once go into a bitmap of fixed size. A second pass sends only
-   units in the bitmap, with both halves of the hash; they are grouped by the whole hash,
-   joined to their first occurrence, and turned into runs for each document.
+2. The hashes seen more than once go into a bitmap of fixed size, which only spares work:
+   whatever it lets through is counted again. A second pass sends the units in the bitmap,
+   with both halves of the hash; they are grouped by the whole hash, joined to their first
+   occurrence, and turned into runs for each document.
 3. The runs are cut out of the texts.
 
-Defined results: null text stays null and has no units; rows with the same id are one
-document (they are not deduplicated against each other, nor dropped); a null id ranks
-last; columns besides id and text are kept, and none is added to `remove_repeats`.
+Defined results: null text stays null and has no units; rows with the same id are documents
+of their own, in the order of their rows, so the later of two equal rows loses all its
+units; ids of any type rank by their order, null last; no row goes; columns besides id and
+text are kept, may have any name, and none is added to `remove_repeats`.
 """
 
 from __future__ import annotations
@@ -36,17 +38,17 @@ from .workspace import NUMBER, numbered, sized, sliced, stored, written
 ENDS = {
     "line": re.compile(r"\n+"),
     "paragraph": re.compile(r"\n[ \t\r]*\n\s*"),
-    "sentence": re.compile(r"[.!?]+[ \t]+|[ \t\r]*\n\s*"),
+    # Runs of marks and blanks are tried from their fronts only, so that long ones take linear time.
+    "sentence": re.compile(r"(?<![.!?])[.!?]++[ \t]++|(?<![ \t\r])[ \t\r]++\n\s*+|\n\s*+"),
 }
 #: The unit of `units`, the query's (lines, paragraphs and sentences), and the least run of sentences.
 UNIT, ALL, MIN_RUN_WORDS = "sentence", "all", 15
 #: Bits of the filter of repeated hashes: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
-#: Rows of spans up to which they are broadcast to the texts.
-SPAN_ROWS = 500_000
+#: The columns that `with_spans` adds.
+SPANS, KEPT = "_driftwell_spans", "_driftwell_kept"
 #: Rows whose units a task holds at once.
 ROWS = 512
-_LAST = (1 << 63) - 1
 
 
 def units(text: str, unit: str = UNIT) -> Iterator[tuple[int, int, bytes, int]]:
@@ -102,28 +104,20 @@ def _split(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_hashes(rows: DataFrame, unit: str) -> DataFrame:
-    """First halves of the hashes that occur twice or more: in two documents, or in one."""
+    """First halves of the hashes that occur twice or more."""
     from xxhash import xxh3_64_intdigest
 
     def first_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS):
-            ranks, again, hashes = [], [], []
-            for rank, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-                seen: dict[int, bool] = {}
-                for _, _, whole, _, _, norm, _ in placed_units(text.as_py() or "", unit):
-                    h = xxh3_64_intdigest(norm, seed=whole)
-                    seen[h] = h in seen
-                hashes += seen
-                again += seen.values()
-                ranks += [rank] * len(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(ranks, pa.int64()), pa.array(again, pa.bool_())],
-                ["h1", "rank", "again"],
-            )
+            hashes = [
+                np.array([xxh3_64_intdigest(norm, seed=whole) for _, _, whole, _, _, norm, _ in placed_units(text.as_py() or "", unit)], np.uint64)
+                for text in batch.column(1)
+            ]
+            seen, n = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n.astype(np.int64))], ["h1", "n"])
 
-    found = rows.mapInArrow(first_halves, "h1 long, rank long, again boolean")
-    counted = found.groupBy("h1").agg(F.min("rank").alias("a"), F.max("rank").alias("b"), F.max("again").alias("again"))
-    return counted.where("a < b or again").select("h1")
+    found = rows.select("_row", "text").mapInArrow(first_halves, "h1 long, n long")
+    return found.groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1").select("h1")
 
 
 def hash_filter(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -139,7 +133,7 @@ def hash_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 
 
 def repeated_units(rows: DataFrame, unit: str, bitmap: np.ndarray) -> DataFrame:
-    """Every occurrence of a unit that is in the bitmap: _row, rank, unit_no, n_units, whole, start, end, n_words, h1, h2."""
+    """Every occurrence of a unit that is in the bitmap: _row, no_id, id, unit_no, n_units, whole, start, end, n_words, h1, h2."""
     from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
     held, bits = rows.sparkSession.sparkContext.broadcast(bitmap), bitmap.size * 8
@@ -148,7 +142,7 @@ def repeated_units(rows: DataFrame, unit: str, bitmap: np.ndarray) -> DataFrame:
         marks = held.value
         for batch in sliced(batches, ROWS):
             first, where, norms = [], [], []
-            for i, text in enumerate(batch.column(2)):
+            for i, text in enumerate(batch.column(3)):
                 for no, n, whole, start, end, norm, words in placed_units(text.as_py() or "", unit):
                     first.append(xxh3_64_intdigest(norm, seed=whole))
                     where.append((i, no, n, whole, start, end, words))
@@ -159,14 +153,14 @@ def repeated_units(rows: DataFrame, unit: str, bitmap: np.ndarray) -> DataFrame:
             low, high = _split([xxh3_128_intdigest(norms[i], seed=where[i][3]) for i in kept.tolist()])
             place = np.array(where, np.int64).reshape(-1, 7)[kept]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(place[:, 0])), batch.column(1).take(pa.array(place[:, 0])),
-                 *[pa.array(place[:, k]) for k in range(1, 7)], pa.array(low), pa.array(high)],
-                ["_row", "rank", "unit_no", "n_units", "whole", "start", "end", "n_words", "h1", "h2"],
+                [*[c.take(pa.array(place[:, 0])) for c in batch.columns[:3]], *[pa.array(place[:, k]) for k in range(1, 7)], pa.array(low), pa.array(high)],
+                ["_row", "no_id", "id", "unit_no", "n_units", "whole", "start", "end", "n_words", "h1", "h2"],
             )
 
+    kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
         occurrences,
-        "_row long, rank long, unit_no long, n_units long, whole long, start long, end long, n_words long, h1 long, h2 long",
+        f"_row long, no_id boolean, id {kind}, unit_no long, n_units long, whole long, start long, end long, n_words long, h1 long, h2 long",
     )
 
 
@@ -175,11 +169,11 @@ def find_repeats(
 ) -> DataFrame:
     """_row, spans (array of start, end, n_units; sorted) of the rows of docs that have units to remove."""
     written(docs)
-    rows = numbered(docs, F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("rank"), "text")
+    rows = numbered(docs, F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "text")
     bitmap = hash_filter(stored(repeated_hashes(rows, unit), "repeated-hashes"), filter_bits)
     found = stored(repeated_units(rows, unit, bitmap), "repeated-units")
-    place = F.struct("rank", "unit_no")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    place = F.struct("no_id", "id", "_row", "unit_no")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written first, so that the join shuffles both sides and a hot hash can be split.
     first = stored(first.select("h1", "h2", "first"), "first-places")
     later = found.join(first, ["h1", "h2"]).where(place > F.col("first"))
@@ -208,38 +202,32 @@ def find_repeats(
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with `_spans` (null where nothing goes) and `_kept`, the text without them.
+    """docs with SPANS (null where nothing goes) and KEPT, the text without them.
 
     docs is the DataFrame object that `find_repeats` was given, so that the numbers fit.
     """
-    rows = written(docs).join(sized(spans.select(F.col("_row").alias(NUMBER), F.col("spans").alias("_spans")), SPAN_ROWS), NUMBER, "left")
-    n = F.size("_spans")
-    between = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.substring(
-            "text",
-            (F.when(i == 0, F.lit(0)).otherwise(F.get("_spans", i - 1)["end"]) + 1).cast("int"),
-            F.when(i == n, F.char_length("text")).otherwise(F.get("_spans", i)["start"]).cast("int")
-            - F.when(i == 0, F.lit(0)).otherwise(F.get("_spans", i - 1)["end"]).cast("int"),
-        ),
-    )
-    return rows.withColumn("_kept", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(between, "")))
+    named = spans.select(F.col("_row").alias(NUMBER), F.col("spans").alias(SPANS))
+    rows = written(docs).join(sized(named, size=32 + 32 * F.size(SPANS)), NUMBER, "left")
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(SPANS, i - 1)["end"]).cast("int")
+    end = lambda i: F.when(i == F.size(SPANS), F.char_length("text")).otherwise(F.get(SPANS, i)["start"]).cast("int")
+    between = F.transform(F.sequence(F.lit(0), F.size(SPANS)), lambda i: F.substring("text", start(i) + 1, end(i) - start(i)))
+    return rows.withColumn(KEPT, F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(F.array_join(between, "")))
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeated units cut out of `text`; no row goes."""
-    return with_spans(docs, find_repeats(docs, **options)).withColumn("text", F.col("_kept")).select(*docs.columns)
+    return with_spans(docs, find_repeats(docs, **options)).withColumn("text", F.col(KEPT)).select(*docs.columns)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = with_spans(docs, find_repeats(docs))
-    spans = F.coalesce(F.col("_spans"), F.expr("array()").cast("array<struct<start:bigint,end:bigint,n_units:bigint>>"))
+    spans = F.coalesce(F.col(SPANS), F.expr("array()").cast("array<struct<start:bigint,end:bigint,n_units:bigint>>"))
     return rows.select(
         "doc_id",
-        F.col("_spans").isNotNull().alias("has_repeats"),
+        F.col(SPANS).isNotNull().alias("has_repeats"),
         F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["n_units"]).alias("n_removed"),
         F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),
         F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed_spans"),
-        F.col("_kept").alias("text"),
+        F.col(KEPT).alias("text"),
     )

@@ -10,8 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which one side of a join by id is broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 4_000_000
+#: Rows, and bytes where rows differ in size, up to which one side of a join is broadcast; beyond, both are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 #: The column that holds the numbers of a written table.
 NUMBER = "_driftwell_row_number"
@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
@@ -55,9 +57,15 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else unchanged (a shuffle join follows)."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, else unchanged (a shuffle join follows).
+
+    size: the bytes of a row, where rows differ in size; their sum must stay within BROADCAST_BYTES too.
+    """
+    small = is_small(df, rows)
+    if small and size is not None:
+        small = (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df
 
 
 def written(docs: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftwell.llm import components, exact_dedup, jaccard_join, sharding, substring_dedup
+from driftwell.llm.substring_dedup import KEPT, SPANS
 
 SCHEMA = "doc_id long, text string, _row string, lang string, source string"
 A = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
@@ -73,7 +75,7 @@ def brute_components(docs):
     for _, text in docs:
         w = (text or "").encode().lower().split()
         sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
-    parent = list(range(len(docs)))
+    parent, partners = list(range(len(docs))), [0] * len(docs)
 
     def find(x):
         while parent[x] != x:
@@ -84,17 +86,19 @@ def brute_components(docs):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
+                partners[i] += 1
+                partners[j] += 1
     ids = defaultdict(list)
     for i in range(len(docs)):
         ids[find(i)].append(docs[i][0])
     least = {root: min((x for x in members if x is not None), default=None) for root, members in ids.items()}
-    return [(docs[i][0], len(sets[i]), least[find(i)]) for i in range(len(docs))]
+    return [(docs[i][0], len(sets[i]), least[find(i)], partners[i]) for i in range(len(docs))]
 
 
 def near(spark, docs, path):
     spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(path)
     table = spark.read.parquet(path)
-    got = [(r["id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.find_near(table).collect()]
+    got = [(r["id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.find_near(table).collect()]
     stored = [(r["doc_id"], r["text"]) for r in table.collect()]
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(got, key=key) == sorted(brute_components(stored), key=key)
@@ -138,16 +142,32 @@ def test_jaccard_rounds(spark, tmp_path, monkeypatch):
         for _ in range(rng.randrange(0, 5)):
             w[rng.randrange(80)] = f"c{rng.randrange(30)}"
         docs.append((i, " ".join(w)))
-    real = max
     monkeypatch.setattr(jaccard_join, "REST_PAIRS", 0)
-    monkeypatch.setattr(jaccard_join, "max", lambda a, b: 40 if b == 50_000 else real(a, b), raising=False)
+    monkeypatch.setattr(jaccard_join, "REST_LEAST", 40)
+    for name, least in (("MORE_LEADS", 2), ("TASK_PAIRS", 16), ("BLOCK_SETS", 9), ("BLOCK_SHINGLES", 2000), ("TASK_ENTRIES", 500)):
+        monkeypatch.setattr(jaccard_join, name, least)
     near(spark, docs, f"{tmp_path}/g")
 
 
-def test_boundary_is_by_cost():
-    s = jaccard_join.boundary()
-    assert jaccard_join.subset_cost(s) <= jaccard_join.SUBSETS_PER_SHINGLE * s
-    assert jaccard_join.subset_cost(s + 1) > jaccard_join.SUBSETS_PER_SHINGLE * (s + 1)
+def test_templates(spark, tmp_path):
+    """Documents put together from common fragments share long lists and few links."""
+    import random
+
+    rng = random.Random(11)
+    fragments = [" ".join(f"f{k}w{i}" for i in range(60)) for k in range(30)]
+    docs = [(i, " ".join(fragments[k] for k in rng.sample(range(30), 10))) for i in range(150)]
+    docs += [(200 + i, " ".join([*d[1].split()[: 560 - i], f"end{i}"])) for i, d in enumerate(docs[:20])]
+    near(spark, docs, f"{tmp_path}/t")
+
+
+def test_boundary_is_by_cost(spark):
+    """Long lists of small sets make enumeration the cheaper way; without lists nothing is enumerated."""
+    sets = spark.range(2000).selectExpr("id AS cls", "8L AS n")
+    hot = spark.range(2000).selectExpr("7L AS token", "id AS cls", "8L AS n")
+    cold = spark.range(2000).selectExpr("id div 2 AS token", "id AS cls", "8L AS n")
+    assert jaccard_join.boundary(hot, sets) == 8 and jaccard_join.boundary(cold, sets) == 0
+    large = sets.withColumn("n", jaccard_join.F.lit(40).cast("long"))
+    assert jaccard_join.boundary(hot.withColumn("n", jaccard_join.F.lit(40).cast("long")), large) == 0
 
 
 @settings(max_examples=200, deadline=None)
@@ -169,13 +189,13 @@ PASSAGE = "The quick brown fox goes over. A lazy dog looks on and wonders why. T
 
 
 def brute_repeats(docs, unit, least):
-    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0))
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, i))
     seen, out = {}, {}
     for i in order:
-        doc_id, text = docs[i]
+        text = docs[i][1]
         runs, last = [], None
         for no, (start, end, norm, n) in enumerate(substring_dedup.units(text or "", unit)):
-            if seen.setdefault(norm, (doc_id, no)) == (doc_id, no):
+            if seen.setdefault(norm, (i, no)) == (i, no):
                 continue
             if last is not None and no == last + 1:
                 runs[-1][1], runs[-1][2] = end, runs[-1][2] + n
@@ -186,25 +206,46 @@ def brute_repeats(docs, unit, least):
     return out
 
 
-def test_substring_dedup(spark, tmp_path):
+def test_substring_dedup(spark, tmp_path, monkeypatch):
     docs = [
         (1, f"Some words in front. {PASSAGE} And an end."), (2, f"no stop here {PASSAGE} More.\nAnother line here."), (3, "A clean one. It shares nothing."),
-        (4, f"{PASSAGE}\n{PASSAGE}"), (5, None), (6, ""), (7, "Another line here."), (None, PASSAGE), (8, "x. " * 400),
+        (4, f"{PASSAGE}\n{PASSAGE}"), (5, None), (6, ""), (7, "Another line here."), (None, PASSAGE), (8, "x. " * 400), (3, "A clean one. It shares nothing."),
     ]
     spark.createDataFrame(docs, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/d")
     table = spark.read.parquet(f"{tmp_path}/d")
-    for unit in ("sentence", "line"):
-        expected = {docs[i]: s for i, s in brute_repeats(docs, unit, 15).items()}
-        rows = substring_dedup.with_spans(table, substring_dedup.find_repeats(table, unit, 15, 1 << 15)).collect()
+    stored = [(r["doc_id"], r["text"]) for r in table.collect()]
+    full = np.full(1 << 12, 255, np.uint8)  # a filter that lets everything through changes nothing
+    for unit, least, bitmap in (("sentence", 15, None), ("line", 5, None), ("paragraph", 1, full), ("sentence", 3, full)):
+        if bitmap is not None:
+            monkeypatch.setattr(substring_dedup, "hash_filter", lambda *_: full)
+        expected = sorted(str((*stored[i], s)) for i, s in brute_repeats(stored, unit, least).items())
+        rows = substring_dedup.with_spans(table, substring_dedup.find_repeats(table, unit, least, 1 << 15)).collect()
+        assert sorted(str((r["doc_id"], r["text"], [(s["start"], s["end"]) for s in r[SPANS] or []])) for r in rows) == expected
         for r in rows:
-            spans = expected[(r["doc_id"], r["text"])]
-            assert [(s["start"], s["end"]) for s in r["_spans"] or []] == spans
             text = r["text"]
-            for a, b in reversed(spans):
-                text = text[:a] + text[b:]
-            assert r["_kept"] == text
-    cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(table).collect()}
-    assert cut[1] == docs[0][1] and cut[3] == docs[2][1] and "lazy dog" not in cut[2]
+            for s in reversed(r[SPANS] or []):
+                text = text[: s["start"]] + text[s["end"] :]
+            assert r[KEPT] == text
+    monkeypatch.undo()
+    cut = {(r["doc_id"], r["text"]) for r in substring_dedup.remove_repeats(table).collect()}
+    assert {docs[0], docs[2], (3, "")} <= cut and not any("lazy dog" in t for i, t in cut if i == 2)
+
+
+def test_substring_dedup_of_string_ids(spark, tmp_path):
+    """Ids of any type; columns with the names of helpers come back as they were; of equal rows the first stays."""
+    docs = [("b", "Line of b.\nshared line", 1, "k", "s"), ("a", "shared line\nLine of a.", 2, "k", "s"), ("a", "shared line\nLine of a.", 3, "k", "s"), (None, "Line of b.", 4, "k", "s")]
+    spark.createDataFrame(docs, "doc_id string, text string, _row int, _kept string, _spans string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    got = {tuple(r) for r in substring_dedup.remove_repeats(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    assert got == {("b", "Line of b.\n", 1, "k", "s"), (*docs[1][:5],), ("a", "", 3, "k", "s"), (None, "", 4, "k", "s")}
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("." * 1_000_000, " " * 1_000_000, "\t\r" * 500_000 + "x", "!? " * 300_000, "\n \n" * 300_000):
+        list(substring_dedup.placed_units(text, "all"))
+    assert time.perf_counter() - began < 20
 
 
 def test_substring_dedup_whole_units(spark, tmp_path):
@@ -241,7 +282,7 @@ def test_numbers_outlive_the_partitions(spark, tmp_path):
         assert spans.count() == 20 and near_ones.count() == 40
         cut(8)
         assert table.rdd.getNumPartitions() > 1
-        got = {r["doc_id"]: r["_kept"] for r in substring_dedup.with_spans(table, spans).collect()}
+        got = {r["doc_id"]: r[KEPT] for r in substring_dedup.with_spans(table, spans).collect()}
         assert got == {i: t if i < 20 else f"own {i}" for i, t, _ in docs}
         twentieth = near_ones.where("id >= 20").select("_row")
         left = jaccard_join.without_rows(table, twentieth).collect()
