@@ -33,9 +33,8 @@ def stream_name(prefix: str, database: Column) -> Column:
 
 def normalize_ws(x: Column) -> Column:
     """White space collapsed to single spaces, none at the ends; null is empty."""
-    return F.regexp_replace(
-        F.regexp_replace(F.coalesce(x, F.lit("")), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), r"[ \t\n\x0B\f\r]+", " "
-    )
+    blanks = F.lit(" \t\n\x0b\f\r")
+    return F.regexp_replace(F.btrim(F.coalesce(x, F.lit("")), blanks), r"[ \t\n\x0B\f\r]+", " ")
 
 
 def kv_quote(x: Column) -> Column:

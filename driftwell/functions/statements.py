@@ -16,16 +16,36 @@ def grantee_text(grantee: Column) -> Column:
 
 
 def object_text(kind: Column, schema: Column, name: Column, arguments: Column | None = None) -> Column:
-    """What a statement calls an object: FUNCTION with its arguments, SCHEMA and DATABASE by name alone."""
+    """What GRANT and ALTER … OWNER call an object: views go as TABLE, routines with their arguments,
+    schemas and databases by name alone."""
     arguments = F.coalesce(arguments, F.lit("")) if arguments is not None else F.lit("")
     call = F.concat(qualified(schema, name), F.lit("("), arguments, F.lit(")"))
     return (
         F.when(kind.isin("schema", "database"), F.concat_ws(" ", F.upper(kind), quote_ident(name)))
-        .when(kind.isin("function", "procedure"), F.concat_ws(" ", F.upper(kind), call))
+        .when(kind.isin("function", "procedure"), F.concat_ws(" ", F.lit("ROUTINE"), call))
+        .when(kind.isin("table", "view", "materialized_view"), F.concat_ws(" ", F.lit("TABLE"), qualified(schema, name)))
         .otherwise(F.concat_ws(" ", F.upper(kind), qualified(schema, name)))
     )
 
 
+# What default privileges call the kinds of objects.
+DEFAULT_KINDS = {"r": "TABLES", "S": "SEQUENCES", "f": "FUNCTIONS", "T": "TYPES", "n": "SCHEMAS"}
+
+
+def privilege_change(verb: str) -> Column:
+    """GRANT or REVOKE of a row of `relations.privileges`; null for a kind of default that can't be stated."""
+    c = F.col
+    what = object_text(c("kind"), c("schema_name"), c("object_name"), c("func_args"))
+    plain = grant(c("privilege_type"), what, c("grantee"), c("is_grantable")) if verb == "GRANT" else revoke(c("privilege_type"), what, c("grantee"))
+    kinds = F.lit(None).cast("string")
+    for code, word in DEFAULT_KINDS.items():
+        kinds = F.when(c("objtype") == code, word).otherwise(kinds)
+    inner = grant(c("privilege_type"), kinds, c("grantee"), c("is_grantable")) if verb == "GRANT" else revoke(c("privilege_type"), kinds, c("grantee"))
+    scope = F.coalesce(F.concat(F.lit("IN SCHEMA "), quote_ident(c("schema_name")), F.lit(" ")), F.lit(""))
+    default = F.concat(F.lit("ALTER DEFAULT PRIVILEGES FOR ROLE "), quote_ident(c("for_role")), F.lit(" "), scope, inner)
+    return F.when(c("acl_kind") == "default", default).otherwise(plain)
+
+
 def grant(privilege: Column, what: Column, grantee: Column, grantable: Column) -> Column:
     option = F.when(grantable, F.lit(" WITH GRANT OPTION")).otherwise(F.lit(""))
     return F.concat(F.lit("GRANT "), privilege, F.lit(" ON "), what, F.lit(" TO "), grantee_text(grantee), option)
@@ -39,6 +59,11 @@ def owner_change(what: Column, owner: Column) -> Column:
     return F.concat(F.lit("ALTER "), what, F.lit(" OWNER TO "), quote_ident(owner))
 
 
+def set_value(sequence: Column, value: Column, called: Column) -> Column:
+    """setval of a sequence (its qualified name): `called` tells whether the value was handed out."""
+    return F.concat(F.lit("SELECT setval("), quote_literal(sequence), F.lit(", "), value.cast("string"), F.lit(", "), called.cast("string"), F.lit(")"))
+
+
 def trigger_state(schema: Column, table: Column, trigger: Column, state: Column) -> Column:
     """The statement for a trigger that is not in its usual state (`O`); null if it is."""
     word = F.when(state == "D", "DISABLE TRIGGER").when(state == "R", "ENABLE REPLICA TRIGGER").when(state == "A", "ENABLE ALWAYS TRIGGER")
@@ -47,11 +72,12 @@ def trigger_state(schema: Column, table: Column, trigger: Column, state: Column)
 
 def policy(schema: Column, table: Column, name: Column, command: Column, permissive: Column, roles: Column, using: Column, check: Column) -> Column:
     clause = lambda word, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f" {word} ("), x, F.lit(")"))).otherwise(F.lit(""))
+    named = F.when(F.coalesce(F.size(roles), F.lit(0)) > 0, roles).otherwise(F.array(F.lit("PUBLIC")))
     verb = F.when(command == "r", "SELECT").when(command == "a", "INSERT").when(command == "w", "UPDATE").when(command == "d", "DELETE").otherwise("ALL")
     return F.concat(
         F.lit("CREATE POLICY "), quote_ident(name), F.lit(" ON "), qualified(schema, table),
         F.lit(" AS "), F.when(permissive, "PERMISSIVE").otherwise("RESTRICTIVE"), F.lit(" FOR "), verb,
-        F.lit(" TO "), F.array_join(F.transform(F.array_sort(roles), grantee_text), ", "),
+        F.lit(" TO "), F.array_join(F.transform(F.array_sort(named), grantee_text), ", "),
         clause("USING", using), clause("WITH CHECK", check),
     )
 
@@ -73,10 +99,15 @@ def domain(schema: Column, name: Column, base: Column, default: Column, not_null
     )
 
 
+def collation_name(schema: Column, name: Column) -> Column:
+    """A collation as statements refer to it: with its schema, unless that is the system's."""
+    return F.when(schema.isNotNull() & (schema != "pg_catalog"), qualified(schema, name)).otherwise(quote_ident(name))
+
+
 def column_definition(c: dict[str, Column]) -> Column:
     """One column of CREATE TABLE: identity, sequence default, generated or plain, the first that holds."""
     head = F.concat_ws(" ", quote_ident(c["column_name"]), c["data_type"])
-    collate = F.coalesce(F.concat(F.lit(" COLLATE "), quote_ident(c["collation_name"])), F.lit(""))
+    collate = F.coalesce(F.concat(F.lit(" COLLATE "), collation_name(c["collation_schema"], c["collation_name"])), F.lit(""))
     not_null = F.when(c["not_null"], " NOT NULL").otherwise("")
     default = F.coalesce(F.concat(F.lit(" DEFAULT "), c["column_default"]), F.lit(""))
     always = F.when(c["identity"] == "a", "ALWAYS").otherwise("BY DEFAULT")
@@ -91,7 +122,7 @@ def column_definition(c: dict[str, Column]) -> Column:
 
 def setting(database: Column, entry: Column) -> Column:
     """ALTER DATABASE … SET of a `name=value` entry; list settings keep their value as it is."""
-    name, value = F.split_part(entry, F.lit("="), F.lit(1)), F.substring_index(entry, "=", -1)
+    name = F.split_part(entry, F.lit("="), F.lit(1))
     value = F.substring(entry, F.length(name) + 2, F.length(entry))
     shown = F.when(name.isin(LIST_SETTINGS), value).otherwise(quote_literal(value))
     return F.concat(F.lit("ALTER DATABASE "), quote_ident(database), F.lit(" SET "), quote_ident(name), F.lit(" TO "), shown)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+log = logging.getLogger(__name__)
+
+
 def shared_columns(source: DataFrame, target_columns: list[str], generated: frozenset[str] = frozenset()) -> list[str]:
     """Columns on both sides in the target's order, without generated ones."""
     return [c for c in target_columns if c in source.columns and c not in generated]
@@ -27,6 +31,22 @@ def chunk_plan(rows: DataFrame, key: str, chunks: int) -> DataFrame:
     )
 
 
+def page_plan(tables: DataFrame, workers: int, block_bytes: int = 8192) -> DataFrame:
+    """key, chunk_no, low, high (pages; the last has no end) of tables: key, pages (as last counted), bytes.
+
+    A table has at least the pages that its bytes fill, whatever was counted last. It is cut
+    into `workers` equal chunks if there are several workers and a page for each of them.
+    """
+    pages = F.greatest(F.coalesce("pages", F.lit(0)), F.floor(F.col("bytes") / block_bytes))
+    n = F.when((F.lit(workers) > 1) & (pages >= workers), F.lit(workers)).otherwise(1)
+    size = F.ceil(pages / n)
+    rows = tables.select("key", size.alias("size"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    return rows.select(
+        "key", "chunk_no", (F.col("chunk_no") * F.col("size")).cast("long").alias("low"),
+        F.when(F.col("chunk_no") < F.col("n") - 1, (F.col("chunk_no") + 1) * F.col("size")).cast("long").alias("high"),
+    )
+
+
 def with_chunk(rows: DataFrame, key: str, chunks: int) -> DataFrame:
     """rows with the chunk_no that the plan gives them: arithmetic on two numbers, no join."""
     first, last = rows.agg(F.min(key), F.max(key)).first()
@@ -56,6 +76,7 @@ def copy_tables(spark: SparkSession, tables: dict[str, tuple[DataFrame, str, lis
         try:
             return copy_table(*item)
         except Exception:  # the caller reports the table
+            log.exception("copy to %s failed", item[1])
             return -1
 
     with ThreadPoolExecutor(max_workers=at_once) as pool:

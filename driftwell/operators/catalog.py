@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Namespaces of the systems themselves, never moved.
+# Namespaces of the systems themselves, never moved.
 SYSTEM_SCHEMAS = [
-    "information_schema", "pg_catalog", "pg_toast",
-    "_timescaledb_cache", "_timescaledb_catalog", "_timescaledb_config", "_timescaledb_debug",
-    "_timescaledb_functions", "_timescaledb_internal", "timescaledb_experimental", "timescaledb_information", "toolkit_experimental",
-]
+    "pg_catalog", "information_schema", "pg_toast", "pg_anonymizer", "anon",
+    "_timescaledb_catalog", "_timescaledb_config", "_timescaledb_internal", "_timescaledb_cache",
+    "_timescaledb_functions", "_timescaledb_debug", "timescaledb_information", "timescaledb_experimental", "toolkit_experimental",
+]
 
 
 def discover(names: DataFrame, explicit: list[str] | None = None, exclude: list[str] = (), system: list[str] = SYSTEM_SCHEMAS) -> DataFrame:
@@ -21,6 +21,13 @@ def discover(names: DataFrame, explicit: list[str] | None = None, exclude: list[
     return names.where(~F.col("name").like(r"pg\_temp\_%") & ~F.col("name").like(r"pg\_toast\_temp\_%") & ~F.col("name").isin(left_out)).orderBy("name")
 
 
+def discover_databases(databases: DataFrame, explicit: list[str] | None = None, exclude: list[str] = ()) -> DataFrame:
+    """Databases to work on (datname, datistemplate): an explicit list wins; else all but templates and excluded ones, by name."""
+    if explicit:
+        return databases.where(F.col("datname").isin(explicit)).select("datname").orderBy("datname")
+    return databases.where(~F.col("datistemplate") & ~F.col("datname").isin(list(exclude))).select("datname").orderBy("datname")
+
+
 def uncovered(names: DataFrame, explicit: list[str], **options) -> DataFrame:
     """Names that discovery would give and the explicit list leaves out."""
     return discover(names, **options).where(~F.col("name").isin(explicit))
@@ -29,16 +36,27 @@ def uncovered(names: DataFrame, explicit: list[str], **options) -> DataFrame:
 def tree_depths(edges: DataFrame, max_depth: int = 32) -> DataFrame:
     """child, depth (0 for roots) of a forest of (child, parent) edges; a root's parent is null.
 
-    One join for each level, over edges that are hash-partitioned by parent.
+    One recursive query; each level is one join. A tree deeper than max_depth, or with a cycle, fails.
+    """
+    return edges.sparkSession.sql(
+        f"""WITH RECURSIVE tree(child, depth) MAX RECURSION LEVEL {max_depth + 1} AS (
+          SELECT child, 0 FROM {{edges}} WHERE parent IS NULL
+          UNION ALL SELECT e.child, t.depth + 1 FROM tree t JOIN {{edges}} e ON e.parent = t.child)
+        SELECT child, depth FROM tree""",
+        edges=edges,
+    )
+
+
+def by_depth(tables: DataFrame, edges: DataFrame) -> DataFrame:
+    """tables (schema_name, table_name, oid) with part_depth, parents before their partitions.
+
+    edges: oid and parent of partitions; tables that are in no tree have depth 0.
     """
-    level = edges.where("parent is null").select("child", F.lit(0).cast("int").alias("depth"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        level = edges.join(level.select(F.col("child").alias("parent")), "parent").select("child", F.lit(depth).cast("int").alias("depth"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError("the tree is deeper than max_depth, or has a cycle")
+    roots = edges.select(F.col("parent").alias("child")).distinct().join(edges.select(F.col("oid").alias("child")), "child", "left_anti")
+    tree = edges.select(F.col("oid").alias("child"), "parent").unionByName(roots.withColumn("parent", F.lit(None).cast(edges.schema["parent"].dataType)))
+    depths = tree_depths(tree).select(F.col("child").alias("oid"), F.col("depth").alias("part_depth"))
+    out = tables.join(depths, "oid", "left").withColumn("part_depth", F.coalesce("part_depth", F.lit(0)))
+    return out.orderBy("part_depth", "schema_name", "table_name")
 
 
 def leaves(edges: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import definitions as D
 from ..functions import statements as S
 from ..functions.names import normalize_ws, qualified
-from .catalog import missing_labels
+from . import relations as R
+from .catalog import by_depth, missing_labels
 from .keyed_diff import DIFFERENT, MISSING_ON_SOURCE, MISSING_ON_TARGET, only_left
 
 COLUMNS = ["section_no", "object_type", "schema", "table", "name", "drift_type", "detail", "fix_ddl"]
@@ -23,7 +25,7 @@ def _items(rows: DataFrame, section: int, object_type, schema, table, name, kind
 
 def schema_drift(source: DataFrame, target: DataFrame) -> DataFrame:
     s = F.col("schema_name")
-    return _items(only_left(source, target, ["schema_name"]), 1, "schema", F.lit(""), F.lit(""), s, MISSING_ON_TARGET, fix=F.concat(F.lit("CREATE SCHEMA "), S.quote_ident(s)))
+    return _items(only_left(source, target, ["schema_name"]), 1, "schema", F.lit(""), F.lit(""), s, MISSING_ON_TARGET, fix=F.concat(F.lit("CREATE SCHEMA IF NOT EXISTS "), S.quote_ident(s)))
 
 
 def table_drift(source: DataFrame, target: DataFrame, create: DataFrame | None = None) -> DataFrame:
@@ -39,16 +41,18 @@ def table_drift(source: DataFrame, target: DataFrame, create: DataFrame | None =
     )
 
 
-def column_drift(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Columns of tables on both sides: missing, extra, or of another type."""
+def column_drift(source: DataFrame, target: DataFrame, partitions: DataFrame | None = None) -> DataFrame:
+    """Columns of tables on both sides: missing, extra, or of another type. `partitions` are passed over: they follow their parents."""
     table_key, key = ["schema_name", "table_name"], ["schema_name", "table_name", "column_name"]
     common = source.select(table_key).distinct().join(target.select(table_key).distinct(), table_key)
+    if partitions is not None:
+        common = common.join(partitions.select(table_key), table_key, "left_anti")
     src, tgt = source.join(common, table_key), target.join(common, table_key)
     s, t, c = (F.col(k) for k in key)
-    definition = S.column_definition({k: F.col(k) for k in ("column_name", "data_type", "not_null", "column_default", "is_generated", "identity", "identity_options", "collation_name")})
-    add = F.concat(F.lit("ALTER TABLE "), qualified(s, t), F.lit(" ADD COLUMN "), definition)
+    parts = ("column_name", "data_type", "not_null", "column_default", "is_generated", "identity", "identity_options", "collation_name", "collation_schema")
+    add = F.concat(F.lit("ALTER TABLE "), qualified(s, t), F.lit(" ADD COLUMN "), S.column_definition({k: F.col(k) for k in parts}))
     other = src.join(tgt.select(*key, F.col("data_type").alias("_type")), key).where(~F.col("data_type").eqNullSafe(F.col("_type")))
-    mismatch = F.concat(F.lit("Type mismatch: source="), F.col("data_type"), F.lit(", target="), F.col("_type"))
+    mismatch = F.concat(F.lit("source has "), F.col("data_type"), F.lit(", target has "), F.col("_type"))
     return (
         _items(only_left(src, tgt, key), 4, "column", s, t, c, MISSING_ON_TARGET, fix=add)
         .unionByName(_items(only_left(tgt, src, key), 5, "column", s, t, c, MISSING_ON_SOURCE))
@@ -73,36 +77,39 @@ def enum_drift(source: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-def definition_drift(source: DataFrame, target: DataFrame, section: int, keys: list[str], object_type, compare: dict[str, Column], fix: Column, table: Column | None = None) -> DataFrame:  # noqa: ANN001
-    """Functions, triggers, policies, views: missing, or with an unequal definition.
+def definition_drift(
+    source: DataFrame, target: DataFrame, section: int, keys: list[str], object_type, compare: dict[str, Column], fix: Column,  # noqa: ANN001
+    table: Column | None = None, replace: Column | None = None, name: Column | None = None,
+) -> DataFrame:
+    """Functions, triggers, policies, views: missing (fix), or with an unequal definition (replace, else fix).
 
     compare: name → expression; texts are compared with white space collapsed.
     """
-    mine, theirs = source, target.select(*keys, *[e.alias(f"_t_{k}") for k, e in compare.items()])
-    both = mine.join(theirs, keys)
+    both = source.join(target.select(*keys, *[e.alias(f"_t_{k}") for k, e in compare.items()]), keys)
     differs = F.lit(False)
     for k, e in compare.items():
         differs = differs | ~e.eqNullSafe(F.col(f"_t_{k}"))
-    schema, name = F.col("schema_name"), F.col(keys[-1])
+    schema, shown = F.col("schema_name"), name if name is not None else F.col(keys[-1])
     at = table if table is not None else F.lit("")
-    return _items(only_left(source, target, keys), section, object_type, schema, at, name, MISSING_ON_TARGET, fix=fix).unionByName(
-        _items(both.where(differs), section, object_type, schema, at, name, DIFFERENT, fix=fix)
+    return _items(only_left(source, target, keys), section, object_type, schema, at, shown, MISSING_ON_TARGET, fix=fix).unionByName(
+        _items(both.where(differs), section, object_type, schema, at, shown, DIFFERENT, fix=fix if replace is None else replace)
     )
 
 
 def function_drift(source: DataFrame, target: DataFrame) -> DataFrame:
-    first = F.substring_index("func_def", "\n", 1)
-    keyed = lambda df: df.withColumn("_head", first)
-    found = definition_drift(keyed(source), keyed(target), 10, ["schema_name", "_head"], "function", {"body": normalize_ws(F.col("func_def"))}, F.col("func_def"))
-    named = keyed(source).select(F.col("schema_name").alias("schema"), F.col("_head").alias("name"), "func_name")
-    return found.join(named, ["schema", "name"], "left").withColumn("name", F.coalesce("func_name", "name")).select(COLUMNS)
+    """Functions by name and arguments, so that overloads stay apart."""
+    keys = ["schema_name", "func_name", "func_args"]
+    return definition_drift(source, target, 10, keys, "function", {"body": normalize_ws(F.col("func_def"))}, F.col("func_def"), name=F.col("func_name"))
 
 
-def view_drift(source: DataFrame, target: DataFrame) -> DataFrame:
+def view_drift(source: DataFrame, target: DataFrame, kept_up: DataFrame | None = None) -> DataFrame:
+    """Views by normalised text. kept_up: views of the source that another system keeps, which are passed over."""
+    keys = ["schema_name", "view_name"]
+    if kept_up is not None:
+        source = source.join(kept_up.select(keys), keys, "left_anti")
     kind = F.when(F.col("relkind") == "m", "materialized_view").otherwise("view")
-    word = F.when(F.col("relkind") == "m", "CREATE MATERIALIZED VIEW ").otherwise("CREATE OR REPLACE VIEW ")
-    fix = F.concat(word, qualified(F.col("schema_name"), F.col("view_name")), F.lit(" AS "), F.col("view_def"))
-    return definition_drift(source, target, 14, ["schema_name", "view_name"], kind, {"def": normalize_ws(F.col("view_def"))}, fix)
+    make = lambda exists: D.view(F.col("schema_name"), F.col("view_name"), F.col("relkind"), F.col("view_def"), exists)
+    return definition_drift(source, target, 14, keys, kind, {"def": normalize_ws(F.col("view_def"))}, make(False), replace=make(True))
 
 
 def trigger_drift(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -137,45 +144,142 @@ def row_security_drift(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def owner_drift(source: DataFrame, target: DataFrame, roles: DataFrame) -> DataFrame:
     """Objects on both sides with another owner; a fix only if the target knows the role."""
-    keys = ["schema_name", "object_name", "kind"]
-    both = source.join(target.select(*keys, F.col("owner").alias("_owner")), keys).where("owner <> _owner")
+    keys = ["schema_name", "object_name", "kind", "func_args"]
+    theirs = target.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("owner").alias("_owner"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    both = source.join(theirs, same & (F.col("owner") != F.col("_owner")))
     both = both.join(roles.select(F.col("rolname").alias("owner"), F.lit(True).alias("_known")), "owner", "left")
-    s, n, k = (F.col(x) for x in keys)
-    fix = F.when(F.col("_known"), S.owner_change(S.object_text(k, s, n), F.col("owner")))
+    s, n, k, a = (F.col(x) for x in keys)
+    fix = F.when(F.col("_known"), S.owner_change(S.object_text(k, s, n, a), F.col("owner")))
     detail = F.concat(F.lit("source="), F.col("owner"), F.lit(", target="), F.col("_owner"))
     return _items(both, 15, F.concat(F.lit("ownership ("), k, F.lit(")")), s, F.when(k == "table", n).otherwise(""), n, DIFFERENT, detail, fix)
 
 
-PRIVILEGE_KEY = ["kind", "schema_name", "object_name", "grantee", "privilege_type"]
+PRIVILEGE_KEY = ["acl_kind", "kind", "schema_name", "object_name", "func_args", "for_role", "objtype", "grantee", "privilege_type"]
 
 
 def privilege_drift(source: DataFrame, target: DataFrame, roles: DataFrame) -> DataFrame:
     """Grants on one side only, and grants that differ in the grant option (reported once, as different)."""
     s, n, k, g, p = (F.col(x) for x in ("schema_name", "object_name", "kind", "grantee", "privilege_type"))
     known = roles.select(F.col("rolname").alias("grantee"), F.lit(True).alias("_known"))
-    what, name = S.object_text(k, s, n), F.concat_ws(":", g, p)
-    kind = F.concat(F.lit("privilege ("), k, F.lit(")"))
-    table = F.when(k.isin("table", "view", "sequence"), n).otherwise("")
-    add = F.when(F.coalesce("_known", F.lit(False)) | (g == "PUBLIC"), S.grant(p, what, g, F.col("is_grantable")))
-    missing = only_left(source, target, PRIVILEGE_KEY).join(known, "grantee", "left")
-    extra = only_left(target, source, PRIVILEGE_KEY)
-    option = source.join(target.select(*PRIVILEGE_KEY, F.col("is_grantable").alias("_g")), PRIVILEGE_KEY).where("is_grantable <> _g").join(known, "grantee", "left")
+    kind, name = F.concat(F.lit("privilege ("), k, F.lit(")")), F.concat_ws(":", g, p)
+    table = F.when(k.isin("table", "view", "materialized_view", "sequence"), n).otherwise("")
+    add = F.when(F.coalesce("_known", F.lit(False)) | (g == "PUBLIC"), S.privilege_change("GRANT"))
+    theirs = target.select(*[F.col(x).alias(f"_{x}") for x in PRIVILEGE_KEY], F.col("is_grantable").alias("_g"))
+    same = F.lit(True)
+    for x in PRIVILEGE_KEY:
+        same = same & F.col(x).eqNullSafe(F.col(f"_{x}"))
+    missing = source.join(theirs, same, "left_anti").join(known, "grantee", "left")
+    mine = source.select(*[F.col(x).alias(f"_{x}") for x in PRIVILEGE_KEY])
+    extra = target.join(mine, same, "left_anti")
+    option = source.join(theirs, same & (F.col("is_grantable") != F.col("_g"))).join(known, "grantee", "left")
     return (
         _items(missing, 16, kind, s, table, name, MISSING_ON_TARGET, fix=add)
         .unionByName(_items(option, 16, kind, s, table, name, DIFFERENT, F.lit("grant option differs"), add))
-        .unionByName(_items(extra, 17, kind, s, table, name, MISSING_ON_SOURCE, fix=S.revoke(p, what, g)))
+        .unionByName(_items(extra, 17, kind, s, table, name, MISSING_ON_SOURCE, fix=S.privilege_change("REVOKE")))
     )
 
 
+def table_definitions(s: R.System) -> DataFrame:
+    """schema_name, table_name, ddl of all tables: columns in order, or PARTITION OF."""
+    parts = ("column_name", "data_type", "not_null", "column_default", "is_generated", "identity", "identity_options", "collation_name", "collation_schema")
+    keys = ["schema_name", "table_name"]
+    lines = R.columns(s).select(*keys, F.struct("ordinal", S.column_definition({k: F.col(k) for k in parts}).alias("line")).alias("l"))
+    lines = lines.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]).alias("lines"))
+    rows = R.partition_info(s).join(lines, keys, "left")
+    lines = F.coalesce("lines", F.array().cast("array<string>"))
+    return rows.select(*keys, "is_partition", D.table(F.col("schema_name"), F.col("table_name"), lines).alias("ddl"))
+
+
+def full_definitions(s: R.System) -> DataFrame:
+    """schema_name, table_name, ddl: the table, then its constraints and indexes by name; a partition has its parent's."""
+    keys = ["schema_name", "table_name"]
+    k, n = F.col("schema_name"), F.col("table_name")
+    added = R.constraints(s).select(*keys, F.lit(1).alias("o"), F.col("constraint_name").alias("x"), D.add_constraint(k, n, F.col("constraint_name"), F.col("constraint_def")).alias("t"))
+    added = added.unionByName(R.indexes(s).where("not is_primary").select(*keys, F.lit(2).alias("o"), F.col("index_name").alias("x"), F.col("index_def").alias("t")))
+    added = added.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "x", "t"))), lambda a: a["t"]).alias("added"))
+    rows = table_definitions(s).join(added, keys, "left")
+    rest = F.when(~F.col("is_partition"), F.col("added"))
+    return rows.select(*keys, F.array_join(F.concat(F.array("ddl"), F.coalesce(rest, F.array().cast("array<string>"))), ";\n").alias("ddl"))
+
+
+def _schemas(s: R.System) -> DataFrame:
+    names = s["pg_namespace"].select(F.col("nspname").alias("schema_name"))
+    return names if s.schemas is None else names.where(F.col("schema_name").isin(s.schemas))
+
+
+def _tables(s: R.System) -> DataFrame:
+    return s.relations("rp").select("schema_name", "table_name")
+
+
+def missing_tables(source: R.System, target: R.System) -> DataFrame:
+    """Tables on one side only. Those that the target lacks come with their depth in `detail`, parents
+    before partitions, and each makes its schema first where the target lacks that."""
+    s, key = F.col("schema_name"), ["schema_name", "table_name"]
+    lacking = only_left(_schemas(source), _schemas(target), ["schema_name"]).select("schema_name", F.lit(True).alias("_new"))
+    first = F.when(F.col("_new"), F.concat(F.lit("CREATE SCHEMA IF NOT EXISTS "), S.quote_ident(s), F.lit("; "))).otherwise("")
+    create = full_definitions(source).join(lacking, "schema_name", "left").select(*key, F.concat(first, F.col("ddl")).alias("ddl"))
+    depths = by_depth(source.relations("rp").select("oid", *key), source["pg_inherits"].select(F.col("inhrelid").alias("oid"), F.col("inhparent").alias("parent")))
+    depths = depths.select(s.alias("schema"), F.col("table_name").alias("table"), "part_depth")
+    deep = F.when(F.col("drift_type") == MISSING_ON_TARGET, F.lpad(F.coalesce("part_depth", F.lit(0)).cast("string"), 3, "0")).otherwise("")
+    return table_drift(_tables(source), _tables(target), create).join(depths, ["schema", "table"], "left").withColumn("detail", deep).select(COLUMNS)
+
+
+def structure_drift(source: R.System, target: R.System) -> list[DataFrame]:
+    """Columns, indexes and constraints of tables on both sides; partitions have their parents'."""
+    s, t = F.col("schema_name"), F.col("table_name")
+    partitions = R.partition_info(source).where("is_partition")
+    pair = lambda f: only_common(f(source), f(target), [_tables(source), _tables(target)], partitions)
+    add = D.add_constraint(s, t, F.col("constraint_name"), F.col("constraint_def"))
+    return [
+        column_drift(R.columns(source), R.columns(target), partitions),
+        named_drift(*pair(R.indexes), 7, "index", "index_name", "index_def", F.col("index_def")),
+        named_drift(*pair(R.constraints), 8, "constraint", "constraint_name", "constraint_def", add),
+    ]
+
+
+def detect_drift(source: R.System, target: R.System, enums: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Every section of the report, from the system tables of both sides, in the fixed order of sections.
+
+    enums: schema_name, type_name, labels of both sides.
+    """
+    roles = target["pg_roles"].select("rolname").distinct()
+    return report([
+        schema_drift(_schemas(source), _schemas(target)),
+        missing_tables(source, target),
+        *structure_drift(source, target),
+        *([enum_drift(*enums)] if enums else []),
+        function_drift(R.functions(source), R.functions(target)),
+        trigger_drift(R.triggers(source), R.triggers(target)),
+        row_security_drift(R.row_security(source), R.row_security(target)),
+        policy_drift(R.policies(source), R.policies(target)),
+        view_drift(R.views(source), R.views(target)),
+        owner_drift(R.owners(source), R.owners(target), roles),
+        privilege_drift(R.privileges(source), R.privileges(target), roles),
+    ])
+
+
+def only_common(source: DataFrame, target: DataFrame, tables: list[DataFrame], partitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of tables that both sides have and that are no partitions."""
+    key = ["schema_name", "table_name"]
+    common = tables[0].join(tables[1], key, "left_semi").join(partitions.select(key), key, "left_anti")
+    return source.join(common, key, "left_semi"), target.join(common, key, "left_semi")
+
+
 def report(sections: list[DataFrame]) -> DataFrame:
-    """All items; sort by ORDER to read them."""
+    """All items; sort by `ordered` to read them."""
     out = sections[0].select(COLUMNS)
     for s in sections[1:]:
         out = out.unionByName(s.select(COLUMNS))
     return out
 
 
-ORDER = ["section_no", "schema", "table", "name", "drift_type", "detail"]
+def ordered() -> list[Column]:
+    """The order to read items in: by section, missing tables by depth (their detail), then by name."""
+    depth = F.when(F.col("object_type") == "table", F.col("detail")).otherwise("")
+    return [F.col("section_no"), depth, *[F.col(c) for c in ("schema", "table", "name", "drift_type", "detail")]]
 
 
 def fixes(items: DataFrame, drop_extra: bool = False) -> DataFrame:
@@ -184,5 +288,5 @@ def fixes(items: DataFrame, drop_extra: bool = False) -> DataFrame:
     chosen = items.where("fix_ddl <> ''")
     if not drop_extra:
         chosen = chosen.where(F.col("drift_type") != MISSING_ON_SOURCE)
-    foreign = F.col("fix_ddl").contains("FOREIGN KEY").cast("int").alias("is_fk")
-    return chosen.select(foreign, *COLUMNS).orderBy("is_fk", *ORDER)
+    foreign = F.col("fix_ddl").contains("FOREIGN KEY")
+    return chosen.select(foreign.cast("int").alias("is_fk"), *COLUMNS).orderBy("is_fk", *ordered())

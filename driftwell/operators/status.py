@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import kv_quote, stream_name
 
-#: The sections of a status record.
+# The sections of a status record, and the words for its health and level below.
 SECTIONS = ["subscription", "slots", "lag", "tables", "sequences", "drift"]
 
 
@@ -40,6 +40,63 @@ def line(database: Column, section: str, **values: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
+def _lines(rows: DataFrame, section: str, **names: str) -> DataFrame:
+    """database and a line of the named columns (key=column), values quoted where they must be."""
+    return rows.select("database", line(F.col("database"), section, **{k: kv_quote(F.col(c).cast("string")) for k, c in names.items()}).alias("line"))
+
+
+def subscription_lines(rows: DataFrame) -> DataFrame:
+    """The apply workers: those of single tables last."""
+    return _lines(rows.orderBy("database", F.col("relid").isNull().desc(), "subname"), "subscription", name="subname", pid="pid", received_lsn="received_lsn", latest_end_lsn="latest_end_lsn", lag="lag")
+
+
+def slot_lines(rows: DataFrame) -> DataFrame:
+    return _lines(rows, "slot", name="slot_name", type="slot_type", active="active", restart_lsn="restart_lsn", confirmed_flush_lsn="confirmed_flush_lsn", wal_status="wal_status")
+
+
+def lag_lines(rows: DataFrame) -> DataFrame:
+    return _lines(rows, "lag", app="application_name", state="state", sent_lsn="sent_lsn", replay_lsn="replay_lsn", write_lag="write_lag", replay_lag="replay_lag")
+
+
+def collect_sections(databases: DataFrame, sections: dict[str, DataFrame | Exception]) -> DataFrame:
+    """database, an array of rows for each section, errors (section → what went wrong).
+
+    A section that could not be read is an Exception: it's empty for every database and named in `errors`.
+    """
+    out, errors = databases, []
+    for name in SECTIONS:
+        rows = sections.get(name)
+        if rows is None or isinstance(rows, Exception):
+            out = out.withColumn(name, F.array().cast("array<string>"))
+            if rows is not None:
+                errors += [F.lit(name), F.lit(f"{type(rows).__name__}: {rows}")]
+            continue
+        columns = [c for c in rows.columns if c != "database"]
+        grouped = rows.groupBy("database").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(grouped, "database", "left").withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+    return out.withColumn("errors", F.create_map(*errors) if errors else F.create_map().cast("map<string,string>"))
+
+
+def render(status: DataFrame, sections: list[str] | None = None) -> DataFrame:
+    """database, json of the chosen sections and of the errors."""
+    chosen = [s for s in SECTIONS if sections is None or s in sections]
+    return status.select("database", F.to_json(F.struct("database", *chosen, "errors")).alias("json"))
+
+
+def totals(results: DataFrame) -> DataFrame:
+    """rows, tables and failed tables of copies: key, rows (-1: failed)."""
+    failed = F.col("rows") < 0
+    return results.agg(
+        F.coalesce(F.sum(F.when(~failed, F.col("rows"))), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_tables"),
+        F.count(F.when(failed, 1)).alias("n_failed"),
+    ).withColumn("n_rows_text", F.format_number("n_rows", 0))
+
+
+def updated_count(report: DataFrame) -> DataFrame:
+    """How many sequences a report of `sequences.reconcile` brought forward, and how many need attention."""
+    return report.agg(F.count(F.when(F.col("status") == "updated", 1)).alias("n_updated"), F.count(F.when(F.col("status") == "target_ahead", 1)).alias("n_ahead"))
+
+
 def table_lines(rows: DataFrame) -> DataFrame:
     """database, schema, source, target → line."""
     return rows.select(

@@ -8,23 +8,11 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .functions import statements as S
 from .operators import bulk_copy, catalog, changes, drift, integrity, keyed_diff, sequences, status
+from .operators.ordering import with_places
 from .plans import reinit
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401  the first two are what others take from here
 from .sources.tables import shared_path, table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- row drift ------------------------------------------------------------------------
 
 _ORDERS_TARGET = """
@@ -410,10 +398,8 @@ def o04_fix_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _catalog_pair(spark, sf_dir)
     kind = F.when(F.col("p_partkey") % 3 == 0, "ALTER TABLE x ADD CONSTRAINT y FOREIGN KEY").otherwise("CREATE TABLE x")
     items = drift.table_drift(source, target, source.select("schema_name", "table_name", kind.alias("ddl")))
-    ordered = drift.fixes(items)
-    # zipWithIndex numbers a sorted table without bringing it into one task
-    numbered = ordered.select("is_fk", "name").rdd.zipWithIndex().map(lambda x: (int(x[0][1][4:]), x[0][0], x[1] + 1))
-    return spark.createDataFrame(numbered, "p_partkey long, is_fk int, place long")
+    part = F.substring("name", 5, 20).cast("long")
+    return with_places(drift.fixes(items), "is_fk", *drift.ordered()).select(part.alias("p_partkey"), "is_fk", "place")
 
 
 # ---- status ---------------------------------------------------------------------------
@@ -529,11 +515,31 @@ def r14_cdc_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FINAL_SQL)
 def r14_stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same state, by a stream over the table's files that runs until they are read."""
-    from .streaming.apply import VersionedTable, start_apply
-
-    schema = table(spark, sf_dir, "events").schema
-    log = as_changes(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events*.parquet"))
-    target = VersionedTable(spark, shared_path(spark, "users"), log.select("user_id", "event_id", "event_type").schema)
-    start_apply(log, target, ["user_id"], shared_path(spark, "users-checkpoint")).awaitTermination()
+    """The same state, by a stream over files that come in no order: one batch for each, compacted on the way."""
+    from .streaming.apply import ChangeTable, start_apply
+
+    log, at = as_changes(table(spark, sf_dir, "events")), shared_path(spark, "changes")
+    log.repartition(4, "event_id").write.parquet(at)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    target = ChangeTable(spark, shared_path(spark, "users"), log.select("user_id", "event_id", "event_type").schema, ["user_id"])
+    start_apply(stream, target, shared_path(spark, "users-checkpoint")).awaitTermination()
+    target.compact()
     return target.read()
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM (
+  SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, live DESC) AS k, live
+  FROM (SELECT CASE WHEN event_type = 'view' THEN user_id + 1000 ELSE user_id END AS user_id, event_id, ts, event_type, event_type <> 'error' AS live FROM events
+        UNION ALL SELECT user_id, event_id, ts, event_type, FALSE FROM events WHERE event_type = 'view'))
+WHERE k = 1 AND live""")
+def r14_key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views move their user's row to another key."""
+    log = as_changes(table(spark, sf_dir, "events"))
+    moves = F.col("event_type") == "view"
+    log = log.withColumn("before", F.when(moves, F.struct("user_id"))).withColumn("user_id", F.when(moves, F.col("user_id") + 1000).otherwise(F.col("user_id")))
+    empty = log.select("user_id", "event_id", "event_type").limit(0)
+    return changes.apply_keyed(empty, log, ["user_id"])
+
+
+from . import catalog_queries  # noqa: E402, F401  registers its queries

@@ -1,71 +1,96 @@
-"""Continuous apply of a change stream onto a versioned table.
+"""Continuous apply of a change stream onto a keyed table.
 
-A stream of changes is applied batch by batch: batch n turns the newest version into
-version n + 1, a folder that counts once Spark's commit marker is in it. A batch that is
-replayed finds its version there and does nothing, so a restart from the checkpoint gives
-the same table as a run without one.
+A batch appends the last change of each of its keys, with its position, as one immutable
+folder that counts once Spark's commit marker is in it; nothing else is written. Reading
+takes the last change of each key over all folders, so the order in which batches and files
+come doesn't matter, and an older change never covers a newer one. A batch that is replayed
+writes its folder again. `compact` brings the folders up to now into one.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..operators.changes import apply_keyed
+from ..operators.changes import last_changes, split_key_changes
 
 
-class VersionedTable:
-    """Immutable versions of a table under one folder."""
+class ChangeTable:
+    """The last change of each key, in folders below one path; deletes stay as changes, so that older ones lose to them."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str]):
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+        self.log = StructType(schema.fields).add("lsn", "long").add("seq", "long").add("op", "string")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        at = self._path(self.path)
-        if not self._fs.exists(at):
+    def _committed(self, kind: str) -> list[int]:
+        if not self._fs.exists(self._path(self.path)):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
+        return sorted(int(n.split("-")[1]) for n in names if n.startswith(kind) and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
+
+    def _folder(self, kind: str, n: int) -> str:
+        return f"{self.path}/{kind}-{n:012d}"
+
+    def versions(self) -> list[int]:
+        """The batches that are in."""
+        return self._committed("batch")
+
+    def changes(self) -> DataFrame:
+        """The newest compacted folder and the batches after it."""
+        base = self._committed("base")[-1:]
+        folders = [self._folder("base", n) for n in base] + [self._folder("batch", n) for n in self.versions() if not base or n > base[-1]]
+        return self.spark.read.schema(self.log).parquet(*folders) if folders else self.spark.createDataFrame([], self.log)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        found = self.versions()
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1] if version is None else version}")
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        """The last change of each key, and the last truncate."""
+        cut = rows.where("op = 'T'").orderBy("lsn", "seq", ascending=False).limit(1)
+        kept = last_changes(rows, self.keys).select(self.log.fieldNames()).unionByName(cut.select(self.log.fieldNames()))
+        kept.write.mode("overwrite").parquet(folder)
 
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.select(self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v{version}")
+    def append(self, changes: DataFrame, batch: int) -> None:
+        rows = split_key_changes(changes, self.keys).select(self.log.fieldNames()).persist()
+        self._write(rows, self._folder("batch", batch))
+        rows.unpersist()
+
+    def compact(self) -> None:
+        if found := self.versions():
+            self._write(self.changes(), self._folder("base", found[-1]))
+
+    def read(self) -> DataFrame:
+        return last_changes(self.changes(), self.keys).where("op <> 'D'").select(self.schema.fieldNames())
 
     def clear(self) -> None:
         self._fs.delete(self._path(self.path), True)
 
 
-def start_apply(changes: DataFrame, target: VersionedTable, keys: list[str], checkpoint: str, after: int | None = None, **trigger):  # noqa: ANN201
+def start_apply(changes: DataFrame, target: ChangeTable, checkpoint: str, after: int | None = None, **trigger):  # noqa: ANN201
     """Start the query; `after` is the position of the snapshot that the table began with."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        if version in target.versions():
-            return
-        batch = batch.persist()
-        target.write(apply_keyed(target.read(), batch, keys, after), version)
-        batch.unpersist()
+        target.append(batch if after is None else batch.where(batch.lsn > after), batch_id)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class NotStreaming(RuntimeError):
+    """The stream didn't come up."""
+
+
 class Stream:
     """The life of one table's stream: started, paused with its position, resumed, or dropped."""
 
-    def __init__(self, make_changes, target: VersionedTable, keys: list[str], checkpoint: str, after: int | None = None):  # noqa: ANN001
-        self.make_changes, self.target, self.keys, self.checkpoint, self.after = make_changes, target, keys, checkpoint, after
+    def __init__(self, make_changes: Callable[[], DataFrame], target: ChangeTable, checkpoint: str, after: int | None = None):
+        self.make_changes, self.target, self.checkpoint, self.after = make_changes, target, checkpoint, after
         self.query = None
 
     def enable(self, **trigger) -> None:
         if self.query is None or not self.query.isActive:
-            self.query = start_apply(self.make_changes(), self.target, self.keys, self.checkpoint, self.after, **trigger)
+            self.query = start_apply(self.make_changes(), self.target, self.checkpoint, self.after, **trigger)
 
     def disable(self) -> None:
         """Stop; the checkpoint keeps the position."""
@@ -75,8 +100,19 @@ class Stream:
     def drop(self) -> None:
         """Stop and forget the position."""
         self.disable()
-        path = self.target._path(self.checkpoint)
-        self.target._fs.delete(path, True)
+        self.target._fs.delete(self.target._path(self.checkpoint), True)
 
     def is_streaming(self) -> bool:
         return self.query is not None and self.query.exception() is None and (self.query.isActive or self.query.lastProgress is not None)
+
+    def wait_until_streaming(self, attempts: int = 15, delay: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> None:
+        """Until the stream has made progress; at once an error if it failed, NotStreaming if it never comes up."""
+        for _ in range(attempts):
+            if self.query is None:
+                raise NotStreaming("the stream isn't enabled")
+            if (error := self.query.exception()) is not None:
+                raise NotStreaming(str(error))
+            if self.query.lastProgress is not None:
+                return
+            sleep(delay)
+        raise NotStreaming(f"no progress after {attempts} looks")

@@ -29,11 +29,14 @@ def test_names(spark):
 
 
 def test_statements(spark):
-    c = {k: F.lit(v) for k, v in dict(column_name="id", data_type="bigint", not_null=True, column_default=None, is_generated=False, identity="a", identity_options=None, collation_name=None).items()}
-    c = {k: v.cast("string") if k in ("column_default", "identity_options", "collation_name") else v for k, v in c.items()}
+    c = {k: F.lit(v) for k, v in dict(column_name="id", data_type="bigint", not_null=True, column_default=None, is_generated=False, identity="a", identity_options=None, collation_name=None, collation_schema=None).items()}
+    c = {k: v.cast("string") if k in ("column_default", "identity_options", "collation_name", "collation_schema") else v for k, v in c.items()}
     assert one(spark, S.column_definition(c)) == '"id" bigint GENERATED ALWAYS AS IDENTITY'
     assert one(spark, S.column_definition(c | {"identity": F.lit(""), "column_default": F.lit("nextval('s')")})) == "\"id\" bigint NOT NULL DEFAULT nextval('s')"
     assert one(spark, S.column_definition(c | {"identity": F.lit(""), "is_generated": F.lit(True), "column_default": F.lit("a + 1")})) == '"id" bigint GENERATED ALWAYS AS (a + 1) STORED'
+    assert one(spark, S.column_definition(c | {"identity": F.lit(""), "collation_name": F.lit("C"), "collation_schema": F.lit("x")})) == '"id" bigint COLLATE "x"."C" NOT NULL'
+    roles = F.array().cast("array<string>")
+    assert one(spark, S.policy(*[F.lit(x) for x in "stp"], F.lit("r"), F.lit(True), roles, F.lit(""), F.lit(""))) == 'CREATE POLICY "p" ON "s"."t" AS PERMISSIVE FOR SELECT TO PUBLIC'
     assert one(spark, S.trigger_state(F.lit("s"), F.lit("t"), F.lit("g"), F.lit("O"))) is None
     assert one(spark, S.trigger_state(F.lit("s"), F.lit("t"), F.lit("g"), F.lit("D"))) == 'ALTER TABLE "s"."t" DISABLE TRIGGER "g"'
     assert one(spark, S.setting(F.lit("d"), F.lit("search_path=a, b"))) == 'ALTER DATABASE "d" SET "search_path" TO a, b'
@@ -92,48 +95,142 @@ def test_changes(spark):
 
 
 def test_stream_restart_and_replay(spark, tmp_path):
-    from driftwell.streaming.apply import Stream, VersionedTable
+    from driftwell.streaming.apply import ChangeTable, NotStreaming, Stream
 
     schema = "lsn long, seq long, op string, k int, v string"
-    spark.createDataFrame([(1, 0, "I", 1, "a"), (2, 0, "I", 2, "b")], schema).coalesce(1).write.parquet(f"{tmp_path}/log")
-    table = VersionedTable(spark, f"{tmp_path}/table", spark.createDataFrame([], "k int, v string").schema)
-    stream = Stream(lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log"), table, ["k"], f"{tmp_path}/at")
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    write([(1, 0, "I", 1, "a"), (2, 0, "I", 2, "b"), (9, 0, "U", 5, "new")])
+    table = ChangeTable(spark, f"{tmp_path}/table", spark.createDataFrame([], "k int, v string").schema, ["k"])
+    assert table.read().isEmpty()
+    stream = Stream(lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log"), table, f"{tmp_path}/at")
+    with pytest.raises(NotStreaming):
+        stream.wait_until_streaming()
     stream.enable()
     stream.query.awaitTermination()
+    stream.wait_until_streaming()
     assert stream.is_streaming()
-    spark.createDataFrame([(3, 0, "D", 1, None), (4, 0, "U", 2, "c")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    write([(3, 0, "D", 1, None), (4, 0, "U", 2, "c"), (8, 0, "U", 5, "old")])  # the last is older than what is there
     stream.enable()
     stream.query.awaitTermination()
-    assert [tuple(r) for r in table.read().collect()] == [(2, "c")]
+    rows = lambda: sorted(tuple(r) for r in table.read().collect())
+    assert rows() == [(2, "c"), (5, "new")]
+    table.compact()
     before = table.versions()
+    assert rows() == [(2, "c"), (5, "new")]
     stream.drop()
-    stream.enable()  # a replay from the start finds its versions
+    stream.enable()  # a replay from the start writes the same batches
     stream.query.awaitTermination()
-    assert table.versions()[: len(before)] == before and [tuple(r) for r in table.read().collect()] == [(2, "c")]
+    assert table.versions() == before and rows() == [(2, "c"), (5, "new")]
+    write([(10, 0, "T", None, None), (11, 0, "I", 7, "after")])
+    stream.enable()
+    stream.query.awaitTermination()
+    assert rows() == [(7, "after")]
+
+
+def test_apply_plans(spark):
+    from driftwell.plans import apply
+
+    ran, fails = [], {"b": 1, "c": 9}
+
+    def execute(statement):
+        ran.append(statement)
+        if fails.get(statement, 0) > 0:
+            fails[statement] -= 1
+            raise ValueError(statement)
+
+    assert list(apply.in_passes(["a", "b", "c"], execute)) == ["c"] and ran == ["a", "b", "c", "b", "c", "c"]
+    waits, calls = [], iter([TimeoutError, TimeoutError, None])
+
+    def busy():
+        if (e := next(calls)) is not None:
+            raise e
+        return "done"
+
+    assert apply.with_delays(busy, sleep=waits.append) == "done" and waits == [2.0, 4.0]
+    looks = iter([False, False, True])
+    assert apply.every(1, lambda: 1 / 0, lambda: next(looks), lambda _: None) == 2
+    items = spark.createDataFrame(
+        [(8, "constraint", "s", "t", "k", "missing_on_target", "", "ADD FOREIGN KEY"), (2, "table", "s", "t", "t", "missing_on_target", "001", "CREATE t"), (2, "table", "s", "a", "a", "missing_on_target", "002", "CREATE a"),
+         (3, "table", "s", "x", "x", "missing_on_source", "", "DROP x"), (5, "column", "s", "t", "z", "missing_on_source", "", "")],
+        "section_no int, object_type string, schema string, table string, name string, drift_type string, detail string, fix_ddl string",
+    )
+    ran.clear()
+    refreshed = []
+    assert apply.apply_drift(items, ran.append, refresh=lambda: refreshed.append(1)).done == 3
+    assert ran == ["CREATE t", "CREATE a", "ADD FOREIGN KEY"] and refreshed == [1]
+    assert apply.apply_drift(items, ran.append, drop_extra=True).done == 4
+    key = "schema_name string, table_name string"
+    made = apply.sync_new_tables(spark.createDataFrame([("s", "a"), ("s", "b")], key), spark.createDataFrame([("s", "b")], key), spark.createDataFrame([("s", "a", "CREATE a")], key + ", ddl string"), ran.append, lambda *t: ran.append(t), lambda: ran.append("refresh"))
+    assert made == ["s.a"] and ran[-3:] == ["CREATE a", ("s", "a"), "refresh"]
+
+
+def test_stages_run_in_order(spark):
+    from driftwell import catalog_queries
+    from driftwell.plans import apply
+
+    s, ran = catalog_queries.system(spark, "/root/testdata/sf0.001"), []
+    assert apply.run_stages(["schemas", "tables"], s, ran.append) == {}
+    assert ran[0].startswith("CREATE SCHEMA") and ran[-1].startswith("CREATE TABLE")
+    place = {t.split('"')[3]: i for i, t in enumerate(ran) if t.startswith("CREATE TABLE")}
+    children = [t for t in ran if "PARTITION OF" in t]
+    assert children and all(place[t.split('"')[7]] < place[t.split('"')[3]] for t in children if t.split('"')[7] in place)
+    only = [x for x in apply.PRE_COPY + apply.POST_COPY if x not in ("schemas", "tables", "enums")]
+    assert all(not apply.stage(x, s).isEmpty() for x in only)
+
+
+def test_repeated_rows_in_blocks(spark):
+    rows = spark.createDataFrame([("a", 10), ("b", 3), ("c", 1)], "x string, n long")
+    got = {r["x"]: r["count"] for r in changes.repeated(rows, "n", block=4).groupBy("x").count().collect()}
+    assert got == {"a": 10, "b": 3, "c": 1}
+
+
+def test_status_sections(spark):
+    from driftwell.operators import status
+
+    dbs = spark.createDataFrame([("d",), ("e",)], "database string")
+    tables = spark.createDataFrame([("d", "s", 3, 3)], "database string, schema string, source long, target long")
+    got = {r["database"]: r for r in status.collect_sections(dbs, {"tables": tables, "lag": ValueError("no")}).collect()}
+    assert len(got["d"]["tables"]) == 1 and got["e"]["tables"] == [] and got["d"]["errors"] == {"lag": "ValueError: no"}
+    out = {r["database"]: r["json"] for r in status.render(status.collect_sections(dbs, {"tables": tables}), ["tables"]).collect()}
+    assert out["d"] == '{"database":"d","tables":[{"schema":"s","source":3,"target":3}],"errors":{}}'
+    copies = spark.createDataFrame([("a", 1200), ("b", -1)], "key string, rows long")
+    assert tuple(status.totals(copies).first()) == (1200, 2, 1, "1,200")
+
+
+def test_config(tmp_path):
+    from driftwell.config import load_config
+
+    (tmp_path / "c.yaml").write_text("source: {host: a}\ntarget: {host: b}\nexclude_databases: [x]\n")
+    cfg = load_config(f"{tmp_path}/c.yaml")
+    assert cfg.source.host == "a" and cfg.exclude_databases == ["x"] and cfg.tables_at_once == 4
+    (tmp_path / "d.yaml").write_text("source: {host: a}\ntarget: {host: b}\nno_such: 1\n")
+    with pytest.raises(ValueError, match="no_such"):
+        load_config(f"{tmp_path}/d.yaml")
 
 
 def test_drift_sections(spark):
     make = lambda rows, schema: spark.createDataFrame(rows, schema)
-    cols = "schema_name string, table_name string, column_name string, data_type string, not_null boolean, column_default string, is_generated boolean, identity string, identity_options string, collation_name string"
-    col = lambda name, kind: ("s", "t", name, kind, False, None, False, "", None, None)
+    cols = "schema_name string, table_name string, column_name string, data_type string, not_null boolean, column_default string, is_generated boolean, identity string, identity_options string, collation_name string, collation_schema string"
+    col = lambda name, kind: ("s", "t", name, kind, False, None, False, "", None, None, None)
     enum = "schema_name string, type_name string, labels array<string>"
-    acl = "kind string, schema_name string, object_name string, grantee string, privilege_type string, is_grantable boolean"
-    owner = "schema_name string, object_name string, kind string, owner string"
+    acl = "acl_kind string, kind string, schema_name string, object_name string, func_args string, for_role string, objtype string, grantee string, privilege_type string, is_grantable boolean"
+    owner = "schema_name string, object_name string, kind string, func_args string, owner string"
     roles = make([("r1",)], "rolname string")
     view = "schema_name string, view_name string, relkind string, view_def string"
     items = drift.report([
         drift.schema_drift(make([("s",), ("n",)], "schema_name string"), make([("s",)], "schema_name string")),
         drift.column_drift(make([col("a", "int"), col("b", "text")], cols), make([col("a", "bigint"), col("z", "int")], cols)),
         drift.enum_drift(make([("s", "e", ["x", "y"])], enum), make([("s", "e", ["x"])], enum)),
-        drift.view_drift(make([("s", "v", "v", "SELECT  1"), ("s", "w", "v", "SELECT 2")], view), make([("s", "v", "v", "SELECT 1"), ("s", "w", "v", "SELECT 3")], view)),
-        drift.owner_drift(make([("s", "t", "table", "r1"), ("s", "u", "table", "r2")], owner), make([("s", "t", "table", "x"), ("s", "u", "table", "x")], owner), roles),
-        drift.privilege_drift(make([("table", "s", "t", "r1", "SELECT", False)], acl), make([("table", "s", "t", "r3", "SELECT", False)], acl), roles),
+        drift.view_drift(make([("s", "v", "v", "SELECT  1"), ("s", "w", "v", "SELECT 2"), ("s", "x", "m", "SELECT 4")], view), make([("s", "v", "v", "SELECT 1"), ("s", "w", "v", "SELECT 3"), ("s", "x", "m", "SELECT 5")], view)),
+        drift.owner_drift(make([("s", "t", "table", None, "r1"), ("s", "u", "table", None, "r2"), ("s", "f", "function", "int", "r1"), ("s", "f", "function", "text", "r1")], owner), make([("s", "t", "table", None, "x"), ("s", "u", "table", None, "x"), ("s", "f", "function", "int", "x"), ("s", "f", "function", "text", "r1")], owner), roles),
+        drift.privilege_drift(make([("relation", "view", "s", "t", None, None, None, "r1", "SELECT", False)], acl), make([("relation", "view", "s", "t", None, None, None, "r3", "SELECT", False)], acl), roles),
     ])
-    got = [(r["section_no"], r["name"], r["drift_type"], r["fix_ddl"]) for r in items.orderBy(*drift.ORDER).collect()]
+    got = [(r["section_no"], r["name"], r["drift_type"], r["fix_ddl"]) for r in items.orderBy(*drift.ordered()).collect()]
     assert got == [
-        (1, "n", "missing_on_target", 'CREATE SCHEMA "n"'), (4, "b", "missing_on_target", 'ALTER TABLE "s"."t" ADD COLUMN "b" text'),
+        (1, "n", "missing_on_target", 'CREATE SCHEMA IF NOT EXISTS "n"'), (4, "b", "missing_on_target", 'ALTER TABLE "s"."t" ADD COLUMN "b" text'),
         (5, "z", "missing_on_source", ""), (6, "a", "different", ""), (9, "e", "different", "ALTER TYPE \"s\".\"e\" ADD VALUE IF NOT EXISTS 'y'"),
-        (14, "w", "different", 'CREATE OR REPLACE VIEW "s"."w" AS SELECT 2'), (15, "t", "different", 'ALTER TABLE "s"."t" OWNER TO "r1"'),
+        (14, "w", "different", 'CREATE OR REPLACE VIEW "s"."w" AS SELECT 2'), (14, "x", "different", 'DROP MATERIALIZED VIEW IF EXISTS "s"."x"; CREATE MATERIALIZED VIEW "s"."x" AS SELECT 4'),
+        (15, "f", "different", 'ALTER ROUTINE "s"."f"(int) OWNER TO "r1"'), (15, "t", "different", 'ALTER TABLE "s"."t" OWNER TO "r1"'),
         (15, "u", "different", ""), (16, "r1:SELECT", "missing_on_target", 'GRANT SELECT ON TABLE "s"."t" TO "r1"'),
         (17, "r3:SELECT", "missing_on_source", 'REVOKE SELECT ON TABLE "s"."t" FROM "r3"'),
     ]
@@ -143,9 +240,9 @@ def test_drift_sections(spark):
 
 def test_functions_triggers_policies(spark):
     make = lambda rows, schema: spark.createDataFrame(rows, schema)
-    fn = "schema_name string, func_name string, func_def string"
-    got = drift.function_drift(make([("s", "f", "F()\n a  b"), ("s", "g", "G()\n x")], fn), make([("s", "f", "F()\n a b")], fn)).collect()
-    assert [(r["name"], r["drift_type"]) for r in got] == [("g", "missing_on_target")]
+    fn = "schema_name string, func_name string, func_args string, func_def string"
+    got = drift.function_drift(make([("s", "f", "", "F()\n a  b"), ("s", "f", "int", "x"), ("s", "g", "", "G()\n x")], fn), make([("s", "f", "", "F()\n a b"), ("s", "f", "int", "y")], fn)).collect()
+    assert sorted((r["name"], r["drift_type"]) for r in got) == [("f", "different"), ("g", "missing_on_target")]
     tr = "schema_name string, table_name string, trigger_name string, trigger_def string, enabled string"
     got = drift.trigger_drift(make([("s", "t", "g", "D", "D")], tr), make([("s", "t", "g", "D", "O")], tr)).first()
     assert got["drift_type"] == "different" and got["fix_ddl"].endswith('DISABLE TRIGGER "g"')
@@ -187,6 +284,8 @@ def test_jdbc_round_trip(spark, tmp_path):
 
 
 def test_tree_cycle_is_an_error(spark):
-    edges = spark.createDataFrame([("a", None), ("b", "a"), ("a", "b")], "child string, parent string")
-    with pytest.raises(ValueError, match="deeper"):
-        catalog.tree_depths(edges, max_depth=4)
+    edges = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a")], "child string, parent string")
+    assert {tuple(r) for r in catalog.tree_depths(edges).collect()} == {("r", 0), ("a", 1), ("b", 2)}
+    turn = edges.unionByName(spark.createDataFrame([("a", "b")], "child string, parent string"))
+    with pytest.raises(Exception, match="RECURSION"):
+        catalog.tree_depths(turn, max_depth=4).collect()
