@@ -1,12 +1,14 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
-The benchmark's n-grams are hashed by their longest word, which is seldom in other texts.
-One pass over the documents looks up each word; where it is the longest word of n-grams,
-the window around it is cut out and compared with them in full (the verification). Words
+The benchmark's n-grams are kept under their hashes. One pass over the documents looks up
+each word among the anchors, the longest word of each n-gram, which is seldom in other
+texts; where one stands, the windows that could hold it there (ten at most of each length)
+are cut out and looked up in the hash set, and compared in full (the verification). Words
 inside any verified window are hits. Only DataFrame operations are used.
 
-The set is broadcast after a check of its size (`words.ANCHOR_ROWS`); a larger one is
-joined by a shuffle on the word, with the same result.
+Anchors and the set are broadcast after a check of their bytes. A larger set is joined by a
+shuffle: every window's two hashes and place, without its words; what is found is verified
+against the words, which are shuffled once. The result is the same.
 
 Defined results: null or wordless texts have no words and no hits; wordless items have no
 window; items with fewer than `n` words are one window; repeated rows are scanned apart;
@@ -19,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import scan, slice_text, word_array
-from .workspace import NUMBER, sized, stored, without_rows, written
+from .workspace import NUMBER, fits, numbered, sized, stored, without_rows, written
 
 NGRAM = 10
+SPANS = "_driftwell_spans"
 
 
 def test_ngrams(benchmark: DataFrame, n: int = NGRAM, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The distinct windows: anchor, offset (of the anchor in the window), length, phrase, items."""
+    """The distinct windows: h1, h2 (hashes), length, phrase, anchor, offset (of the anchor in the window), items."""
     items = benchmark.select(F.col(id_col).alias("item"), word_array(F.col(text_col)).alias("w")).where("size(w) > 0")
     windows = items.select(
         "item", F.least(F.size("w"), F.lit(n)).alias("length"), "w",
@@ -36,8 +39,49 @@ def test_ngrams(benchmark: DataFrame, n: int = NGRAM, id_col: str = "item_id", t
     )
     windows = windows.select("item", "length", F.array_join("w", " ").alias("phrase"), longest.alias("a"))
     return windows.groupBy(
-        F.col("a.word").alias("anchor"), (-F.col("a.i")).alias("offset"), "length", "phrase"
-    ).agg(F.collect_set("item").alias("items"))
+        "length", "phrase", F.col("a.word").alias("anchor"), (-F.col("a.i")).alias("offset")
+    ).agg(F.collect_set("item").alias("items")).select(*_hashes(F.col("phrase")), "*")
+
+
+def _hashes(phrase: Column) -> list[Column]:
+    return [F.xxhash64(phrase).alias("h1"), F.xxhash64(F.lit("again"), phrase).alias("h2")]
+
+
+def _found_by_anchor(docs: DataFrame, grams: DataFrame, anchors: DataFrame) -> DataFrame:
+    """_row, id, n_words, span, items: verified windows, and one row without a span for each row of docs."""
+    at = scan(docs, anchors).withColumn("spot", F.explode_outer("spots"))
+    start, length = F.col("at") - F.col("spot.offset"), F.col("spot.length")
+    inside = (start >= 0) & (start + length <= F.col("n_words"))
+    cut = at.where(F.col("at").isNull() | inside).select(
+        "_row", "id", "n_words", "at", start.alias("start"), length.alias("length"),
+        F.when(F.col("at").isNotNull(), slice_text(F.col("words"), start, length)).alias("cut"),
+    )
+    table = grams.select("h1", F.col("length").alias("_length"), "phrase", "items")
+    met = cut.join(
+        F.broadcast(table), (F.xxhash64("cut") == F.col("h1")) & (F.col("length") == F.col("_length")) & (F.col("cut") == F.col("phrase")), "left"
+    ).where(F.col("at").isNull() | F.col("items").isNotNull())
+    span = F.when(F.col("at").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("end")))
+    return met.select("_row", "id", "n_words", span.alias("span"), "items")
+
+
+def _found_by_shuffle(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """The same, for a benchmark of any size."""
+    written(docs)
+    rows = numbered(docs, F.col("doc_id").alias("id"), F.col("text").alias("_text"))
+    rows = rows.select("_row", "id", word_array(F.col("_text")).alias("words"))
+    lengths = sorted(r["length"] for r in grams.select("length").distinct().collect())  # NGRAM at most
+    out = rows.select("_row", "id", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("span"), F.lit(None).cast(grams.schema["items"].dataType).alias("items"))
+    windows = None
+    for n in lengths:
+        one = rows.where(F.size("words") >= n).select("_row", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("start"), "words")
+        one = one.select("_row", F.col("start").cast("long"), F.lit(n).alias("length"), *_hashes(slice_text(F.col("words"), F.col("start"), F.lit(n))))
+        windows = one if windows is None else windows.unionByName(one)
+    if windows is None:
+        return out
+    met = windows.join(grams, ["h1", "h2", "length"]).select("_row", "start", "length", "phrase", "items")
+    true = met.join(rows, "_row").where(slice_text(F.col("words"), F.col("start"), F.col("length")) == F.col("phrase"))
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
+    return out.unionByName(true.select("_row", "id", F.size("words").cast("long").alias("n_words"), span.alias("span"), "items"))
 
 
 def _covered(spans: Column) -> Column:
@@ -53,14 +97,11 @@ def _covered(spans: Column) -> Column:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """One row for each row of docs: _row, id, n_words, n_hit, items (ids), spans (of words)."""
     grams = stored(test_ngrams(benchmark, n), "test-ngrams")
-    found = scan(docs, grams)
-    start = F.col("at") - F.col("offset")
-    hits = found.where(
-        F.col("at").isNull() | ((start >= 0) & (slice_text(F.col("words"), start, F.col("length")) == F.col("phrase")))
-    ).select(
-        "_row", "id", "n_words", "items",
-        F.when(F.col("at").isNotNull(), F.struct(start.alias("start"), (start + F.col("length")).alias("end"))).alias("span"),
-    )
+    if fits(grams, size=F.octet_length("phrase") + 40 * F.size("items") + 64):
+        spots = F.collect_set(F.struct("offset", "length")).alias("spots")
+        hits = _found_by_anchor(docs, grams, grams.groupBy("anchor").agg(spots))
+    else:
+        hits = _found_by_shuffle(docs, grams)
     rows = hits.groupBy("_row", "id").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
@@ -79,18 +120,18 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> D
     """docs with the hit words, and the separators in front of them, cut out of `text`."""
     written(docs)
     bad = stored(
-        find_contamination(docs, benchmark, n).where("n_hit > 0").select(F.col("_row").alias(NUMBER), F.col("spans").alias("_spans")), "hits"
+        find_contamination(docs, benchmark, n).where("n_hit > 0").select(F.col("_row").alias(NUMBER), F.col("spans").alias(SPANS)), "hits"
     )
     rows = written(docs).join(sized(bad), NUMBER, "left")
     marks = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
     gaps, words = F.split("text", marks), F.regexp_extract_all("text", F.lit(f"({marks})"))
-    inside = lambda i: F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"]))
+    inside = lambda i: F.exists(SPANS, lambda s: (s["start"] <= i) & (i < s["end"]))
     pairs = F.filter(
         F.transform(words, lambda w, i: F.struct(i.alias("i"), F.concat(F.get(gaps, i), w).alias("t"))),
         lambda p: ~inside(p["i"]),
     )
     cut = F.concat(F.array_join(F.transform(pairs, lambda p: p["t"]), ""), F.element_at(gaps, -1))
-    return rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    return rows.withColumn("text", F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

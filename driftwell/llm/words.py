@@ -10,14 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import is_small, numbered
+from .workspace import numbered
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Anchor rows up to which the table of anchors is broadcast; beyond it the scan shuffles.
-ANCHOR_ROWS = 2_000_000
-
 
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is; plain ASCII texts take the short way."""
@@ -39,19 +36,18 @@ def slice_text(words: Column, start: Column, length: Column) -> Column:
 def scan(docs: DataFrame, anchors: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each word that is an anchor, and one marker row for each row of docs.
 
-    anchors: `anchor` (string) and columns of its own. Result: _row, id, n_words, words,
+    anchors: a table that the caller knows to be small, of `anchor` (string) and columns of its own. Result: _row, id, n_words, words,
     at (the word's place from 0; null in marker rows) and the anchors' own columns.
     """
     marker = anchors.sparkSession.range(1).select(F.lit("").alias("anchor")).join(anchors.limit(0), "anchor", "left")
     table = anchors.unionByName(marker.select(*anchors.columns))
-    table = F.broadcast(table) if is_small(anchors, ANCHOR_ROWS) else table
     rows = numbered(docs, F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     rows = rows.select("_row", "id", word_array(F.col("_text")).alias("words"))
     rows = rows.select(
         "_row", "id", "words", F.size("words").cast("long").alias("n_words"),
         F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("_pos", "_word"),
     )
-    return rows.join(table, F.col("_word") == F.col("anchor")).select(
+    return rows.join(F.broadcast(table), F.col("_word") == F.col("anchor")).select(
         "_row", "id", "n_words", "words",
         F.when(F.col("_pos") > 0, F.col("_pos") - 1).cast("long").alias("at"),
         *[c for c in anchors.columns if c != "anchor"],

@@ -53,19 +53,16 @@ def sliced(batches: Iterator, rows: int) -> Iterator:
             yield batch.slice(at, rows)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> bool:
+    """Whether df has at most `rows` rows; with `size`, the bytes of a row, also at most BROADCAST_BYTES in all."""
+    if df.limit(rows + 1).count() > rows:
+        return False
+    return size is None or (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else unchanged (a shuffle join follows).
-
-    size: the bytes of a row, where rows differ in size; their sum must stay within BROADCAST_BYTES too.
-    """
-    small = is_small(df, rows)
-    if small and size is not None:
-        small = (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
-    return F.broadcast(df) if small else df
+    """df with a broadcast hint if it `fits`, else unchanged (a shuffle join follows)."""
+    return F.broadcast(df) if fits(df, rows, size) else df
 
 
 def written(docs: DataFrame) -> DataFrame:
