@@ -26,9 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import sliced
+
 SPACE = "▁"
-#: Words in the memo of a worker, and the longest word that goes in.
-MEMO_WORDS, MEMO_CHARS = 400_000, 48
+#: Words in each of a worker's two memos and the longest that goes in (about 250 bytes a word, 50 MB in all),
+#: and pairs of pieces whose fit is known (about 200 bytes each, 40 MB).
+MEMO_WORDS, MEMO_CHARS, PAIRS = 100_000, 48, 200_000
+#: Rows that a task encodes at once.
+ROWS = 512
 _RUN = 64
 
 
@@ -103,7 +108,7 @@ class PieceBPE:
         known = self.follows.get(key)
         if known is None:
             known = self.merge(left + right, self.word_score) == [left, right]
-            if len(self.follows) < 1_000_000:
+            if len(self.follows) < PAIRS:
                 self.follows[key] = known
         return known
 
@@ -271,7 +276,7 @@ def round_trip_digests(docs: DataFrame, model_file: str | None = None) -> DataFr
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         number = bpe.number
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             n_tokens, ids_hex, text_hex = [], [], []
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py() or "").tolist()
