@@ -1,10 +1,12 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A rule is a regex over normalised words, written to start at its keyword (or `back` words
-before it). One pass looks up each word among the keywords; only there are the rules of
-that keyword tried, on a window of WINDOW words. Where detections overlap, one that lies
-inside another of the same or a higher priority is suppressed; base phrases always stay
-and suppress nothing. Only DataFrame operations are used.
+A rule is a regex over normalised words with a keyword, `back` words after its start. Rules
+are license names, what grants them, SPDX lines, and signatures of license texts (written by
+hand in `license_signatures`). One pass looks up each word among the keywords; only there
+are the rules of that keyword tried, on as many words as the rule can reach, so nothing cuts
+a match. Where detections overlap, one that lies inside another of the same or a higher
+priority is suppressed; base phrases always stay and suppress nothing. Only DataFrame
+operations are used.
 
 score: the largest confidence among the detections that stay; 0 without any.
 
@@ -14,12 +16,15 @@ score 0; repeated rows are scanned apart; columns besides id and text may have a
 
 from __future__ import annotations
 
+import re
+from re import _parser as regex_parser
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .license_signatures import SIGNATURES
 from .words import scan, slice_text
 
-WINDOW = 32
 #: Priorities: a full notice outranks a named grant, which outranks a bare name.
 NAME, GRANT, NOTICE = 1, 2, 3
 
@@ -104,38 +109,63 @@ GRANTS = [
     (r"available under (?:the )?(?:terms of (?:the )?)?(?:gnu )?", "available"),
 ]
 
-#: Notices that stand alone: label, regex, keyword, words before the keyword, confidence.
-NOTICES = [
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby", 2, 0.95),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose", "permission", 0, 0.9),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification", "redistribution", 0, 0.9),
-    ("gpl", r"you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute", 2, 0.9),
-    ("lgpl", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license", "redistribute", 2, 0.95),
-    ("agpl", r"you can redistribute it and or modify it under the terms of the gnu affero general public license", "redistribute", 2, 0.95),
-    ("reserved", r"copyright (?:c )?(?:\d{4} )*(?:\S+ ){0,6}?all rights reserved", "copyright", 0, 0.7),
-    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors", "provided", 3, 0.8),
-    ("boost", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "hereby", 2, 0.9),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 4, 0.95),
-    ("public-domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain", "public", 3, 0.8),
-]
+#: Confidences: of a base phrase, a name, a grant, a license text, an SPDX line.
+SURE = {"base": 0.5, "name": 0.6, "grant": 0.9, "text": 0.95, "spdx": 1.0}
+
+
+def reach(regex: str) -> int:
+    """How many words a regex over single-spaced words can match, at most; an error if there is no end to it."""
+
+    def blanks(parsed) -> int:  # noqa: ANN001
+        total = 0
+        for op, value in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                total += value == 32
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                inner = blanks(value[2])
+                if inner and value[1] is regex_parser.MAXREPEAT:
+                    raise ValueError(f"no end to {regex}")
+                total += inner and inner * value[1]
+            elif name == "BRANCH":
+                total += max(blanks(b) for b in value[1])
+            elif name == "SUBPATTERN":
+                total += blanks(value[3])
+        return total
+
+    return blanks(regex_parser.parse(regex)) + 1
+
+
+def keyword(regex: str) -> tuple[str, int]:
+    """The longest of the plain words that a signature begins with, and its place."""
+    front = []
+    for word in regex.split(" "):
+        if not word.isalnum():
+            break
+        front.append(word)
+    best = max(front, key=len)
+    return best, front.index(best)
 
 
 def rules() -> list[tuple[str, int, str, str, int, float, bool]]:
     """keyword, back, regex, label, priority, confidence, is_base; some hundreds."""
-    found = [(p.split()[0], 0, p, label, 0, 0.5, True) for p, label in BASE_PHRASES]
+    found = [(p.split()[0], 0, p, label, 0, SURE["base"], True) for p, label in BASE_PHRASES]
     for label, name, starts, bare in FAMILIES:
         if bare:
-            found += [(w, 0, name, label, NAME, 0.6, False) for w in starts.split()]
-        found += [(keyword, 0, before + f"(?:{name})", label, GRANT, 0.9, False) for before, keyword in GRANTS]
+            found += [(w, 0, name, label, NAME, SURE["name"], False) for w in starts.split()]
+        found += [(word, 0, before + f"(?:{name})", label, GRANT, SURE["grant"], False) for before, word in GRANTS]
         spdx = label.replace("-", " ").replace(".", " ")
-        found.append(("spdx", 0, rf"spdx license identifier {spdx}(?: only| or later)?", label, NOTICE, 1.0, False))
-    found += [(k, back, rx, label, NOTICE, conf, False) for label, rx, k, back, conf in NOTICES]
+        found.append(("spdx", 0, rf"spdx license identifier {spdx}(?: only| or later)?", label, NOTICE, SURE["spdx"], False))
+    for label, regex in SIGNATURES:
+        for one in re.split(r"\|(?![^(]*\))", regex):
+            word, back = keyword(one)
+            found.append((word, back, one, label, NOTICE, SURE["text"], False))
     return found
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    schema = "anchor string, back int, regex string, label string, priority int, confidence double, is_base boolean"
-    rows = [(k, back, rf"^(?:{rx})(?![^ ])", *rest) for k, back, rx, *rest in rules()]
+    schema = "anchor string, back int, reach int, regex string, label string, priority int, confidence double, is_base boolean"
+    rows = [(k, back, reach(rx), rf"^(?:{rx})(?![^ ])", *rest) for k, back, rx, *rest in rules()]
     return spark.createDataFrame(rows, schema)
 
 
@@ -143,7 +173,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """A row for each detection, suppressed ones too, and one marker row (null label) for each row of docs."""
     found = scan(docs, rule_table(docs.sparkSession))
     start = F.col("at") - F.col("back")
-    text = F.when(start >= 0, F.regexp_substr(slice_text(F.col("words"), start, F.lit(WINDOW)), F.col("regex")))
+    text = F.when(start >= 0, F.regexp_substr(slice_text(F.col("words"), start, F.col("reach")), F.col("regex")))
     found = found.withColumn("_match", text).where(F.col("at").isNull() | F.col("_match").isNotNull()).select(
         "_row", "id", "n_words", "label", "priority", "confidence", "is_base", start.alias("start"),
         (start + F.size(F.split("_match", " "))).alias("end"),
