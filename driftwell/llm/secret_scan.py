@@ -21,6 +21,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .workspace import sliced
+
 KINDS = ["assign", "access", "hex", "random"]
 
 # Fixed patterns of the base kinds, and the least length of what they must hold.
@@ -33,8 +35,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 #: The efficiency test: least length of a run, and characters per token below which it is random.
 RUN_LEAST, RATIO = 20, 2.2
-#: Longer runs are measured in pieces of this length, all of them.
-PIECE = 1024
+#: Rows that a task scans at once.
+ROWS = 512
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % RUN_LEAST)
 _KNOWN = re.compile(
@@ -64,8 +66,7 @@ def encoding(path: str):  # noqa: ANN201
 
 
 def characters_per_token(run: str, tokenizer) -> float:  # noqa: ANN001
-    tokens = sum(len(tokenizer.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
-    return len(run) / tokens
+    return len(run) / len(tokenizer.encode_ordinary(run))
 
 
 def is_random(run: str, tokenizer, ratio: float = RATIO) -> bool:  # noqa: ANN001
@@ -100,7 +101,7 @@ def find_secrets(docs: DataFrame, vocabulary: str | None = None, ratio: float =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(path)
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             counts, digests, all_spans = [[], [], [], []], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
