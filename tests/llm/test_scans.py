@@ -60,13 +60,21 @@ def test_contamination(spark, tmp_path):
 
 
 def test_contamination_beyond_broadcast(spark, tmp_path, monkeypatch):
-    from driftwell.llm import words as W
-
+    """A set that isn't broadcast is joined by a shuffle, with the same rows; one item alone has many windows."""
     docs = table(spark, DOCS, "doc_id long, text string", f"{tmp_path}/d")
+    bench = table(spark, [*BENCH, (77, " ".join(f"w{i % 13}" for i in range(200)))], "item_id long, text string", f"{tmp_path}/b")
+    small = sorted(map(str, decontamination.find_contamination(docs, bench).drop("_row").collect()))
+    monkeypatch.setattr(decontamination, "fits", lambda *a, **k: False)
+    assert sorted(map(str, decontamination.find_contamination(docs, bench).drop("_row").collect())) == small
+    assert decontamination.find_contamination(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
+
+
+def test_cut_keeps_other_columns(spark, tmp_path):
+    rows = [(1, f"before {ITEM} after", "mine", "too"), (2, "clean", "mine", "too")]
+    docs = table(spark, rows, "doc_id long, text string, _spans string, _row string", f"{tmp_path}/d")
     bench = table(spark, BENCH, "item_id long, text string", f"{tmp_path}/b")
-    small = sorted(map(str, decontamination.find_contamination(docs, bench).collect()))
-    monkeypatch.setattr(W, "ANCHOR_ROWS", 0)
-    assert sorted(map(str, decontamination.find_contamination(docs, bench).collect())) == small
+    got = {tuple(r) for r in decontamination.cut_contaminated(docs, bench).collect()}
+    assert got == {(1, "before after", "mine", "too"), rows[1]}
 
 
 def brute_licenses(text):
@@ -75,7 +83,7 @@ def brute_licenses(text):
     for keyword, back, rx, label, priority, confidence, base in license_scan.rules():
         for at, word in enumerate(w):
             if word == keyword and at >= back:
-                m = re.match(rf"(?:{rx})(?![^ ])", " ".join(w[at - back : at - back + license_scan.WINDOW]))
+                m = re.match(rf"(?:{rx})(?![^ ])", " ".join(w[at - back :]))
                 if m:
                     found.add((at - back, at - back + len(m[0].split(" ")), priority, label, confidence, base))
     own = [f for f in found if not f[5]]
@@ -96,6 +104,8 @@ LICENSES = [
     "This work is licensed under the GNU General Public License, version 3.", "cc by cc by cc", "general public general public license", "SPDX-License-Identifier: GPL-2.0 only",
     "Permission is hereby granted, free of charge, to any person obtaining a copy", "Copyright (c) 2019 2020 Some Body. All rights reserved", None, "", "nothing here", "mit license or apache license 2.0",
     "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "MIT License " * 50, "released into the public domain",
+    "Copyright " + " ".join(map(str, range(1980, 2024))) + " Some Body. All rights reserved", "under the terms of the Mozilla Public License, v. 2.0, subject to the terms of the Mozilla Public License, v. 2.0",
+    "Altered source versions must be plainly marked as such", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
 ]
 
 
@@ -104,12 +114,37 @@ def test_licenses(spark, tmp_path):
     got = license_scan.scan_licenses(table(spark, [(*d, "c") for d in docs], "doc_id long, text string, label string", f"{tmp_path}/d")).collect()
     columns = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert sorted(str((r["id"], *[r[c] for c in columns])) for r in got) == sorted(str((i, *brute_licenses(t))) for i, t in docs)
-    assert len(license_scan.rules()) > 300
+    assert len(license_scan.rules()) > 600 and len(license_scan.SIGNATURES) > 170
 
 
 def test_licenses_found():
     got = [brute_licenses(t)[5] for t in LICENSES[:5]]
     assert got == ["apache-2.0", "reserved", "mit", "cc-by,cc-by-nc-4.0", "gpl,gpl-3.0"]  # base labels stay
+    years = brute_licenses(LICENSES[17])
+    assert "reserved" in years[5] and years[6] == license_scan.SURE["text"]
+
+
+def test_every_signature_is_found_in_its_text():
+    """A text made from each signature (its gaps left out) gets its label, whatever else is found in it."""
+    for label, regex in license_scan.SIGNATURES:
+        for one in re.split(r"\|(?![^(]*\))", regex):
+            text = re.sub(r"\(\?:[^()]*\)(\?|\{0,\d+\}\??)", "", one)  # optional parts and gaps
+            text = re.sub(r"\(\?: \\S\+\)\{1,\d+\}", " someone", text)
+            while (m := re.search(r"\(\?:([^()|]*)[^()]*\)", text)):
+                text = text[: m.start()] + m[1] + text[m.end() :]
+            text = text.replace("\\S+", "word").replace("[cs]", "c").replace("\\d", "4").replace("?", "").replace("{4}", "")
+            found = brute_licenses(text)[5].split(",")
+            word, back = license_scan.keyword(one)
+            assert one.split(" ")[back] == word
+            m = re.match(rf"(?:{one})(?![^ ])", text)
+            assert m and license_scan.reach(one) >= len(m[0].split(" ")), (one, text)
+            assert found != [""], (label, text)  # its own label, or that of a text around it
+
+
+def test_reach():
+    assert license_scan.reach("a b c") == 3 and license_scan.reach(r"a(?: \S+){0,8} b") == 10 and license_scan.reach("a(?: b| c d)? e") == 4
+    with pytest.raises(ValueError):
+        license_scan.reach("a(?: b)* c")
 
 
 SECRETS = [
@@ -142,6 +177,68 @@ def test_secrets(spark, tmp_path):
     assert "assign:0:" in by[0]["spans"]
 
 
+def brute_random(text, ranks):
+    """The random spans by the definition, without the scanner's patterns or its tokenizer."""
+    import regex
+    from public_tokenizers import PATTERN
+
+    chars, marks = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), set("=-_/+")
+    hexes = set("0123456789abcdefABCDEF")
+
+    def known(s):
+        if set(s) <= hexes and len(s) in (32, 40, 56, 64, 96, 128):
+            return True
+        if re.match(r"(sha256|sha512|sha1|md5)[-=_]", s) and "_" not in s.split(s[:3])[1][4:] and re.fullmatch(r"[a-z0-9]+[-=_][A-Za-z0-9+/=]+", s):
+            return True
+        if [len(p) for p in s.split("-")] == [8, 4, 4, 4, 12] and set(s) - {"-"} <= hexes:
+            return True
+        if set(s) <= set("0123456789/_=+-"):
+            return True
+        head, *parts = re.split(r"[_/=-]+", s)
+        letters = lambda p: p == "" or (p.isascii() and p.isalpha())
+        if not parts:
+            return bool(re.fullmatch(r"[A-Za-z]+[0-9]{1,4}", s))
+        return letters(head) and all(letters(p.rstrip("0123456789")) and len(p) - len(p.rstrip("0123456789")) <= 4 for p in parts)
+
+    def n_tokens(s):
+        total = 0
+        for piece in regex.findall(PATTERN, s):
+            parts = [bytes([b]) for b in piece.encode()]
+            while len(parts) > 1:
+                rank, at = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank == 1 << 40:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            total += len(parts)
+        return total
+
+    spans, start = [], None
+    for i, c in enumerate([*text, " "]):
+        if c in chars:
+            start = i if start is None else start
+        elif start is not None:
+            run, body = text[start:i], text[start:i].strip("=-_/+")
+            if len(run) >= 20 and len(body) >= 20 and any(x.isdigit() for x in body) and any(x.isalpha() for x in body) and not known(body) and len(body) / n_tokens(body) < secret_scan.RATIO:
+                spans.append((start, 3, i))
+            start = None
+    assert marks < chars
+    return spans
+
+
+def test_random_spans_by_the_definition():
+    tokenizer = secret_scan.encoding(secret_scan.default_vocabulary())
+    rng, letters = random.Random(8), "abcXYZ0189+/_=-"
+    texts = [t for t in SECRETS if t and len(t) < 2000] + ["the key is dGhpcyBpcyBhIHNlY3JldCBrZXk5, not thisisaverylongwordindeed123456", "path/to/some_file-name2024/other_part=value12 ok"]
+    for _ in range(300):
+        texts.append(" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 45))) for _ in range(3)))
+    with open(secret_scan.default_vocabulary(), "rb") as lines:
+        import base64
+
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+    found = [secret_scan.random_spans(t, tokenizer) for t in texts]
+    assert found == [brute_random(t, ranks) for t in texts] and sum(map(len, found)) > 50
+
+
 def test_runs_of_marks_are_settled_at_once():
     """A form line is one way of splitting its marks; thousands of them neither hang the scan nor change what is known."""
     tokenizer = secret_scan.encoding(secret_scan.default_vocabulary())
@@ -149,6 +246,8 @@ def test_runs_of_marks_are_settled_at_once():
         assert not secret_scan._KNOWN.fullmatch(f"Name{marks}12345678")
         assert secret_scan._KNOWN.fullmatch(f"Name{marks}field1234{marks}x12")
         secret_scan.random_spans(f"Name{marks}12345678", tokenizer)
+    for run in ("a1B2" * 250_000, "a" * 1_000_000 + "1", "-_" * 500_000 + "a1" * 12):
+        secret_scan.random_spans(run, tokenizer)  # whole runs, of any length
 
 
 @pytest.fixture(scope="module")
