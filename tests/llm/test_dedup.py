@@ -53,13 +53,21 @@ def test_exact_dedup(edge, digest, bits):
 
 
 def test_exact_dedup_flushes(spark, edge):
-    """Runs that were flushed apart merge to the same index, and keep the smallest identifier."""
-    log = exact_dedup.DigestLog(spark)
-    log.flush(edge.where("doc_id <= 5"))
-    log.flush(edge.where("doc_id > 5"))
-    merged = {bytes(r["digest"]): (r["keep"]["id"], r["n"]) for r in log.compact().collect()}
+    """Runs that were flushed apart merge level by level to the same index, and keep the smallest identifier."""
+    log = exact_dedup.DigestLog(spark, fan_in=2)
+    whole = exact_dedup.DigestLog(spark)
+    whole.flush(edge)
+    expected = {bytes(r["digest"]): (r["keep"]["id"], r["n"]) for r in whole.index().collect()}
+    for part in ("doc_id <= 3", "doc_id between 4 and 5", "doc_id between 6 and 8", "doc_id > 8 or doc_id is null"):
+        log.flush(edge.where(part))
+        log.compact()
+    assert [len(level) for level in log.levels] == [0, 0, 1]
+    assert {bytes(r["digest"]): (r["keep"]["id"], r["n"]) for r in log.index().collect()} == expected
     digest = hashlib.sha256(b"").digest()
-    assert merged[digest] == (6, 3)
+    found = log.find([digest, b"no such digest"])
+    assert [(bytes(r["digest"]), r["keep"]["id"], r["n"]) for r in found.collect()] == [(digest, 6, 3)]
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [In(digest" in plan or "EqualTo(digest" in plan
 
 
 def test_empty_tables(spark, tmp_path):
