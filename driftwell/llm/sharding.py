@@ -9,7 +9,9 @@
   A writer that lost the race raises CommitConflict, and its files are not listed.
 
 The manifest is a table (one row a shard), so its size and the tiers are worked out by
-Spark; the driver holds only the paths of the tier that it merges.
+Spark; the driver holds the paths of one merge (MERGE_SHARDS, the smallest first; merges
+follow each other until no tier is due), and those of the shards that are read. `vacuum`
+deletes the folders that no kept version lists.
 
 Defined results: every row appended is read back once, as it was, repeated rows and nulls
 too; an empty arrival commits a version without new shards; any columns are kept.
@@ -28,6 +30,8 @@ TARGET_BYTES = 128 << 20
 FAN_IN = 4
 #: Rows of an arrival's shards, at most.
 SHARD_ROWS = 4096
+#: Shards of one merge, at most.
+MERGE_SHARDS = 10_000
 _MANIFEST = "path string, bytes long, tier int, added long"
 
 
@@ -110,15 +114,13 @@ class ShardStore:
             due = tiers.where(F.col("n") >= self.fan_in).orderBy("tier").first()
             if due is None:
                 return version
-            merged = small.where(F.col("tier") == due["tier"]).cache()
-            paths = [r["path"] for r in merged.select("path").orderBy("path").toLocalIterator()]
+            merged = small.where(F.col("tier") == due["tier"]).orderBy("bytes", "path").limit(MERGE_SHARDS).select("path", "bytes").collect()
             folder = fresh_path(self.spark, "c").rsplit("/", 1)[1]
-            files = max(1, math.ceil(due["bytes"] / self.target_bytes))
-            rows = self.spark.read.parquet(*paths)
+            files = max(1, math.ceil(sum(r["bytes"] for r in merged) / self.target_bytes))
+            rows = self.spark.read.parquet(*[r["path"] for r in merged])
             rows.coalesce(files).write.parquet(f"{self.root}/data/{folder}")
-            left = shards.join(merged.select("path"), "path", "left_anti")
+            left = shards.join(self.spark.createDataFrame([(r["path"],) for r in merged], "path string"), "path", "left_anti")
             self._commit(left.unionByName(self._files(f"{self.root}/data/{folder}", version + 1)), version)
-            merged.unpersist()
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
@@ -128,11 +130,30 @@ class ShardStore:
         return self.spark.read.parquet(*paths)
 
 
+    def vacuum(self, versions: int = 1) -> int:
+        """Delete the folders that none of the last `versions` versions lists; how many went."""
+        last, at = self.version(), self._path(f"{self.root}/data")
+        live = set()
+        for v in range(max(1, last - versions + 1), last + 1):
+            folder = F.element_at(F.split("path", "/"), -2)
+            live |= {r["f"] for r in self.shards(v).select(folder.alias("f")).distinct().collect()}  # a row for each arrival or merge
+        gone = [s.getPath() for s in self._fs.listStatus(at) if s.getPath().getName() not in live] if self._fs.exists(at) else []
+        for path in gone:
+            self._fs.delete(path, True)
+        return len(gone)
+
+
+#: Arrivals that the query deals its table into.
+ARRIVALS = 4
+
+
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
-    """documents arrive as small shards, are compacted, and are read back through the manifest."""
-    store = ShardStore(spark, fresh_path(spark, "shards"))
-    store.append(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """documents arrive in parts as small shards, are compacted, and are read back through the manifest."""
+    store, docs = ShardStore(spark, fresh_path(spark, "shards")), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
     store.compact()
+    store.vacuum()
     return store.read().select(
         "doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
     )

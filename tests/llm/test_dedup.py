@@ -321,3 +321,17 @@ def test_shards(spark, tmp_path):
     with pytest.raises(sharding.CommitConflict):
         late._commit(late.shards(), before - 1)
     assert store.compact() == after
+    sizes = [r["bytes"] for r in store.shards().collect()]
+    assert max(sizes) <= 2 << 20
+    kept = sorted(r["doc_id"] for r in store.read().collect())
+    assert store.vacuum() > 0 and store.vacuum() == 0 and sorted(r["doc_id"] for r in store.read().collect()) == kept
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        store.read(1).collect()
+
+
+def test_merges_go_on_until_no_tier_is_due(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "MERGE_SHARDS", 3)
+    store = sharding.ShardStore(spark, f"{tmp_path}/s", target_bytes=1 << 20, fan_in=3, shard_rows=10)
+    store.append(spark.range(200).selectExpr("id AS doc_id").coalesce(1))
+    store.compact()
+    assert store.shards().groupBy("tier").count().where("count >= 3").isEmpty() and store.read().count() == 200

@@ -190,6 +190,74 @@ def test_toxicity_is_ordinal():
     assert severity == sorted(severity) and severity[0] < 0.3 and severity[4] > 1.5
 
 
+def brute_loss(model, rows, grade, chosen):
+    """The penalised mean negative log-likelihood of the grades, row by row."""
+    thetas, total = [-math.inf, *model.thetas, math.inf], 0.0
+    sigmoid = lambda x: 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+    for row, g in zip(rows, grade):
+        score = sum(float(model.weights[f]) for f in row)
+        below = lambda k: 0.0 if thetas[k] == -math.inf else 1.0 if thetas[k] == math.inf else sigmoid(thetas[k] - score)  # noqa: B023, E731
+        total -= math.log(max(below(g + 1) - below(g), 1e-12))
+    return total / len(rows) + 0.5 * toxicity.L2 * sum(float(model.weights[f]) ** 2 for f in chosen)
+
+
+def test_toxicity_by_the_definition(spark):
+    """The fit is a minimum of the loss written out row by row, and scores are the definition's."""
+    rng = np.random.default_rng(3)
+    texts, toxic = [], []
+    for i in range(160):
+        bad = [f"bad{j}" for j in range(int(rng.integers(1, 4)))] if i % 3 == 0 else []
+        texts.append(" ".join([*bad, *[f"w{x}" for x in rng.integers(0, 40, 6)]]))
+        toxic.append(bool(bad))
+    texts[1], texts[2] = "bad0 w1 w2", "w3"  # so that the kinds can't be told apart wholly
+    rows = [np.sort(np.array([f for w in toxicity.words(t) for f in toxicity.features(w)], np.int64)) for t in texts]
+    model = toxicity.fit(np.array(toxic), rows)
+    chosen = np.flatnonzero(model.weights)
+    z_grades = toxicity.grades(np.array(toxic), _marker_counts(np.array(toxic), rows))
+    loss = brute_loss(model, rows, z_grades, chosen)
+    for k in range(12):
+        moved = toxicity.Model(model.weights.copy(), model.thetas.copy())
+        if k < 8:
+            moved.weights[chosen] += rng.normal(0, 0.05, len(chosen)).astype(np.float32)
+        else:
+            moved.thetas = np.sort(moved.thetas + rng.normal(0, 0.1, len(moved.thetas)))
+        assert brute_loss(moved, rows, z_grades, chosen) > loss - 1e-4
+    docs = spark.createDataFrame(list(enumerate(texts[:30])), "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        score = sum(float(model.weights[f]) for w in set(texts[r["doc_id"]].split()) for f in toxicity.features(w))
+        over = [1 / (1 + math.exp(-(score - t))) for t in model.thetas]
+        ladder = [1, *over, 0]
+        assert math.isclose(r["expected_severity"], sum(over), abs_tol=1e-5)
+        assert r["severity"] == int(np.argmax([a - b for a, b in zip(ladder, ladder[1:])]))
+        assert r["toxic"] == (over[0] >= toxicity.TOXIC_FROM and score > 0)
+
+
+def _marker_counts(toxic, rows):
+    """How many different marker features each row has, by the definition of a marker."""
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    seen = defaultdict(lambda: [0, 0])
+    for t, row in zip(toxic, rows):
+        for f in set(row.tolist()):
+            seen[f][int(t)] += 1
+    marker = set()
+    for f, (c, t) in seen.items():
+        if c + t >= 3:
+            odds = math.log((t + 0.5) / (n1 - t + 0.5)) - math.log((c + 0.5) / (n0 - c + 0.5))
+            error = math.sqrt(1 / (t + 0.5) + 1 / (n1 - t + 0.5) + 1 / (c + 0.5) + 1 / (n0 - c + 0.5))
+            if odds / error >= toxicity.MARKER_Z:
+                marker.add(f)
+    return np.array([len(set(row.tolist()) & marker) for row in rows])
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Repeated rows of a labelled id are one row of the sample, and bytes are bounded."""
+    docs = spark.createDataFrame([(1, "bad one")] * 50 + [(2, "fine two")] * 50 + [(3, "good three words here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels).count() == 3
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4)
+    assert toxicity.labelled_sample(docs, labels).count() == 0
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "you idiot", "x"), (2, None, "x"), (None, "", "x"), (1, "you idiot", "x"), (3, "fine " * 50000, "x")], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (9, None)], "doc_id long, toxic int")
