@@ -174,7 +174,7 @@ def shingled(rows: DataFrame, buckets: int) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size, id_type = 0, None
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, 2):
             id_type = batch.column(1).type
             sets = shingle_sets(_utf8(batch.column(2)))
             digests = [set_digest(s) for s in sets]
@@ -244,7 +244,7 @@ def candidate_sets(rows: DataFrame, classes: DataFrame, credit: DataFrame) -> Da
     chosen = rows.join(sized(possible), "_row").select("_row", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, 1):
             found = shingle_sets(_utf8(batch.column(1)))
             offsets = np.cumsum([0, *map(len, found)])
             flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)

@@ -276,7 +276,7 @@ def round_trip_digests(docs: DataFrame, model_file: str | None = None) -> DataFr
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         number = bpe.number
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, 1):
             n_tokens, ids_hex, text_hex = [], [], []
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py() or "").tolist()

@@ -59,7 +59,7 @@ STEP = 0.001
 @lru_cache(maxsize=1)
 def folds() -> np.ndarray:
     """For each character the one it counts as."""
-    table = np.arange(0x110000, dtype=np.int64)
+    table = np.arange(0x110000, dtype=np.int32)
     for c in range(0x110000):
         x = chr(c)
         if x.isupper():
@@ -90,15 +90,16 @@ def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     present[chars] = True
     alphabet = np.flatnonzero(present)
     if len(alphabet) > 1 << 16:
+        chars = chars.astype(np.int64)
         context = sum(chars[ends - k] << (WIDE * (k - 1)) for k in range(1, ORDER))
         grams, inverse = np.unique(np.stack([context, chars[ends]], axis=1), axis=0, return_inverse=True)
         return grams[:, 0], grams[:, 1], inverse.reshape(-1), lengths
-    number = np.empty(0x110000, np.uint64)
+    number = np.empty(0x110000, np.uint16)
     number[alphabet] = np.arange(len(alphabet))
     ids = number[chars]
     codes = np.zeros(len(ends), np.uint64)
     for k in range(ORDER):
-        codes |= ids[ends - k] << np.uint64(16 * k)
+        codes |= ids[ends - k].astype(np.uint64) << np.uint64(16 * k)
     codes, inverse = np.unique(codes, return_inverse=True)
     letters = [alphabet[((codes >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)] for k in range(ORDER)]
     context = sum((letters[k] << (WIDE * (k - 1)) for k in range(1, ORDER)), np.zeros(len(codes), np.int64))
@@ -151,7 +152,7 @@ def train(texts: DataFrame) -> Model:
     """The models of `texts`: fold (of the text), text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, 1):
             fold, texts = np.array(batch.column(0).to_pylist(), np.int32), [t or "" for t in batch.column(1).to_pylist()]
             for k in np.unique(fold).tolist():
                 context, symbol, inverse, _ = distinct_grams([texts[i] for i in np.flatnonzero(fold == k)])
@@ -240,7 +241,7 @@ def _by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[list[str]]:
-    for part in sliced([batch], ROWS):
+    for part in sliced([batch], ROWS, batch.num_columns - 1):
         yield [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
 
 

@@ -101,7 +101,7 @@ def find_secrets(docs: DataFrame, vocabulary: str | None = None, ratio: float =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(path)
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, 1):
             counts, digests, all_spans = [[], [], [], []], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""

@@ -108,7 +108,7 @@ def repeated_hashes(rows: DataFrame, unit: str) -> DataFrame:
     from xxhash import xxh3_64_intdigest
 
     def first_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, 1):
             hashes = [
                 np.array([xxh3_64_intdigest(norm, seed=whole) for _, _, whole, _, _, norm, _ in placed_units(text.as_py() or "", unit)], np.uint64)
                 for text in batch.column(1)
@@ -140,7 +140,7 @@ def repeated_units(rows: DataFrame, unit: str, bitmap: np.ndarray) -> DataFrame:
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = held.value
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, 3):
             first, where, norms = [], [], []
             for i, text in enumerate(batch.column(3)):
                 for no, n, whole, start, end, norm, words in placed_units(text.as_py() or "", unit):

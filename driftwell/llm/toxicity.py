@@ -91,7 +91,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = chosen.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, 2):
             rows = [np.sort(np.array([f for w in words(t.as_py()) for f in features(w)], np.int32)).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "toxic", "features"])
 
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = _Weights(held.value.weights).__getitem__
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, 1):
             total = np.array([sum(sorted(map(weight, words(t.as_py() or "")))) for t in batch.column(1)], np.float64)
             over = held.value.exceed(total)
             ladder = np.concatenate([np.ones((len(total), 1)), over, np.zeros((len(total), 1))], axis=1)

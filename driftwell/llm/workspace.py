@@ -5,14 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows, and bytes where rows differ in size, up to which one side of a join is broadcast; beyond, both are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
+#: Bytes of text that a task works on at once.
+SLICE_BYTES = 1 << 19
+
 #: The column that holds the numbers of a written table.
 NUMBER = "_driftwell_row_number"
 
@@ -46,11 +52,23 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sliced(batches: Iterator, rows: int) -> Iterator:
-    """Arrow batches in slices of so many rows, so that what a task makes of one stays small."""
+def sliced(batches: Iterable[pa.RecordBatch], rows: int, column: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of so many rows, and of SLICE_BYTES in a text column, so that what a task
+    makes of one stays small whatever the texts' lengths; a longer text is a slice of its own. What Arrow
+    holds unused goes back at the end, since Spark keeps Python workers for later tasks."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = None
+        if column is not None:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = min(at + rows, batch.num_rows)
+            if ends is not None:
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, min(to, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+            yield batch.slice(at, to - at)
+            at = to
+    pa.default_memory_pool().release_unused()
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> bool:
