@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import definitions as D
+from .functions import names as N
 from .functions import statements as S
 from .operators import bulk_copy, catalog, drift, sequences, status
 from .operators import relations as R
 from .operators.ordering import with_places
 from .plans import apply
 from .registry import query
-from .sources.tables import table
+from .sources.tables import shared_path, table
 
 _T = lambda x: f"CAST({x} AS STRING)"
 _COLUMN = "(SELECT DISTINCT l_partkey, l_linenumber FROM {lineitem})"
@@ -602,6 +603,18 @@ def b03_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bulk_copy.page_plan(tables, 4).withColumn("chunk_no", F.col("chunk_no").cast("long")).withColumn("high", F.coalesce("high", F.lit(-1)))
 
 
+@query("""
+WITH b AS (SELECT min(o_orderkey) AS f, CAST(ceil((max(o_orderkey) - min(o_orderkey) + 1) / 5) AS BIGINT) AS size FROM orders)
+SELECT CAST((o_orderkey - f) // size AS INTEGER) AS chunk_no, count(*) AS n FROM orders, b GROUP BY 1""")
+def b05_copy_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bulk_copy.copy_in_chunks(table(spark, sf_dir, "orders"), shared_path(spark, "chunks"), "o_orderkey", 5)
+
+
+@query("SELECT doc_id, substr(replace(trim(text), chr(10), ' '), 1, 120) AS shown FROM documents")
+def f14_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", N.preview(F.col("text")).alias("shown"))
+
+
 @query("SELECT c_name AS datname FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_name NOT IN ('Customer#000000003', 'Customer#000000004')")
 def s08_discover_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("datname"), (F.col("c_mktsegment") == "BUILDING").alias("datistemplate"))

@@ -5,6 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .functions.names import stream_name
+from .operators.bulk_copy import page_plan
+from .operators.catalog import discover, discover_databases
 from .sources.jdbc import Endpoint
 
 
@@ -21,6 +27,22 @@ class Config:
     chunks_per_table: int = 4
     sequence_interval_s: int = 10
 
+    def databases_of(self, found: DataFrame) -> DataFrame:
+        """Of the databases found (datname, datistemplate) those to move: the listed ones, else all but the excluded."""
+        return discover_databases(found, self.databases, self.exclude_databases)
+
+    def schemas_of(self, names: DataFrame) -> DataFrame:
+        """Of the schemas found (name) those to move."""
+        return discover(names, self.schemas, self.exclude_schemas)
+
+    def streams_of(self, databases: DataFrame) -> DataFrame:
+        """datname with the name of its stream."""
+        return databases.withColumn("stream", stream_name(self.stream_prefix, F.col("datname")))
+
+    def plan_of(self, tables: DataFrame) -> DataFrame:
+        """The chunks of tables (key, pages, bytes)."""
+        return page_plan(tables, self.chunks_per_table)
+
 
 def load_config(path: str = "config.yaml") -> Config:
     """Read a YAML file; a missing file is an error, unknown keys too."""

@@ -69,6 +69,15 @@ def copy_table(source: DataFrame, path: str, target_columns: list[str], generate
     return seen.get["n"]
 
 
+def copy_in_chunks(source: DataFrame, path: str, key: str, chunks: int) -> DataFrame:
+    """Write source in chunks of the key, each by its own tasks into its own folder; chunk_no and n of what was written.
+
+    A chunk that a task loses is made again alone.
+    """
+    with_chunk(source, key, chunks).repartition(chunks, "chunk_no").write.mode("overwrite").partitionBy("chunk_no").parquet(path)
+    return source.sparkSession.read.parquet(path).groupBy("chunk_no").agg(F.count(F.lit(1)).alias("n"))
+
+
 def copy_tables(spark: SparkSession, tables: dict[str, tuple[DataFrame, str, list[str]]], at_once: int = 4) -> dict[str, int]:
     """Copy several tables, `at_once` jobs at a time; a table that fails counts -1 and stops no other."""
 

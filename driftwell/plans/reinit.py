@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 LOST_WINDOW = "DATA-LOSS WINDOW: changes since the lost position are not in the stream"
 
 
@@ -43,3 +48,22 @@ def decide(state: DataFrame) -> DataFrame:
 def new_tables(captured: DataFrame, tracked: DataFrame) -> DataFrame:
     """Captured tables that the stream does not track yet."""
     return captured.join(tracked, captured.columns, "left_anti")
+
+
+def act(decided: DataFrame, handlers: dict[str, Callable[[str], object]]) -> dict[str, list[str]]:
+    """Take the actions of each database in their order; what was done, by database.
+
+    handlers: what each action does with a database. After a failure a database's later
+    actions are left out, and the other databases go on.
+    """
+    done: dict[str, list[str]] = {}
+    for r in decided.where(F.size("actions_taken") > 0).orderBy("database").toLocalIterator():
+        done[r["database"]] = []
+        for action in r["actions_taken"]:
+            try:
+                handlers[action](r["database"])
+            except Exception:
+                log.exception("%s: %s failed", r["database"], action)
+                break
+            done[r["database"]].append(action)
+    return done

@@ -15,9 +15,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir; in a temporary folder only where the session names none."""
+    """A fresh path in spark.checkpoint.dir; in a temporary folder only with a local master that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         app = spark.sparkContext.applicationId
         base = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-")
         _LOCAL[app] = base

@@ -197,12 +197,16 @@ def test_status_sections(spark):
     assert tuple(status.totals(copies).first()) == (1200, 2, 1, "1,200")
 
 
-def test_config(tmp_path):
+def test_config(spark, tmp_path):
     from driftwell.config import load_config
 
     (tmp_path / "c.yaml").write_text("source: {host: a}\ntarget: {host: b}\nexclude_databases: [x]\n")
     cfg = load_config(f"{tmp_path}/c.yaml")
     assert cfg.source.host == "a" and cfg.exclude_databases == ["x"] and cfg.tables_at_once == 4
+    found = spark.createDataFrame([("x", False), ("my-db", False), ("template1", True)], "datname string, datistemplate boolean")
+    assert [tuple(r) for r in cfg.streams_of(cfg.databases_of(found)).collect()] == [("my-db", one(spark, N.stream_name("driftwell", F.lit("my-db"))))]
+    assert [r["name"] for r in cfg.schemas_of(spark.createDataFrame([("s",), ("anon",)], "name string")).collect()] == ["s"]
+    assert cfg.plan_of(spark.createDataFrame([("t", 1, 8192 * 8)], "key string, pages long, bytes long")).count() == 4
     (tmp_path / "d.yaml").write_text("source: {host: a}\ntarget: {host: b}\nno_such: 1\n")
     with pytest.raises(ValueError, match="no_such"):
         load_config(f"{tmp_path}/d.yaml")
@@ -258,6 +262,9 @@ def test_reinit_and_bootstrap(spark, tmp_path):
     got = {r["database"]: r for r in reinit.decide(state).collect()}
     assert got["d"]["was_healthy"] and got["d"]["actions_taken"] == []
     assert got["e"]["actions_taken"] == ["recreate publication", "recreate subscription with a fresh slot"]
+    log = []
+    handlers = {"recreate publication": lambda d: log.append(d), "recreate subscription with a fresh slot": lambda d: 1 / 0}
+    assert reinit.act(reinit.decide(state), handlers) == {"e": ["recreate publication"]} and log == ["e"]
     parent, child = spark.range(3).withColumnRenamed("id", "p"), spark.range(5).withColumnRenamed("id", "c")
     started = []
     db = bootstrap.Database("d", {"parent": parent, "child": child}, f"{tmp_path}/d", foreign_keys=[("child", ["c"], "parent", ["p"])], position=7, start_stream=started.append)
