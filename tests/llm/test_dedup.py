@@ -78,6 +78,25 @@ def test_empty_tables(spark, tmp_path):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_columns_come_back_as_they_were(spark, tmp_path):
+    """Every operator that drops or cuts rows gives back columns with the names of helpers, with their values."""
+    from driftwell.llm import decontamination, quality
+
+    names = ["_row", "row", "id", "_spans", "_kept", "component", "digest", "words", "fold", "block", "cls", "n"]
+    docs = [(i, f"text number {i % 7} with some words of its kind and a few more of them", "en", *[f"{n}-{i}" for n in names]) for i in range(20)]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"{tmp_path}/d")
+    table = spark.read.parquet(f"{tmp_path}/d")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 20, 2)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "text number 3"), (2, None)], "item_id long, text string")
+    for out in (exact_dedup.deduplicate(table), jaccard_join.keep_one(table), decontamination.drop_contaminated(table, bench), quality.keep_good(table, labels)):
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == table.columns and got and set(got) <= set(docs)
+    for out in (substring_dedup.remove_repeats(table), decontamination.cut_contaminated(table, bench)):
+        got = {(r["doc_id"], *tuple(r)[2:]) for r in out.collect()}
+        assert out.columns == table.columns and got == {(d[0], *d[2:]) for d in docs}
+
+
 def brute_components(docs):
     sets = []
     for _, text in docs:

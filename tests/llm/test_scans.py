@@ -250,6 +250,28 @@ def test_runs_of_marks_are_settled_at_once():
         secret_scan.random_spans(run, tokenizer)  # whole runs, of any length
 
 
+LONG = [c * 1_000_000 for c in ("-", ".", " ", "\u2581")] + ["a b" * 300_000, "copyright " * 50_000, "\n" * 1_000_000, "=" * 1_000_000 + "x1"]
+
+
+def test_long_texts_take_linear_time(spark, tmp_path):
+    """A megabyte of one mark or one word holds up no scan."""
+    import time
+
+    from driftwell.llm import toxicity
+
+    bpe, tokenizer = piece_bpe.load(piece_bpe.default_model()), secret_scan.encoding(secret_scan.default_vocabulary())
+    for text in LONG:
+        for work in (toxicity.words, bpe.encode, secret_scan.base_spans, lambda t: secret_scan.random_spans(t, tokenizer)):
+            began = time.perf_counter()
+            work(text)
+            assert time.perf_counter() - began < 10
+    docs = table(spark, list(enumerate(LONG)), "doc_id long, text string", f"{tmp_path}/d")
+    bench = table(spark, BENCH, "item_id long, text string", f"{tmp_path}/b")
+    began = time.perf_counter()
+    assert license_scan.scan_licenses(docs).count() == decontamination.find_contamination(docs, bench).count() == len(LONG)
+    assert time.perf_counter() - began < 120
+
+
 @pytest.fixture(scope="module")
 def library():
     import sentencepiece
