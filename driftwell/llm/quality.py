@@ -48,6 +48,8 @@ QUANTILE, SLACK = 0.995, 0.1
 PRIOR_SYMBOLS = 24
 #: Bits of a character in a context.
 WIDE = 21
+#: Blocks that a task holds rows of.
+OPEN_BLOCKS = 3
 #: Characters of a block (two folds together), the power of two of its rows at most, and of a text that is a block of its own.
 BLOCK_CHARS, BLOCK_BITS, LONG = 16_000_000, 12, 1_000_000
 #: Rows whose n-grams a task makes at once.
@@ -222,22 +224,29 @@ def _packed(rows: DataFrame) -> DataFrame:
     """block, rows: rows (block first) of one block, packed; a block may come in parts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, own in _by_block(batch):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(own)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+        for block, parts in _by_block(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in parts:
+                    out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
     return rows.mapInArrow(pack, "block long, rows binary")
 
 
-def _by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    blocks, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    edges = np.searchsorted(at[order], np.arange(len(blocks) + 1))
-    for k, block in enumerate(blocks.tolist()):
-        yield block, batch.take(pa.array(order[edges[k] : edges[k + 1]]))
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Blocks (column 0) with their rows. Rows of a block stand together, so OPEN_BLOCKS are held at once; a block may come in parts."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        blocks, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[order], np.arange(len(blocks) + 1))
+        for k, block in enumerate(blocks.tolist()):
+            held.setdefault(block, []).append(batch.take(pa.array(order[edges[k] : edges[k + 1]])))
+        while len(held) > OPEN_BLOCKS:
+            block = next(iter(held))
+            yield block, held.pop(block)
+    yield from held.items()
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[list[str]]:
@@ -256,17 +265,16 @@ def perplexities(docs: DataFrame, model: Model, where: list[Column | str] | None
     schema = f"_row long, doc_id {kind}, lang string, n_symbols long, nats double"
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, own in _by_block(batch):
-                context, symbol = (np.concatenate(x) for x in zip(*[distinct_grams(t)[:2] for t in _texts(own)]))
-                contexts, at = np.unique(context, return_inverse=True)
-                keys = np.unique((at << WIDE) | symbol)
-                context, symbol = contexts[keys >> WIDE], keys & ((1 << WIDE) - 1)
-                fold = np.full(len(keys), own.column(1)[0].as_py(), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), block, np.int64)), pa.array(fold), pa.array(context), pa.array(symbol.astype(np.int32))],
-                    ["block", "fold", "context", "symbol"],
-                )
+        for block, parts in _by_block(batches):
+            context, symbol = (np.concatenate(x) for x in zip(*[distinct_grams(t)[:2] for part in parts for t in _texts(part)]))
+            contexts, at = np.unique(context, return_inverse=True)
+            keys = np.unique((at << WIDE) | symbol)
+            context, symbol = contexts[keys >> WIDE], keys & ((1 << WIDE) - 1)
+            fold = np.full(len(keys), parts[0].column(1)[0].as_py(), np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), block, np.int64)), pa.array(fold), pa.array(context), pa.array(symbol.astype(np.int32))],
+                ["block", "fold", "context", "symbol"],
+            )
 
     def score(packed: pa.Table, known: pa.Table) -> pa.Table:
         context, symbol, log_p = (known.column(c).to_numpy() for c in ("context", "symbol", "log_p"))
@@ -277,17 +285,17 @@ def perplexities(docs: DataFrame, model: Model, where: list[Column | str] | None
         out = []
         for data in packed.column("rows"):
             with pa.ipc.open_stream(data.as_buffer()) as stream:
-                batch = stream.read_next_batch()
-            sums, lengths = [], []
-            for texts in _texts(batch):
-                own_context, own_symbol, inverse, n = distinct_grams(texts)
-                of_grams = log_p[np.searchsorted(keys, (np.searchsorted(contexts, own_context) << WIDE) | own_symbol)]
-                total, ends = np.concatenate([[0.0], np.cumsum(of_grams[inverse])]), np.cumsum(n)
-                sums.append(total[ends] - total[ends - n])
-                lengths.append(n)
-            n = np.concatenate(lengths)
-            nats = pa.array(-np.concatenate(sums) / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            out.append(pa.RecordBatch.from_arrays([*batch.columns[2:5], pa.array(n), nats], ["_row", "doc_id", "lang", "n_symbols", "nats"]))
+                for batch in stream:
+                    sums, lengths = [], []
+                    for texts in _texts(batch):
+                        own_context, own_symbol, inverse, n = distinct_grams(texts)
+                        of_grams = log_p[np.searchsorted(keys, (np.searchsorted(contexts, own_context) << WIDE) | own_symbol)]
+                        total, ends = np.concatenate([[0.0], np.cumsum(of_grams[inverse])]), np.cumsum(n)
+                        sums.append(total[ends] - total[ends - n])
+                        lengths.append(n)
+                    n = np.concatenate(lengths)
+                    nats = pa.array(-np.concatenate(sums) / np.maximum(n, 1), pa.float64(), mask=n == 0)
+                    out.append(pa.RecordBatch.from_arrays([*batch.columns[2:5], pa.array(n), nats], ["_row", "doc_id", "lang", "n_symbols", "nats"]))
         return pa.Table.from_batches(out)
 
     found = stored(rows.select("block", "fold", "text").mapInArrow(grams, "block long, fold int, context long, symbol int"), "block-grams")

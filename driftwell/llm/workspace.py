@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 #: Rows, and bytes where rows differ in size, up to which one side of a join is broadcast; beyond, both are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
+#: Rows and bytes of an Arrow batch while tables are written here.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
 #: Bytes of text that a task works on at once.
 SLICE_BYTES = 1 << 19
 
@@ -44,11 +48,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of bounded rows and bytes while a table is written: executors hold them outside the heap,
+    and a default batch of whole texts takes tens of MB for each task."""
+    before = {}
+    for key, most in ARROW_LIMITS.items():
+        now = spark.conf.get(key, None)
+        if now is not None and (not now.isdigit() or not 0 < int(now) <= most):
+            before[key] = now
+            spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.options(**(options or {})).parquet(path)
+    with small_batches(spark):
+        df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
