@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import scan, slice_text, word_array
-from .workspace import NUMBER, fits, numbered, sized, stored, without_rows, written
+from .workspace import NUMBER, fits, numbered, scratch, sized, stored, without_rows, written
 
 NGRAM = 10
 SPANS = "_driftwell_spans"
@@ -112,8 +112,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) ->
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, share: float = 0.0) -> DataFrame:
     """docs without the rows of whose words more than `share` are hit."""
     written(docs)
-    bad = find_contamination(docs, benchmark, n).where((F.col("n_hit") > 0) & (F.col("n_hit") > share * F.col("n_words")))
-    return without_rows(docs, stored(bad.select("_row"), "contaminated"))
+    with scratch(docs.sparkSession):
+        bad = find_contamination(docs, benchmark, n).where((F.col("n_hit") > 0) & (F.col("n_hit") > share * F.col("n_words")))
+        bad = stored(bad.select("_row"), "contaminated", keep=True)
+    return without_rows(docs, bad)
 
 
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import fresh_path, numbered, sized, stored, without_rows, written
+from .workspace import fresh_path, numbered, scratch, sized, stored, without_rows, written
 
 #: Runs of a level that are merged.
 FAN_IN = 4
@@ -167,7 +167,8 @@ def find_copies(docs: DataFrame, **options) -> DataFrame:
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that are copies of a kept one."""
     written(docs)
-    found = stored(find_copies(docs, **options).where(~F.col("kept")).select(F.col("row").alias("_row")), "dropped")
+    with scratch(docs.sparkSession):
+        found = stored(find_copies(docs, **options).where(~F.col("kept")).select(F.col("row").alias("_row")), "dropped", keep=True)
     return without_rows(docs, found)
 
 

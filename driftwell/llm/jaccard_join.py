@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .workspace import numbered, sized, sliced, stored, without_rows, written
+from .workspace import numbered, scratch, sized, sliced, stored, without_rows, written
 
 SHINGLE, SHARE = 5, 75
 #: Share of the hash space that step 2 counts, in 1/1024; sets up to FULL_SIZE are counted whole.
@@ -196,7 +196,7 @@ def shingled(rows: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield of_entries(_packed(held, buckets), id_type)
 
-    return stored(rows.mapInArrow(sets_and_entries, schema), "shingled")
+    return stored(rows.mapInArrow(sets_and_entries, schema), "shingled", keep=True)
 
 
 def _shared(token: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -493,23 +493,25 @@ def find_near(docs: DataFrame, *, links: bool = True) -> DataFrame:
     """
     written(docs)
     rows = numbered(docs, F.col("doc_id").alias("id"), "text")
-    both = shingled(rows, max(64, 4 * rows.rdd.getNumPartitions()))
-    member = both.where("bucket is null").drop("bucket", "entries")
-    classes = stored(
-        member.where("digest is not null").groupBy("digest", "digest2").agg(
-            F.min("_row").alias("cls"), F.max("n").alias("n"), F.max("counted").alias("counted"), F.min("id").alias("least"),
-            F.count(F.lit(1)).alias("copies"),
-        ),
-        "classes",
-    )
-    sets = candidate_sets(rows, classes, credits(both.where("bucket is not null").select("bucket", "entries")))
-    linked = stored(link_components(sets), "linked")
+    with scratch(docs.sparkSession):
+        both = shingled(rows, max(64, 4 * rows.rdd.getNumPartitions()))
+        member = both.where("bucket is null").drop("bucket", "entries")
+        classes = stored(
+            member.where("digest is not null").groupBy("digest", "digest2").agg(
+                F.min("_row").alias("cls"), F.max("n").alias("n"), F.max("counted").alias("counted"), F.min("id").alias("least"),
+                F.count(F.lit(1)).alias("copies"),
+            ),
+            "classes", keep=True,
+        )
+        sets = candidate_sets(rows, classes, credits(both.where("bucket is not null").select("bucket", "entries")))
+        linked = stored(link_components(sets), "linked", keep=True)
+        counts = stored(count_links(sets, linked, classes), "link-counts", keep=True) if links else None
     named = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("digest", "digest2", "cls", "copies", "component", "component_id")
     columns = ["_row", "id", F.col("n").alias("n_shingles"), "component_id", "component"]
     if links:
-        named = named.join(count_links(sets, linked, classes), "cls", "left")
+        named = named.join(counts, "cls", "left")
         columns.append((F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     found = member.join(named.drop("cls"), ["digest", "digest2"]).select(*columns)
     empty = member.where("digest is null").select(
@@ -521,11 +523,14 @@ def find_near(docs: DataFrame, *, links: bool = True) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, the smallest id's first; rows without words all stay."""
-    near = stored(find_near(docs, links=False), "near").where("component is not null")
-    key = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")
-    first = near.groupBy("component").agg(F.min(key).alias("first"))
-    dropped = near.join(first, "component").where(F.col("_row") != F.col("first._row"))
-    return without_rows(docs, stored(dropped.select("_row"), "near-copies"))
+    written(docs)
+    with scratch(docs.sparkSession):
+        near = stored(find_near(docs, links=False), "near").where("component is not null")
+        key = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")
+        first = near.groupBy("component").agg(F.min(key).alias("first"))
+        dropped = near.join(first, "component").where(F.col("_row") != F.col("first._row"))
+        dropped = stored(dropped.select("_row"), "near-copies", keep=True)
+    return without_rows(docs, dropped)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

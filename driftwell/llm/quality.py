@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import NUMBER, sized, sliced, stored, without_rows, written
+from .workspace import NUMBER, scratch, sized, sliced, stored, without_rows, written
 
 ORDER, REPEAT = 4, "\x01"
 #: What stands in front of a text; the code point is no character, so no text holds it after `symbols_of`.
@@ -340,17 +340,19 @@ def classify(
     docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, where: list[Column | str] | None = None
 ) -> DataFrame:
     """_row, doc_id, lang, n_symbols, nats, score, threshold, kept for each row of docs; where: see `perplexities`."""
-    ids = sized(stored(trusted_ids(labels), "trusted"))
-    model = train(docs.join(ids, "doc_id", "left_semi").select(_fold().alias("fold"), "text"))
-    scores = stored(perplexities(docs, model, where), "perplexities")
+    with scratch(docs.sparkSession):
+        ids = sized(stored(trusted_ids(labels), "trusted", keep=True))
+        model = train(docs.join(ids, "doc_id", "left_semi").select(_fold().alias("fold"), "text"))
+        scores = stored(perplexities(docs, model, where), "perplexities", keep=True)
     return judged(scores, scores.join(ids, "doc_id", "left_semi"), quantile, slack)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the rows that the classifier rejects."""
     written(docs)
-    bad = classify(docs, labels, **options).where(~F.col("kept"))
-    return without_rows(docs, stored(bad.select("_row"), "rejected"))
+    with scratch(docs.sparkSession):
+        bad = stored(classify(docs, labels, **options).where(~F.col("kept")).select("_row"), "rejected", keep=True)
+    return without_rows(docs, bad)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -27,6 +28,8 @@ SLICE_BYTES = 1 << 19
 NUMBER = "_driftwell_row_number"
 
 _LOCAL: dict[str, str] = {}
+#: The tables of each `scratch` block that is open.
+_SCRATCH: list[list[str]] = []
 #: The written table of each DataFrame object that was numbered.
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, DataFrame] = weakref.WeakKeyDictionary()
 
@@ -65,10 +68,30 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are `stored` inside go when the block ends, but those with `keep`, which stay for the block
+    around it, or for good. The driver then lets go of what is unreachable, and Spark of its shuffle files."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        gc.collect()
+        jvm.System.gc()
+
+
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if around := _SCRATCH[: len(_SCRATCH) - keep]:
+        around[-1].append(path)
     with small_batches(spark):
         df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -112,7 +135,10 @@ def written(docs: DataFrame) -> DataFrame:
     so numbers that two jobs must agree on are read from this table and never made twice.
     """
     if docs not in _WRITTEN:
-        _WRITTEN[docs] = stored(docs.withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
+        path = fresh_path(docs.sparkSession, "numbered")
+        rows = docs.withColumn(NUMBER, F.monotonically_increasing_id())
+        rows.write.option("compression", "zstd").parquet(path)
+        _WRITTEN[docs] = docs.sparkSession.read.schema(rows.schema).parquet(path)
     return _WRITTEN[docs]
 
 
