@@ -240,12 +240,16 @@ def candidate_sets(rows: DataFrame, classes: DataFrame, credit: DataFrame) -> Da
     """cls, n, tokens, p0 ... (parity bitmap) of the classes that can have a partner."""
     # Of the counted shingles all but a quarter of the set, at most, are in a partner.
     possible = classes.join(credit, "digest", "left").where(F.coalesce("credit", F.lit(0)) >= F.col("counted") - F.floor(F.col("n") / 4))
-    possible = stored(possible.select(F.col("cls").alias("_row")), "possible")
-    chosen = rows.join(sized(possible), "_row").select("_row", "text")
+    return sets_of(rows, stored(possible.select(F.col("cls").alias("_row")), "possible"))
+
+
+def sets_of(rows: DataFrame, chosen: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """cls, n, tokens, p0 ... (parity bitmap) of the rows whose number is in `chosen`."""
+    chosen = rows.join(sized(chosen), "_row").select("_row", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS, 1):
-            found = shingle_sets(_utf8(batch.column(1)))
+            found = shingle_sets(_utf8(batch.column(1)), n)
             offsets = np.cumsum([0, *map(len, found)])
             flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
             bits = np.zeros((len(found), 64 * PARITY), np.uint8)
@@ -342,23 +346,23 @@ def _scanned_lists(entries: DataFrame) -> DataFrame:
     return entries.join(least, "token").where(_within("n", "place", "n", partner)).drop("least", "m")
 
 
-def _overlap(a, b):  # noqa: ANN001, ANN202
+def _overlap(a, b, share: int = SHARE):  # noqa: ANN001, ANN202
     """least_overlap, of columns."""
-    return F.ceil((a + b) * SHARE / (100 + SHARE) - 1e-9)
+    return F.ceil((a + b) * share / (100 + share) - 1e-9)
 
 
-def _within(n: str, place: str, a, b):  # noqa: ANN001, ANN202
+def _within(n: str, place: str, a, b, share: int = SHARE):  # noqa: ANN001, ANN202
     """Whether a set whose first shared shingle has this place can reach the overlap that sizes a and b ask for."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.col(place) <= F.col(n) - _overlap(a, b)
+    return F.col(place) <= F.col(n) - _overlap(a, b, share)
 
 
-def _sizes_fit(a: str, b: str):  # noqa: ANN202
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * SHARE)
+def _sizes_fit(a: str, b: str, share: int = SHARE):  # noqa: ANN202
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * share)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those that link."""
+def verified(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """Of pairs (a, b) of classes, those that link: their sets have `share` percent in common."""
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
@@ -366,10 +370,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     parity = [f"p{k}" for k in range(PARITY)]
     both = pairs.join(side("b", "n", *parity), "b").join(side("a", "n", *parity), "a")
     differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in parity), F.lit(0))
-    likely = stored(both.where(differ * (100 + SHARE) <= (100 - SHARE) * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "likely-pairs")
+    likely = stored(both.where(differ * (100 + share) <= (100 - share) * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "likely-pairs")
     both = likely.join(side("b", "n", "tokens"), "b").join(side("a", "n", "tokens"), "a")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(common * 100 >= SHARE * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
+    return both.where(common * 100 >= share * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
 
 
 def _leads(turn: int, last: bool) -> Column:
@@ -391,7 +395,14 @@ def link_components(sets: DataFrame) -> DataFrame:
         nothing = F.lit(0).cast("long")
         small = _small_lists(sets, limit).distinct()
         lists = lists.unionByName(small.select("token", "cls", "n", nothing.alias("own"), nothing.alias("place")))
-    lists = stored(lists, "lists")
+    return linked_in_lists(stored(lists, "lists"), sets)
+
+
+def linked_in_lists(lists: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """cls, component (a class) for the classes of lists (token, cls, n, own, place) that link with a member of one of theirs.
+
+    Members lead by turns; see step 4.
+    """
     n_sets, links, labels = sets.count(), None, None
     for turn in range(22):  # MORE_LEADS ** 21 = 2 ** 63
         if labels is None:
@@ -416,10 +427,10 @@ def link_components(sets: DataFrame) -> DataFrame:
             "token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"),
             F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         )
-        fits = _sizes_fit("n", "nb") & _within("n", "place", "n", "nb") & _within("nb", "pb", "n", "nb")
+        fits = _sizes_fit("n", "nb", share) & _within("n", "place", "n", "nb", share) & _within("nb", "pb", "n", "nb", share)
         met = open_lists.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).join(lead, ["token", "salt"])
         pairs = met.where((F.col("component") != F.col("cb")) & fits).select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
-        new = stored(verified(stored(pairs.distinct(), "pairs"), sets), "new-links")
+        new = stored(verified(stored(pairs.distinct(), "pairs"), sets, share), "new-links")
         if not new.isEmpty():
             links = new if links is None else stored(links.unionByName(new), "links")
             labels = stored(components(links).withColumnRenamed("id", "cls"), "components")

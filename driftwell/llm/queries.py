@@ -1,6 +1,8 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, exact_dedup, jaccard_join, license_scan, piece_bpe, quality, secret_scan, sharding, substring_dedup, toxicity
+from . import (
+    decontamination, exact_dedup, jaccard_join, license_scan, minhash, periodic_runs, piece_bpe, quality, secret_scan, sharding, substring_dedup, toxicity,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +15,8 @@ QUERIES = {
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op11_minhash": minhash.op11_minhash,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -20,4 +24,5 @@ ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
+    "op11_minhash": minhash.OP11_SQL,
 }
