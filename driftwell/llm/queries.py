@@ -1,7 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
 from . import (
-    decontamination, exact_dedup, jaccard_join, license_scan, minhash, periodic_runs, piece_bpe, quality, secret_scan, sharding, substring_dedup, toxicity,
+    decontamination, exact_dedup, jaccard_join, license_scan, minhash, periodic_runs, phrases, piece_bpe, quality, secret_scan, sharding, substring_dedup, toxicity,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op11_minhash": minhash.op11_minhash,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
     "op11_minhash": minhash.OP11_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
