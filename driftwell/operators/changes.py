@@ -23,6 +23,15 @@ def split_key_changes(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.drop("before").unionByName(gone.withColumn("op", F.lit("D")).drop("before"))
 
 
+def split_updates(changes: DataFrame, columns: list[str]) -> DataFrame:
+    """changes without updates: the row before (`before`, a struct of all columns) is deleted, the row after inserted, in this order."""
+    if "before" not in changes.columns:
+        return changes
+    update = F.col("op") == "U"
+    gone = changes.where(update).withColumns({c: F.col(f"before.{c}") for c in columns}).withColumn("op", F.lit("D"))
+    return changes.withColumn("op", F.when(update, F.lit("I")).otherwise(F.col("op"))).unionByName(gone).drop("before")
+
+
 def last_changes(changes: DataFrame, keys: list[str], after: int | None = None) -> DataFrame:
     """The last change of each key, after a position and after the last truncate.
 

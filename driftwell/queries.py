@@ -516,7 +516,8 @@ def r14_cdc_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FINAL_SQL)
 def r14_stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same state, by a stream over files that come in no order: one batch for each, compacted on the way."""
-    from .streaming.apply import ChangeTable, start_apply
+    from .streaming.apply import start_apply
+    from .streaming.tables import ChangeTable
 
     log, at = as_changes(table(spark, sf_dir, "events")), shared_path(spark, "changes")
     log.repartition(4, "event_id").write.parquet(at)
@@ -542,4 +543,4 @@ def r14_key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.apply_keyed(empty, log, ["user_id"])
 
 
-from . import catalog_queries  # noqa: E402, F401  registers its queries
+from . import catalog_queries, stream_queries  # noqa: E402, F401  register their queries

@@ -1,74 +1,18 @@
-"""Continuous apply of a change stream onto a keyed table.
-
-A batch appends the last change of each of its keys, with its position, as one immutable
-folder that counts once Spark's commit marker is in it; nothing else is written. Reading
-takes the last change of each key over all folders, so the order in which batches and files
-come doesn't matter, and an older change never covers a newer one. A batch that is replayed
-writes its folder again. `compact` brings the folders up to now into one.
-"""
+"""The life of a change stream: it is started on a table or on a whole replica, paused, resumed, dropped, waited for."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-from ..operators.changes import last_changes, split_key_changes
-
-
-class ChangeTable:
-    """The last change of each key, in folders below one path; deletes stay as changes, so that older ones lose to them."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
-        self.log = StructType(schema.fields).add("lsn", "long").add("seq", "long").add("op", "string")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _committed(self, kind: str) -> list[int]:
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(int(n.split("-")[1]) for n in names if n.startswith(kind) and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
-
-    def _folder(self, kind: str, n: int) -> str:
-        return f"{self.path}/{kind}-{n:012d}"
-
-    def versions(self) -> list[int]:
-        """The batches that are in."""
-        return self._committed("batch")
-
-    def changes(self) -> DataFrame:
-        """The newest compacted folder and the batches after it."""
-        base = self._committed("base")[-1:]
-        folders = [self._folder("base", n) for n in base] + [self._folder("batch", n) for n in self.versions() if not base or n > base[-1]]
-        return self.spark.read.schema(self.log).parquet(*folders) if folders else self.spark.createDataFrame([], self.log)
-
-    def _write(self, rows: DataFrame, folder: str) -> None:
-        """The last change of each key, and the last truncate."""
-        cut = rows.where("op = 'T'").orderBy("lsn", "seq", ascending=False).limit(1)
-        kept = last_changes(rows, self.keys).select(self.log.fieldNames()).unionByName(cut.select(self.log.fieldNames()))
-        kept.write.mode("overwrite").parquet(folder)
-
-    def append(self, changes: DataFrame, batch: int) -> None:
-        rows = split_key_changes(changes, self.keys).select(self.log.fieldNames()).persist()
-        self._write(rows, self._folder("batch", batch))
-        rows.unpersist()
-
-    def compact(self) -> None:
-        if found := self.versions():
-            self._write(self.changes(), self._folder("base", found[-1]))
-
-    def read(self) -> DataFrame:
-        return last_changes(self.changes(), self.keys).where("op <> 'D'").select(self.schema.fieldNames())
+from pyspark.sql import DataFrame
 
-    def clear(self) -> None:
-        self._fs.delete(self._path(self.path), True)
+from .marks import Marks
+from .replica import Replica
+from .tables import ChangeTable, RowTable, StreamedTable  # noqa: F401  the first two are what others take from here
 
 
-def start_apply(changes: DataFrame, target: ChangeTable, checkpoint: str, after: int | None = None, **trigger):  # noqa: ANN201
+def start_apply(changes: DataFrame, target: StreamedTable | Replica, checkpoint: str, after: int | None = None, **trigger):  # noqa: ANN201
     """Start the query; `after` is the position of the snapshot that the table began with."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -82,9 +26,9 @@ class NotStreaming(RuntimeError):
 
 
 class Stream:
-    """The life of one table's stream: started, paused with its position, resumed, or dropped."""
+    """A stream: started, paused with its position, resumed, or dropped."""
 
-    def __init__(self, make_changes: Callable[[], DataFrame], target: ChangeTable, checkpoint: str, after: int | None = None):
+    def __init__(self, make_changes: Callable[[], DataFrame], target: StreamedTable | Replica, checkpoint: str, after: int | None = None):
         self.make_changes, self.target, self.checkpoint, self.after = make_changes, target, checkpoint, after
         self.query = None
 
@@ -98,9 +42,10 @@ class Stream:
             self.query.stop()
 
     def drop(self) -> None:
-        """Stop and forget the position."""
+        """Stop and forget the position: the next start reads the changes from the first, so those that came are forgotten, too."""
         self.disable()
-        self.target._fs.delete(self.target._path(self.checkpoint), True)
+        Marks(self.target.spark, self.checkpoint).clear()
+        self.target.restart()
 
     def is_streaming(self) -> bool:
         return self.query is not None and self.query.exception() is None and (self.query.isActive or self.query.lastProgress is not None)

@@ -18,7 +18,8 @@ def duck():
 
 
 def rows(values):
-    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in values)
+    plain = (tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in values)
+    return sorted(plain, key=lambda r: tuple((v is not None, v) for v in r))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
