@@ -196,7 +196,7 @@ def shingled(rows: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield of_entries(_packed(held, buckets), id_type)
 
-    return stored(rows.mapInArrow(sets_and_entries, schema), "shingled", keep=True)
+    return stored(rows.mapInArrow(sets_and_entries, schema), "shingled")
 
 
 def _shared(token: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,11 +236,25 @@ def credits(blobs: DataFrame) -> DataFrame:
     return here.unionByName(there).groupBy("digest").agg(F.sum("credit").alias("credit"))
 
 
-def candidate_sets(rows: DataFrame, classes: DataFrame, credit: DataFrame) -> DataFrame:
-    """cls, n, tokens, p0 ... (parity bitmap) of the classes that can have a partner."""
-    # Of the counted shingles all but a quarter of the set, at most, are in a partner.
-    possible = classes.join(credit, "digest", "left").where(F.coalesce("credit", F.lit(0)) >= F.col("counted") - F.floor(F.col("n") / 4))
-    return sets_of(rows, stored(possible.select(F.col("cls").alias("_row")), "possible"))
+def chosen_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of `shingled` without entries, their classes, and the _row of the classes that can have a partner.
+
+    The entries are by far the most that the join holds, so they go as soon as the classes are chosen.
+    """
+    with scratch(rows.sparkSession):
+        both = shingled(rows, max(64, 4 * rows.rdd.getNumPartitions()))
+        member = stored(both.where("bucket is null").drop("bucket", "entries"), "members", keep=2)
+        classes = stored(
+            member.where("digest is not null").groupBy("digest", "digest2").agg(
+                F.min("_row").alias("cls"), F.max("n").alias("n"), F.max("counted").alias("counted"), F.min("id").alias("least"),
+                F.count(F.lit(1)).alias("copies"),
+            ),
+            "classes", keep=2,
+        )
+        credit = credits(both.where("bucket is not null").select("bucket", "entries"))
+        # Of the counted shingles all but a quarter of the set, at most, are in a partner.
+        possible = classes.join(credit, "digest", "left").where(F.coalesce("credit", F.lit(0)) >= F.col("counted") - F.floor(F.col("n") / 4))
+        return member, classes, stored(possible.select(F.col("cls").alias("_row")), "possible", keep=1)
 
 
 def sets_of(rows: DataFrame, chosen: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -505,16 +519,8 @@ def find_near(docs: DataFrame, *, links: bool = True) -> DataFrame:
     written(docs)
     rows = numbered(docs, F.col("doc_id").alias("id"), "text")
     with scratch(docs.sparkSession):
-        both = shingled(rows, max(64, 4 * rows.rdd.getNumPartitions()))
-        member = both.where("bucket is null").drop("bucket", "entries")
-        classes = stored(
-            member.where("digest is not null").groupBy("digest", "digest2").agg(
-                F.min("_row").alias("cls"), F.max("n").alias("n"), F.max("counted").alias("counted"), F.min("id").alias("least"),
-                F.count(F.lit(1)).alias("copies"),
-            ),
-            "classes", keep=True,
-        )
-        sets = candidate_sets(rows, classes, credits(both.where("bucket is not null").select("bucket", "entries")))
+        member, classes, possible = chosen_rows(rows)
+        sets = sets_of(rows, possible)
         linked = stored(link_components(sets), "linked", keep=True)
         counts = stored(count_links(sets, linked, classes), "link-counts", keep=True) if links else None
     named = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -86,11 +86,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         jvm.System.gc()
 
 
-def stored(df: DataFrame, name: str, options: dict[str, str] | None = None, keep: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None, keep: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here and lost executors lose nothing.
+
+    It stays when the innermost `keep` scratch blocks end.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    if around := _SCRATCH[: len(_SCRATCH) - keep]:
+    if around := _SCRATCH[: max(0, len(_SCRATCH) - keep)]:
         around[-1].append(path)
     with small_batches(spark):
         df.write.options(**(options or {})).parquet(path)
