@@ -11,7 +11,11 @@
 The manifest is a table (one row a shard), so its size and the tiers are worked out by
 Spark; the driver holds the paths of one merge (MERGE_SHARDS, the smallest first; merges
 follow each other until no tier is due), and those of the shards that are read. `vacuum`
-deletes the folders that no kept version lists.
+deletes the folders that no kept version lists and no writer is at work on: a writer leaves a
+note before its first file and takes it away after its commit, and `vacuum` reads folders,
+notes and versions in this order, so what it finds without a note is committed or was given
+up. Notes older than ABANDONED_S count as given up. Renames must be atomic (HDFS, local
+disks); an object store needs a committer that makes them so.
 
 Defined results: every row appended is read back once, as it was, repeated rows and nulls
 too; an empty arrival commits a version without new shards; any columns are kept.
@@ -20,6 +24,9 @@ too; an empty arrival commits a version without new shards; any columns are kept
 from __future__ import annotations
 
 import math
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +39,8 @@ FAN_IN = 4
 SHARD_ROWS = 4096
 #: Shards of one merge, at most.
 MERGE_SHARDS = 10_000
+#: Seconds after which a writer that has not committed is given up.
+ABANDONED_S = 24 * 3600.0
 _MANIFEST = "path string, bytes long, tier int, added long"
 
 
@@ -97,12 +106,21 @@ class ShardStore:
             raise
         return version + 1
 
+    @contextmanager
+    def _new_folder(self, prefix: str) -> Iterator[str]:
+        """The name of a folder that no vacuum takes away inside the block."""
+        folder = fresh_path(self.spark, prefix).rsplit("/", 1)[1]
+        note = self._path(f"{self.root}/writing/{folder}")
+        self._fs.create(note, False).close()
+        yield folder
+        self._fs.delete(note, False)  # stays if the block fails: its files are given up with it
+
     def append(self, arrival: DataFrame) -> int:
         """Write an arrival as small shards and commit them; returns the new version."""
         version = self.version()
-        folder = fresh_path(self.spark, "a").rsplit("/", 1)[1]
-        arrival.write.option("maxRecordsPerFile", self.shard_rows).parquet(f"{self.root}/data/{folder}")
-        return self._commit(self.shards(version).unionByName(self._files(f"{self.root}/data/{folder}", version + 1)), version)
+        with self._new_folder("a") as folder:
+            arrival.write.option("maxRecordsPerFile", self.shard_rows).parquet(f"{self.root}/data/{folder}")
+            return self._commit(self.shards(version).unionByName(self._files(f"{self.root}/data/{folder}", version + 1)), version)
 
     def compact(self) -> int:
         """Merge tiers until none has `fan_in` shards below the target size; returns the version."""
@@ -115,12 +133,12 @@ class ShardStore:
             if due is None:
                 return version
             merged = small.where(F.col("tier") == due["tier"]).orderBy("bytes", "path").limit(MERGE_SHARDS).select("path", "bytes").collect()
-            folder = fresh_path(self.spark, "c").rsplit("/", 1)[1]
             files = max(1, math.ceil(sum(r["bytes"] for r in merged) / self.target_bytes))
             rows = self.spark.read.parquet(*[r["path"] for r in merged])
-            rows.coalesce(files).write.parquet(f"{self.root}/data/{folder}")
             left = shards.join(self.spark.createDataFrame([(r["path"],) for r in merged], "path string"), "path", "left_anti")
-            self._commit(left.unionByName(self._files(f"{self.root}/data/{folder}", version + 1)), version)
+            with self._new_folder("c") as folder:
+                rows.coalesce(files).write.parquet(f"{self.root}/data/{folder}")
+                self._commit(left.unionByName(self._files(f"{self.root}/data/{folder}", version + 1)), version)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
@@ -129,15 +147,22 @@ class ShardStore:
             raise ValueError("this version has no shards")
         return self.spark.read.parquet(*paths)
 
+    def _in_work(self) -> set[str]:
+        """The folders that writers are at work on."""
+        at, now = self._path(f"{self.root}/writing"), time.time()
+        notes = self._fs.listStatus(at) if self._fs.exists(at) else []
+        return {n.getPath().getName() for n in notes if now - n.getModificationTime() / 1000 < ABANDONED_S}
 
     def vacuum(self, versions: int = 1) -> int:
-        """Delete the folders that none of the last `versions` versions lists; how many went."""
-        last, at = self.version(), self._path(f"{self.root}/data")
-        live = set()
+        """Delete the folders that none of the last `versions` versions lists, but for those in work; how many went."""
+        at = self._path(f"{self.root}/data")
+        folders = [s.getPath() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        in_work, last = self._in_work(), self.version()
+        live = set(in_work)
         for v in range(max(1, last - versions + 1), last + 1):
             folder = F.element_at(F.split("path", "/"), -2)
             live |= {r["f"] for r in self.shards(v).select(folder.alias("f")).distinct().collect()}  # a row for each arrival or merge
-        gone = [s.getPath() for s in self._fs.listStatus(at) if s.getPath().getName() not in live] if self._fs.exists(at) else []
+        gone = [path for path in folders if path.getName() not in live]
         for path in gone:
             self._fs.delete(path, True)
         return len(gone)

@@ -354,3 +354,37 @@ def test_merges_go_on_until_no_tier_is_due(spark, tmp_path, monkeypatch):
     store.append(spark.range(200).selectExpr("id AS doc_id").coalesce(1))
     store.compact()
     assert store.shards().groupBy("tier").count().where("count >= 3").isEmpty() and store.read().count() == 200
+
+
+def test_vacuum_leaves_what_is_being_written(spark, tmp_path):
+    """A vacuum between the files of an append and its commit, and between those of a merge and its commit."""
+    store = sharding.ShardStore(spark, f"{tmp_path}/s", target_bytes=1 << 20, fan_in=2, shard_rows=10)
+    commit, removed = store._commit, []
+
+    def vacuum_first(manifest, version):
+        removed.append(store.vacuum())
+        return commit(manifest, version)
+
+    store._commit = vacuum_first
+    for k in range(3):
+        store.append(spark.range(k * 50, k * 50 + 50))
+    store.compact()
+    assert sorted(r.id for r in store.read().collect()) == list(range(150))
+    assert store.vacuum() > 0 and store.read().count() == 150 and store._in_work() == set()
+
+    def fail(manifest, version):
+        raise OSError("the driver stopped")
+
+    store._commit = fail
+    with pytest.raises(OSError, match="stopped"):
+        store.append(spark.range(5))
+    assert len(store._in_work()) == 1 and store.vacuum() == 0 and store.read().count() == 150
+
+
+def test_sharding_of_an_empty_table_and_long_texts(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"{tmp_path}/s")
+    rows = spark.createDataFrame([(1, "x" * 3_000_000), (1, "x" * 3_000_000), (None, None)], "doc_id long, text string")
+    store.append(rows.limit(0))
+    store.append(rows)
+    store.compact()
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in store.read().collect()) == [(0, 0), (1, 3_000_000), (1, 3_000_000)]
