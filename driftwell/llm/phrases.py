@@ -5,9 +5,11 @@ frequent only if both phrases inside it that are one word shorter are. That hold
 
 1. A sample of documents (by a hash of the text, SHARE of them, so it grows with the table) is counted
    against a lowered threshold. What reaches it is proposed: words and pairs of words.
-2. One full pass counts exactly, together: all words; all pairs of proposed words; all triples whose two
-   pairs are proposed. These are the proposed phrases and their negative border, the smallest phrases that
-   the sample doesn't propose.
+2. The full pass counts, together: all words; all pairs of proposed words; all triples whose two pairs are
+   proposed. These are the proposed phrases and their negative border, the smallest phrases that the sample
+   doesn't propose. It has two scans. The first counts phrases by slots of a hash space, 2 ** 32 for each of
+   its buckets, which says how often a phrase occurs at most; the second counts exactly, by the hashes of all
+   its words, what may reach LEAST. Few phrases do, so few are shuffled with their words.
 3. Where something of the border is frequent, the sample was wrong about it, and larger phrases may have
    been left out: those that the true frequent phrases now suggest and no pass has counted. Another full pass
    counts them alone. This ends when no frequent phrase is outside of what the last pass was told: with
@@ -30,10 +32,10 @@ longer one is worked on alone); an empty table has no phrases; columns besides t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,40 +59,37 @@ ROWS = 4096
 #: Rows that one task ranks.
 RANKED = 64_000
 TRIES = 8
-_LOW = (1 << 31) - 1
+_K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-@dataclass
-class Proposed:
-    """Bitmaps of words and pairs: what a pass counts are pairs of these words and triples of these pairs."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _K[1]
+    x = (x ^ (x >> np.uint64(27))) * _K[2]
+    return x ^ (x >> np.uint64(31))
 
-    words: Broadcast
-    pairs: Broadcast
 
+def phrase_hash(*words: np.ndarray) -> np.ndarray:
+    """One hash of phrases from those of their words; phrases of one, two and three words have hashes of their own."""
+    out = np.full(len(words[0]), len(words), np.uint64)
+    for h in words:
+        out = _mix(out * _K[0] + h.view(np.uint64))
+    return out
 
-def _bits(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    slot = hashes & np.int64(bitmap.size * 8 - 1)
-    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
+def _held(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(bitmap.size * 8 - 1)
+    return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
-def _pair_hash(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    return h1 ^ ((h2 << np.int64(21)) | ((h2 >> np.int64(43)) & np.int64((1 << 21) - 1)))
 
-
-def _pair_slot(h1: Column, h2: Column) -> Column:
-    """`_pair_hash` of columns."""
-    return h1.bitwiseXOR(F.shiftleft(h2, 21).bitwiseOR(F.shiftrightunsigned(h2, 43)))
-
-
-def bitmap(rows: DataFrame, value: Column) -> Broadcast:
-    """A bitmap of the low bits of a hash, of a size that follows the number of rows; its bytes are bounded by MOST_BITS."""
-    bits = max(1 << 15, min(MOST_BITS, 1 << (BITS_EACH * rows.count()).bit_length()))
-    slot = value.bitwiseAND(bits - 1)
-    pages = rows.groupBy(F.shiftright(slot, 15).alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND((1 << 15) - 1)).alias("bits"))
+def bitmap(slots: DataFrame) -> Broadcast:
+    """A bitmap of the low bits of `slot`, of a size that follows the number of rows; its bytes are bounded by MOST_BITS."""
+    bits = max(1 << 15, min(MOST_BITS, 1 << (BITS_EACH * slots.count()).bit_length()))
+    slot = F.col("slot").bitwiseAND(bits - 1)
+    pages = slots.groupBy(F.shiftright(slot, 15).alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND((1 << 15) - 1)).alias("bits"))
     out = np.zeros((bits >> 15, 4096), np.uint8)
     for page, data in pages.toLocalIterator():
         out[page] = np.frombuffer(bytes(data), np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(out.reshape(-1))
+    return slots.sparkSession.sparkContext.broadcast(out.reshape(-1))
 
 
 class _Block:
@@ -101,79 +100,118 @@ class _Block:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple[str, bytes], int] = {}
-        self.hashes: list[int] = []
+        self.known: dict[str, dict[bytes, int]] = {}
+        self.names: list[tuple[str, bytes]] = []
         self.words: list[np.ndarray] = []
         self.pieces: list[np.ndarray] = []
         self.size, self.n_pieces = 0, 0
 
-    def add(self, texts: pa.Array, langs: list[str]) -> None:
+    def add(self, texts: pa.Array, langs: pa.Array) -> None:
+        for lang in langs.unique().to_pylist():
+            placed = placed_words(texts.filter(pc.equal(langs, lang)), KINDS, lower=True)
+            known, distinct = self.known.setdefault(lang, {}), placed.distinct.to_pylist()
+            numbers = []
+            for word in distinct:
+                number = known.get(word)
+                if number is None:
+                    number = known[word] = len(self.names)
+                    self.names.append((lang, word))
+                numbers.append(number)
+            text = np.repeat(np.arange(len(placed.first) - 1), np.diff(placed.first))
+            piece = placed.piece + text + self.n_pieces  # a text begins a piece
+            self.words.append(np.array(numbers, np.int32)[placed.ids])
+            self.pieces.append(piece)
+            self.n_pieces = int(piece[-1]) + 1 if len(piece) else self.n_pieces
+            self.size += len(piece)
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' hashes by number, the words' numbers in their order, and whether a word and the next are in one piece."""
         from xxhash import xxh3_64_intdigest
 
-        placed = placed_words(texts, KINDS, lower=True)
-        text = np.repeat(np.arange(len(langs)), np.diff(placed.first))
-        names = sorted(set(langs))
-        lang = np.array([names.index(x) for x in langs], np.int64)[text]
-        used, own = np.unique(lang * len(placed.distinct) + placed.ids, return_inverse=True)
-        distinct = placed.distinct.to_pylist()
-        numbers = np.empty(len(used), np.int64)
-        for k, at in enumerate(used.tolist()):
-            word = names[at // len(distinct)], distinct[at % len(distinct)]
-            number = self.known.get(word)
-            if number is None:
-                number = self.known[word] = len(self.hashes)
-                self.hashes.append(xxh3_64_intdigest(word[0].encode() + b"\0" + word[1], seed=self.seed) & self.mask)
-            numbers[k] = number
-        piece = placed.piece + text  # a text begins a piece
-        self.words.append(numbers[own])
-        self.pieces.append(piece + self.n_pieces)
-        self.n_pieces += int(piece[-1]) + 1 if len(piece) else 0
-        self.size += len(own)
-
-
-def block_counts(block: _Block, told: list[Proposed], all_words: bool, pairs_only: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray, list | None]]:
-    """(hashes of the phrases' words, counts, the words themselves or None) of a block, for one, two and three words.
-
-    Counted are pairs and triples that the last of `told` asks for and none before it; without `told` all pairs.
-    """
-    hashes = np.array(block.hashes, np.uint64).view(np.int64)
-    words, piece = np.concatenate([np.empty(0, np.int64), *block.words]), np.concatenate([np.empty(0, np.int64), *block.pieces])
-    if all_words:
-        n = np.bincount(words, minlength=len(hashes))
-        yield [hashes], n, list(block.known)
-    together = piece[1:] == piece[:-1]
-
-    def asked(first: np.ndarray, second: np.ndarray, of: str, hashed: np.ndarray) -> np.ndarray:
-        new = np.ones(len(first), bool)
-        for k, proposed in enumerate(told):
-            held = _bits(hashed, getattr(proposed, of).value)
-            both = held[first] & held[second]
-            new &= both if k == len(told) - 1 else ~both
-        return new
-
-    pairs = (words[:-1] << 31) | words[1:]
-    keys, n = np.unique(pairs[together & asked(words[:-1], words[1:], "words", hashes)], return_counts=True)
-    yield [hashes[keys >> 31], hashes[keys & _LOW]], n, None
-    if pairs_only or len(words) < MOST_WORDS:
-        return
-    pair_hash = _pair_hash(hashes[words[:-1]], hashes[words[1:]])
-    at = np.arange(len(pairs))
-    three = together[:-1] & together[1:] & asked(at[:-1], at[1:], "pairs", pair_hash)
-    before, number = np.unique(pairs[:-1][three], return_inverse=True)
-    keys, n = np.unique((number << 31) | words[2:][three], return_counts=True)
-    before = before[keys >> 31]
-    yield [hashes[before >> 31], hashes[before & _LOW], hashes[keys & _LOW]], n, None
-
-
-def phrase_counts(docs: DataFrame, told: list[Proposed], least: int, *, all_words: bool, keep_words: bool = False, pairs_only: bool = False, seed: int = 0, hash_bits: int = 64) -> DataFrame:
+        seeds = {lang: xxh3_64_intdigest(lang.encode(), seed=self.seed) for lang in self.known}
+        hashes = np.array([xxh3_64_intdigest(word, seed=seeds[lang]) & self.mask for lang, word in self.names], np.uint64).view(np.int64)
+        words, piece = np.concatenate([np.empty(0, np.int32), *self.words]), np.concatenate([np.empty(0, np.int64), *self.pieces])
+        return hashes, words, piece[1:] == piece[:-1]
+
+
+def asked(told: list[np.ndarray], hashes: np.ndarray, first: np.ndarray | slice, second: np.ndarray | slice) -> np.ndarray:
+    """Whether the last of `told` holds both parts of a phrase and none before it does; without `told` always."""
+    new = np.ones(len(hashes[first]), bool)
+    for k, held in enumerate(told):
+        own = _held(hashes, held)
+        both = own[first] & own[second]
+        new &= both if k == len(told) - 1 else ~both
+    return new
+
+
+def wanted(hashes: np.ndarray, words: np.ndarray, together: np.ndarray, told: list[np.ndarray], longest: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(places of each word of the phrase in `words`, hashes of the phrases), for two words and for three."""
+    at = np.flatnonzero(together & asked(told, phrase_hash(hashes), words[:-1], words[1:]))
+    h = hashes[words]
+    pair_hash = phrase_hash(h[:-1], h[1:])
+    yield [at, at + 1], pair_hash[at]
+    if longest > 2:
+        at = np.flatnonzero(together[:-1] & together[1:] & asked(told, pair_hash, slice(None, -1), slice(1, None)))
+        yield [at, at + 1, at + 2], phrase_hash(h[at], h[at + 1], h[at + 2])
+
+
+_ENTRY = np.dtype([("slot", "<u4"), ("n", "u1")])
+
+
+def slot_counts(hashes: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """bucket, entries: blobs of (slot, count) by bucket of the hash space; 255 stands for any larger count."""
+    bucket = ((hashes >> np.uint64(32)) & np.uint64(buckets - 1)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    blob = np.empty(len(hashes), _ENTRY)
+    blob["slot"], blob["n"] = (hashes & np.uint64(0xFFFFFFFF))[order], np.minimum(n, 255)[order]
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(edges))
+    return pa.RecordBatch.from_arrays([pa.array(full), pa.array([blob[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "entries"])
+
+
+def frequent_slots(docs: DataFrame, told: list[Broadcast], least: int, longest: int, seed: int, hash_bits: int) -> DataFrame:
+    """slot: of all phrases that may occur `least` times or more."""
+    parts = docs.rdd.getNumPartitions()
+    buckets = 1 << max(6, (4 * parts).bit_length())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, bitmaps = _Block(seed, hash_bits), [t.value for t in told]
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            hashes, words, together = block.flat()
+            yield slot_counts(phrase_hash(hashes), np.bincount(words, minlength=len(hashes)), buckets)
+            for _, found in wanted(hashes, words, together, bitmaps, longest):
+                yield slot_counts(*np.unique(found, return_counts=True), buckets)
+            block.clear()
+
+        for batch in sliced(batches, ROWS, 1):
+            block.add(batch.column(1), batch.column(0))
+            if block.size >= BLOCK_WORDS:
+                yield from flushed()
+        if block.size:
+            yield from flushed()
+
+    def across(table: pa.Table) -> pa.Table:
+        entries = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in table.column("entries")])
+        entries = entries[np.argsort(entries["slot"], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(entries["slot"].astype(np.int64)) != 0]))
+        n = np.add.reduceat(entries["n"].astype(np.int64), first)
+        enough = (n >= least) | (np.maximum.reduceat(entries["n"], first) == 255)
+        return pa.table({"slot": entries["slot"][first[enough]].astype(np.int64)})
+
+    return docs.mapInArrow(count, "bucket long, entries binary").groupBy("bucket").applyInArrow(across, "slot long")
+
+
+def phrase_counts(docs: DataFrame, told: list[Broadcast], least: int, seed: int, hash_bits: int, likely: Broadcast | None = None) -> DataFrame:
     """h1, h2, h3, lang, word, n: how often phrases of docs (lang, text) occur, from `least` on.
 
-    h2 and h3 are null where there are fewer words; lang and word only come with single words. Those are
-    kept however rare with `keep_words`, as is a row without h1 for all words of a language.
+    h2 and h3 are null where there are fewer words; lang and word only come with single words. With `likely`, only
+    phrases that it holds are counted, single words too (those however rare), and a row without h1 has the
+    number of all words of its language; without it there are no single words.
     """
     names = ["h1", "h2", "h3", "lang", "word", "n"]
 
-    def sent(columns: list[np.ndarray], n: np.ndarray, words: list | None) -> Iterator[pa.RecordBatch]:
+    def rows(columns: list[np.ndarray], n: np.ndarray, words: list | None = None) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(n), 1 << 16):
             part = slice(at, at + (1 << 16))
             m = len(n[part])
@@ -185,27 +223,60 @@ def phrase_counts(docs: DataFrame, told: list[Proposed], least: int, *, all_word
             yield pa.RecordBatch.from_arrays([*longs, *strings, pa.array(n[part])], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(seed, hash_bits)
+        block, bitmaps = _Block(seed, hash_bits), [t.value for t in told]
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for columns, n, words in block_counts(block, told, all_words, pairs_only):
-                yield from sent(columns, n, words)
-                if words is not None:
-                    by_lang: dict[str, int] = {}
-                    for (lang, _), k in zip(words, n.tolist()):
-                        by_lang[lang] = by_lang.get(lang, 0) + k
-                    yield from sent([], np.array(list(by_lang.values()), np.int64), [(lang, None) for lang in by_lang])
+            hashes, words, together = block.flat()
+            if likely is not None:
+                n = np.bincount(words, minlength=len(hashes))
+                kept = np.flatnonzero(_held(phrase_hash(hashes), likely.value))
+                yield from rows([hashes[kept]], n[kept], [block.names[k] for k in kept.tolist()])
+                for lang, known in block.known.items():
+                    yield from rows([], n[list(known.values())].sum(keepdims=True), [(lang, None)])
+            for places, found in wanted(hashes, words, together, bitmaps, MOST_WORDS):
+                if likely is not None:
+                    kept = _held(found, likely.value)
+                    places, found = [p[kept] for p in places], found[kept]
+                # Equal phrases have equal hashes; those of one hash and other words stay apart.
+                own = np.stack([hashes[words[p]] for p in places])
+                order = np.lexsort((*own[::-1], found))
+                own = own[:, order]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(own, axis=1) != 0).any(axis=0)])[: len(found)])
+                yield from rows(list(own[:, new]), np.diff(np.append(new, len(found))))
             block.clear()
 
         for batch in sliced(batches, ROWS, 1):
-            block.add(batch.column(1), batch.column(0).to_pylist())
+            block.add(batch.column(1), batch.column(0))
             if block.size >= BLOCK_WORDS:
                 yield from flushed()
         if block.size:
             yield from flushed()
 
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(count, "h1 long, h2 long, h3 long, lang string, word string, n long")
-    return rows.groupBy("h1", "h2", "h3", "lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.lit(keep_words) & F.col("h2").isNull())
+    counted = docs.mapInArrow(count, "h1 long, h2 long, h3 long, lang string, word string, n long")
+    return counted.groupBy("h1", "h2", "h3", "lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("h2").isNull())
+
+
+def slots_of(found: DataFrame) -> DataFrame:
+    """slot of each phrase of one or two words."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, h2 = batch.column(0).to_numpy(), batch.column(1)
+            two = np.asarray(pc.is_valid(h2))
+            out = np.where(two, phrase_hash(h1, pc.fill_null(h2, 0).to_numpy()), phrase_hash(h1))
+            yield pa.RecordBatch.from_arrays([pa.array((out & np.uint64(0xFFFFFFFF)).view(np.int64))], ["slot"])
+
+    return found.where("h1 is not null and h3 is null").select("h1", "h2").mapInArrow(slots, "slot long")
+
+
+def outside(found: DataFrame, told: Broadcast) -> int:
+    """How many phrases of one or two words `told` doesn't hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int((~_held(batch.column(0).to_numpy().view(np.uint64), told.value)).sum())], pa.int64())], ["n"])
+
+    return slots_of(found).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def frequent(docs: DataFrame, least: int = LEAST, *, share: int = SHARE, lowered: int = LOWERED, seed: int = 0, hash_bits: int = 64) -> tuple[DataFrame, list[int]] | None:
@@ -213,29 +284,20 @@ def frequent(docs: DataFrame, least: int = LEAST, *, share: int = SHARE, lowered
 
     None if a frequent word shares its hash with another word.
     """
-    options = {"seed": seed, "hash_bits": hash_bits}
+    docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(100)) < share)
-    seen = stored(phrase_counts(sample, [], lowered, all_words=True, pairs_only=True, **options), "sample-phrases")
-    told, failed, parts = [], [], []
-    while True:
-        words, pairs = (seen.where(x) for x in ("h1 is not null and h2 is null", "h2 is not null and h3 is null"))
-        told.append(Proposed(bitmap(words, F.col("h1")), bitmap(pairs, _pair_slot(F.col("h1"), F.col("h2")))))
-        parts.append(stored(phrase_counts(docs, told, least, all_words=not parts, keep_words=not parts, **options), "phrases"))
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        if len(parts) == 1:
-            same = found.where("word is not null").groupBy("h1").agg(F.count(F.lit(1)).alias("words"), F.max("n").alias("most"))
-            if not same.where((F.col("words") > 1) & (F.col("most") >= least)).isEmpty():
-                return None
-        found = found.where((F.col("n") >= least) | F.col("h1").isNull())
-        # What of the border is frequent: phrases of one or two words that the pass wasn't told.
-        key = ["h1", F.coalesce("h2", F.lit(0).cast("long")).alias("h2"), F.col("h2").isNull().alias("one")]
-        missed = found.where("h1 is not null and h3 is null").select(*key).join(seen.where("h3 is null").select(*key), ["h1", "h2", "one"], "left_anti").count()
-        if not missed:
-            return found, failed
+    told = [bitmap(stored(frequent_slots(sample, [], lowered, 2, seed, hash_bits), "proposed"))]
+    likely = bitmap(stored(frequent_slots(docs, told, least, MOST_WORDS, seed, hash_bits), "likely"))
+    counted = stored(phrase_counts(docs, told, least, seed, hash_bits, likely), "phrases")
+    same = counted.where("word is not null").groupBy("h1").agg(F.count(F.lit(1)).alias("words"), F.max("n").alias("most"))
+    if not same.where((F.col("words") > 1) & (F.col("most") >= least)).isEmpty():
+        return None
+    found, failed = counted.where((F.col("n") >= least) | F.col("h1").isNull()), []
+    while missed := outside(found, told[-1]):
         failed.append(missed)
-        seen = stored(found, "frequent")
+        told.append(bitmap(stored(slots_of(found), "told")))
+        found = found.unionByName(stored(phrase_counts(docs, told, least, seed, hash_bits), "more-phrases"))
+    return found, failed
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -306,7 +368,8 @@ OP13_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS p
+-
+]')) AS p
   FROM documents),
 w AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM p),
 o AS (
