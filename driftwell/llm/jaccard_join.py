@@ -412,12 +412,13 @@ def link_components(sets: DataFrame) -> DataFrame:
     return linked_in_lists(stored(lists, "lists"), sets)
 
 
-def linked_in_lists(lists: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+def linked_in_lists(lists: DataFrame, sets: DataFrame, share: int = SHARE, labels: DataFrame | None = None) -> DataFrame:
     """cls, component (a class) for the classes of lists (token, cls, n, own, place) that link with a member of one of theirs.
 
-    Members lead by turns; see step 4.
+    Members lead by turns; see step 4. `labels`: what is known to be connected, as a result of this function.
     """
-    n_sets, links, labels = sets.count(), None, None
+    n_sets = sets.count()
+    links = None if labels is None else labels.select(F.col("cls").alias("a"), F.col("component").alias("b")).where("a <> b")
     for turn in range(22):  # MORE_LEADS ** 21 = 2 ** 63
         if labels is None:
             tagged = lists.withColumn("component", F.col("cls"))

@@ -12,7 +12,9 @@ Documents link when 100 * |A and B| >= 80 * |A or B| over their distinct 4-word
 3. A table's bucket has two members only where both small keys are shared, so small keys are counted
    first (a class sends each once; counts combine before the shuffle) and pairs are formed of shared
    keys alone: a document that resembles no other forms none.
-4. Buckets are compared by leads, never as all pairs: `jaccard_join.linked_in_lists`. Candidates
+4. Buckets are compared by leads, never as all pairs: `jaccard_join.linked_in_lists`. Few tables come
+   first, then more, then all: what the first connect is one component in the others' buckets, and a bucket
+   of one component is done. Of tables whose buckets hold the same members one is enough. Candidates
    pass a parity bitmap and are then verified on their full sets, so a link that is reported is one.
 
 Defined results: a text with fewer words than a shingle is one shingle of all its words; null and
@@ -80,15 +82,38 @@ def sketched(rows: DataFrame, side: int = SIDE, width: int = WIDTH, shingle: int
     return stored(rows.mapInArrow(sketch, f"_row long, id {kind}, n long, digest long, digest2 long, keys array<long>"), "sketched", keep=True)
 
 
+#: How many tables of the diagonal come first, and then: all that pair a key with the one of its number.
+FIRST_TABLES = 4
+
+
 def tensored(classes: DataFrame, side: int = SIDE) -> DataFrame:
-    """token, cls, n: the tables' entries that can have a partner. classes: cls, n, keys."""
+    """i, j (the table's keys), token, cls, n: the tables' entries that can have a partner. classes: cls, n, keys."""
     small = classes.select("cls", F.posexplode("keys").alias("k", "key"))
     shared = stored(small.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared-keys")
     held = small.join(sized(shared), "key")
-    of = lambda own: F.array_compact(F.collect_list(F.when(own, F.col("key"))))  # noqa: E731  of a class: `side` at most
+    of = lambda own: F.array_compact(F.collect_list(F.when(own, F.struct("k", "key"))))  # noqa: E731  of a class: `side` at most
     both = held.groupBy("cls").agg(of(F.col("k") < side).alias("a"), of(F.col("k") >= side).alias("b"))
     pairs = both.where((F.size("a") > 0) & (F.size("b") > 0)).select("cls", "b", F.explode("a").alias("a")).select("cls", "a", F.explode("b").alias("b"))
-    return pairs.select(F.xxhash64("a", "b").alias("token"), "cls").join(classes.select("cls", "n"), "cls")
+    entries = pairs.select(F.col("a.k").alias("i"), (F.col("b.k") - side).alias("j"), F.xxhash64("a.key", "b.key").alias("token"), "cls")
+    nothing = F.lit(0).cast("long")
+    return entries.join(classes.select("cls", "n"), "cls").select("i", "j", "token", "cls", "n", nothing.alias("own"), nothing.alias("place"))
+
+
+def different_buckets(tables: DataFrame) -> DataFrame:
+    """The entries of buckets with several members, and of those with the same members one (told by two 64-bit hashes of them)."""
+    members = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
+    buckets = tables.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *members).where("m > 1")
+    return tables.join(buckets.groupBy("m", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
+
+
+def linked_in_tables(tables: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """cls, component of the classes that link, by few tables first."""
+    labels = None
+    for some in ((F.col("i") == F.col("j")) & (F.col("i") < FIRST_TABLES), F.col("i") == F.col("j"), F.lit(True)):
+        lists = stored(different_buckets(tables.where(some)).drop("i", "j"), "tables")
+        found = linked_in_lists(lists, sets, share, labels)
+        labels = stored(found, "linked") if labels is None else found
+    return labels
 
 
 def find_near(docs: DataFrame, *, share: int = SHARE, shingle: int = SHINGLE, side: int = SIDE, width: int = WIDTH) -> DataFrame:
@@ -102,10 +127,9 @@ def find_near(docs: DataFrame, *, share: int = SHARE, shingle: int = SHINGLE, si
             found.groupBy("digest", "digest2").agg(F.min("_row").alias("cls"), F.max("n").alias("n"), F.min("id").alias("least")), "classes", keep=True
         )
         lists = tensored(classes.join(found.select(F.col("_row").alias("cls"), "keys"), "cls").select("cls", "n", "keys"), side)
-        nothing = F.lit(0).cast("long")
-        lists = stored(lists.select("token", "cls", "n", nothing.alias("own"), nothing.alias("place")), "tables")
-        sets = sets_of(rows, stored(lists.select(F.col("cls").alias("_row")).distinct(), "possible"), shingle)
-        linked = stored(linked_in_lists(lists, sets, share), "linked", keep=True)
+        tables = stored(lists, "tensored")
+        sets = sets_of(rows, stored(tables.select(F.col("cls").alias("_row")).distinct(), "possible"), shingle)
+        linked = stored(linked_in_tables(tables, sets, share), "linked", keep=True)
     named = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("digest", "digest2", "component", "component_id")
