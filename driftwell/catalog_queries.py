@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from .functions import definitions as D
 from .functions import names as N
 from .functions import statements as S
-from .operators import bulk_copy, catalog, drift, sequences, status
+from .operators import bulk_copy, catalog, drift, key_ranges, sequences, status
 from .operators import relations as R
 from .operators.ordering import with_places
 from .plans import apply
+from .plans.bootstrap import CopyFailed, Database, move
+from .plans.journal import Chunk, CopyJournal, chunks_of_frame
 from .registry import query
 from .sources.tables import shared_path, table
 
@@ -610,6 +612,61 @@ def b05_copy_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bulk_copy.copy_in_chunks(table(spark, sf_dir, "orders"), shared_path(spark, "chunks"), "o_orderkey", 5)
 
 
+@query("""
+SELECT 'orders' AS copied, 8 AS chunks, count(*) AS n_rows, TRUE AS even, TRUE AS open_ends FROM orders
+UNION ALL SELECT 'lineitem', 8, count(*), TRUE, TRUE FROM lineitem""")
+def b04_quantile_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of equal rows though a third of the keys lie far apart, and by a key of several columns: none has 1.3 times the mean."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key = F.col("o_orderkey")
+    far = orders.select(F.when(key % 3 == 0, key * 1000000).otherwise(key).alias("k"))
+    out = None
+    for name, rows, keys in (("orders", far, ["k"]), ("lineitem", lines.select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber"), ["l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber"])):
+        ranges = key_ranges.key_ranges(rows, keys, 8)
+        ends = ranges[0].low is None and ranges[-1].high is None and all(a.high == b.low for a, b in zip(ranges, ranges[1:]))
+        sizes = key_ranges.with_range(rows, ranges).groupBy("chunk_no").agg(F.count(F.lit(1)).alias("n"))
+        found = sizes.agg(F.count(F.lit(1)).cast("int").alias("chunks"), F.sum("n").alias("n_rows"), (F.max("n") <= F.avg("n") * 1.3).alias("even"))
+        found = found.select(F.lit(name).alias("copied"), "chunks", "n_rows", "even", F.lit(ends).alias("open_ends"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("""
+SELECT 'orders' AS copied, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, 6 AS read_chunks, 5 AS first_run FROM orders
+UNION ALL SELECT 'customer', count(*), CAST(sum(c_custkey) AS BIGINT), 6, 6 FROM customer""")
+def m01_resumed_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A move that fails at a chunk is run again: it copies that chunk alone, and readers see all tables at once."""
+    journal, reads = CopyJournal(spark, shared_path(spark, "move")), {"orders": [], "customer": []}
+    tables, keys = {t: table(spark, sf_dir, t) for t in reads}, {"orders": "o_orderkey", "customer": "c_custkey"}
+
+    def counted(t: str, chunk: Chunk) -> Chunk:
+        def read() -> DataFrame:
+            reads[t].append(chunk.name)
+            if t == "orders" and reads[t].count("000003") == 1 and chunk.name == "000003":
+                raise OSError("the connection was lost")
+            return chunk.read()
+
+        return Chunk(chunk.name, read)
+
+    chunks = {t: [counted(t, c) for c in chunks_of_frame(df, [keys[t]], 6)] for t, df in tables.items()}
+    db = Database("d", tables, "", snapshot="s1", journal=journal, chunks=chunks)
+    first = {}
+    try:
+        move(spark, db)
+    except CopyFailed:
+        first = {t: len(journal.chunks_in("s1", t)) for t in tables}
+        if journal.current() is not None:
+            raise
+    move(spark, db)
+    out = None
+    for t, key in keys.items():
+        found = journal.table(t).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(key).alias("keys"))
+        done = len(reads[t]) - (t == "orders")  # without the read that failed
+        found = found.select(F.lit(t).alias("copied"), "n_rows", "keys", F.lit(done).alias("read_chunks"), F.lit(first[t]).alias("first_run"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("SELECT doc_id, substr(replace(trim(text), chr(10), ' '), 1, 120) AS shown FROM documents")
 def f14_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", N.preview(F.col("text")).alias("shown"))

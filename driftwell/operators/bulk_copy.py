@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .key_ranges import key_ranges, with_range
 
 log = logging.getLogger(__name__)
 
@@ -69,13 +70,21 @@ def copy_table(source: DataFrame, path: str, target_columns: list[str], generate
     return seen.get["n"]
 
 
+def _copy_numbered(rows: DataFrame, path: str, chunks: int) -> DataFrame:
+    """A folder for each chunk_no; neighbouring numbers are dealt apart, so a chunk is one task's work, made again alone if it is lost."""
+    rows.repartitionByRange(chunks, "chunk_no").write.mode("overwrite").partitionBy("chunk_no").parquet(path)
+    return rows.sparkSession.read.parquet(path).groupBy("chunk_no").agg(F.count(F.lit(1)).alias("n"))
+
+
 def copy_in_chunks(source: DataFrame, path: str, key: str, chunks: int) -> DataFrame:
-    """Write source in chunks of the key, each by its own tasks into its own folder; chunk_no and n of what was written.
+    """Write source in chunks of equal ranges of a numeric key; chunk_no and n of what was written."""
+    return _copy_numbered(with_chunk(source, key, chunks), path, chunks)
 
-    A chunk that a task loses is made again alone.
-    """
-    with_chunk(source, key, chunks).repartition(chunks, "chunk_no").write.mode("overwrite").partitionBy("chunk_no").parquet(path)
-    return source.sparkSession.read.parquet(path).groupBy("chunk_no").agg(F.count(F.lit(1)).alias("n"))
+
+def copy_in_ranges(source: DataFrame, path: str, keys: list[str], chunks: int) -> DataFrame:
+    """Write source in chunks of about equal rows, by quantiles of any key; chunk_no and n of what was written."""
+    ranges = key_ranges(source, keys, chunks)
+    return _copy_numbered(with_range(source, ranges), path, len(ranges))
 
 
 def copy_tables(spark: SparkSession, tables: dict[str, tuple[DataFrame, str, list[str]]], at_once: int = 4) -> dict[str, int]:

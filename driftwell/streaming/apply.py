@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .marks import Marks
+from ..sources.marks import Marks
 from .replica import Replica
 from .tables import ChangeTable, RowTable, StreamedTable  # noqa: F401  the first two are what others take from here
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .marks import Marks
+from ..sources.marks import Marks
 from .tables import StreamedTable, table_for
 
 COPYING, CATCHING_UP, IN_STEP = "copying", "catching up", "in step"

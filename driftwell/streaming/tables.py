@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.changes import last_changes, repeated, split_key_changes, split_updates
-from .marks import Marks
+from ..sources.marks import Marks
 
 #: Seconds for which what a base covers stays readable.
 GRACE_S = 3600.0

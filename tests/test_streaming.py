@@ -7,7 +7,7 @@ import pytest
 
 from driftwell.operators.changes import last_changes
 from driftwell.streaming.apply import Stream, start_apply
-from driftwell.streaming.marks import Marks
+from driftwell.sources.marks import Marks
 from driftwell.streaming.replica import CATCHING_UP, COPYING, IN_STEP, NotInStep, Replica, one_stream
 from driftwell.streaming.tables import ChangeTable, RowTable, table_for
 
