@@ -748,3 +748,64 @@ def d09_sequence_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("key")).agg(F.max("c_custkey").alias("last_value"))
     name = S.qualified(F.lit("public"), F.concat(F.lit("seq"), F.col("key").cast("string")))
     return marks.select("key", S.set_value(name, F.col("last_value"), F.lit(True)).alias("statement"))
+
+
+# ---- what needs what ------------------------------------------------------------------
+
+_VIEW = "p_partkey % 11 <> 0 AND (p_partkey % 13 = 0 OR p_partkey % 17 = 0)"
+#: Views read one or two of less than half and a third of their number, so they are several levels deep; types do the same, and some need each other.
+NEEDS_SQL = {
+    "pg_rewrite": f"SELECT p_partkey + 30000000 AS oid, p_partkey AS ev_class FROM {{part}} WHERE {_VIEW}",
+    "pg_depend": f"""
+      SELECT 'pg_rewrite' AS classid, p_partkey + 30000000 AS objid, 'pg_class' AS refclassid, CAST(floor(p_partkey / 26) AS BIGINT) * 13 AS refobjid, CAST(0 AS BIGINT) AS refobjsubid, 'n' AS deptype FROM {{part}} WHERE {_VIEW}
+      UNION ALL SELECT 'pg_rewrite', p_partkey + 30000000, 'pg_class', CAST(floor(p_partkey / 51) AS BIGINT) * 17, 0, 'n' FROM {{part}} WHERE {_VIEW}
+      UNION ALL SELECT 'pg_rewrite', p_partkey + 30000000, 'pg_class', p_partkey, 0, 'n' FROM {{part}} WHERE {_VIEW}
+      UNION ALL SELECT 'pg_type', s_suppkey, 'pg_type', CAST(floor(s_suppkey / 2) AS BIGINT), 0, 'n' FROM {{supplier}}
+      UNION ALL SELECT 'pg_type', s_suppkey, 'pg_type', CAST(floor(s_suppkey / 3) AS BIGINT), 0, 'n' FROM {{supplier}}
+      UNION ALL SELECT 'pg_type', s_suppkey, 'pg_type', s_suppkey + 20, 0, 'n' FROM {{supplier}} WHERE s_suppkey % 40 = 39
+      UNION ALL SELECT 'pg_type', s_suppkey, 'pg_type', s_suppkey - 20, 0, 'n' FROM {{supplier}} WHERE s_suppkey % 40 = 19""",
+}
+_NEEDS = ", ".join(f"needs_{k} AS ({v.format(**{t: t for t in TABLES})})" for k, v in NEEDS_SQL.items())
+
+
+def with_needs(spark: SparkSession, sf_dir: str) -> R.System:
+    """The system tables, with what needs what."""
+    s = system(spark, sf_dir)
+    more = {k: spark.sql(v, **{t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in v}) for k, v in NEEDS_SQL.items()}
+    s.tables["pg_rewrite"], s.tables["pg_depend"] = more["pg_rewrite"], s["pg_depend"].unionByName(more["pg_depend"])
+    return s
+
+
+_LEVELS = """
+up AS (SELECT a, b FROM e UNION SELECT up.a, e.b FROM up JOIN e ON e.a = up.b),
+stuck AS (SELECT DISTINCT a FROM up WHERE EXISTS (SELECT 1 FROM up u WHERE u.a = up.b AND u.b = up.b) OR a = b),
+deep AS (SELECT oid AS a, 0 AS d FROM o UNION SELECT e.a, d + 1 FROM deep JOIN e ON e.b = deep.a WHERE e.a NOT IN (SELECT a FROM stuck)),
+ring AS (SELECT x.a, string_agg(y.named, ', ' ORDER BY y.named) AS members FROM up x JOIN up r ON r.a = x.b AND r.b = x.a JOIN o y ON y.oid = x.b GROUP BY x.a)
+SELECT schema_name, name, CASE WHEN o.oid NOT IN (SELECT a FROM stuck) THEN max(d) END AS level, any_value(members) AS members
+FROM o JOIN deep ON deep.a = o.oid LEFT JOIN ring ON ring.a = o.oid GROUP BY o.oid, schema_name, name"""
+
+
+@query(f"""WITH RECURSIVE {_ORACLE}, {_NEEDS},
+o AS (SELECT c.oid, n.nspname AS schema_name, c.relname AS name, n.nspname || '.' || c.relname AS named FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace
+  WHERE relkind IN ('v', 'm') AND {_FREE.format('pg_class', 'c.oid', 'e')}),
+e AS (SELECT DISTINCT ev_class AS a, refobjid AS b FROM needs_pg_rewrite r JOIN needs_pg_depend d ON d.objid = r.oid AND d.classid = 'pg_rewrite'
+  WHERE ev_class <> refobjid AND ev_class IN (SELECT oid FROM o) AND refobjid IN (SELECT oid FROM o)), {_LEVELS}""")
+def d17_view_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and materialized views by what they read: made level by level, one pass is enough."""
+    s = with_needs(spark, sf_dir)
+    return _levels_of("views", s)
+
+
+def _levels_of(name: str, s: R.System) -> DataFrame:
+    rows = apply.by_level(name, apply.stage(name, s), s)
+    members = F.array_join(F.array_sort(F.transform("cycle", lambda m: F.concat_ws(".", m["schema_name"], m["name"]))), ", ")
+    return rows.select("schema_name", "name", "level", members.alias("members"))
+
+
+@query(f"""WITH RECURSIVE {_ORACLE}, {_NEEDS},
+o AS (SELECT t.oid, n.nspname AS schema_name, t.typname AS name, n.nspname || '.' || t.typname AS named FROM pg_type t JOIN pg_namespace n ON n.oid = t.typnamespace
+  WHERE typtype = 'r' AND t.oid IN (SELECT rngtypid FROM pg_range) AND {_FREE.format('pg_type', 't.oid', 'e')}),
+e AS (SELECT DISTINCT objid AS a, refobjid AS b FROM needs_pg_depend WHERE classid = 'pg_type' AND objid IN (SELECT oid FROM o) AND refobjid IN (SELECT oid FROM o)), {_LEVELS}""")
+def d08_range_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range types by what they are made of; those that need each other are reported with all members."""
+    return _levels_of("ranges", with_needs(spark, sf_dir))

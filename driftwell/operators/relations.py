@@ -160,6 +160,23 @@ def views(s: System, hypertable_views: DataFrame | None = None, marker: str | No
     return rows.where(~F.contains("view_def", F.lit(marker))) if marker else rows
 
 
+def view_needs(s: System) -> DataFrame:
+    """schema_name, view_name, needs_schema_name, needs_view_name: views that a view's rule reads."""
+    named = s.named(s["pg_class"].where(F.col("relkind").isin("v", "m")), "relnamespace", "left").select("oid", "schema_name", F.col("relname").alias("view_name"))
+    rules = s["pg_depend"].where("classid = 'pg_rewrite' and refclassid = 'pg_class' and deptype = 'n'").select(F.col("objid").alias("rule"), F.col("refobjid").alias("needs"))
+    rules = rules.join(s["pg_rewrite"].select(F.col("oid").alias("rule"), F.col("ev_class").alias("oid")), "rule").where("oid <> needs").select("oid", "needs").distinct()
+    other = named.select(F.col("oid").alias("needs"), F.col("schema_name").alias("needs_schema_name"), F.col("view_name").alias("needs_view_name"))
+    return rules.join(named, "oid").join(other, "needs").select("schema_name", "view_name", "needs_schema_name", "needs_view_name")
+
+
+def type_needs(s: System) -> DataFrame:
+    """schema_name, type_name, needs_schema_name, needs_type_name: types that a type is made of."""
+    named = s.named(s["pg_type"], "typnamespace", "left").select("oid", "schema_name", F.col("typname").alias("type_name"))
+    pairs = s["pg_depend"].where("classid = 'pg_type' and refclassid = 'pg_type' and deptype = 'n'").select(F.col("objid").alias("oid"), F.col("refobjid").alias("needs")).distinct()
+    other = named.select(F.col("oid").alias("needs"), F.col("schema_name").alias("needs_schema_name"), F.col("type_name").alias("needs_type_name"))
+    return pairs.join(named, "oid").join(other, "needs").select("schema_name", "type_name", "needs_schema_name", "needs_type_name")
+
+
 def partition_info(s: System) -> DataFrame:
     """How each table is partitioned, and of what it is a partition."""
     parents = s.named(s["pg_class"].select(F.col("oid").alias("inhparent"), F.col("relname").alias("parent_name"), "relnamespace"), "relnamespace", "left", "parent_schema")

@@ -20,6 +20,7 @@ from ..functions import statements as S
 from ..functions.names import qualified
 from ..operators import drift
 from ..operators import relations as R
+from ..operators.dependency import in_order
 from ..operators.keyed_diff import DIFFERENT, MISSING_ON_SOURCE, MISSING_ON_TARGET, only_left
 
 log = logging.getLogger(__name__)
@@ -128,15 +129,36 @@ def stage(name: str, s: R.System, enums: DataFrame | None = None, version: int =
     raise ValueError(f"no stage {name}")
 
 
+#: The stages whose objects may need each other, and what says so.
+NEEDS = {"views": (R.view_needs, "view_name"), "composites": (R.type_needs, "type_name"), "domains": (R.type_needs, "type_name"), "ranges": (R.type_needs, "type_name")}
+
+
+def by_level(name: str, rows: DataFrame, s: R.System) -> DataFrame:
+    """rows of a stage with `level` and `cycle`: made by level, each finds what it needs. Objects on a cycle have no level."""
+    needs, named = NEEDS[name]
+    found = needs(s).withColumnsRenamed({named: "name", f"needs_{named}": "needs_name"})
+    return in_order(rows, ["schema_name", "name"], found)
+
+
 def run_stages(names: list[str], s: R.System, execute: Execute, enums: DataFrame | None = None, version: int = 17) -> dict[str, dict[str, str]]:
-    """Run stages in their order; for each the statements that failed. Tables' order is by depth first."""
+    """Run stages in their order; for each the statements that failed.
+
+    Tables' order is by depth first. Views and types go by what they need, where the catalog tells, in one
+    pass; those on a cycle are reported with its members and not run.
+    """
     failures: dict[str, dict[str, str]] = {}
     for name in names:
         rows = stage(name, s, enums, version)
         if rows is None:
             continue
-        order = ["name", "schema_name"] if name == "tables" else ["schema_name", "name"]
-        failed = in_passes([r["statement"] for r in rows.orderBy(*order).toLocalIterator()], execute)
+        order, passes, failed = ["name", "schema_name"] if name == "tables" else ["schema_name", "name"], PASSES, {}
+        if name in NEEDS and "pg_rewrite" in s.tables:
+            rows, order, passes = by_level(name, rows, s).persist(), ["level", *order], 1
+            for r in rows.where("level is null").toLocalIterator():
+                members = ", ".join(f"{m['schema_name']}.{m['name']}" for m in r["cycle"] or [])
+                failed[r["statement"]] = f"on a cycle: {members}" if members else "needs what is on a cycle"
+            rows = rows.where("level is not null")
+        failed |= in_passes([r["statement"] for r in rows.orderBy(*order).toLocalIterator()], execute, passes)
         if name == "functions" and "late_functions" in names:
             failed = {}  # those that need tables come again
         if failed:

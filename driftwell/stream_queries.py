@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .operators import changes as C
+from .operators import status
 from .operators.integrity import foreign_key_violations
 from .registry import query
 from .sources.tables import shared_path, table
+from .streaming import high_water, progress
 from .streaming.apply import start_apply
 from .streaming.replica import Replica, one_stream
 from .streaming.tables import table_for
@@ -148,3 +151,65 @@ def r14_stream_keyless(spark: SparkSession, sf_dir: str) -> DataFrame:
     start_apply(_streamed(spark, at, log.schema, 2), target, shared_path(spark, "lines-checkpoint")).awaitTermination()
     target.compact()
     return target.read()
+
+
+@query("SELECT c_nationkey AS key, max(c_custkey) AS value_after, TRUE AS only_forward FROM customer GROUP BY 1")
+def x07_streamed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's greatest customer number, brought forward on the target while customers come in files of any order, with a restart."""
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    at, written, checkpoint = shared_path(spark, "customers"), shared_path(spark, "marks"), shared_path(spark, "marks-checkpoint")
+    first = customers.where("c_custkey % 7 = 0").groupBy(F.col("c_nationkey").alias("key")).agg(F.max("c_custkey").alias("last_value"))
+    first.withColumn("batch", F.lit(-1).cast("long")).write.parquet(written)
+
+    def targets() -> DataFrame:
+        return spark.read.parquet(written).groupBy("key").agg(F.max("last_value").alias("last_value"))
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.select("key", F.col("new_value").alias("last_value"), F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(written)
+
+    customers.limit(0).write.parquet(at)
+    for parts in (["c_custkey % 4 = 3", "c_custkey % 4 = 0"], ["c_custkey % 4 = 2", "c_custkey % 4 = 1"]):
+        _files(customers, at, parts)
+        high_water.keep_up(_streamed(spark, at, customers.schema), "c_nationkey", "c_custkey", targets, write, checkpoint).awaitTermination()
+    rows = spark.read.parquet(written)
+    later = rows.select(F.col("key").alias("k"), F.col("last_value").alias("v"), F.col("batch").alias("b"))
+    back = rows.join(later, (F.col("key") == F.col("k")) & (F.col("b") > F.col("batch")) & (F.col("v") <= F.col("last_value")), "left_semi")
+    return rows.groupBy("key").agg(F.max("last_value").alias("value_after")).withColumn("only_forward", F.lit(back.isEmpty()))
+
+
+@query("""
+SELECT 'customer' AS database, count(*) AS received, 'stopped' AS state, 'reserved' AS wal_status, FALSE AS failed FROM customer
+UNION ALL SELECT 'nation', 0, 'failed', 'lost', TRUE UNION ALL SELECT 'orders', count(*), 'stopped', 'reserved', FALSE FROM orders""")
+def m03_stream_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams that run to their end and one that fails, as a listener saw them, in the sections of a status."""
+    names, listener = ["customer", "nation", "orders"], progress.ProgressListener()
+
+    def apply(name: str):  # noqa: ANN202
+        def taken(batch: DataFrame, batch_id: int) -> None:
+            if name == "nation":
+                raise OSError("the target is gone")
+            batch.write.format("noop").mode("overwrite").save()
+
+        return taken
+
+    spark.streams.addListener(listener)
+    try:
+        started = []
+        for name in names:
+            at, rows = shared_path(spark, name), table(spark, sf_dir, name)
+            rows.repartition(3).write.parquet(at)
+            writer = _streamed(spark, at, rows.schema, 2).writeStream.queryName(f"move_{name}").foreachBatch(apply(name))
+            started.append(writer.option("checkpointLocation", shared_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start())
+        for query_ in started:
+            try:
+                query_.awaitTermination()
+            except StreamingQueryException:
+                pass  # the listener has the reason
+        listener.wait_until_ended([str(q.runId) for q in started])
+    finally:
+        spark.streams.removeListener(listener)
+    found = status.collect_sections(spark.createDataFrame([(n,) for n in names], "database string"), listener.sections(spark, "move_"))
+    return found.select(
+        "database", F.col("subscription")[0]["received"].alias("received"), F.col("lag")[0]["state"].alias("state"),
+        F.col("slots")[0]["wal_status"].alias("wal_status"), F.contains(F.coalesce(F.col("subscription")[0]["error"], F.lit("")), F.lit("the target is gone")).alias("failed"),
+    )
