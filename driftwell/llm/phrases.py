@@ -17,7 +17,7 @@ frequent only if both phrases inside it that are one word shorter are. That hold
 
 Tasks hold the proposed phrases as bitmaps that grow with their number up to MOST_BITS (32 MB); a bitmap that
 says yes too often makes a task count more, never less, and the same bitmaps tell later passes what was
-counted. Tasks add up blocks of 2 million words before anything is shuffled, so a common phrase sends one
+counted. Tasks add up blocks of 8 MB of text before anything is shuffled, so a common phrase sends one
 count a block. Words are told apart by 64-bit hashes; a hash of two words, one of them frequent, is found
 and the whole is done again with other hashes.
 
@@ -50,14 +50,14 @@ LEAST, TOP, MOST_WORDS = 10, 2000, 3
 INSIDE = 50
 #: Of a hundred documents so many are the sample; what occurs twice there is proposed.
 SHARE, LOWERED = 25, 2
-#: Words that a task adds up before it sends counts.
-BLOCK_WORDS = 2_000_000
+#: Bytes of text that a task adds up before it sends counts.
+BLOCK_BYTES = 8 << 20
 #: Bits of a bitmap for each phrase, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Texts that a task works on at once.
 ROWS = 4096
-#: Rows that one task ranks.
-RANKED = 64_000
+#: Rows that one task ranks; rows of phrases or words that a join broadcasts.
+RANKED, BROADCAST = 64_000, 200_000
 TRIES = 8
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -93,45 +93,43 @@ def bitmap(slots: DataFrame) -> Broadcast:
 
 
 class _Block:
-    """Words of a task, as numbers of its own, until their phrases are added up."""
+    """Texts of a task, until their phrases are added up together."""
 
     def __init__(self, seed: int, hash_bits: int):
         self.seed, self.mask = seed, (1 << hash_bits) - 1
-        self.clear()
+        self.texts: list[pa.RecordBatch] = []
+        self.size = 0
 
-    def clear(self) -> None:
-        self.known: dict[str, dict[bytes, int]] = {}
-        self.names: list[tuple[str, bytes]] = []
-        self.words: list[np.ndarray] = []
-        self.pieces: list[np.ndarray] = []
-        self.size, self.n_pieces = 0, 0
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+        """Itself, whenever it has BLOCK_BYTES of batches (lang, text), and with the rest at the end."""
+        for batch in sliced(batches, ROWS, 1):
+            self.texts.append(batch)
+            self.size += batch.nbytes
+            if self.size >= BLOCK_BYTES:
+                yield self
+                self.texts, self.size = [], 0
+        if self.texts:
+            yield self
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, tuple[int, pa.Array]]]:
+        """The words' hashes by number, the words' numbers in their order, whether a word and the next are in one piece,
+        and of each language the number of its first word and its words."""
+        from xxhash import xxh3_64_intdigest
 
-    def add(self, texts: pa.Array, langs: pa.Array) -> None:
+        table = pa.Table.from_batches(self.texts).combine_chunks()
+        langs = table.column(0).combine_chunks()
+        hashes, words, pieces, names, n_pieces = [], [], [], {}, 0
         for lang in langs.unique().to_pylist():
-            placed = placed_words(texts.filter(pc.equal(langs, lang)), KINDS, lower=True)
-            known, distinct = self.known.setdefault(lang, {}), placed.distinct.to_pylist()
-            numbers = []
-            for word in distinct:
-                number = known.get(word)
-                if number is None:
-                    number = known[word] = len(self.names)
-                    self.names.append((lang, word))
-                numbers.append(number)
+            placed = placed_words(table.column(1).filter(pc.equal(langs, lang)).combine_chunks(), KINDS, lower=True)
+            names[lang] = len(hashes), placed.distinct
+            words.append(placed.ids + np.int32(len(hashes)))
+            seed = xxh3_64_intdigest(lang.encode(), seed=self.seed)
+            hashes += [xxh3_64_intdigest(word, seed=seed) & self.mask for word in placed.distinct.to_pylist()]
             text = np.repeat(np.arange(len(placed.first) - 1), np.diff(placed.first))
-            piece = placed.piece + text + self.n_pieces  # a text begins a piece
-            self.words.append(np.array(numbers, np.int32)[placed.ids])
-            self.pieces.append(piece)
-            self.n_pieces = int(piece[-1]) + 1 if len(piece) else self.n_pieces
-            self.size += len(piece)
-
-    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words' hashes by number, the words' numbers in their order, and whether a word and the next are in one piece."""
-        from xxhash import xxh3_64_intdigest
-
-        seeds = {lang: xxh3_64_intdigest(lang.encode(), seed=self.seed) for lang in self.known}
-        hashes = np.array([xxh3_64_intdigest(word, seed=seeds[lang]) & self.mask for lang, word in self.names], np.uint64).view(np.int64)
-        words, piece = np.concatenate([np.empty(0, np.int32), *self.words]), np.concatenate([np.empty(0, np.int64), *self.pieces])
-        return hashes, words, piece[1:] == piece[:-1]
+            pieces.append(placed.piece + text + n_pieces)  # a text begins a piece
+            n_pieces = int(pieces[-1][-1]) + 1 if len(text) else n_pieces
+        piece = np.concatenate(pieces)
+        return np.array(hashes, np.uint64).view(np.int64), np.concatenate(words), piece[1:] == piece[:-1], names
 
 
 def asked(told: list[np.ndarray], hashes: np.ndarray, first: np.ndarray | slice, second: np.ndarray | slice) -> np.ndarray:
@@ -175,21 +173,12 @@ def frequent_slots(docs: DataFrame, told: list[Broadcast], least: int, longest:
     buckets = 1 << max(6, (4 * parts).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, bitmaps = _Block(seed, hash_bits), [t.value for t in told]
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            hashes, words, together = block.flat()
+        bitmaps = [t.value for t in told]
+        for block in _Block(seed, hash_bits).blocks(batches):
+            hashes, words, together, _ = block.flat()
             yield slot_counts(phrase_hash(hashes), np.bincount(words, minlength=len(hashes)), buckets)
             for _, found in wanted(hashes, words, together, bitmaps, longest):
                 yield slot_counts(*np.unique(found, return_counts=True), buckets)
-            block.clear()
-
-        for batch in sliced(batches, ROWS, 1):
-            block.add(batch.column(1), batch.column(0))
-            if block.size >= BLOCK_WORDS:
-                yield from flushed()
-        if block.size:
-            yield from flushed()
 
     def across(table: pa.Table) -> pa.Table:
         entries = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in table.column("entries")])
@@ -211,28 +200,25 @@ def phrase_counts(docs: DataFrame, told: list[Broadcast], least: int, seed: int,
     """
     names = ["h1", "h2", "h3", "lang", "word", "n"]
 
-    def rows(columns: list[np.ndarray], n: np.ndarray, words: list | None = None) -> Iterator[pa.RecordBatch]:
+    def rows(columns: list[np.ndarray], n: np.ndarray, lang: str | None = None, words: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(n), 1 << 16):
             part = slice(at, at + (1 << 16))
             m = len(n[part])
             longs = [pa.array(c[part]) for c in columns] + [pa.nulls(m, pa.int64())] * (3 - len(columns))
-            if words is None:
-                strings = [pa.nulls(m, pa.string())] * 2
-            else:
-                strings = [pa.array([w[0] for w in words[part]], pa.string()), pa.array([w[1] for w in words[part]], pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*longs, *strings, pa.array(n[part])], names)
+            named = pa.nulls(m, pa.string()) if words is None else words.slice(at, m).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*longs, pa.array([lang] * m, pa.string()), named, pa.array(n[part])], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, bitmaps = _Block(seed, hash_bits), [t.value for t in told]
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            hashes, words, together = block.flat()
+        bitmaps = [t.value for t in told]
+        for block in _Block(seed, hash_bits).blocks(batches):
+            hashes, words, together, by_lang = block.flat()
             if likely is not None:
-                n = np.bincount(words, minlength=len(hashes))
-                kept = np.flatnonzero(_held(phrase_hash(hashes), likely.value))
-                yield from rows([hashes[kept]], n[kept], [block.names[k] for k in kept.tolist()])
-                for lang, known in block.known.items():
-                    yield from rows([], n[list(known.values())].sum(keepdims=True), [(lang, None)])
+                n, enough = np.bincount(words, minlength=len(hashes)), _held(phrase_hash(hashes), likely.value)
+                for lang, (first, distinct) in by_lang.items():
+                    own = slice(first, first + len(distinct))
+                    kept = np.flatnonzero(enough[own])
+                    yield from rows([hashes[own][kept]], n[own][kept], lang, distinct.take(pa.array(kept)))
+                    yield from rows([], n[own].sum(keepdims=True), lang)
             for places, found in wanted(hashes, words, together, bitmaps, MOST_WORDS):
                 if likely is not None:
                     kept = _held(found, likely.value)
@@ -243,14 +229,6 @@ def phrase_counts(docs: DataFrame, told: list[Broadcast], least: int, seed: int,
                 own = own[:, order]
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(own, axis=1) != 0).any(axis=0)])[: len(found)])
                 yield from rows(list(own[:, new]), np.diff(np.append(new, len(found))))
-            block.clear()
-
-        for batch in sliced(batches, ROWS, 1):
-            block.add(batch.column(1), batch.column(0))
-            if block.size >= BLOCK_WORDS:
-                yield from flushed()
-        if block.size:
-            yield from flushed()
 
     counted = docs.mapInArrow(count, "h1 long, h2 long, h3 long, lang string, word string, n long")
     return counted.groupBy("h1", "h2", "h3", "lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("h2").isNull())
@@ -308,7 +286,7 @@ def scored(found: DataFrame) -> DataFrame:
 
     def count_of(rows: DataFrame, table: DataFrame, on: dict[str, str], name: str, *more: str) -> DataFrame:
         side = table.select(*[F.col(theirs).alias(f"_{ours}") for ours, theirs in on.items()], F.col("n").alias(name), *more)
-        return rows.join(sized(side), [F.col(ours) == F.col(f"_{ours}") for ours in on]).drop(*[f"_{ours}" for ours in on])
+        return rows.join(sized(side, BROADCAST), [F.col(ours) == F.col(f"_{ours}") for ours in on]).drop(*[f"_{ours}" for ours in on])
 
     def score(left: str, right: str) -> Column:
         wide = lambda c: f"cast({c} as decimal(19, 0))"
@@ -353,7 +331,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, **options) -> Data
         words = found.where("word is not null").select("h1", "word")
         rows = stored(scored(found), "scored-phrases")
         for k in (1, 2, 3):
-            rows = rows.join(sized(words.select(F.col("h1").alias(f"h{k}"), F.col("word").alias(f"w{k}"))), f"h{k}", "left")
+            rows = rows.join(sized(words.select(F.col("h1").alias(f"h{k}"), F.col("word").alias(f"w{k}")), BROADCAST), f"h{k}", "left")
         rows = rows.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "l", "r", "score")
         totals = found.where("h1 is null").select("lang", "n")
         kept = stored(best_of(rows, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], top).join(sized(totals), "lang"), "phrases", keep=True)

@@ -55,5 +55,5 @@ def placed_words(texts: pa.Array, kinds: np.ndarray, lower: bool = False) -> Pla
     places = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(places), pa.py_buffer(letters)])
     encoded = words.dictionary_encode()
-    piece = np.cumsum(kind == BREAK, dtype=np.int64)[start] if (kinds == BREAK).any() else None
+    piece = np.cumsum(kind == BREAK, dtype=np.int32)[start].astype(np.int64) if (kinds == BREAK).any() else None
     return PlacedWords(np.searchsorted(start, edges), encoded.indices.to_numpy(), encoded.dictionary, piece)
