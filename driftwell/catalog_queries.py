@@ -15,6 +15,7 @@ from .functions import statements as S
 from .operators import bulk_copy, catalog, drift, key_ranges, sequences, status
 from .operators import relations as R
 from .operators.ordering import with_places
+from .operators.view_meaning import ViewMeanings
 from .plans import apply
 from .plans.bootstrap import CopyFailed, Database, move
 from .plans.journal import Chunk, CopyJournal, chunks_of_frame
@@ -564,7 +565,9 @@ def d12_table_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.table_structure(s, changed(s)).select("place", "name")
 
 
-@on_system(f"""SELECT 'sequences' AS stage, c.relname AS name, 'CREATE SEQUENCE IF NOT EXISTS "' || n.nspname || '"."' || c.relname || '"' AS statement FROM pg_class c {_NS} c.relnamespace
+@on_system(f"""SELECT 'sequences' AS stage, c.relname AS name, 'CREATE SEQUENCE IF NOT EXISTS "' || n.nspname || '"."' || c.relname || '"'
+  || coalesce(' INCREMENT BY ' || q.seqincrement || ' MINVALUE ' || q.seqmin || ' MAXVALUE ' || q.seqmax || ' START WITH ' || q.seqstart || ' CACHE ' || q.seqcache || CASE WHEN q.seqcycle THEN ' CYCLE' ELSE ' NO CYCLE' END, '') AS statement
+FROM pg_class c {_NS} c.relnamespace LEFT JOIN pg_sequence q ON q.seqrelid = c.oid
 WHERE c.relkind = 'S' AND NOT EXISTS (SELECT 1 FROM pg_depend i WHERE i.classid = 'pg_class' AND i.objid = c.oid AND i.deptype = 'i')
 UNION ALL SELECT 'schemas', nspname, 'CREATE SCHEMA IF NOT EXISTS "' || nspname || '"' FROM pg_namespace
 UNION ALL SELECT 'foreign_keys', k.conname, 'ALTER TABLE "' || n.nspname || '"."' || c.relname || '" ADD CONSTRAINT "' || k.conname || '" ' || k.constraintdef FROM pg_constraint k JOIN pg_class c ON c.oid = k.conrelid AND c.relkind IN ('r', 'p') {_NS} c.relnamespace WHERE k.contype = 'f'
@@ -809,3 +812,28 @@ e AS (SELECT DISTINCT objid AS a, refobjid AS b FROM needs_pg_depend WHERE class
 def d08_range_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range types by what they are made of; those that need each other are reported with all members."""
     return _levels_of("ranges", with_needs(spark, sf_dir))
+
+
+@query("""
+SELECT 's' || s_nationkey AS schema, 'v' || s_suppkey AS name, CASE WHEN s_suppkey % 7 = 4 THEN 'missing_on_target' ELSE 'different' END AS drift_type,
+  'CREATE OR REPLACE VIEW "s' || s_nationkey || '"."v' || s_suppkey || '" AS SELECT o.o_orderkey AS k, o.o_totalprice FROM public.orders o WHERE o.o_totalprice > ' || s_suppkey || ' AND o.o_orderkey < 10' AS fix_ddl
+FROM supplier WHERE s_suppkey % 7 IN (2, 3, 4)""")
+def j14_view_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views whose target has other aliases, quoting, white space or order of conditions are no drift; another filter, table or column name is."""
+    k = F.col("s_suppkey").cast("string")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("schema_name"), F.concat(F.lit("v"), k).alias("view_name"), F.lit("v").alias("relkind"))
+    made = lambda before, after: F.concat(F.lit(before), k, F.lit(after))
+    source = rows.withColumn("view_def", made("SELECT o.o_orderkey AS k, o.o_totalprice FROM public.orders o WHERE o.o_totalprice > ", " AND o.o_orderkey < 10"))
+    kind = F.col("s_suppkey") % 7
+    other = (
+        F.when(kind == 0, made('SELECT  x."o_orderkey" k,\n x.o_totalprice FROM "public"."orders" AS x WHERE x.o_totalprice > ', " AND x.o_orderkey < 10"))
+        .when(kind == 1, made("SELECT o_orderkey AS k, o_totalprice FROM orders WHERE o_orderkey < 10 AND o_totalprice > ", ""))
+        .when(kind == 2, made("SELECT o.o_orderkey AS k, o.o_totalprice FROM public.orders o WHERE o.o_totalprice >= ", " AND o.o_orderkey < 10"))
+        .when(kind == 3, made("SELECT o.o_orderkey AS k, o.o_totalprice FROM public.old_orders o WHERE o.o_totalprice > ", " AND o.o_orderkey < 10"))
+        .when(kind == 5, made("select o.o_orderkey as k, o.o_totalprice from public.orders o where (o.o_totalprice > ", ") and (o.o_orderkey < 10)"))
+        .otherwise(F.col("view_def"))
+    )
+    target = source.withColumn("view_def", other).where(kind != 4)
+    columns = [("o_orderkey", "bigint"), ("o_totalprice", "numeric(15,2)")]
+    meanings = ViewMeanings(spark, {("public", "orders"): columns, ("public", "old_orders"): columns})
+    return drift.view_drift(source, target, meanings=meanings).select("schema", "name", "drift_type", "fix_ddl")

@@ -126,3 +126,12 @@ def setting(database: Column, entry: Column) -> Column:
     value = F.substring(entry, F.length(name) + 2, F.length(entry))
     shown = F.when(name.isin(LIST_SETTINGS), value).otherwise(quote_literal(value))
     return F.concat(F.lit("ALTER DATABASE "), quote_ident(database), F.lit(" SET "), quote_ident(name), F.lit(" TO "), shown)
+
+
+def sequence(c: dict[str, Column]) -> Column:
+    """CREATE SEQUENCE with all that is known of it: increment, bounds, start, cache, cycle."""
+    part = lambda word, name: F.concat(F.lit(f" {word} "), c[name].cast("string"))
+    parts = [part("INCREMENT BY", "increment"), part("MINVALUE", "min"), part("MAXVALUE", "max"), part("START WITH", "start"), part("CACHE", "cache")]
+    cycle = F.when(c["cycle"], " CYCLE").when(~c["cycle"], " NO CYCLE")
+    made = F.concat(F.lit("CREATE SEQUENCE IF NOT EXISTS "), qualified(c["schema_name"], c["sequence_name"]))
+    return F.concat(made, *[F.coalesce(p, F.lit("")) for p in [*parts, cycle]])

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 SYSTEM_SCHEMAS = [
     "pg_catalog", "information_schema", "pg_toast", "pg_anonymizer", "anon",
     "_timescaledb_catalog", "_timescaledb_config", "_timescaledb_internal", "_timescaledb_cache",
-    "_timescaledb_functions", "_timescaledb_debug", "timescaledb_information", "timescaledb_experimental", "toolkit_experimental",
+    "timescaledb_information", "timescaledb_experimental", "toolkit_experimental",
 ]
+#: Later versions of the same extension have these, too.
+SYSTEM_SCHEMAS += ["_timescaledb_functions", "_timescaledb_debug"]
 
 
 def discover(names: DataFrame, explicit: list[str] | None = None, exclude: list[str] = (), system: list[str] = SYSTEM_SCHEMAS) -> DataFrame:

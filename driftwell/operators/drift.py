@@ -10,6 +10,7 @@ from ..functions import statements as S
 from ..functions.names import normalize_ws, qualified
 from . import relations as R
 from .catalog import by_depth, missing_labels
+from .view_meaning import ViewMeanings, same_views
 from .keyed_diff import DIFFERENT, MISSING_ON_SOURCE, MISSING_ON_TARGET, only_left
 
 COLUMNS = ["section_no", "object_type", "schema", "table", "name", "drift_type", "detail", "fix_ddl"]
@@ -102,9 +103,15 @@ def function_drift(source: DataFrame, target: DataFrame) -> DataFrame:
     return definition_drift(source, target, 10, keys, "function", {"body": normalize_ws(F.col("func_def"))}, F.col("func_def"), name=F.col("func_name"))
 
 
-def view_drift(source: DataFrame, target: DataFrame, kept_up: DataFrame | None = None) -> DataFrame:
-    """Views by normalised text. kept_up: views of the source that another system keeps, which are passed over."""
+def view_drift(source: DataFrame, target: DataFrame, kept_up: DataFrame | None = None, meanings: ViewMeanings | None = None) -> DataFrame:
+    """Views by what they mean, with `meanings`, else by normalised text. kept_up: views of the source that another system keeps, which are passed over."""
     keys = ["schema_name", "view_name"]
+    if meanings is not None:
+        pairs = source.select(*keys, F.col("view_def").alias("source_def")).join(target.select(*keys, F.col("view_def").alias("target_def")), keys)
+        alike = same_views(pairs, keys, meanings)
+        # Those that mean the same count with the source's text on both sides.
+        texts = alike.join(source.select(*keys, F.col("view_def").alias("_def")), keys)
+        target = target.join(texts, keys, "left").withColumn("view_def", F.coalesce("_def", "view_def")).drop("_def")
     if kept_up is not None:
         source = source.join(kept_up.select(keys), keys, "left_anti")
     kind = F.when(F.col("relkind") == "m", "materialized_view").otherwise("view")

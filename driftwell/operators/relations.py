@@ -125,6 +125,14 @@ def sequences(s: System) -> DataFrame:
     )
 
 
+def sequence_definitions(s: System) -> DataFrame:
+    """Sequences and identity columns' sequences with what they were made with; null where the catalog doesn't tell."""
+    parameters = s["pg_sequence"].select(F.col("seqrelid").alias("oid"), *[F.col(f"seq{x}").alias(x) for x in ("increment", "min", "max", "start", "cache", "cycle")])
+    inner = s["pg_depend"].where("classid = 'pg_class' and deptype = 'i'").select(F.col("objid").alias("oid"), F.lit(True).alias("_inner")).distinct()
+    rows = s.relations("S").join(parameters, "oid", "left").join(inner, "oid", "left")
+    return rows.select("schema_name", F.col("table_name").alias("sequence_name"), "increment", "min", "max", "start", "cache", "cycle", F.col("_inner").isNotNull().alias("is_identity"))
+
+
 def sequence_owner(sequences_: DataFrame) -> DataFrame:
     """The one owning column of each sequence: the first by name, where the catalog tells of several."""
     return sequences_.where("owned_by is not null").groupBy("schema_name", "sequence_name").agg(F.min("owned_by").alias("owned_by"))

@@ -102,8 +102,7 @@ def stage(name: str, s: R.System, enums: DataFrame | None = None, version: int =
         pair = lambda p: (c(f"{p}_schema"), c(f"{p}_name"))
         return of(R.range_types(s), "type_name", D.range_type(c("schema_name"), c("type_name"), c("subtype"), pair("collation"), pair("canonical"), pair("diff")))
     if name == "sequences":  # those of identity columns come with their tables
-        make = F.concat(F.lit("CREATE SEQUENCE IF NOT EXISTS "), qualified(c("schema_name"), c("sequence_name")))
-        return of(R.sequences(s).where("not is_identity"), "sequence_name", make)
+        return of(R.sequence_definitions(s).where("not is_identity"), "sequence_name", S.sequence({x: c(x) for x in ("schema_name", "sequence_name", "increment", "min", "max", "start", "cache", "cycle")}))
     if name in ("functions", "late_functions"):
         return of(R.functions(s), "func_name", c("func_def"))
     if name == "tables":
