@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 import re
+from collections import Counter
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +44,13 @@ class ViewMeanings:
         self.session.conf.set("spark.sql.ansi.enabled", "true")
         self.session.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
         self.names: dict[str, str] = {}
+        often = Counter(name for _, name in columns)
         for k, ((schema, name), of) in enumerate(sorted(columns.items())):
-            view = f"relation_{k}"
+            # Its own name, by which columns may call it; a name of several schemas has the schema before it.
+            view = "`" + (name if often[name] == 1 else f"{schema}.{name}").replace("`", "``") + "`"
             # Each has a leaf of its own: relations with the same columns are still different ones.
             rows = self.session.range(k, k + 1).select(*[F.lit(None).cast(spark_type(kind)).alias(c) for c, kind in of])
-            rows.createOrReplaceTempView(view)
+            rows.createOrReplaceTempView(view)  # a name in quotes, as SQL has it
             self.names[f"{schema}.{name}"] = view
             self.names.setdefault(name, view)
 
