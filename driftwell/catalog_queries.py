@@ -18,6 +18,7 @@ from .operators.ordering import with_places
 from .operators.view_meaning import ViewMeanings
 from .plans import apply
 from .plans.bootstrap import CopyFailed, Database, move
+from .plans.evolve import EvolvingTable
 from .plans.journal import Chunk, CopyJournal, chunks_of_frame
 from .registry import query
 from .sources.tables import shared_path, table
@@ -837,3 +838,22 @@ def j14_view_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [("o_orderkey", "bigint"), ("o_totalprice", "numeric(15,2)")]
     meanings = ViewMeanings(spark, {("public", "orders"): columns, ("public", "old_orders"): columns})
     return drift.view_drift(source, target, meanings=meanings).select("schema", "name", "drift_type", "fix_ddl")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority ELSE 'none yet' END AS o_orderpriority
+FROM orders""")
+def d12_evolved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target written before, between and after changes of its columns and labels: old files are read as the newest structure has them."""
+    orders = table(spark, sf_dir, "orders")
+    key, target = F.col("o_orderkey"), EvolvingTable(spark, shared_path(spark, "evolving"))
+    target.create(orders.select(key.cast("int").alias("o_orderkey")).schema)
+    target.append(orders.where(key % 3 == 0).select(key.cast("int").alias("o_orderkey")))
+    structure = "column string, kind string, default string"
+    target.evolve(spark.createDataFrame([("o_orderkey", "bigint", None), ("o_orderstatus", "string", "'F'"), ("o_totalprice", "double", None)], structure), {"o_orderstatus": ["F", "O"]})
+    target.append(orders.where((key % 3 == 1) & F.col("o_orderstatus").isin("F", "O")).select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    target.evolve(spark.createDataFrame([("o_orderpriority", "string", "'none ' || 'yet'")], structure), {"o_orderstatus": ["F", "P", "O"]})
+    target.append(orders.where((key % 3 == 1) & ~F.col("o_orderstatus").isin("F", "O")).select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit("none yet").alias("o_orderpriority")))
+    target.append(orders.where(key % 3 == 2).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    return target.read()
