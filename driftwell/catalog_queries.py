@@ -857,3 +857,42 @@ def d12_evolved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     target.append(orders.where((key % 3 == 1) & ~F.col("o_orderstatus").isin("F", "O")).select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit("none yet").alias("o_orderpriority")))
     target.append(orders.where(key % 3 == 2).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
     return target.read()
+
+
+_STATE = """t.triggerdef || CASE t.tgenabled WHEN 'O' THEN '' ELSE '; ALTER TABLE "' || sg.s || '"."' || sg.t || '" ' || CASE t.tgenabled WHEN 'D' THEN 'DISABLE TRIGGER'
+  WHEN 'R' THEN 'ENABLE REPLICA TRIGGER' ELSE 'ENABLE ALWAYS TRIGGER' END || ' "' || t.tgname || '"' END"""
+
+
+@on_system(f"""{_PAIR}
+SELECT section_no, drift_type, name, fix_ddl FROM (
+SELECT 1 AS section_no, 'missing_on_target' AS drift_type, nspname AS name, 'CREATE SCHEMA IF NOT EXISTS "' || nspname || '"' AS fix_ddl FROM pg_namespace WHERE oid % 12 = 5
+UNION ALL SELECT 3, 'missing_on_source', t, 'DROP TABLE "' || s || '"."' || t || '"' FROM tt WHERE (s, t) NOT IN (SELECT (s, t) FROM st)
+UNION ALL SELECT 6, 'different', sa.attname, '' FROM both_t JOIN sa USING (oid) JOIN ta USING (oid, attname) WHERE sa.format_type <> ta.format_type
+UNION ALL SELECT 7, 'missing_on_target', i.relname, x.indexdef FROM both_t JOIN pg_index x ON x.indrelid = both_t.oid JOIN pg_class i ON i.oid = x.indexrelid WHERE both_t.oid % 3 = 1 OR i.oid NOT IN (SELECT oid FROM tc) OR i.relname NOT IN (SELECT relname FROM tc WHERE oid = i.oid)
+UNION ALL SELECT 8, 'missing_on_target', k.conname, 'ALTER TABLE "' || s || '"."' || t || '" ADD CONSTRAINT "' || k.conname || '" ' || k.constraintdef FROM both_t JOIN pg_constraint k ON k.conrelid = both_t.oid WHERE k.oid % 4 = 1
+UNION ALL SELECT 10, 'missing_on_target', f, p.functiondef FROM sp JOIN pg_proc p USING (oid) WHERE oid % 9 = 4 OR s NOT IN (SELECT nspname FROM tn)
+UNION ALL SELECT 10, 'different', f, p.functiondef FROM sp JOIN pg_proc p USING (oid) WHERE oid % 9 <> 4 AND s IN (SELECT nspname FROM tn) AND oid % 8 = 0
+UNION ALL SELECT 11, 'missing_on_target', sg.g, {_STATE} FROM sg JOIN pg_trigger t USING (oid) WHERE (sg.s, sg.t, sg.g) NOT IN (SELECT (s, t, g) FROM tg)
+UNION ALL SELECT 11, 'different', sg.g, {_STATE} FROM sg JOIN pg_trigger t ON t.oid = sg.oid JOIN tg ON tg.s = sg.s AND tg.t = sg.t AND tg.g = sg.g WHERE sg.e <> tg.e
+UNION ALL SELECT 14, 'missing_on_target', c.relname, CASE c.relkind WHEN 'm' THEN 'CREATE MATERIALIZED VIEW "' ELSE 'CREATE OR REPLACE VIEW "' END || n.nspname || '"."' || c.relname || '" AS ' || c.viewdef
+  FROM pg_class c {_NS} c.relnamespace WHERE c.relkind IN ('v', 'm') AND {_FREE.format('pg_class', 'c.oid', 'e')}
+    AND NOT EXISTS (SELECT 1 FROM tc x JOIN tn y ON y.oid = x.relnamespace WHERE x.oid = c.oid AND x.relname = c.relname))""")
+def x01_fix_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report gives to run for schemas, tables to drop, types, indexes, constraints, functions, triggers and views."""
+    s = system(spark, sf_dir)
+    return drift.detect_drift(s, changed(s)).where("section_no in (1, 3, 6, 7, 8, 10, 11, 14)").select("section_no", "drift_type", "name", "fix_ddl")
+
+
+@query("""
+WITH s AS (SELECT DISTINCT p_brand AS b, p_size AS l, chr(39) || lpad(CAST(p_size AS VARCHAR), 2, '0') || chr(39) AS q FROM part),
+t AS (SELECT b, l FROM s WHERE b <> 'Brand#13' AND (ascii(b[7:7]) + l) % 7 <> 3)
+SELECT b AS name, 'missing_on_target' AS drift_type, 'CREATE TYPE "public"."' || b || '" AS ENUM (' || string_agg(q, ', ' ORDER BY l) || ')' AS fix_ddl
+FROM s WHERE b NOT IN (SELECT b FROM t) GROUP BY b
+UNION ALL SELECT b, 'different', 'ALTER TYPE "public"."' || b || '" ADD VALUE IF NOT EXISTS ' || q FROM s WHERE b IN (SELECT b FROM t) AND (b, l) NOT IN (SELECT (b, l) FROM t)""")
+def x01_enum_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as enums of their parts' sizes: a type that the target lacks, and labels that its types lack."""
+    part = table(spark, sf_dir, "part").select(F.lit("public").alias("schema_name"), F.col("p_brand").alias("type_name"), "p_size").distinct()
+    there = part.where((F.col("type_name") != "Brand#13") & ((F.ascii(F.substring("type_name", 7, 1)) + F.col("p_size")) % 7 != 3))
+    keys = ["schema_name", "type_name"]
+    labels = lambda rows: catalog.ordered_labels(rows.withColumn("label", F.lpad(F.col("p_size").cast("string"), 2, "0")), keys, "label", "p_size")
+    return drift.enum_drift(labels(part), labels(there)).select("name", "drift_type", "fix_ddl")
