@@ -20,7 +20,7 @@ from .plans import apply
 from .plans.bootstrap import CopyFailed, Database, move
 from .plans.evolve import EvolvingTable
 from .plans.journal import Chunk, CopyJournal, chunks_of_frame
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .sources.tables import shared_path, table
 
 _T = lambda x: f"CAST({x} AS STRING)"
@@ -896,3 +896,28 @@ def x01_enum_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["schema_name", "type_name"]
     labels = lambda rows: catalog.ordered_labels(rows.withColumn("label", F.lpad(F.col("p_size").cast("string"), 2, "0")), keys, "label", "p_size")
     return drift.enum_drift(labels(part), labels(there)).select("name", "drift_type", "fix_ddl")
+
+
+#: The stages whose statements other queries hold against SQL of their own.
+_SAME = {
+    "collations": ("i15_collations", "ddl"), "composites": ("i12_composite_types", "ddl"), "domains": ("i16_domains", "ddl"), "ranges": ("i17_range_types", "ddl"),
+    "aggregates": ("i18_aggregates", "ddl"), "functions": ("i06_functions", "func_def"), "late_functions": ("i06_functions", "func_def"), "policies": ("f16_policy_ddl", "ddl"),
+    "tables": ("f21_create_table", "ddl"),
+}
+_VIEWS_SQL = f"""WITH {_ORACLE} SELECT CASE c.relkind WHEN 'm' THEN 'DROP MATERIALIZED VIEW IF EXISTS "' || n.nspname || '"."' || c.relname || '"; CREATE MATERIALIZED VIEW "' ELSE 'CREATE OR REPLACE VIEW "' END
+  || n.nspname || '"."' || c.relname || '" AS ' || c.viewdef AS ddl FROM pg_class c {_NS} c.relnamespace WHERE c.relkind IN ('v', 'm') AND {_FREE.format('pg_class', 'c.oid', 'e')}"""
+
+
+@query(" UNION ALL ".join(
+    [f"SELECT '{name}' AS stage, {column} AS statement FROM ({ORACLE_SQL[of]})" for name, (of, column) in _SAME.items()]
+    + [f"SELECT 'views', ddl FROM ({_VIEWS_SQL})", "SELECT 'enums', 'CREATE TYPE \"public\".\"' || b || '\" AS ENUM (' || string_agg(chr(39) || l || chr(39), ', ' ORDER BY l) || ')' FROM (SELECT DISTINCT p_brand AS b, p_type AS l FROM part) GROUP BY b"]
+))
+def d25_other_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements of the stages that d26_stage_statements leaves out."""
+    s, out = system(spark, sf_dir), None
+    brands = table(spark, sf_dir, "part").select(F.lit("public").alias("schema_name"), F.col("p_brand").alias("type_name"), F.col("p_type").alias("label"))
+    enums = catalog.ordered_labels(brands.distinct(), ["schema_name", "type_name"], "label", "label")
+    for name in [*_SAME, "views", "enums"]:
+        rows = apply.stage(name, s, enums).select(F.lit(name).alias("stage"), "statement")
+        out = rows if out is None else out.unionByName(rows)
+    return out
