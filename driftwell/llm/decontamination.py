@@ -124,7 +124,7 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> D
     bad = stored(
         find_contamination(docs, benchmark, n).where("n_hit > 0").select(F.col("_row").alias(NUMBER), F.col("spans").alias(SPANS)), "hits"
     )
-    rows = written(docs).join(sized(bad), NUMBER, "left")
+    rows = written(docs).join(sized(bad, size=16 * F.size(SPANS) + 64), NUMBER, "left")
     marks = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
     gaps, words = F.split("text", marks), F.regexp_extract_all("text", F.lit(f"({marks})"))
     inside = lambda i: F.exists(SPANS, lambda s: (s["start"] <= i) & (i < s["end"]))
