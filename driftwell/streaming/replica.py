@@ -109,7 +109,7 @@ class Replica:
         try:
             for name in self.tracked.names():
                 if name in changes.columns:
-                    self.table(name).append(rows.where(F.col("table") == name).select("lsn", "seq", "op", f"{name}.*"), batch)
+                    self.table(name).append(rows.where(F.col("table") == name).select("lsn", "seq", "op", "`" + name.replace("`", "``") + "`.*"), batch)
             position = self._settle(rows, batch, before)
         finally:
             rows.unpersist()

@@ -220,3 +220,26 @@ def test_a_replica_in_a_stream_restarts(spark, tmp_path):
 def test_last_changes_after_a_truncate(spark):
     rows = spark.createDataFrame([(1, 0, "I", 1, "a"), (2, 0, "T", None, None), (2, 1, "I", 2, "b")], KEYED)
     assert [r.k for r in last_changes(rows, ["k"]).collect()] == [2]
+
+
+def test_new_tables_are_handed_over_by_their_identity(spark, tmp_path):
+    """Captured and untracked tables are copied; a copy that failed is tried again; keyless ones go by full rows."""
+    from driftwell.plans.handover import hand_over_new
+
+    replica, broken = Replica(spark, f"{tmp_path}/r"), {"s.b"}
+    names = lambda *tables: spark.createDataFrame([("s", t) for t in tables], "schema_name string, table_name string")
+
+    def snapshot(name):
+        if name in broken:
+            raise OSError("gone")
+        return spark.createDataFrame([(1, name), (1, name)][: 1 if name == "s.a" else 2], schema(spark)), 5
+
+    run = lambda *tables: hand_over_new(replica, names(*tables), names("b"), lambda name: (schema(spark), ["k"]), snapshot)
+    assert run("a", "b") == {"s.a": CATCHING_UP, "s.b": "failed: OSError: gone"}
+    assert isinstance(replica.table("s.a"), ChangeTable) and isinstance(replica.table("s.b"), RowTable) and replica.state("s.b") == COPYING
+    broken.clear()
+    assert run("a", "b", "c") == {"s.b": CATCHING_UP, "s.c": CATCHING_UP} and run("a", "b", "c") == {}
+    commits = spark.createDataFrame([(n, n - 1, int(n == 6)) for n in range(1, 7)], COMMITS)
+    log = spark.createDataFrame([(6, 0, "I", 1, "s.b")], KEYED)
+    replica.append(one_stream({"s.b": log}, commits), 0)
+    assert replica.state("s.c") == IN_STEP and replica.read("s.b").count() == 3 and replica.read("s.a").count() == 1
