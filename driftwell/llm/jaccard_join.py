@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .workspace import numbered, scratch, sized, sliced, stored, without_rows, written
+from .workspace import numbered, release, scratch, sized, sliced, stored, without_rows, written
 
 SHINGLE, SHARE = 5, 75
 #: Share of the hash space that step 2 counts, in 1/1024; sets up to FULL_SIZE are counted whole.
@@ -346,7 +346,9 @@ def _entries(sets: DataFrame) -> DataFrame:
         F.col("p.token").alias("token"), "cls", "n", F.floor(F.col("alone") * 1000 / F.col("n")).alias("own"),
         (F.col("alone") + F.col("i")).alias("place"),
     )
-    return stored(entries, "entries")
+    out = stored(entries, "entries")
+    release(sets.sparkSession)  # of the postings' shuffles, the largest of the join
+    return out
 
 
 def _scanned_lists(entries: DataFrame) -> DataFrame:
@@ -449,6 +451,7 @@ def linked_in_lists(lists: DataFrame, sets: DataFrame, share: int = SHARE, label
         if not new.isEmpty():
             links = new if links is None else stored(links.unionByName(new), "links")
             labels = stored(components(links).withColumnRenamed("id", "cls"), "components")
+        release(sets.sparkSession)
         if last:
             break
         lists = open_lists.where("not leads").select("token", "cls", "n", "own", "place")

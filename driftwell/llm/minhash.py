@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import ROWS, _mix, _utf8, linked_in_lists, set_digest, sets_of, shingle_sets
-from .workspace import numbered, scratch, sized, sliced, stored, without_rows, written
+from .workspace import numbered, release, scratch, sized, sliced, stored, without_rows, written
 
 SHINGLE, SHARE = 4, 80
 #: Small keys of a collection, and minhashes of a small key.
@@ -128,6 +128,7 @@ def find_near(docs: DataFrame, *, share: int = SHARE, shingle: int = SHINGLE, si
         )
         lists = tensored(classes.join(found.select(F.col("_row").alias("cls"), "keys"), "cls").select("cls", "n", "keys"), side)
         tables = stored(lists, "tensored")
+        release(docs.sparkSession)
         sets = sets_of(rows, stored(tables.select(F.col("cls").alias("_row")).distinct(), "possible"), shingle)
         linked = stored(linked_in_tables(tables, sets, share), "linked", keep=True)
     named = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -68,6 +68,12 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what is unreachable: Spark removes the shuffle files of jobs that have ended when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are `stored` inside go when the block ends, but those with `keep`, which stay for the block
@@ -82,8 +88,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in made:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
-        gc.collect()
-        jvm.System.gc()
+        release(spark)
 
 
 def stored(df: DataFrame, name: str, options: dict[str, str] | None = None, keep: int = 0) -> DataFrame:
