@@ -2,9 +2,9 @@
 
 Documents link when 100 * |A and B| >= 75 * |A or B| over their distinct 5-word shingles.
 
-1. One pass makes each row's set (64-bit hashes), a 128-bit digest of it, and packed entries
-   of its shingles for step 2. Rows with the same digest are one class; only classes are
-   joined.
+1. One pass makes each row's set (64-bit hashes) and a 128-bit digest of it. Rows with the same
+   digest are one class; only classes are joined. A second one makes packed entries of the
+   shingles for step 2, which are never written but by its shuffle.
 2. A global count of shingles over a sample of the hash space, the same for all sets, finds
    the sets that can have a partner at all: a partner shares 3/4 of a set, so of the
    sampled shingles all but a quarter of the set must occur in another set. What is local
@@ -146,40 +146,41 @@ def _packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int)
     credits = np.empty(len(credit), _BLOB)
     credits["token"], credits["digest"] = n, credit
     data = [*[blob[edges[b] : edges[b + 1]].tobytes() for b in full], credits.tobytes()]
-    return pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(data, pa.binary())], ["bucket", "entries"])
+    own = -1 - (int(credit[0]) % buckets if len(credit) else 0)  # credits are dealt over as many buckets below 0
+    return pa.RecordBatch.from_arrays([pa.array(np.append(full, own)), pa.array(data, pa.binary())], ["bucket", "entries"])
 
 
-def shingled(rows: DataFrame, buckets: int) -> DataFrame:
-    """The pass over texts. Two kinds of rows:
-
-    _row, id, n (set size), counted (shingles that step 2 counts), digest, digest2 (null for the empty set);
-    bucket, entries: blobs of (shingle, set) by bucket of the hash space. A shingle that several sets of the
-    task hold is settled here: the sets get credit (bucket -1), and one entry without a set says that it is shared.
-    """
+def shingled(rows: DataFrame) -> DataFrame:
+    """_row, id, n (set size), counted (shingles that step 2 counts), digest, digest2 (null for the empty set)."""
     kind = rows.schema["id"].dataType.simpleString()
-    names = ["_row", "id", "n", "counted", "digest", "digest2", "bucket", "entries"]
-    schema = f"_row long, id {kind}, n long, counted long, digest long, digest2 long, bucket long, entries binary"
 
-    def of_rows(batch: pa.RecordBatch, sets: list[np.ndarray], digests: list[tuple[int, int]]) -> pa.RecordBatch:
-        n = np.array([len(s) for s in sets], np.int64)
-        halves = [pa.array(np.array([d[k] for d in digests], np.int64), mask=n == 0) for k in (0, 1)]
-        columns = [batch.column(0), batch.column(1), pa.array(n), pa.array(np.array([_counted(s) for s in sets], np.int64)), *halves]
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names)
+    def sets_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, ROWS, 2):
+            sets = shingle_sets(_utf8(batch.column(2)))
+            n = np.array([len(s) for s in sets], np.int64)
+            digests = [set_digest(s) for s in sets]
+            halves = [pa.array(np.array([d[k] for d in digests], np.int64), mask=n == 0) for k in (0, 1)]
+            columns = [batch.column(0), batch.column(1), pa.array(n), pa.array(np.array([_counted(s) for s in sets], np.int64)), *halves]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "id", "n", "counted", "digest", "digest2"])
+
+    return rows.mapInArrow(sets_of_rows, f"_row long, id {kind}, n long, counted long, digest long, digest2 long")
 
-    def of_entries(packed: pa.RecordBatch, id_type: pa.DataType) -> pa.RecordBatch:
-        kinds = [pa.int64(), id_type, *[pa.int64()] * 4]
-        return pa.RecordBatch.from_arrays([*[pa.nulls(packed.num_rows, k) for k in kinds], *packed.columns], names)
 
-    def sets_and_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingle_entries(rows: DataFrame, buckets: int) -> DataFrame:
+    """bucket, entries: blobs of (shingle, set) by bucket of the hash space.
+
+    A shingle that several sets of the task hold is settled here: the sets get credit (buckets below 0), and one
+    entry without a set says that it is shared. These are the most bytes that the join makes, so they are not
+    written: a pass of its own over the texts sends them straight into the shuffle.
+    """
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size, id_type = 0, None
+        size = 0
         for batch in sliced(batches, ROWS, 2):
-            id_type = batch.column(1).type
-            sets = shingle_sets(_utf8(batch.column(2)))
-            digests = [set_digest(s) for s in sets]
-            yield of_rows(batch, sets, digests)
-            for s, digest in zip(sets, digests):
+            for s in shingle_sets(_utf8(batch.column(2))):
+                digest = set_digest(s)
                 if not len(s) or digest in seen:
                     continue
                 seen.add(digest)
@@ -191,12 +192,12 @@ def shingled(rows: DataFrame, buckets: int) -> DataFrame:
                 held.append((s, np.full(len(s), digest[0], np.int64), np.ones(len(s), bool) if counted is None else counted))
                 size += len(s)
                 if size >= TASK_ENTRIES:
-                    yield of_entries(_packed(held, buckets), id_type)
+                    yield _packed(held, buckets)
                     held, size = [], 0
         if held:
-            yield of_entries(_packed(held, buckets), id_type)
+            yield _packed(held, buckets)
 
-    return stored(rows.mapInArrow(sets_and_entries, schema), "shingled")
+    return rows.mapInArrow(entries, "bucket long, entries binary")
 
 
 def _shared(token: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,14 +216,11 @@ def _shared(token: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def credits(blobs: DataFrame) -> DataFrame:
     """digest, credit: how many counted shingles of a set occur in another set (never too few)."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                e = np.frombuffer(data, _BLOB)
-                yield pa.RecordBatch.from_arrays([pa.array(e["digest"].copy()), pa.array(e["token"].astype(np.int64))], ["digest", "credit"])
-
-    def across(table: pa.Table) -> pa.Table:
+    def settled(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x.as_buffer(), _BLOB) for x in table.column("entries")]
+        if table.column("bucket")[0].as_py() < 0:
+            e = np.concatenate(blobs)
+            return pa.table({"digest": e["digest"].copy(), "credit": e["token"].astype(np.int64)})
         parts = 1 + sum(map(len, blobs)) // TASK_ENTRIES
         out = []
         for k in range(parts):
@@ -231,19 +229,13 @@ def credits(blobs: DataFrame) -> DataFrame:
             out.append(pa.table({"digest": digest, "credit": n.astype(np.int64)}))
         return pa.concat_tables(out)
 
-    here = blobs.where("bucket < 0").select("entries").mapInArrow(local, "digest long, credit long")
-    there = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(across, "digest long, credit long")
-    return here.unionByName(there).groupBy("digest").agg(F.sum("credit").alias("credit"))
+    return blobs.groupBy("bucket").applyInArrow(settled, "digest long, credit long").groupBy("digest").agg(F.sum("credit").alias("credit"))
 
 
 def chosen_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of `shingled` without entries, their classes, and the _row of the classes that can have a partner.
-
-    The entries are by far the most that the join holds, so they go as soon as the classes are chosen.
-    """
+    """The rows of `shingled`, their classes, and the _row of the classes that can have a partner."""
     with scratch(rows.sparkSession):
-        both = shingled(rows, max(64, 4 * rows.rdd.getNumPartitions()))
-        member = stored(both.where("bucket is null").drop("bucket", "entries"), "members", keep=2)
+        member = stored(shingled(rows), "members", keep=2)
         classes = stored(
             member.where("digest is not null").groupBy("digest", "digest2").agg(
                 F.min("_row").alias("cls"), F.max("n").alias("n"), F.max("counted").alias("counted"), F.min("id").alias("least"),
@@ -251,7 +243,7 @@ def chosen_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             ),
             "classes", keep=2,
         )
-        credit = credits(both.where("bucket is not null").select("bucket", "entries"))
+        credit = credits(shingle_entries(rows, max(64, 4 * rows.rdd.getNumPartitions())))
         # Of the counted shingles all but a quarter of the set, at most, are in a partner.
         possible = classes.join(credit, "digest", "left").where(F.coalesce("credit", F.lit(0)) >= F.col("counted") - F.floor(F.col("n") / 4))
         return member, classes, stored(possible.select(F.col("cls").alias("_row")), "possible", keep=1)
