@@ -17,22 +17,29 @@ from .streaming.apply import start_apply
 from .streaming.replica import Replica, one_stream
 from .streaming.tables import table_for
 
-#: Orders that one commit takes in, with their lines; files that a table's changes come in.
-COMMIT_ORDERS, FILES = 256, 6
+#: Orders that one commit takes in, with their lines; files that a table's changes come in, at least, and the rows that one holds, at most.
+COMMIT_ORDERS, FILES, FILE_ROWS = 256, 6, 1_000_000
 
 
 def _commit(key: str):  # noqa: ANN202
     return F.floor(F.col(key) / COMMIT_ORDERS).cast("long") + 1
 
 
-def _files(rows: DataFrame, path: str, parts: list[str]) -> None:
-    """One file for each condition, which come in this order."""
+def _files(rows: DataFrame, path: str, parts: list[str], by: str = "lsn") -> None:
+    """Files for each condition, which come in this order: one where there are few rows, else as many as their bytes ask for."""
     for part in parts:
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+        rows.where(part).hint("rebalance", by).write.mode("append").parquet(path)
 
 
-def _streamed(spark: SparkSession, path: str, schema: StructType, files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def _enough(rows: DataFrame, files: int) -> int:
+    """How many files, if none may hold more than FILE_ROWS."""
+    return max(files, -(-rows.count() // FILE_ROWS))
+
+
+def _streamed(spark: SparkSession, path: str, schema: StructType, batches: int) -> DataFrame:
+    """The files that are there, and those that come later, in about so many batches as the first are cut into."""
+    files = len(spark.read.schema(schema).parquet(path).inputFiles())
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
 
 
 def _commits(logs: list[DataFrame]) -> DataFrame:
@@ -78,7 +85,7 @@ def r14_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     replica = Replica(spark, shared_path(spark, "replica"))
     replica.track("orders", orders.schema, ["o_orderkey"], copied=False)
     replica.track("lineitem", lines.schema, [], copied=False)  # lines may be the same
-    stream = one_stream({t: _streamed(spark, path[t], logs[t].schema) for t in logs}, _streamed(spark, path["commits"], commits.schema))
+    stream = one_stream({t: _streamed(spark, path[t], logs[t].schema, FILES) for t in logs}, _streamed(spark, path["commits"], commits.schema, FILES))
     start_apply(stream, replica, shared_path(spark, "replica-checkpoint")).awaitTermination()
     bad = None
     for epoch in range(replica.latest() + 1):
@@ -110,10 +117,10 @@ def r11_hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     position, ranges = last, _ranges(2 * last, [2, 0, 1, 5, 3, 4])  # the copy is taken within the third range
     root, checkpoint, schema = shared_path(spark, "replica"), shared_path(spark, "replica-checkpoint"), orders.schema
 
-    def run() -> Replica:
+    def run(parts: int) -> Replica:
         """A new process: what it knows is in the folder and the checkpoint."""
         replica = Replica(spark, root)
-        stream = one_stream({"orders": _streamed(spark, path["orders"], log.schema)}, _streamed(spark, path["commits"], commits.schema))
+        stream = one_stream({"orders": _streamed(spark, path["orders"], log.schema, parts)}, _streamed(spark, path["commits"], commits.schema, parts))
         start_apply(stream, replica, checkpoint).awaitTermination()
         return Replica(spark, root)
 
@@ -121,14 +128,14 @@ def r11_hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in ranges[:2]:
         _files(log, path["orders"], [part])
         _files(commits, path["commits"], [part])
-    replica = run()
+    replica = run(2)
     states = [replica.state("orders")]
     at_position = C.apply_keyed(orders, log.where(F.col("lsn") <= position), ["o_orderkey"])
     states.append(replica.hand_over("orders", schema, ["o_orderkey"], lambda: (at_position, position)))
     for part in ranges[2:]:
         _files(log, path["orders"], [part])
         _files(commits, path["commits"], [part])
-    replica = run()
+    replica = run(len(ranges))
     states.append(replica.state("orders"))
     return replica.read("orders").withColumn("states", F.lit(", ".join(states)))
 
@@ -146,9 +153,9 @@ def r14_stream_keyless(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = lambda rows, op, later: rows.select((_commit("l_orderkey") + later).alias("lsn"), place.alias("seq"), F.lit(op).alias("op"), *columns)
     log = change(lines, "I", 0).unionByName(change(lines.where("l_linenumber = 1"), "D", 1))
     at = shared_path(spark, "lines-log")
-    log.repartition(FILES, "seq").write.parquet(at)
+    log.repartition(_enough(log, FILES), "seq").write.parquet(at)
     target = table_for(spark, shared_path(spark, "lines"), lines.select(*columns).schema, [])
-    start_apply(_streamed(spark, at, log.schema, 2), target, shared_path(spark, "lines-checkpoint")).awaitTermination()
+    start_apply(_streamed(spark, at, log.schema, FILES // 2), target, shared_path(spark, "lines-checkpoint")).awaitTermination()
     target.compact()
     return target.read()
 
@@ -168,9 +175,9 @@ def x07_streamed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.select("key", F.col("new_value").alias("last_value"), F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(written)
 
     customers.limit(0).write.parquet(at)
-    for parts in (["c_custkey % 4 = 3", "c_custkey % 4 = 0"], ["c_custkey % 4 = 2", "c_custkey % 4 = 1"]):
-        _files(customers, at, parts)
-        high_water.keep_up(_streamed(spark, at, customers.schema), "c_nationkey", "c_custkey", targets, write, checkpoint).awaitTermination()
+    for batches, parts in ((3, ["c_custkey % 4 = 3", "c_custkey % 4 = 0"]), (5, ["c_custkey % 4 = 2", "c_custkey % 4 = 1"])):
+        _files(customers, at, parts, "c_custkey")
+        high_water.keep_up(_streamed(spark, at, customers.schema, batches), "c_nationkey", "c_custkey", targets, write, checkpoint).awaitTermination()
     rows = spark.read.parquet(written)
     later = rows.select(F.col("key").alias("k"), F.col("last_value").alias("v"), F.col("batch").alias("b"))
     back = rows.join(later, (F.col("key") == F.col("k")) & (F.col("b") > F.col("batch")) & (F.col("v") <= F.col("last_value")), "left_semi")
@@ -197,7 +204,7 @@ def m03_stream_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         started = []
         for name in names:
             at, rows = shared_path(spark, name), table(spark, sf_dir, name)
-            rows.repartition(3).write.parquet(at)
+            rows.repartition(_enough(rows, 3)).write.parquet(at)
             writer = _streamed(spark, at, rows.schema, 2).writeStream.queryName(f"move_{name}").foreachBatch(apply(name))
             started.append(writer.option("checkpointLocation", shared_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start())
         for query_ in started:

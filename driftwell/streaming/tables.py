@@ -26,6 +26,8 @@ from ..sources.marks import Marks
 
 #: Seconds for which what a base covers stays readable.
 GRACE_S = 3600.0
+#: Changes that one task sums up, and the tasks over which those of one hot row are dealt.
+SUM_ROWS, HOT_TASKS = 1_000_000, 8
 
 
 class StreamedTable(ABC):
@@ -176,9 +178,9 @@ class RowTable(StreamedTable):
         self.log = StructType(schema.fields).add("lsn", "long").add("seq", "long").add("op", "string").add("n", "long")
 
     def _logged(self, changes: DataFrame) -> DataFrame:
+        """Nothing is counted here: places differ, so a task would keep all its rows to find hardly any that are equal."""
         n = F.when(F.col("op") == "D", -1).when(F.col("op") == "I", 1).otherwise(0).cast("long")
-        counted = split_updates(changes, self.schema.fieldNames()).withColumn("n", n)
-        return counted.groupBy(*self.schema.fieldNames(), "lsn", "seq", "op").agg(F.sum("n").alias("n")).select(self.log.fieldNames())
+        return split_updates(changes, self.schema.fieldNames()).withColumn("n", n).select(self.log.fieldNames())
 
     def _last_cut(self, rows: DataFrame) -> tuple[int, int] | None:
         return rows.where("op = 'T'").agg(F.max(F.struct("lsn", "seq")).alias("cut")).first()["cut"]
@@ -190,7 +192,11 @@ class RowTable(StreamedTable):
         return rows.where((F.col("op") != "T") & (place > F.struct(F.lit(cut[0]).cast("long"), F.lit(cut[1]).cast("long"))))
 
     def _summed(self, rows: DataFrame) -> DataFrame:
-        return self._after_cut(rows).groupBy(*self.schema.fieldNames()).agg(F.sum("n").alias("n"), F.max("lsn").alias("lsn"))
+        """A task sums its own rows first, SUM_ROWS about, since it keeps a sum for each full row that it meets."""
+        columns, rows = self.schema.fieldNames(), self._after_cut(rows)
+        if (tasks := -(-rows.count() // SUM_ROWS)) > rows.rdd.getNumPartitions():
+            rows = rows.select(*columns, "lsn", "n", F.pmod("seq", F.lit(HOT_TASKS)).alias("_deal")).repartition(tasks, *columns, "_deal")
+        return rows.groupBy(*columns).agg(F.sum("n").alias("n"), F.max("lsn").alias("lsn"))
 
     def _settled(self, rows: DataFrame) -> DataFrame:
         """Each row's multiplicity at the place of its last change, and the last truncate, which takes nothing more away."""
