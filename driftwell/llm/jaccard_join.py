@@ -15,15 +15,18 @@ Documents link when 100 * |A and B| >= 75 * |A or B| over their distinct 5-word
    over the part of each set that any partner must meet. The boundary is the size at which
    the subsets of the sets up to it and the list entries that the others meet are fewest,
    both counted from the data.
-4. A list is never expanded into all pairs. In each turn some members of each list lead:
-   one at first, then eight times as many each turn. Leads are compared with those members
-   that are not in their component yet, and leave the list; links merge components; a list
-   ends when one component is left. Every pair that is skipped is connected already, so the
-   components are exactly those of all links, and a list of m ends within log8(m) + 2 turns.
+4. A list is never expanded into rows of pairs. Its members are compared by their parity
+   bitmaps inside tasks, in pairs of blocks of bounded size, where they are not in one
+   component yet, and each goes on with its first 16 likely partners of a block; with 16
+   times as many each turn where there are more. Links merge components; a list ends when
+   one component is left or all its likely pairs have gone on. Every pair that is skipped
+   is connected already, so the components are exactly those of all links, and a list
+   ends within log16(BLOCK_SETS) + 1 turns. The comparison of bitmaps is quadratic in a list's
+   members outside its components; the rows are not.
 5. Links are counted inside components, in pairs of blocks of bounded size: a pair of blocks
    sends one count for each of its sets, so no pair of documents is ever a row.
 
-Candidates pass a parity bitmap (sets that differ in more bits than their sizes allow can't
+Candidates pass the parity bitmap (sets that differ in more bits than their sizes allow can't
 link) and are then verified on whole sets. Shingle hashes are 64-bit: two different shingles
 of one pair of documents collide with a probability under 1e-13.
 
@@ -43,7 +46,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -58,13 +61,15 @@ TASK_ENTRIES = 500_000
 ROWS = 128
 #: Sizes that step 3 may enumerate; beyond, a set has more subsets than any table has rows.
 MOST_ENUMERATED = 64
-#: Cross-component pairs left in lists, for each set and at least, at which the rest is compared at once.
-REST_PAIRS, REST_LEAST = 64, 50_000
-#: How many times more members of a list lead in each turn, and the joined rows of one list that a task makes.
-MORE_LEADS, TASK_PAIRS = 8, 1 << 20
+#: Cross-component pairs left in lists, for each set and at least, at which all likely ones of the rest go on at once.
+REST_PAIRS, REST_LEAST = 1, 50_000
+#: Likely partners of a member that go on in the first turn, and how many times more in each turn; the pairs that a task compares at once.
+MORE_LEADS, TASK_PAIRS = 16, 1 << 16
+#: Entries of short lists that a task compares together; parity bitmaps that a join broadcasts.
+GROUP_ENTRIES, PARITIES = 1 << 14, 100_000
 #: Words of the parity bitmap.
 PARITY = 16
-#: Sets and shingles of a block of a component, about; sets of small components that a task counts together.
+#: Sets (of a list's, too) and shingles of a block of a component, about; sets of small components that a task counts together.
 BLOCK_SETS, BLOCK_SHINGLES, TASK_SETS = 1024, 400_000, 512
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -365,33 +370,76 @@ def _within(n: str, place: str, a, b, share: int = SHARE):  # noqa: ANN001, ANN2
     return F.col(place) <= F.col(n) - _overlap(a, b, share)
 
 
-def _sizes_fit(a: str, b: str, share: int = SHARE):  # noqa: ANN202
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * share)
-
-
 def verified(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
     """Of pairs (a, b) of classes, those that link: their sets have `share` percent in common."""
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    parity = [f"p{k}" for k in range(PARITY)]
-    both = pairs.join(side("b", "n", *parity), "b").join(side("a", "n", *parity), "a")
-    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in parity), F.lit(0))
-    likely = stored(both.where(differ * (100 + share) <= (100 - share) * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "likely-pairs")
-    both = likely.join(side("b", "n", "tokens"), "b").join(side("a", "n", "tokens"), "a")
+    both = pairs.join(side("b", "n", "tokens"), "b").join(side("a", "n", "tokens"), "a")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return both.where(common * 100 >= share * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
 
 
-def _leads(turn: int, last: bool) -> Column:
-    """Whether a member leads in its list (m members; first: its first; biggest: its largest component)."""
-    if last:
-        return F.col("component") != F.col("biggest")
-    if not turn:
-        return F.col("cls") == F.col("first")
-    share = F.shiftrightunsigned(F.xxhash64("cls", F.lit(turn)), 11) / F.lit(float(1 << 53))
-    return share * F.col("m") < F.lit(float(MORE_LEADS**turn))
+def _likely_in_lists(table: pa.Table, share: int, turn: int, most: int | None) -> pa.Table:
+    """a, b: the first `most` likely partners of each member of the group's lists among those before it (of i, for j); and
+    the token, alone, of each list where a member has more.
+
+    Before the first turn's members come those with the fewest shingles of their own, later ones have an order of each turn's.
+    """
+    token, cls, n, own, place, component, part = (table.column(c).to_numpy() for c in ("token", "cls", "n", "own", "place", "component", "part"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    order = np.lexsort((cls, _mix(cls.view(np.uint64) + np.uint64(turn)) if turn else own, part, token))
+    token, cls, n, place, component, part = (x[order] for x in (token, cls, n, place, component, part))
+    words = [table.column(f"p{k}").to_numpy()[order] for k in range(PARITY)]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    start = np.repeat(first, np.diff(np.append(first, len(token))))
+    if i == j:
+        end = np.arange(len(token))
+    else:
+        before = np.repeat(np.add.reduceat(part == i, first, dtype=np.int64), np.diff(np.append(first, len(token))))
+        end = np.where(part == j, start + before, start)
+    count = end - start
+    total = np.concatenate([[0], np.cumsum(count)])
+    pairs, more, at = [], [], 0
+    while at < len(token):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + TASK_PAIRS, side="right")) - 1)
+        a = np.repeat(np.arange(at, to), count[at:to])
+        b = np.arange(len(a)) - np.repeat(total[at:to] - total[at], count[at:to]) + np.repeat(start[at:to], count[at:to])
+        at = to
+        fit = component[a] != component[b]
+        a, b = a[fit], b[fit]
+        overlap = -(-share * (n[a] + n[b]) // (100 + share))
+        fit = (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * share) & (place[a] <= n[a] - overlap) & (place[b] <= n[b] - overlap)
+        a, b = a[fit], b[fit]
+        differ = np.zeros(len(a), np.int64)
+        for word in words:
+            differ += np.bitwise_count((word[a] ^ word[b]).view(np.uint64))
+        fit = differ * (100 + share) <= (100 - share) * (n[a] + n[b])
+        a, b = a[fit], b[fit]
+        if most is not None:
+            late = np.arange(len(a)) - np.searchsorted(a, a) >= most
+            more.append(np.unique(token[a[late]]))
+            a, b = a[~late], b[~late]
+        pairs.append(np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])]))
+    pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    more = np.unique(np.concatenate(more)) if more else np.empty(0, np.int64)
+    lists, none = pa.array(more, pa.int64()), pa.nulls(len(more), pa.int64())
+    a, b = (pa.concat_arrays([pa.array(x, pa.int64()), none]) for x in pairs)
+    return pa.table({"a": a, "b": b, "token": pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), lists])})
+
+
+def likely_in_lists(lists: DataFrame, sets: DataFrame, share: int, turn: int, most: int | None, entries: int) -> DataFrame:
+    """a, b, token: see `_likely_in_lists`. lists: token, cls, n, own, place, component, m (members of the list); `entries` in all."""
+    parity = sets.select("cls", *[f"p{k}" for k in range(PARITY)])
+    parts = F.ceil(F.col("m") / BLOCK_SETS).cast("int")
+    # Short lists share tasks; a pair of blocks of a longer one is a group of its own.
+    unit = F.when(F.col("m") <= BLOCK_SETS, F.pmod(F.xxhash64("token"), F.lit(max(64, entries // GROUP_ENTRIES)))).otherwise(F.col("token"))
+    dealt = lists.withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).select(
+        unit.alias("unit"), "token", "cls", "n", "own", "place", "component", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
+    ).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
+    group = dealt.join(sized(parity, PARITIES), "cls").groupBy("unit", "i", "j")
+    return group.applyInArrow(lambda table: _likely_in_lists(table, share, turn, most), "a long, b long, token long")
 
 
 def link_components(sets: DataFrame) -> DataFrame:
@@ -409,44 +457,34 @@ def link_components(sets: DataFrame) -> DataFrame:
 def linked_in_lists(lists: DataFrame, sets: DataFrame, share: int = SHARE, labels: DataFrame | None = None) -> DataFrame:
     """cls, component (a class) for the classes of lists (token, cls, n, own, place) that link with a member of one of theirs.
 
-    Members lead by turns; see step 4. `labels`: what is known to be connected, as a result of this function.
+    Members get more partners by turns; see step 4. `labels`: what is known to be connected, as a result of this function.
     """
     n_sets = sets.count()
     links = None if labels is None else labels.select(F.col("cls").alias("a"), F.col("component").alias("b")).where("a <> b")
-    for turn in range(22):  # MORE_LEADS ** 21 = 2 ** 63
+    for turn in range(64):  # a turn with as many partners as a block has members leaves nothing
         if labels is None:
             tagged = lists.withColumn("component", F.col("cls"))
         else:
             tagged = lists.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        # A list with one component is done. The rest: who is first, and how many pairs are left.
-        by_part = tagged.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("own", "cls")).alias("first"))
-        state = by_part.groupBy("token").agg(
-            F.count(F.lit(1)).alias("parts"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"),
-            F.min("first")["cls"].alias("first"), F.max(F.struct("k", "component")).alias("most"),
-        ).where("parts > 1")
-        state = stored(state.select("token", "m", "squares", "first", F.col("most.k").alias("k"), F.col("most.component").alias("biggest")), "list-states")
-        rest = state.agg(F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2)).first()[0]
+        # A list with one component is done. The rest: how many pairs are left.
+        by_part = tagged.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+        state = by_part.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+        state = stored(state.where("parts > 1").select("token", "m", "squares"), "list-states")
+        entries, rest = state.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2)).first()
         if rest is None:
             break
-        last = rest <= max(REST_PAIRS * n_sets, REST_LEAST)
-        many = F.col("m") - F.col("k") if last else F.least("m", F.lit(float(MORE_LEADS**turn)))
-        salts = F.greatest(F.ceil(F.col("m") * many / TASK_PAIRS), F.lit(1)).cast("int")
-        open_lists = stored(tagged.join(state.withColumn("salts", salts), "token").withColumn("leads", _leads(turn, last)), "open-lists")
-        lead = open_lists.where("leads").select(
-            "token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"),
-            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-        )
-        fits = _sizes_fit("n", "nb", share) & _within("n", "place", "n", "nb", share) & _within("nb", "pb", "n", "nb", share)
-        met = open_lists.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).join(lead, ["token", "salt"])
-        pairs = met.where((F.col("component") != F.col("cb")) & fits).select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
-        new = stored(verified(stored(pairs.distinct(), "pairs"), sets, share), "new-links")
+        most = None if rest <= max(REST_PAIRS * n_sets, REST_LEAST) else MORE_LEADS ** (turn + 1)
+        open_lists = stored(tagged.join(state.select("token", "m"), "token"), "open-lists")
+        likely = stored(likely_in_lists(open_lists, sets, share, turn, most, entries), "likely-pairs")
+        new = stored(verified(likely.where("a is not null").select("a", "b").distinct(), sets, share), "new-links")
         if not new.isEmpty():
             links = new if links is None else stored(links.unionByName(new), "links")
             labels = stored(components(links).withColumnRenamed("id", "cls"), "components")
         release(sets.sparkSession)
-        if last:
+        more = likely.where("a is null").select("token").distinct()
+        if most is None or more.isEmpty():
             break
-        lists = open_lists.where("not leads").select("token", "cls", "n", "own", "place")
+        lists = open_lists.join(more, "token", "left_semi").select("token", "cls", "n", "own", "place")
     if labels is None:
         return sets.select("cls", F.col("cls").alias("component")).limit(0)
     return labels

@@ -12,7 +12,7 @@ Documents link when 100 * |A and B| >= 80 * |A or B| over their distinct 4-word
 3. A table's bucket has two members only where both small keys are shared, so small keys are counted
    first (a class sends each once; counts combine before the shuffle) and pairs are formed of shared
    keys alone: a document that resembles no other forms none.
-4. Buckets are compared by leads, never as all pairs: `jaccard_join.linked_in_lists`. Few tables come
+4. Buckets are compared in blocks, never as rows of all pairs: `jaccard_join.linked_in_lists`. Few tables come
    first, then more, then all: what the first connect is one component in the others' buckets, and a bucket
    of one component is done. Of tables whose buckets hold the same members one is enough. Candidates
    pass a parity bitmap and are then verified on their full sets, so a link that is reported is one.

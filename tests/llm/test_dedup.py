@@ -157,6 +157,27 @@ def test_jaccard_random(spark, tmp_path):
     near(spark, docs, f"{tmp_path}/r")
 
 
+@pytest.mark.parametrize(("changed", "most"), [(6, 16 * 300), (60, 0)])
+def test_a_list_makes_no_rows_of_all_its_pairs(spark, monkeypatch, changed, most):
+    """Of 300 sets in one list those that link go on with a few partners each; those that are far apart with none."""
+    rng = np.random.default_rng(changed)
+    base = rng.integers(1, 1 << 62, 100)
+    tokens = [np.unique(np.concatenate([base[rng.permutation(100)[changed:]], rng.integers(1, 1 << 62, changed)])) for _ in range(300)]
+    rows = []
+    for cls, own in enumerate(tokens):
+        bits = (np.bincount(own % (64 * jaccard_join.PARITY), minlength=64 * jaccard_join.PARITY) & 1).astype(np.uint8)
+        rows.append((cls, len(own), own.tolist(), *np.packbits(bits).view(np.int64).tolist()))
+    parity = ", ".join(f"p{k} long" for k in range(jaccard_join.PARITY))
+    sets = spark.createDataFrame(rows, f"cls long, n long, tokens array<long>, {parity}")
+    lists = sets.selectExpr("7L AS token", "cls", "n", "0L AS own", "0L AS place")
+    made, verified = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *more: made.append(pairs.count()) or verified(pairs, *more))
+    monkeypatch.setattr(jaccard_join, "REST_LEAST", 0)
+    found = jaccard_join.linked_in_lists(lists, sets).collect()
+    assert sum(made) <= most and {r["component"] for r in found} == ({0} if most else set())
+    assert len(found) == (300 if most else 0)
+
+
 def test_jaccard_rounds(spark, tmp_path, monkeypatch):
     """A large group of near copies goes through the rounds, whatever is left for the last."""
     import random
