@@ -19,7 +19,8 @@ Documents link when 100 * |A and B| >= 75 * |A or B| over their distinct 5-word
    bitmaps inside tasks, in pairs of blocks of bounded size, where they are not in one
    component yet, and each goes on with its first 16 likely partners of a block; with 16
    times as many each turn where there are more. Links merge components; a list ends when
-   one component is left or all its likely pairs have gone on. Every pair that is skipped
+   one component is left or all its likely pairs have gone on; only members of pairs that have
+   not stay in it. Every pair that is skipped
    is connected already, so the components are exactly those of all links, and a list
    ends within log16(BLOCK_SETS) + 1 turns. The comparison of bitmaps is quadratic in a list's
    members outside its components; the rows are not.
@@ -383,7 +384,7 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame
 
 def _likely_in_lists(table: pa.Table, share: int, turn: int, most: int | None) -> pa.Table:
     """a, b: the first `most` likely partners of each member of the group's lists among those before it (of i, for j); and
-    the token, alone, of each list where a member has more.
+    a (b is null) and token of the members of those pairs that did not go on, since a member has more.
 
     Before the first turn's members come those with the fewest shingles of their own, later ones have an order of each turn's.
     """
@@ -419,14 +420,14 @@ def _likely_in_lists(table: pa.Table, share: int, turn: int, most: int | None) -
         a, b = a[fit], b[fit]
         if most is not None:
             late = np.arange(len(a)) - np.searchsorted(a, a) >= most
-            more.append(np.unique(token[a[late]]))
+            more.append(np.unique(np.concatenate([a[late], b[late]])))
             a, b = a[~late], b[~late]
         pairs.append(np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])]))
     pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
     more = np.unique(np.concatenate(more)) if more else np.empty(0, np.int64)
-    lists, none = pa.array(more, pa.int64()), pa.nulls(len(more), pa.int64())
-    a, b = (pa.concat_arrays([pa.array(x, pa.int64()), none]) for x in pairs)
-    return pa.table({"a": a, "b": b, "token": pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), lists])})
+    columns = zip((*pairs, None), (cls[more], None, token[more]))
+    columns = [pa.concat_arrays([pa.nulls(size, pa.int64()) if x is None else pa.array(x, pa.int64()) for x, size in zip(c, (pairs.shape[1], len(more)))]) for c in columns]
+    return pa.table(columns, ["a", "b", "token"])
 
 
 def likely_in_lists(lists: DataFrame, sets: DataFrame, share: int, turn: int, most: int | None, entries: int) -> DataFrame:
@@ -476,15 +477,15 @@ def linked_in_lists(lists: DataFrame, sets: DataFrame, share: int = SHARE, label
         most = None if rest <= max(REST_PAIRS * n_sets, REST_LEAST) else MORE_LEADS ** (turn + 1)
         open_lists = stored(tagged.join(state.select("token", "m"), "token"), "open-lists")
         likely = stored(likely_in_lists(open_lists, sets, share, turn, most, entries), "likely-pairs")
-        new = stored(verified(likely.where("a is not null").select("a", "b").distinct(), sets, share), "new-links")
+        new = stored(verified(likely.where("b is not null").select("a", "b").distinct(), sets, share), "new-links")
         if not new.isEmpty():
             links = new if links is None else stored(links.unionByName(new), "links")
             labels = stored(components(links).withColumnRenamed("id", "cls"), "components")
         release(sets.sparkSession)
-        more = likely.where("a is null").select("token").distinct()
+        more = likely.where("b is null").select("token", F.col("a").alias("cls")).distinct()
         if most is None or more.isEmpty():
             break
-        lists = open_lists.join(more, "token", "left_semi").select("token", "cls", "n", "own", "place")
+        lists = open_lists.join(more, ["token", "cls"], "left_semi").select("token", "cls", "n", "own", "place")
     if labels is None:
         return sets.select("cls", F.col("cls").alias("component")).limit(0)
     return labels
