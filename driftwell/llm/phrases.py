@@ -56,6 +56,8 @@ BLOCK_BYTES = 8 << 20
 BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Texts that a task works on at once.
 ROWS = 4096
+#: Words whose phrases a task looks up at once.
+WORDS = 1 << 17
 #: Rows that one task ranks; rows of phrases or words that a join broadcasts.
 RANKED, BROADCAST = 64_000, 200_000
 TRIES = 8
@@ -120,14 +122,20 @@ class _Block:
         langs = table.column(0).combine_chunks()
         hashes, words, pieces, names, n_pieces = [], [], [], {}, 0
         for lang in langs.unique().to_pylist():
-            placed = placed_words(table.column(1).filter(pc.equal(langs, lang)).combine_chunks(), KINDS, lower=True)
-            names[lang] = len(hashes), placed.distinct
-            words.append(placed.ids + np.int32(len(hashes)))
+            own = pa.RecordBatch.from_arrays([table.column(1).filter(pc.equal(langs, lang)).combine_chunks()], ["text"])
+            encoded = []
+            for part in sliced([own], ROWS, 0):  # what finds words takes many times the bytes of its texts
+                placed = placed_words(part.column(0), KINDS, lower=True)
+                encoded.append(pa.DictionaryArray.from_arrays(pa.array(placed.ids), placed.distinct))
+                text = np.repeat(np.arange(len(placed.first) - 1), np.diff(placed.first))
+                pieces.append(placed.piece + text + n_pieces)  # a text begins a piece
+                n_pieces = int(pieces[-1][-1]) + 1 if len(text) else n_pieces
+            encoded = pa.chunked_array(encoded).unify_dictionaries()
+            distinct = encoded.chunk(0).dictionary
+            names[lang] = len(hashes), distinct
+            words += [part.indices.to_numpy() + np.int32(len(hashes)) for part in encoded.chunks]
             seed = xxh3_64_intdigest(lang.encode(), seed=self.seed)
-            hashes += [xxh3_64_intdigest(word, seed=seed) & self.mask for word in placed.distinct.to_pylist()]
-            text = np.repeat(np.arange(len(placed.first) - 1), np.diff(placed.first))
-            pieces.append(placed.piece + text + n_pieces)  # a text begins a piece
-            n_pieces = int(pieces[-1][-1]) + 1 if len(text) else n_pieces
+            hashes += [xxh3_64_intdigest(word, seed=seed) & self.mask for word in distinct.to_pylist()]
         piece = np.concatenate(pieces)
         return np.array(hashes, np.uint64).view(np.int64), np.concatenate(words), piece[1:] == piece[:-1], names
 
@@ -142,15 +150,32 @@ def asked(told: list[np.ndarray], hashes: np.ndarray, first: np.ndarray | slice,
     return new
 
 
-def wanted(hashes: np.ndarray, words: np.ndarray, together: np.ndarray, told: list[np.ndarray], longest: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(places of each word of the phrase in `words`, hashes of the phrases), for two words and for three."""
-    at = np.flatnonzero(together & asked(told, phrase_hash(hashes), words[:-1], words[1:]))
-    h = hashes[words]
-    pair_hash = phrase_hash(h[:-1], h[1:])
-    yield [at, at + 1], pair_hash[at]
-    if longest > 2:
-        at = np.flatnonzero(together[:-1] & together[1:] & asked(told, pair_hash, slice(None, -1), slice(1, None)))
-        yield [at, at + 1, at + 2], phrase_hash(h[at], h[at + 1], h[at + 2])
+def wanted(
+    hashes: np.ndarray, words: np.ndarray, together: np.ndarray, told: list[np.ndarray], longest: int, likely: np.ndarray | None = None
+) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(places of each word of the phrase in `words`, hashes of the phrases), for two words and for three; with `likely` those that it holds.
+
+    WORDS are looked at at once, so that what the looking takes does not follow the block.
+    """
+    own = phrase_hash(hashes)
+    for size in range(2, longest + 1):
+        places, found = [], []
+        for start in range(0, max(1, len(words) - size + 1), WORDS):
+            w = words[start : start + WORDS + size - 1]
+            t = together[start : start + max(0, len(w) - 1)]
+            if size == 2:
+                at = np.flatnonzero(t & asked(told, own, w[:-1], w[1:]))
+            else:
+                h = hashes[w]
+                at = np.flatnonzero(t[:-1] & t[1:] & asked(told, phrase_hash(h[:-1], h[1:]), slice(None, -1), slice(1, None)))
+            new = phrase_hash(*[hashes[w[at + k]] for k in range(size)])
+            if likely is not None:
+                kept = _held(new, likely)
+                at, new = at[kept], new[kept]
+            places.append(at + start)
+            found.append(new)
+        at = np.concatenate(places)
+        yield [at + k for k in range(size)], np.concatenate(found)
 
 
 _ENTRY = np.dtype([("slot", "<u4"), ("n", "u1")])
@@ -219,10 +244,7 @@ def phrase_counts(docs: DataFrame, told: list[Broadcast], least: int, seed: int,
                     kept = np.flatnonzero(enough[own])
                     yield from rows([hashes[own][kept]], n[own][kept], lang, distinct.take(pa.array(kept)))
                     yield from rows([], n[own].sum(keepdims=True), lang)
-            for places, found in wanted(hashes, words, together, bitmaps, MOST_WORDS):
-                if likely is not None:
-                    kept = _held(found, likely.value)
-                    places, found = [p[kept] for p in places], found[kept]
+            for places, found in wanted(hashes, words, together, bitmaps, MOST_WORDS, None if likely is None else likely.value):
                 # Equal phrases have equal hashes; those of one hash and other words stay apart.
                 own = np.stack([hashes[words[p]] for p in places])
                 order = np.lexsort((*own[::-1], found))

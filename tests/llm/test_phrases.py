@@ -2,9 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +98,24 @@ def test_one_hash_for_two_words_is_no_wrong_count(spark):
         P.mine(table(spark, rows), hash_bits=4)
 
 
+def test_a_block_takes_little_more_than_its_texts():
+    """What a task holds at its peak while it finds a block's words and phrases, beside the block and Arrow's own."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(20_000)}" for _ in range(500)) + ". end" for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 1000), pa.array(texts)], ["lang", "text"])
+    block = P._Block(0, 64)
+    block.texts = [batch]
+    every = np.full(1 << 12, 255, np.uint8)
+    tracemalloc.start()
+    try:
+        hashes, words, together, _ = block.flat()
+        found = [len(phrases) for _, phrases in P.wanted(hashes, words, together, [every], 3, np.zeros(1 << 12, np.uint8))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(words) == 2000 * 501 and found == [0, 0] and peak < 6 * batch.nbytes, peak / batch.nbytes
+
+
 def test_edges(spark):
     long = "the same words again " * 60_000
     rows = [(None, "en"), ("", "en"), (" \t\n.", "en"), ("one", None), (long, "en"), ("The same\twords", "und")] + [("The same\twords", None)] * 10
