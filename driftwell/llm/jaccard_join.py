@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .workspace import numbered, release, scratch, sized, sliced, stored, without_rows, written
+from .workspace import located, numbered, release, scratch, sized, sliced, stored, without_rows, written
 
 SHINGLE, SHARE = 5, 75
 #: Share of the hash space that step 2 counts, in 1/1024; sets up to FULL_SIZE are counted whole.
@@ -372,12 +372,17 @@ def _within(n: str, place: str, a, b, share: int = SHARE):  # noqa: ANN001, ANN2
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
-    """Of pairs (a, b) of classes, those that link: their sets have `share` percent in common."""
+    """Of pairs (a, b) of classes, those that link: their sets have `share` percent in common.
+
+    Only sets that are in a pair are sent.
+    """
+    pairs = stored(pairs, "pairs")
+    sets = sets.join(sized(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "cls", "left_semi")
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    both = pairs.join(side("b", "n", "tokens"), "b").join(side("a", "n", "tokens"), "a")
+    both = sized(pairs).join(side("b", "n", "tokens"), "b").join(side("a", "n", "tokens"), "a")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return both.where(common * 100 >= share * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
 
@@ -586,7 +591,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = located(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return find_near(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 

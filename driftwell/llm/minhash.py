@@ -10,12 +10,13 @@ Documents link when 100 * |A and B| >= 80 * |A or B| over their distinct 4-word
    tensoring computes 2400. Two sets of similarity s meet in a table unless one collection has no
    key in common: 2 * (1 - s ** WIDTH) ** SIDE at most, 1.2e-6 at s = 0.8 and 1.1e-8 at 0.85.
 3. A table's bucket has two members only where both small keys are shared, so small keys are counted
-   first (a class sends each once; counts combine before the shuffle) and pairs are formed of shared
-   keys alone: a document that resembles no other forms none.
+   first (a class sends each once; what is shared is told by a minimum and a maximum, which combine before
+   the shuffle) and pairs are formed of shared keys alone: a document that resembles no other forms none.
 4. Buckets are compared in blocks, never as rows of all pairs: `jaccard_join.linked_in_lists`. Few tables come
-   first, then more, then all: what the first connect is one component in the others' buckets, and a bucket
-   of one component is done. Of tables whose buckets hold the same members one is enough. Candidates
-   pass a parity bitmap and are then verified on their full sets, so a link that is reported is one.
+   first, then more, then all: what the first connect is one component in the others' buckets, a bucket
+   of one component is done, and keys that only one component has form no pairs any more. Of tables whose
+   buckets hold the same members one is enough. Candidates pass a parity bitmap and are then
+   verified on their full sets, so a link that is reported is one.
 
 Defined results: a text with fewer words than a shingle is one shingle of all its words; null and
 wordless texts have an empty set, link with nothing and are their own component; repeated rows are
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import ROWS, _mix, _utf8, linked_in_lists, set_digest, sets_of, shingle_sets
-from .workspace import numbered, release, scratch, sized, sliced, stored, without_rows, written
+from .workspace import located, numbered, release, scratch, sized, sliced, stored, without_rows, written
 
 SHINGLE, SHARE = 4, 80
 #: Small keys of a collection, and minhashes of a small key.
@@ -86,17 +87,20 @@ def sketched(rows: DataFrame, side: int = SIDE, width: int = WIDTH, shingle: int
 FIRST_TABLES = 4
 
 
-def tensored(classes: DataFrame, side: int = SIDE) -> DataFrame:
-    """i, j (the table's keys), token, cls, n: the tables' entries that can have a partner. classes: cls, n, keys."""
-    small = classes.select("cls", F.posexplode("keys").alias("k", "key"))
-    shared = stored(small.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared-keys")
-    held = small.join(sized(shared), "key")
+def shared_keys(small: DataFrame, side: int = SIDE) -> DataFrame:
+    """cls, a, b: of each class the keys (k, key) of both collections that another component has, too, if there are
+    some of both. small: cls, component, k, key."""
+    shared = small.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    held = small.drop("component").join(sized(stored(shared.select("key"), "shared-keys")), "key")
     of = lambda own: F.array_compact(F.collect_list(F.when(own, F.struct("k", "key"))))  # noqa: E731  of a class: `side` at most
     both = held.groupBy("cls").agg(of(F.col("k") < side).alias("a"), of(F.col("k") >= side).alias("b"))
-    pairs = both.where((F.size("a") > 0) & (F.size("b") > 0)).select("cls", "b", F.explode("a").alias("a")).select("cls", "a", F.explode("b").alias("b"))
-    entries = pairs.select(F.col("a.k").alias("i"), (F.col("b.k") - side).alias("j"), F.xxhash64("a.key", "b.key").alias("token"), "cls")
-    nothing = F.lit(0).cast("long")
-    return entries.join(classes.select("cls", "n"), "cls").select("i", "j", "token", "cls", "n", nothing.alias("own"), nothing.alias("place"))
+    return stored(both.where((F.size("a") > 0) & (F.size("b") > 0)), "held-keys")
+
+
+def tensored(held: DataFrame, side: int = SIDE) -> DataFrame:
+    """i, j (the table's keys), token, cls: the tables' entries of the classes of `shared_keys`."""
+    pairs = held.select("cls", "b", F.explode("a").alias("a")).select("cls", "a", F.explode("b").alias("b"))
+    return pairs.select(F.col("a.k").alias("i"), (F.col("b.k") - side).alias("j"), F.xxhash64("a.key", "b.key").alias("token"), "cls")
 
 
 def different_buckets(tables: DataFrame) -> DataFrame:
@@ -106,11 +110,19 @@ def different_buckets(tables: DataFrame) -> DataFrame:
     return tables.join(buckets.groupBy("m", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
 
 
-def linked_in_tables(tables: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """cls, component of the classes that link, by few tables first."""
-    labels = None
+def linked_in_tables(held: DataFrame, sets: DataFrame, share: int, side: int = SIDE) -> DataFrame:
+    """cls, component of the classes that link, by few tables first; held: see `shared_keys`.
+
+    A bucket is in one component unless both of its keys are in several, so before each further step only keys that
+    components share are left.
+    """
+    labels, nothing = None, F.lit(0).cast("long")
     for some in ((F.col("i") == F.col("j")) & (F.col("i") < FIRST_TABLES), F.col("i") == F.col("j"), F.lit(True)):
-        lists = stored(different_buckets(tables.where(some)).drop("i", "j"), "tables")
+        if labels is not None:
+            small = held.select("cls", F.explode(F.concat("a", "b")).alias("p")).select("cls", "p.k", "p.key").join(labels, "cls", "left")
+            held = shared_keys(small.withColumn("component", F.coalesce("component", "cls")), side)
+        lists = different_buckets(stored(tensored(held, side).where(some), "tensored")).join(sets.select("cls", "n"), "cls")
+        lists = stored(lists.select("token", "cls", "n", nothing.alias("own"), nothing.alias("place")), "tables")
         found = linked_in_lists(lists, sets, share, labels)
         labels = stored(found, "linked") if labels is None else found
     return labels
@@ -126,11 +138,11 @@ def find_near(docs: DataFrame, *, share: int = SHARE, shingle: int = SHINGLE, si
         classes = stored(
             found.groupBy("digest", "digest2").agg(F.min("_row").alias("cls"), F.max("n").alias("n"), F.min("id").alias("least")), "classes", keep=True
         )
-        lists = tensored(classes.join(found.select(F.col("_row").alias("cls"), "keys"), "cls").select("cls", "n", "keys"), side)
-        tables = stored(lists, "tensored")
+        small = classes.join(found.select(F.col("_row").alias("cls"), "keys"), "cls").select("cls", F.posexplode("keys").alias("k", "key"))
+        held = shared_keys(small.withColumn("component", F.col("cls")), side)
         release(docs.sparkSession)
-        sets = sets_of(rows, stored(tables.select(F.col("cls").alias("_row")).distinct(), "possible"), shingle)
-        linked = stored(linked_in_tables(tables, sets, share), "linked", keep=True)
+        sets = sets_of(rows, held.select(F.col("cls").alias("_row")), shingle)
+        linked = stored(linked_in_tables(held, sets, share, side), "linked", keep=True)
     named = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("digest", "digest2", "component", "component_id")
@@ -151,7 +163,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def op11_minhash(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = located(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return find_near(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 

@@ -32,6 +32,8 @@ _LOCAL: dict[str, str] = {}
 _SCRATCH: list[list[str]] = []
 #: The written table of each DataFrame object that was numbered.
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, DataFrame] = weakref.WeakKeyDictionary()
+#: Where tables are that were made here.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,13 +86,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _SCRATCH.pop()
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in made:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        _remove(spark, made)
         release(spark)
 
 
+def _remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def forget(docs: DataFrame) -> None:
+    """Remove the table that docs was `stored` in, and the one in which its rows have numbers; what was only read stays."""
+    tables = (docs, _WRITTEN.pop(docs, None))
+    _remove(docs.sparkSession, [_PATHS.pop(t) for t in tables if t is not None and t in _PATHS])
+
+
 def stored(df: DataFrame, name: str, options: dict[str, str] | None = None, keep: int = 0) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and lost executors lose nothing.
 
@@ -102,7 +114,9 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None, keep
         around[-1].append(path)
     with small_batches(spark):
         df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int, column: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -147,9 +161,29 @@ def written(docs: DataFrame) -> DataFrame:
         rows = docs.withColumn(NUMBER, F.monotonically_increasing_id())
         rows.write.option("compression", "zstd").parquet(path)
         _WRITTEN[docs] = docs.sparkSession.read.schema(rows.schema).parquet(path)
+        _PATHS[_WRITTEN[docs]] = path
     return _WRITTEN[docs]
 
 
+#: Bits of a row's number that hold its place in its file.
+PLACE_BITS = 40
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs, numbered by each row's file and place in it in place of a copy that is `written`.
+
+    For a table just as it was read from Parquet files: joins or unions after it would repeat places.
+    """
+    if docs not in _WRITTEN:
+        spark, file = docs.sparkSession, F.col("_metadata.file_path")
+        files = [r[0] for r in docs.select(file).distinct().collect()]  # names only; the driver lists them to read them
+        places = [(name, n << PLACE_BITS) for n, name in enumerate(sorted(files))]
+        first = F.broadcast(spark.createDataFrame(places, "_file string, _first long"))
+        rows = docs.withColumns({"_file": file, "_place": F.col("_metadata.row_index")}).join(first, "_file")
+        _WRITTEN[docs] = rows.select(*docs.columns, (F.col("_first") + F.col("_place")).alias(NUMBER))
+    return docs
+
+
 def numbered(docs: DataFrame, *columns: Column | str, name: str = "_row") -> DataFrame:
     """Columns of docs behind a number of each row, so that null or repeated ids stay apart.
 

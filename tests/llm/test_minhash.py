@@ -1,5 +1,6 @@
 """MinHash near-dedup against brute force, and the sketches against what they promise."""
 
+import os
 import random
 
 import duckdb
@@ -123,3 +124,44 @@ def test_query_matches_its_sql(spark):
     columns = ["doc_id", "n_shingles", "component_id", "kept"]
     expected = con.execute(f"SELECT {', '.join(columns)} FROM ({M.OP11_SQL})").fetchall()
     assert sorted(tuple(r) for r in M.op11_minhash(spark, ROOT).select(columns).collect()) == sorted(expected)
+
+
+def test_keys_inside_one_component_form_no_more_pairs(spark):
+    """Two classes that are connected share keys with each other alone; a third shares one of each collection with one of them."""
+    own = [(c, k, 100 * min(c, 2) + k) for c in (1, 2, 3) for k in (0, 1, 2, 3)]  # 2 and 3 have the same keys
+    own = [(c, k, 7 if (c, k) in ((1, 0), (2, 0)) else 8 if (c, k) in ((1, 2), (2, 2)) else key) for c, k, key in own]
+    small = spark.createDataFrame([(c, c, k, key) for c, k, key in own], "cls long, component long, k int, key long")
+    connected = spark.createDataFrame([(c, max(2, c) if c < 3 else 2, k, key) for c, k, key in own], "cls long, component long, k int, key long")
+    alone = connected.where("cls <> 1")
+    keys = lambda rows: {r["cls"]: sorted(p["k"] for p in r["a"] + r["b"]) for r in M.shared_keys(rows, 2).collect()}
+    assert keys(small) == {1: [0, 2], 2: [0, 1, 2, 3], 3: [1, 3]}
+    assert keys(alone) == {}
+    assert M.tensored(M.shared_keys(small, 2), 2).count() == 1 + 4 + 1
+
+
+def test_rows_are_numbered_by_their_files(spark, tmp_path):
+    """No copy of the table is written, and a row has one number however the files are cut and read."""
+    from driftwell.llm import workspace as W
+
+    spark.range(5000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 20) AS text").repartition(3).write.parquet(f"{tmp_path}/a b%20c")
+    made = []
+    for size in ("128m", "16k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        docs = W.located(spark.read.parquet(f"{tmp_path}/a b%20c"))
+        made.append({(r["n"], r["doc_id"]) for r in W.numbered(docs, "doc_id", name="n").collect()})
+        assert not any("/numbered-" in f for f in W.written(docs).inputFiles())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert made[0] == made[1] and len({n for n, _ in made[0]}) == 5000
+
+
+def test_only_what_was_made_here_is_forgotten(spark, tmp_path):
+    from driftwell.llm import workspace as W
+
+    spark.range(10).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    made = W.stored(docs, "made")
+    numbers, at = W.written(made), W._PATHS[made].removeprefix("file:")
+    W.forget(docs)
+    assert docs.count() == numbers.count() == made.count() == 10
+    W.forget(made)
+    assert not os.path.exists(at) and made not in W._WRITTEN
