@@ -256,29 +256,24 @@ def phrase_counts(docs: DataFrame, told: list[Broadcast], least: int, seed: int,
     return counted.groupBy("h1", "h2", "h3", "lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("h2").isNull())
 
 
-def slots_of(found: DataFrame) -> DataFrame:
-    """slot of each phrase of one or two words."""
+def slots_of(found: DataFrame, told: Broadcast | None = None) -> DataFrame:
+    """slot of each phrase of one or two words; with `told` of those that it doesn't hold.
+
+    Both are settled in one pass: two passes of Arrow in one stage keep two Python workers for each task.
+    """
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h1, h2 = batch.column(0).to_numpy(), batch.column(1)
             two = np.asarray(pc.is_valid(h2))
-            out = np.where(two, phrase_hash(h1, pc.fill_null(h2, 0).to_numpy()), phrase_hash(h1))
-            yield pa.RecordBatch.from_arrays([pa.array((out & np.uint64(0xFFFFFFFF)).view(np.int64))], ["slot"])
+            out = np.where(two, phrase_hash(h1, pc.fill_null(h2, 0).to_numpy()), phrase_hash(h1)) & np.uint64(0xFFFFFFFF)
+            if told is not None:
+                out = out[~_held(out, told.value)]
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], ["slot"])
 
     return found.where("h1 is not null and h3 is null").select("h1", "h2").mapInArrow(slots, "slot long")
 
 
-def outside(found: DataFrame, told: Broadcast) -> int:
-    """How many phrases of one or two words `told` doesn't hold."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int((~_held(batch.column(0).to_numpy().view(np.uint64), told.value)).sum())], pa.int64())], ["n"])
-
-    return slots_of(found).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-
-
 def frequent(docs: DataFrame, least: int = LEAST, *, share: int = SHARE, lowered: int = LOWERED, seed: int = 0, hash_bits: int = 64) -> tuple[DataFrame, list[int]] | None:
     """The rows of phrase_counts for all frequent phrases, and how much of the border failed before each further pass.
 
@@ -293,7 +288,7 @@ def frequent(docs: DataFrame, least: int = LEAST, *, share: int = SHARE, lowered
     if not same.where((F.col("words") > 1) & (F.col("most") >= least)).isEmpty():
         return None
     found, failed = counted.where((F.col("n") >= least) | F.col("h1").isNull()), []
-    while missed := outside(found, told[-1]):
+    while missed := slots_of(found, told[-1]).count():
         failed.append(missed)
         told.append(bitmap(stored(slots_of(found), "told")))
         found = found.unionByName(stored(phrase_counts(docs, told, least, seed, hash_bits), "more-phrases"))

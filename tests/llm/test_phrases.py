@@ -78,6 +78,20 @@ def test_the_border_says_when_the_sample_was_wrong(spark):
     assert key(whole) == key(nothing)
 
 
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """Each Arrow pass reads tables or a shuffle: one on top of another has a worker of its own beside it, with its own memory."""
+    frame, below = type(spark.range(0)), []
+
+    def seen(self, *args, call=frame.mapInArrow, **more):
+        below.append(self._jdf.queryExecution().executedPlan().toString())
+        return call(self, *args, **more)
+
+    monkeypatch.setattr(frame, "mapInArrow", seen)
+    rows = corpus(9)
+    assert sorted(tuple(r) for r in P.mine(table(spark, rows)).collect()) == slow(rows)
+    assert len(below) > 5 and not [plan for plan in below if "InArrow" in plan]
+
+
 def test_best_of_rounds(spark):
     rows = spark.range(5000).select(F.lit("en").alias("g"), (F.col("id") % 700).alias("score"), F.col("id").cast("string").alias("name"))
     order = [F.desc("score"), F.asc("name")]
