@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import definitions as D
@@ -16,7 +18,12 @@ from .keyed_diff import DIFFERENT, MISSING_ON_SOURCE, MISSING_ON_TARGET, only_le
 COLUMNS = ["section_no", "object_type", "schema", "table", "name", "drift_type", "detail", "fix_ddl"]
 
 
-def _items(rows: DataFrame, section: int, object_type, schema, table, name, kind: str, detail: Column | None = None, fix: Column | None = None) -> DataFrame:  # noqa: ANN001
+def _same_keys(keys: list[str]) -> Column:
+    """Keys and those named `_key` are the same; nulls equal nulls."""
+    return reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+
+
+def _items(rows: DataFrame, section: int | Column, object_type, schema, table, name, kind: str | Column, detail: Column | None = None, fix: Column | None = None) -> DataFrame:  # noqa: ANN001
     text = lambda x: x if isinstance(x, Column) else F.lit(x)
     return rows.select(
         F.lit(section).alias("section_no"), text(object_type).alias("object_type"), schema.alias("schema"), table.alias("table"),
@@ -24,6 +31,11 @@ def _items(rows: DataFrame, section: int, object_type, schema, table, name, kind
     )
 
 
+def one_of_each(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The greatest `text` of each key: a left join of it repeats no row, and Spark leaves it out where the text isn't read."""
+    return rows.groupBy(*keys).agg(F.max(text).alias(text))
+
+
 def schema_drift(source: DataFrame, target: DataFrame) -> DataFrame:
     s = F.col("schema_name")
     return _items(only_left(source, target, ["schema_name"]), 1, "schema", F.lit(""), F.lit(""), s, MISSING_ON_TARGET, fix=F.concat(F.lit("CREATE SCHEMA IF NOT EXISTS "), S.quote_ident(s)))
@@ -35,30 +47,40 @@ def table_drift(source: DataFrame, target: DataFrame, create: DataFrame | None =
     gone, extra = only_left(source, target, keys), only_left(target, source, keys)
     ddl = F.lit("")
     if create is not None:
-        gone, ddl = gone.join(create, keys, "left"), F.col("ddl")
+        gone, ddl = gone.join(one_of_each(create, keys, "ddl"), keys, "left"), F.col("ddl")
     s, t = F.col("schema_name"), F.col("table_name")
     return _items(gone, 2, "table", s, t, t, MISSING_ON_TARGET, fix=ddl).unionByName(
         _items(extra, 3, "table", s, t, t, MISSING_ON_SOURCE, fix=F.concat(F.lit("DROP TABLE "), qualified(s, t)))
     )
 
 
-def column_drift(source: DataFrame, target: DataFrame, partitions: DataFrame | None = None) -> DataFrame:
-    """Columns of tables on both sides: missing, extra, or of another type. `partitions` are passed over: they follow their parents."""
+def column_drift(source: DataFrame, target: DataFrame, partitions: DataFrame | None = None, definitions: DataFrame | None = None) -> DataFrame:
+    """Columns of tables on both sides: missing, extra, or of another type. `partitions` are passed over: they follow their parents.
+
+    definitions: the source's columns with all that defines them, where `source` has but their types.
+    """
     table_key, key = ["schema_name", "table_name"], ["schema_name", "table_name", "column_name"]
-    common = source.select(table_key).distinct().join(target.select(table_key).distinct(), table_key)
+    parts = ("column_name", "data_type", "not_null", "column_default", "is_generated", "identity", "identity_options", "collation_name", "collation_schema")
+    # One full outer join, since each side is a join of many tables that would be made anew for every use.
+    mine = source.select(*key, "data_type", F.lit(True).alias("_s"))
+    theirs = target.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("data_type").alias("_type"), F.lit(True).alias("_t"))
+    both = mine.join(theirs, _same_keys(key), "full_outer")
+    both = both.select(*[F.when(F.col("_s"), F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in key], "data_type", "_type", "_s", "_t")
+    whole = Window.partitionBy(*table_key)
+    common = both.withColumns({"_in_s": F.max("_s").over(whole), "_in_t": F.max("_t").over(whole)}).where("_in_s and _in_t").dropna(subset=table_key)
+    kind = F.when(F.col("_t").isNull(), MISSING_ON_TARGET).when(F.col("_s").isNull(), MISSING_ON_SOURCE)
+    kind = kind.when(F.col("column_name").isNotNull() & ~F.col("data_type").eqNullSafe(F.col("_type")), DIFFERENT)
+    found = common.withColumn("_kind", kind).where("_kind is not null")
     if partitions is not None:
-        common = common.join(partitions.select(table_key), table_key, "left_anti")
-    src, tgt = source.join(common, table_key), target.join(common, table_key)
+        found = found.join(partitions.select(table_key), table_key, "left_anti")
     s, t, c = (F.col(k) for k in key)
-    parts = ("column_name", "data_type", "not_null", "column_default", "is_generated", "identity", "identity_options", "collation_name", "collation_schema")
+    kind = F.col("_kind")
     add = F.concat(F.lit("ALTER TABLE "), qualified(s, t), F.lit(" ADD COLUMN "), S.column_definition({k: F.col(k) for k in parts}))
-    other = src.join(tgt.select(*key, F.col("data_type").alias("_type")), key).where(~F.col("data_type").eqNullSafe(F.col("_type")))
+    added = (source if definitions is None else definitions).select(*key, add.alias("_add"))
+    found = found.join(one_of_each(added, key, "_add"), key, "left")
     mismatch = F.concat(F.lit("source has "), F.col("data_type"), F.lit(", target has "), F.col("_type"))
-    return (
-        _items(only_left(src, tgt, key), 4, "column", s, t, c, MISSING_ON_TARGET, fix=add)
-        .unionByName(_items(only_left(tgt, src, key), 5, "column", s, t, c, MISSING_ON_SOURCE))
-        .unionByName(_items(other, 6, "column", s, t, c, DIFFERENT, detail=mismatch))
-    )
+    section = F.when(kind == MISSING_ON_TARGET, 4).when(kind == MISSING_ON_SOURCE, 5).otherwise(6)
+    return _items(found, section, "column", s, t, c, kind, F.when(kind == DIFFERENT, mismatch), F.when(kind == MISSING_ON_TARGET, F.col("_add")))
 
 
 def named_drift(source: DataFrame, target: DataFrame, section: int, object_type: str, name: str, definition: str, fix: Column) -> DataFrame:
@@ -86,15 +108,15 @@ def definition_drift(
 
     compare: name → expression; texts are compared with white space collapsed.
     """
-    both = source.join(target.select(*keys, *[e.alias(f"_t_{k}") for k, e in compare.items()]), keys)
-    differs = F.lit(False)
-    for k, e in compare.items():
-        differs = differs | ~e.eqNullSafe(F.col(f"_t_{k}"))
-    schema, shown = F.col("schema_name"), name if name is not None else F.col(keys[-1])
-    at = table if table is not None else F.lit("")
-    return _items(only_left(source, target, keys), section, object_type, schema, at, shown, MISSING_ON_TARGET, fix=fix).unionByName(
-        _items(both.where(differs), section, object_type, schema, at, shown, DIFFERENT, fix=fix if replace is None else replace)
-    )
+    theirs = target.select(*[F.col(k).alias(f"_{k}") for k in keys], *[e.alias(f"_t_{k}") for k, e in compare.items()], F.lit(True).alias("_there"))
+    differs = reduce(lambda x, y: x | y, (~e.eqNullSafe(F.col(f"_t_{k}")) for k, e in compare.items()))
+    named = reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys))
+    kind = F.when(F.col("_there").isNull(), MISSING_ON_TARGET).when(named & differs, DIFFERENT)
+    found = source.join(theirs, _same_keys(keys), "left").withColumn("_kind", kind).where("_kind is not null")
+    shown = name if name is not None else F.col(keys[-1])
+    if replace is not None:
+        fix = F.when(F.col("_kind") == DIFFERENT, replace).otherwise(fix)
+    return _items(found, section, object_type, F.col("schema_name"), table if table is not None else F.lit(""), shown, F.col("_kind"), fix=fix)
 
 
 def function_drift(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -229,7 +251,7 @@ def missing_tables(source: R.System, target: R.System) -> DataFrame:
     first = F.when(F.col("_new"), F.concat(F.lit("CREATE SCHEMA IF NOT EXISTS "), S.quote_ident(s), F.lit("; "))).otherwise("")
     create = full_definitions(source).join(lacking, "schema_name", "left").select(*key, F.concat(first, F.col("ddl")).alias("ddl"))
     depths = by_depth(source.relations("rp").select("oid", *key), source["pg_inherits"].select(F.col("inhrelid").alias("oid"), F.col("inhparent").alias("parent")))
-    depths = depths.select(s.alias("schema"), F.col("table_name").alias("table"), "part_depth")
+    depths = depths.groupBy(s.alias("schema"), F.col("table_name").alias("table")).agg(F.max("part_depth").alias("part_depth"))
     deep = F.when(F.col("drift_type") == MISSING_ON_TARGET, F.lpad(F.coalesce("part_depth", F.lit(0)).cast("string"), 3, "0")).otherwise("")
     return table_drift(_tables(source), _tables(target), create).join(depths, ["schema", "table"], "left").withColumn("detail", deep).select(COLUMNS)
 
@@ -238,13 +260,12 @@ def structure_drift(source: R.System, target: R.System) -> list[DataFrame]:
     """Columns, indexes and constraints of tables on both sides; partitions have their parents'."""
     s, t = F.col("schema_name"), F.col("table_name")
     partitions = R.partition_info(source).where("is_partition")
-    pair = lambda f: only_common(f(source), f(target), [_tables(source), _tables(target)], partitions)
     add = D.add_constraint(s, t, F.col("constraint_name"), F.col("constraint_def"))
-    return [
-        column_drift(R.columns(source), R.columns(target), partitions),
-        named_drift(*pair(R.indexes), 7, "index", "index_name", "index_def", F.col("index_def")),
-        named_drift(*pair(R.constraints), 8, "constraint", "constraint_name", "constraint_def", add),
-    ]
+    named = named_drift(R.indexes(source), R.indexes(target), 7, "index", "index_name", "index_def", F.col("index_def")).unionByName(
+        named_drift(R.constraints(source), R.constraints(target), 8, "constraint", "constraint_name", "constraint_def", add)
+    )
+    common = common_tables(_tables(source), _tables(target), partitions).select(s.alias("schema"), t.alias("table"))
+    return [column_drift(R.attributes(source), R.attributes(target), partitions, R.columns(source)), named.join(common, ["schema", "table"], "left_semi")]
 
 
 def detect_drift(source: R.System, target: R.System, enums: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -268,11 +289,10 @@ def detect_drift(source: R.System, target: R.System, enums: tuple[DataFrame, Dat
     ])
 
 
-def only_common(source: DataFrame, target: DataFrame, tables: list[DataFrame], partitions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of tables that both sides have and that are no partitions."""
+def common_tables(source: DataFrame, target: DataFrame, partitions: DataFrame) -> DataFrame:
+    """Tables that both sides have and that are no partitions."""
     key = ["schema_name", "table_name"]
-    common = tables[0].join(tables[1], key, "left_semi").join(partitions.select(key), key, "left_anti")
-    return source.join(common, key, "left_semi"), target.join(common, key, "left_semi")
+    return source.join(target, key, "left_semi").join(partitions.select(key), key, "left_anti")
 
 
 def report(sections: list[DataFrame]) -> DataFrame:

@@ -67,6 +67,14 @@ class System:
 _TABLE = ["schema_name", "table_name"]
 
 
+def attributes(s: System) -> DataFrame:
+    """The columns of tables with no more than their types; `columns` tells the rest."""
+    tables = s.relations("rp").select(F.col("oid").alias("attrelid"), *_TABLE)
+    types = s["pg_type"].select(F.col("oid").alias("atttypid"))
+    rows = s["pg_attribute"].where("attnum > 0 and not attisdropped").join(tables, "attrelid").join(types, "atttypid")
+    return rows.select(*_TABLE, F.col("attname").alias("column_name"), F.col("format_type").alias("data_type"))
+
+
 def columns(s: System) -> DataFrame:
     """The columns of tables; a collation only where it isn't its type's own, identity columns with their sequence's options."""
     q = s["pg_sequence"]

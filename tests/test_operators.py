@@ -296,3 +296,16 @@ def test_tree_cycle_is_an_error(spark):
     turn = edges.unionByName(spark.createDataFrame([("a", "b")], "child string, parent string"))
     with pytest.raises(Exception, match="RECURSION"):
         catalog.tree_depths(turn, max_depth=4).collect()
+
+
+def test_drift_makes_each_side_once(spark):
+    """A side is a join of many system tables: what is looked for in it is found in one join, and what only fixes read is left out."""
+    own = spark.range(4).selectExpr("concat('s', id div 9) schema_name", "concat('t', id div 9) table_name", "concat('c', id) column_name", "'int' data_type")
+    rest = ", ".join(f"cast(null as {t}) {c}" for c, t in [("not_null", "boolean"), ("column_default", "string"), ("is_generated", "boolean"), *[(c, "string") for c in ("identity", "identity_options", "collation_name", "collation_schema")]])
+    source, target = own.selectExpr("*", *rest.split(", ")), own.where("column_name <> 'c2'").selectExpr("*", *rest.split(", "))
+    function = lambda body: spark.range(3).selectExpr("concat('s', id div 9) schema_name", "concat('f', id) func_name", "'' func_args", f"'{body}' func_def")
+    for items, expected in ((drift.column_drift(source, target), [(4, "c2")]), (drift.function_drift(function("a"), function("b")), [(10, f"f{i}") for i in range(3)])):
+        found = items.select("section_no", "name")
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
+        assert sorted(map(tuple, found.collect())) == expected
+    assert drift.column_drift(source, target).first().fix_ddl.startswith("ALTER TABLE")
